@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -260,7 +261,7 @@ def digests(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else 0 for x in column]
             rest = [c for i, c in enumerate(batch.columns) if i != of_ids]
             names = [c for c in batch.schema.names if c != "ids"]
-            sizes = pa.compute.list_value_length(column).fill_null(0).cast(pa.int64())
+            sizes = pc.list_value_length(column).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*rest, sizes, pa.array(sums, pa.int64())], names=[*names, "n_tokens", "ids_crc32"])
 
     whole = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"]

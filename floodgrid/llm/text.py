@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
@@ -86,7 +87,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array | pa.ChunkedArray, most: int = PASS_BYTES, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts are about ``most`` bytes together; every row is in one range."""
-    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0))
+    sizes = np.asarray(pc.binary_length(column).fill_null(0))
     at = begin = 0
     total = 0
     for at, n in enumerate(sizes.tolist()):
