@@ -155,7 +155,8 @@ def polygons_in_region(polygons: DataFrame, region: tuple[float, float, float, f
     """Polygons that meet the box (xmin, xmax, ymin, ymax): a corner inside, an edge across, or the box within."""
     xmin, xmax, ymin, ymax = region
     v = F.col(vertices)
-    ends = {f"_{f.__name__}{k}": f(F.transform(v, lambda p, k=k: p[k])) for k in ("x", "y") for f in (F.array_min, F.array_max)}
+    axis = {"x": F.transform(v, lambda p: p["x"]), "y": F.transform(v, lambda p: p["y"])}
+    ends = {f"_{f.__name__}{k}": f(axis[k]) for k in axis for f in (F.array_min, F.array_max)}
     near = polygons.withColumns(ends).where(
         (F.col("_array_maxx") >= xmin) & (F.col("_array_minx") <= xmax) & (F.col("_array_maxy") >= ymin) & (F.col("_array_miny") <= ymax)
     )

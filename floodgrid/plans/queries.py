@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grids, scores
+from . import grids, hydrology, scores
 from .registry import QUERIES, SQL, Query
 
-_MODULES = (scores, grids)
+_MODULES = (scores, grids, hydrology)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +13,15 @@ from ..operators.score import metrics_of_sums
 from ..operators.stats import masked_stats
 
 
+def checkpoint_path(spark: SparkSession, name: str) -> str:
+    """A place for a query's state in the shared folder that the cluster names; a local session makes its own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}"
+
+
 def stream_masked_stats(stream: DataFrame, by: list[str], value: str = "value", mask: str | None = "mask") -> DataFrame:
     """Running moments per key; for update or complete mode. State: one row per key."""
     return masked_stats(stream, by, value, mask)
