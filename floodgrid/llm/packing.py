@@ -70,9 +70,9 @@ class SumOfSquares:
     """Online packing; ``put`` takes pieces no longer than a window.
 
     ``levels[h]`` is the number of open windows filled up to h, and ``at[h]`` lists them. A piece
-    of s ids goes to the h for which the sum of squares of the levels is least afterwards: that is
-    the largest levels[h] - levels[h + s], where levels 0 and ``size`` count as 0. Ties: the
-    fullest. No more than ``most`` windows stay open: beyond that, and at the end, pieces of the
+    of s ids goes to the h for which the sum of squares of the levels is least afterwards: the
+    sum falls by 2 (levels[h] - levels[h + s]) - 2, and by one less where h is 0 (a new window) or
+    h + s a full one, as those are no levels. Ties: the fullest. No more than ``most`` windows stay open: beyond that, and at the end, pieces of the
     emptiest windows are cut to fill up the fullest ones.
     """
 
@@ -96,10 +96,11 @@ class SumOfSquares:
         """Windows that are full now."""
         size, levels = self.size, self.levels
         done = []
-        gain = levels[: size - length + 1].copy()
-        gain[: size - length] -= levels[length:size]
+        gain = 2 * levels[: size - length + 1]
+        gain[: size - length] -= 2 * levels[length:size]
+        gain[-1] += 1
         gain[levels[: size - length + 1] == 0] = np.iinfo(np.int64).min
-        gain[0] = -levels[length] if length < size else 0
+        gain[0] = 1 - 2 * levels[length] if length < size else 0
         best = len(gain) - 1 - int(np.argmax(gain[::-1]))
         window = self._take(best) if best else []
         window.append((piece, length))
