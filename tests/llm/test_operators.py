@@ -1,0 +1,492 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from floodgrid.llm import importance, linededup, media, neardup, packing, pii, repetition, spm, text, tokencount, wrapper
+
+P = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def by_id(df, *cols):
+    return {r["doc_id"]: tuple(r[c] for c in cols) for r in df.collect()}
+
+
+# packing
+
+
+def test_pack_places_every_id_once(docs, corpus):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = packing.pack(docs, P.path("word_bpe_49k.json"), size=256, keep_ids=True, most_open=8).collect()
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        windows[r["sequence_id"]].append(r)
+    for doc, t in corpus:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        own = sorted(pieces[doc], key=lambda r: r["start"])
+        assert [x for r in own for x in r["ids"]] == ids
+        assert all(r["doc_tokens"] == len(ids) and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in own)
+    for w in windows.values():
+        at = 0
+        for r in sorted(w, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at == 256 or at & (at - 1) == 0
+
+
+def test_pack_edges(odd, none):
+    path = P.path("word_bpe_49k.json")
+    assert packing.pack(none, path).count() == 0
+    got = packing.pack(odd, path).collect()
+    ends = Counter(r["doc_id"] for r in got if r["start"] + r["length"] == r["doc_tokens"])
+    assert ends == {None: 2, 3: 2, 4: 1, 5: 1} and {r["doc_tokens"] for r in got if r["doc_id"] in (4, 5)} == {1}
+    with pytest.raises(ValueError):
+        packing.pack(odd, path, size=100)
+
+
+def test_sum_of_squares_picks_the_least_sum():
+    rng = random.Random(1)
+    state = packing.SumOfSquares(50, most=10_000)
+    for i in range(300):
+        n = rng.randint(1, 49)
+        before = state.levels.copy()
+        choices = {}
+        for h in range(0, 51 - n):
+            if h == 0 or before[h]:
+                after = before.copy()
+                after[h] -= h > 0
+                after[h + n] += h + n < 50
+                choices[h] = int((after[1:50] ** 2).sum())
+        state.put((i, 0, b""), n)
+        assert int((state.levels[1:50] ** 2).sum()) == min(choices.values())
+    total = sum(f * len(w) for f, w in state.at.items())
+    done = state.drain(1)
+    assert all(sum(n for _, n in w) == 50 for w in done) and state.open <= 1
+    assert sum(n for w in done for _, n in w) + sum(n for ws in state.at.values() for w in ws for _, n in w) == total
+
+
+# html
+
+
+def pages_of(n):
+    rng = random.Random(2)
+    out = []
+    for i in range(n):
+        body = "".join(f"<p>{' '.join(str(rng.random()) for _ in range(5))}" for _ in range(3))
+        out.append((i, f"http://h{i % 2}.example/{i}", f"<html><head><title>x</title></head><body><nav><a>menu</a></nav><div class=content><p>Welcome to our site</p>{body}</div><footer>f</footer>"))
+    return out
+
+
+def test_wrapper_drops_constant_blocks(spark):
+    pages = spark.createDataFrame(pages_of(24), "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()}
+    assert len(got) == 24 and not any("Welcome" in t or "menu" in t or t.endswith("f") for t in got.values())
+    alone = {r["page_id"]: r["text"] for r in wrapper.extract(pages.limit(3)).collect()}
+    assert all(t.startswith("Welcome to our site 0.") for t in alone.values())
+
+
+def test_wrapper_keeps_copies_and_handles_odd_pages(spark):
+    rows = [(i, "http://one.example/x", "<article><p>same &amp; text<br>line</article>") for i in range(9)]
+    rows += [(10, None, "<p>a<b>b</b>c"), (11, "http://e", None), (12, "nonsense", ""), (13, "http://t", "<article><h1>cut &amp;&am</h1><script>x<p>"), (14, "http://d", "<div>" * 3000 + "deep")]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[0] == "same & text line" and got[10] == "abc" and got[11] == got[12] == "" and got[13] == "cut &&am" and got[14] == "deep"
+    assert wrapper.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+
+
+def test_simple_tree_matching_is_largest():
+    def tree(spec):
+        root = wrapper.Shape("r")
+        number = iter(range(1, 100))
+        root.index = 0
+
+        def add(node, children):
+            for tag, below in children:
+                c = wrapper.Shape(tag)
+                c.index = next(number)
+                node.children.append(c)
+                add(c, below)
+
+        add(root, spec)
+        return root
+
+    a = tree([("a", []), ("b", [("c", []), ("d", [])]), ("e", [])])
+    b = tree([("b", [("d", [])]), ("a", []), ("e", [])])
+    assert sorted(x.tag for x, _ in wrapper.simple_tree_matching(a, b)) == ["b", "d", "e", "r"]
+
+
+# media
+
+
+def test_media_round_trip(spark, docs, corpus):
+    path = text.scratch(spark, "media-test")
+    media.store_texts(docs, path)
+    for options in ({}, {"rangeBytes": "3000"}):
+        rows = media.media_features(spark, path, **options).collect()
+        assert len(rows) == len(corpus)
+        got = {int(r["name"]): r for r in rows}
+        for i, t in corpus:
+            raw = (t or "").encode()
+            payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+            r = got[i]
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+            assert r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest() and r["feature"] == media.feature(payload)
+
+
+def test_media_edges(spark, odd, none):
+    path = text.scratch(spark, "media-odd")
+    media.store_texts(odd, path)
+    assert sorted(r["name"] for r in media.media_features(spark, path).collect()) == ["", "", "3", "3", "4", "5"]
+    empty = text.scratch(spark, "media-none")
+    media.store_texts(none, empty)
+    assert media.media_features(spark, empty).count() == 0
+
+
+def test_media_retries_one_member(monkeypatch, tmp_path):
+    reader = media.ArchiveReader({"path": str(tmp_path), "tries": "3"})
+
+    class Flaky:
+        def __init__(self):
+            self.reads = 0
+
+        def open_input_file(self, path):
+            return self
+
+        def seek(self, at):
+            pass
+
+        def read(self, n):
+            self.reads += 1
+            if self.reads < 3:
+                raise OSError("lost")
+            return b"x" * n
+
+    flaky = Flaky()
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    assert reader.payload(flaky, flaky, "f", 0, 4)[0] == b"xxxx"
+    flaky.reads = -9
+    with pytest.raises(media.MemberError):
+        reader.payload(flaky, flaky, "f", 0, 4)
+    with pytest.raises(ValueError):
+        media.from_png(media.to_png(b"a" * 576)[:-20] + b"0" * 20)
+
+
+# repetition
+
+
+def brute_repetition(t):
+    words = WORD.findall(t)
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    counts = Counter(triples)
+    covered = {i + k for i, g in enumerate(triples) if counts[g] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def test_repetition_counts(docs, corpus):
+    got = by_id(repetition.repetition(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for i, t in corpus:
+        want = brute_repetition(t or "")
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert got[i][:6] == (*want, failed)
+        assert not (failed and got[i][6])
+
+
+def test_repetition_edges(odd, none):
+    rows = repetition.repetition(odd).collect()
+    assert len(rows) == 6 and all(r["base_failed"] and not r["kept"] for r in rows)
+    assert repetition.repetition(none).count() == 0
+
+
+# classifier
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    rng = random.Random(3)
+    good = [f"g{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(1200):
+        kind = i % 4
+        words = [rng.choice(good) for _ in range(rng.randint(20, 80))]
+        if kind == 1:
+            words = [w + "!!" if rng.random() < 0.8 else w for w in words]
+        if kind == 2:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(["vile", "nasty", "rotten"]))
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            labels.append((i, int(kind != 1), int(kind == 2)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_importance_separates_held_out_documents(judged):
+    docs, labels = judged
+    rows = importance.importance_resample(docs, labels, carry=["doc_id"]).collect()
+    share = {k: np.mean([r["kept"] for r in rows if r["doc_id"] % 4 == k and r["doc_id"] % 3]) for k in range(4)}
+    assert share[0] > 0.9 and share[3] > 0.9 and share[1] < 0.05 and share[2] < 0.2
+
+
+def test_importance_edges(spark, judged, odd, none):
+    docs, labels = judged
+    assert all(r["kept"] for r in importance.importance_resample(odd, labels.where("false")).collect())
+    assert importance.importance_resample(none, labels).count() == 0
+    mixed = odd.select("doc_id", "text", "kept").unionByName(docs.withColumn("kept", F.lit("x")))
+    out = importance.importance_resample(mixed, labels)
+    assert out.count() == 1206 and dict(out.dtypes)["kept"] == "boolean"
+
+
+def test_kth_largest(spark):
+    values = [float(i % 977) for i in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 17, 2500, 4999, 5000):
+        assert importance.kth_largest(df, "v", k, exact_below=50) == ordered[k - 1]
+    assert importance.kth_largest(df, "v", 0) == float("inf")
+
+
+# near duplicates
+
+
+def brute_components(rows, n):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: (len(sets[i]), top(i), top(i) == i) for i in ids}
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_duplicates_match_brute_force(docs, corpus, n):
+    got = by_id(neardup.near_duplicates(docs, cfg=neardup.NearDupConfig(shingle=n)), "n_shingles", "component_id", "kept")
+    assert got == brute_components(corpus, n)
+
+
+def test_near_duplicates_of_a_family(spark):
+    """Copies of one base that are like it but not like each other, others a little too far, and chains."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(900, " ".join(base))]
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(3, 14)):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    chain = list(base)
+    for i in range(15):
+        chain[i * 9] = f"c{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cfg=neardup.NearDupConfig(shingle=2)), "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows, 2)
+
+
+def test_near_duplicates_edges(odd, none):
+    rows = neardup.near_duplicates(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True), (4, 4, True), (5, 5, True)]
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_sketch_agreement_is_the_similarity():
+    rng = np.random.default_rng(0)
+    keys = text.mix(rng.integers(0, 2**63, 1500).astype(np.uint64))
+    a, b = np.sort(keys[:1100]), np.sort(keys[400:])
+    both = neardup.sketch(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, 2000, 1)
+    assert not (both == neardup._NONE).any()
+    assert abs((both[0] == both[1]).mean() - 700 / 1500) < 0.05
+    alone = neardup.sketch(b, np.zeros(len(b), int), 1, 2000, 1)
+    assert (alone[0] == both[1]).all()
+    tiny = neardup.sketch(keys[:1], np.zeros(1, int), 1, 240, 1)
+    assert not (tiny == neardup._NONE).any()
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7)]
+    got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+# personal data
+
+
+def luhn(s):
+    d = [int(c) for c in s[::-1]]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+def test_pii_base_spans(docs, corpus):
+    rng = random.Random(9)
+    alphabet = "a1@.+- (9)0%_b2é\n"
+    extra = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    for t in [*(t or "" for _, t in corpus), *extra, "a@b@c.d.e@f.g", "1.2.3.4.5.6.7.8", "+1+23456789012", "4111111111111111 4111111111111112"]:
+        base = [(k, a, b) for k, a, b, _ in pii.find(t) if pii.KINDS.index(k) < 4]
+        assert base == brute_pii(t), t
+    got = by_id(pii.span_digests(docs), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    for i, t in corpus:
+        want = brute_pii(t or "")
+        said = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert got[i] == (*[sum(x[0] == k for x in want) for k in pii.KINDS[:4]], said)
+
+
+def test_pii_validators_and_context():
+    kinds = lambda t: [k for k, *_ in pii.find(t)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("DE88 3704 0044 0532 0130 00") == []
+    assert kinds("my SSN is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("token = 0123456789abcdef0123456789abcdef") == ["secret"] and kinds("x 0123456789abcdef0123456789abcdef") == []
+    assert pii.redacted("to a@b.co now", pii.find("to a@b.co now")) == "to <email> now"
+
+
+def test_pii_edges(odd, none):
+    assert pii.redact_pii(odd).columns == odd.columns and pii.find_pii(odd).count() == 6
+    assert [r["text"] for r in pii.redact_pii(odd).where("doc_id = 4").collect()] == [None]
+    assert pii.find_pii(none).count() == 0
+    long = "9" * 60_000 + "@" + "a" * 60_000
+    assert pii.find(long) == []
+
+
+# line dedup
+
+
+def brute_lines(rows, min_docs):
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(LOWER)
+    counts = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    out = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if counts[key(x)] < min_docs]
+        out[i] = (None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+@pytest.mark.parametrize("shard,common", [(20_000, 2_000), (16, 10)])
+def test_line_dedup_matches_brute_force(docs, corpus, shard, common):
+    got = by_id(linededup.line_dedup(docs, keys_per_shard=shard, common=common), "text", "n_lines", "n_dropped")
+    assert got == brute_lines(corpus, 10)
+
+
+def test_line_dedup_edges(odd, none):
+    rows = linededup.line_dedup(odd, min_docs=3).collect()
+    assert sum(r["n_dropped"] for r in rows) == 3 and all(r["text"] == "" for r in rows if r["n_dropped"])
+    assert rows[0]["kept"] in ("k", "z", None) and linededup.line_dedup(none).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    keys = text.mix(np.arange(5000, dtype=np.uint64))
+    levels = linededup.build_mph(keys)
+    assert sorted(linededup.probe_mph(levels, keys).tolist()) == list(range(5000))
+    strangers = linededup.probe_mph(levels, text.mix(np.arange(10_000, 12_000, dtype=np.uint64)))
+    assert strangers.max() < 5000
+    with pytest.raises(ValueError):
+        linededup.build_mph(np.array([1, 1], np.uint64))
+
+
+# token counts and sentencepiece
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+
+
+def test_token_counts_and_cache(spark, docs, corpus, reference):
+    cache = text.scratch(spark, "cache-test")
+    model = P.path("piece_bpe_32k.model")
+    got = by_id(tokencount.token_counts(docs, model, cache), "n_bytes", "n_tokens", "over_limit")
+    for i, t in corpus:
+        n = len(reference.encode(t or ""))
+        assert got[i] == (len((t or "").encode()), n, n > 4096)
+    distinct = len({t or "" for _, t in corpus})
+    assert spark.read.parquet(cache).count() == distinct
+    more = docs.limit(20).unionByName(spark.createDataFrame([(999, "brand new")], "doc_id long, text string"))
+    assert tokencount.token_counts(more, model, cache).count() == 21
+    assert spark.read.parquet(cache).count() == distinct + 1
+
+
+def test_token_counts_edges(spark, odd, none):
+    model = P.path("piece_bpe_32k.model")
+    rows = tokencount.token_counts(odd, model, text.scratch(spark, "cache-odd")).collect()
+    assert len(rows) == 6 and all(r["n_tokens"] == 0 for r in rows if r["doc_id"] in (4, 5)) and "kept" in rows[0]
+    assert tokencount.token_counts(none, model, text.scratch(spark, "cache-none")).count() == 0
+
+
+def test_sentencepiece_round_trip(docs, corpus, reference):
+    model = P.path("piece_bpe_32k.model")
+    rows = {r["doc_id"]: r for r in spm.decode(spm.encode(docs, model), model).collect()}
+    for i, t in corpus:
+        ids = reference.encode(t or "")
+        assert rows[i]["ids"] == ids and rows[i]["parity"] and rows[i]["decoded"] == reference.decode(ids)
+    out = spm.digests(spm.encode(docs, model)).where("doc_id = 0").first()
+    assert out["n_tokens"] == len(reference.encode(corpus[0][1])) and out["ids_crc32"] == zlib.crc32(np.array(reference.encode(corpus[0][1]), "<u4").tobytes())
+
+
+def test_sentencepiece_unigram_is_rebuilt():
+    def field(n, kind, data):
+        return bytes([n << 3 | kind]) + data
+
+    def piece(p, score, kind=1):
+        import struct
+
+        raw = p.encode()
+        body = field(1, 2, bytes([len(raw)]) + raw) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind]))
+        return field(1, 2, bytes([len(body)]) + body)
+
+    data = piece("<unk>", 0.0, 2) + piece("▁a", -1.0) + piece("b", -2.0) + piece("▁ab", -2.5) + field(2, 2, bytes([2]) + field(3, 0, b"\x01"))
+    model = spm.parse_model(data)
+    assert not model.bpe and model.unknown == 0 and spm.build(model).encode("ab a", add_special_tokens=False).ids == [3, 1]
+
+
+def test_sentencepiece_edges(odd, none):
+    model = P.path("piece_bpe_32k.model")
+    rows = spm.decode(spm.encode(odd, model), model).collect()
+    assert len(rows) == 6 and all(r["ids"] == [] and r["decoded"] == "" for r in rows if not r["text"])
+    assert spm.encode(none, model).count() == 0
+
+
+# text kernels
+
+
+def test_words_and_lines_across_batches():
+    column = pa.array(["a  b\nc", None, "", "\n\n", "x" * 10, "ünï cödé"])
+    t = text.Text(column)
+    assert t.n_words.tolist() == [3, 0, 0, 0, 1, 2]
+    _, _, doc = t.lines()
+    assert Counter(doc.tolist()) == {0: 2, 1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
+    alone = text.Text(pa.array(["zz ünï"]))
+    assert alone.words()[1] == t.words()[4]
+    assert list(text.slices(column, most=8)) == [(0, 4), (4, 5), (5, 6)] and list(text.slices(pa.array([], pa.string()))) == []
