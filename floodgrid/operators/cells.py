@@ -20,8 +20,8 @@ def mask_fill(df: DataFrame, col: str, fill: float | None = None, limit: float =
     c = F.col(col).cast("double")
     good = F.abs(c) < F.lit(limit)
     if fill is not None:
-        far = lambda v: F.abs(c - v) > 1e-8 + 1e-5 * abs(v)
-        good &= far(F.lit(float(fill))) & far(F.lit(-float(fill)))
+        near = 1e-8 + 1e-5 * abs(fill)
+        good &= (F.abs(c - F.lit(float(fill))) > near) & (F.abs(c + F.lit(float(fill))) > near)
     return df.withColumn(col, F.when(~F.isnan(c) & good, c))
 
 

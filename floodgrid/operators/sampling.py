@@ -122,18 +122,19 @@ def weighted_sample(df: DataFrame, weight: str, ratio: float = 1.0, replicas: in
 
 
 def enlarged_shuffle(df: DataFrame, ratio: int = 1, replicas: int = 1, epoch: int = 0, row_id: str = "row_id") -> DataFrame:
-    """Every row ``ratio`` times (and as many more as replicas need) in hash order: ``position``, ``replica``.
+    """Every row ``ratio`` times (and a few more, so that replicas get equally many) in hash order: ``position``, ``replica``.
 
     Positions come from range-partitioned sorting and partition offsets, not from one window.
     """
     n = df.count()
     total = -(-(n * ratio) // replicas) * replicas if n else 0
-    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-total // max(n, 1)) - 1)))))
     key = hash_order(f"shuffle:{epoch}", "copy", row_id)
+    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))))
+    # fewer than `replicas` more, the first ones of another copy
+    copies = copies.unionByName(df.withColumn("copy", F.lit(ratio)).orderBy(key, row_id).limit(total - n * ratio))
     ranked = copies.withColumn("_k", key).withColumn("_p", F.conv(F.substring("_k", 1, 2), 16, 10).cast("int"))
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_off")  # at most 256 rows
     out = ranked.join(F.broadcast(offsets), "_p")
     out = out.withColumn("position", F.row_number().over(Window.partitionBy("_p").orderBy("_k", "copy", row_id)) - 1 + F.col("_off"))
-    out = out.where(F.col("position") < total).withColumn("replica", F.col("position") % replicas)
-    return out.drop("_k", "_p", "_off")
+    return out.withColumn("replica", F.col("position") % replicas).drop("_k", "_p", "_off")
