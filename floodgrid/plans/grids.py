@@ -422,12 +422,16 @@ def j1_join_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(J.join_predictions(p, idx.select("row_id", *KEYS, "price"), KEYS)[0])
 
 
-@query("SELECT event_id, max(k) AS nearest FROM (SELECT a.event_id, b.k FROM events a ASOF JOIN (SELECT user_id, ts, event_id AS k FROM events WHERE event_id % 3 = 0) b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.event_id % 3 = 0) GROUP BY event_id")
+@query("""WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), q AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'view'),
+b AS (SELECT q.event_id, a.event_id AS k, q.ts - a.ts AS d FROM q ASOF JOIN a ON q.user_id = a.user_id AND q.ts >= a.ts), f AS (SELECT q.event_id, a.event_id AS k, a.ts - q.ts AS d FROM q ASOF JOIN a ON q.user_id = a.user_id AND q.ts <= a.ts)
+SELECT coalesce(b.event_id, f.event_id) AS event_id, CASE WHEN f.k IS NULL OR b.d <= f.d THEN b.k ELSE f.k END AS nearest FROM b FULL JOIN f ON b.event_id = f.event_id""")
 def j4_nearest_time(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third event asks its own series: the nearest is itself."""
-    e = table(spark, sf, "events").where("event_id % 3 = 0").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    near = J.nearest_time(e.withColumnRenamed("event_id", "value"), e, ["user_id"])
-    return e.join(near, ["user_id", "ts"]).select("event_id", F.col("value").alias("nearest"))
+    """For each other event, the user's view nearest in time."""
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("value"))
+    asks = e.where("event_type <> 'view'").select("user_id", "ts", "event_id")
+    near = J.nearest_time(views, asks, ["user_id"])
+    return asks.join(near, ["user_id", "ts"]).where("value IS NOT NULL").select("event_id", F.col("value").alias("nearest"))
 
 
 _NODES = "n AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x, (s_suppkey * 53 % 97)::DOUBLE AS y, s_acctbal AS area FROM supplier), p AS (SELECT c_custkey AS point_id, (c_custkey * 17 % 103) + 0.5::DOUBLE AS x, (c_custkey * 29 % 89) + 0.25::DOUBLE AS y FROM customer)"

@@ -313,10 +313,10 @@ def u4_check_unique(spark: SparkSession, sf: str) -> DataFrame:
     return U.check_unique(patch_index(spark, sf), ["scenario", "var", "t", "patch_row", "patch_col"])
 
 
-@query("SELECT page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+@query("SELECT page_id FROM pages WHERE url NOT LIKE 'https:%'")
 def u5_missing_files(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
-    return U.missing_files(p, p.where("page_id % 2 = 0")).select("page_id")
+    return U.missing_files(p, p.where("path LIKE 'https:%'")).select("page_id")
 
 
 @query("WITH ln AS (SELECT event_id, 'iter: ' || event_id || ' loss: ' || value AS value, value AS v FROM events WHERE user_id % 3 = 0 UNION ALL SELECT event_id, 'note iter: 1 loss: 2', NULL FROM events WHERE user_id % 3 <> 0) SELECT event_id, event_id + 1 AS step, round(v, 6) AS metric FROM ln WHERE starts_with(value, 'iter')")

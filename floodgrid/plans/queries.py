@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grids, hydrology, scores
+from . import grids, hydrology, more, scores
 from .registry import QUERIES, SQL, Query
 
-_MODULES = (scores, grids, hydrology)
+_MODULES = (scores, grids, hydrology, more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
