@@ -106,5 +106,61 @@ FROM kept GROUP BY doc_id
 """
 
 
+_WORDS = r"""
+w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS ws FROM documents)
+"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All pairs that share a shingle, counted; then what each document reaches by links.
+OP6_SQL = f"""
+WITH RECURSIVE {_WORDS.format(text=_LOWER)},
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS s FROM w
+  )
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+def _covered(k: int) -> str:
+    """CTEs: for each word, whether it lies in a k-word window that its document has twice."""
+    return f"""
+g{k} AS (SELECT doc_id, i, n, length(word) AS size, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS gram FROM t),
+f{k} AS (SELECT doc_id, i, size, i + {k} <= n AND count(*) FILTER (WHERE i + {k} <= n) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM g{k}),
+c{k} AS (SELECT doc_id, size, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS inside FROM f{k}),
+s{k} AS (SELECT doc_id, sum(inside) AS words, sum(inside * size) AS chars FROM c{k} GROUP BY doc_id)"""
+
+
+OP4_SQL = rf"""
+WITH {_WORDS.format(text="coalesce(text, '')")},
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+{", ".join(_covered(k) for k in (3, 5, 7, 10))},
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM w),
+d AS (
+  SELECT doc_id, length(regexp_replace(line, '[ 	-]', '', 'g')) AS size, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS later
+  FROM l WHERE regexp_matches(line, '[^ 	-]')
+),
+dl AS (SELECT doc_id, count(*) FILTER (WHERE later) AS lines, coalesce(sum(size) FILTER (WHERE later), 0) AS chars FROM d GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(s3.words, 0)::BIGINT AS n_repeat_words, coalesce(dl.chars, 0)::BIGINT AS dup_line_chars, coalesce(s5.chars, 0)::BIGINT AS dup_5gram_chars,
+         coalesce(s7.chars, 0)::BIGINT AS dup_7gram_chars, coalesce(s10.chars, 0)::BIGINT AS dup_10gram_chars
+  FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN s3 USING (doc_id) LEFT JOIN s5 USING (doc_id) LEFT JOIN s7 USING (doc_id) LEFT JOIN s10 USING (doc_id)
+),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= 0.3::DOUBLE * word_chars AND dup_5gram_chars <= 0.3::DOUBLE * word_chars
+          AND dup_7gram_chars <= 0.27::DOUBLE * word_chars AND dup_10gram_chars <= 0.24::DOUBLE * word_chars AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
