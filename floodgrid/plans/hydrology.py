@@ -82,7 +82,7 @@ def w9_zero_downcrossing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.zero_downcrossing(flows(spark, sf).withColumn("v", F.col("flow") - 50), ["reach_id"], value="v"))
 
 
-@query()
+@query("WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) SELECT a.event_id, round(sum(b.value * CASE WHEN b.n = 0 THEN pow(0.9::DOUBLE, a.n) ELSE (1 - 0.9::DOUBLE) * pow(0.9::DOUBLE, a.n - b.n) END), 6) AS smoothed FROM r a JOIN r b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY a.event_id")
 def w11_smooth(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", F.col("user_id").alias("series"), F.col("value").cast("double").alias("value"))
     return rounded(T.smooth(rows, ["series"], 0.9, "event_id").select("event_id", "smoothed"))
