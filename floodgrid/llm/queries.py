@@ -15,7 +15,7 @@ from .neardup import NearDupConfig, near_duplicates
 from .packing import pack
 from .pii import span_digests
 from .repetition import repetition
-from .spm import decode, digests, encode
+from .spm import decode, encode
 from .text import scratch
 from .tokencount import token_counts
 from .wrapper import extract
@@ -74,10 +74,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids again, and tells whether both libraries and texts agree."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _documents(spark, sf_dir)
-    rows = decode(encode(docs, model), model)
+    rows = decode(encode(docs, model), model, digest=True)
     rows = rows.withColumn("round_trip", F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" ")))
-    rows = rows.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("text", "decoded")
-    return digests(rows)
+    return rows.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("text", "decoded")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -144,12 +143,15 @@ t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS
 {", ".join(_covered(k) for k in (3, 5, 7, 10))},
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM w),
 d AS (
-  SELECT doc_id, length(regexp_replace(line, '[ 	-]', '', 'g')) AS size, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS later
-  FROM l WHERE regexp_matches(line, '[^ 	-]')
+  SELECT doc_id, length(regexp_replace(line, '[ 	-
+]', '', 'g')) AS size, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS later
+  FROM l WHERE regexp_matches(line, '[^ 	-
+]')
 ),
 dl AS (SELECT doc_id, count(*) FILTER (WHERE later) AS lines, coalesce(sum(size) FILTER (WHERE later), 0) AS chars FROM d GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.lines, 0)::BIGINT AS n_dup_lines,
          coalesce(s3.words, 0)::BIGINT AS n_repeat_words, coalesce(dl.chars, 0)::BIGINT AS dup_line_chars, coalesce(s5.chars, 0)::BIGINT AS dup_5gram_chars,
          coalesce(s7.chars, 0)::BIGINT AS dup_7gram_chars, coalesce(s10.chars, 0)::BIGINT AS dup_10gram_chars

@@ -19,7 +19,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -96,6 +95,11 @@ def parse_model(data: bytes) -> PieceModel:
     return model
 
 
+def read_model(path: str) -> PieceModel:
+    with open(path, "rb") as f:
+        return parse_model(f.read())
+
+
 def merges(model: PieceModel) -> list[tuple[str, str]]:
     """BPE merges in order of the merged piece's score; splits of one piece by their parts' ids."""
     ids = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER_DEFINED)}
@@ -136,31 +140,42 @@ def build(model: PieceModel):
     return out
 
 
+class Decoder:
+    """Text of ids: the pieces' bytes in a row."""
+
+    def __init__(self, model: PieceModel):
+        self.table = [self._bytes_of(p, kind) for p, _, kind in model.pieces]
+        self.prefix = model.add_prefix
+
+    @staticmethod
+    def _bytes_of(piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == CONTROL:
+            return b""
+        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """A byte that is not UTF-8 becomes U+FFFD."""
+        out = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return out[1:] if self.prefix and out[:1] == " " else out
+
+
 class Codec:
-    """Encodes and decodes batches; remembers the parts it has seen, up to ``most``."""
+    """Encodes batches; remembers the parts it has seen, up to ``most``."""
 
-    def __init__(self, path: str, threads: int = 2, most: int = 400_000):
+    def __init__(self, path: str, threads: int = 2, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from sentencepiece import SentencePieceProcessor
 
-        with open(path, "rb") as f:
-            self.model = parse_model(f.read())
+        self.model = read_model(path)
         self.threads, self.most = threads, most
         self.tokenizer = build(self.model)
         self.reference = SentencePieceProcessor(model_file=path)
         self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.by_part = self.model.by_part and any(p == MARK and kind == NORMAL for p, _, kind in self.model.pieces)
-        self.table = [self._bytes_of(p, kind) for p, _, kind in self.model.pieces]
-
-    @staticmethod
-    def _bytes_of(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        if kind == CONTROL:
-            return b""
-        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text, each without the one mark before it."""
@@ -196,17 +211,17 @@ class Codec:
         same = [not self.differ or self.differ.isdisjoint(c) for c in cut]
         return [b"".join(map(get, c)) for c in cut], same
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; a byte that is not UTF-8 becomes U+FFFD."""
-        out = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return out[1:] if self.model.add_prefix and out[:1] == " " else out
-
 
 @lru_cache(maxsize=4)
 def codec(path: str, threads: int) -> Codec:
     return Codec(path, threads)
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_model(path))
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", threads: int = 2) -> DataFrame:
     """Rows of ``docs`` with ``ids array<int>`` and ``parity boolean``; no shuffle.
 
@@ -233,36 +248,28 @@ def encode(docs: DataFrame, model: str, text: str = "text", threads: int = 2) ->
     return docs.mapInArrow(run, whole)
 
 
-def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded", threads: int = 2) -> DataFrame:
-    """Rows with the text of their ``ids`` in column ``into``; null ids give a null text."""
+def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded", digest: bool = False) -> DataFrame:
+    """Rows with the text of their ``ids`` in column ``into``; null ids give a null text.
 
-    rows = rows.drop(*[c for c in (into,) if c != ids])
+    With ``digest``, ``n_tokens`` and ``ids_crc32`` (little-endian unsigned 32-bit ids; 0 for null)
+    take the place of the ids.
+    """
+    added = {into: "string"} | ({"n_tokens": "long", "ids_crc32": "long"} if digest else {})
+    rows = rows.drop(*[c for c in added if c != ids])
     of_ids = rows.columns.index(ids)
+    carry = [i for i in range(len(rows.columns)) if not (digest and i == of_ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model, threads)
+        d = decoder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in part.column(of_ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
-
-    whole = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{into}` string"])
-    return rows.mapInArrow(run, whole)
-
-
-def digests(rows: DataFrame) -> DataFrame:
-    """``n_tokens`` and ``ids_crc32`` (little-endian unsigned 32-bit ids) of a column ``ids``; null: none."""
-    of_ids = rows.columns.index("ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(of_ids)
-            sums = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else 0 for x in column]
-            rest = [c for i, c in enumerate(batch.columns) if i != of_ids]
-            names = [c for c in batch.schema.names if c != "ids"]
-            sizes = pc.list_value_length(column).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*rest, sizes, pa.array(sums, pa.int64())], names=[*names, "n_tokens", "ids_crc32"])
-
-    whole = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"]
-    return rows.mapInArrow(run, ", ".join([*whole, "n_tokens long, ids_crc32 long"]))
+                values = [x.values.to_numpy(zero_copy_only=False).astype("<u4") if x.is_valid else None for x in part.column(of_ids)]
+                new = [pa.array([None if v is None else d.decode(v) for v in values], pa.string())]
+                if digest:
+                    new += [pa.array([0 if v is None else f(v) for v in values], pa.int64()) for f in (len, lambda v: zlib.crc32(v.tobytes()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carry), *new], names=[*(part.schema.names[i] for i in carry), *added])
+
+    fields = rows.schema
+    whole = [f"`{fields[i].name}` {fields[i].dataType.simpleString()}" for i in carry]
+    return rows.mapInArrow(run, ", ".join([*whole, *(f"`{k}` {v}" for k, v in added.items())]))
