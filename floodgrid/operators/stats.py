@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import BANDS, EPS, asinh_scale, depth_band, finite, log1p_nonneg, ratio
 
 
+#: Groups whose extremes are broadcast.
+MOST_GROUPS = 10_000
+
+
 def _masked(value: str, mask: str | None) -> Column:
     v = finite(value)
     return v if mask is None else F.when(F.col(mask) == 1, v)
@@ -66,13 +70,17 @@ def histogram_percentile(df: DataFrame, col: str, qs: list[float], by: list[str]
     """Percentiles of a fixed-bin histogram over [min, max], one row per group and q.
 
     Two passes: extremes, then counts by bin; at most ``bins`` rows per group are shuffled. The
-    value is that of the first bin whose running count reaches q / 100 * (n - 1); the error is at
+    extremes of up to MOST_GROUPS groups go through the driver to all tasks, those of more groups
+    are joined. The value is that of the first bin whose running count reaches q / 100 * (n - 1); the error is at
     most one bin's width.
     """
     by = by or []
     values = df.select(*by, finite(col).alias("v")).where("v IS NOT NULL")
     ends = values.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    joined = values.join(ends, by) if by else values.crossJoin(F.broadcast(ends))  # one row
+    few = ends.take(MOST_GROUPS + 1)
+    if len(few) <= MOST_GROUPS:
+        ends = F.broadcast(df.sparkSession.createDataFrame(few, ends.schema))
+    joined = values.join(ends, by) if by else values.crossJoin(ends)
     index = F.floor((F.col("v") - F.col("lo")) * (bins - 1) / (F.col("hi") - F.col("lo") + EPS)).cast("int")
     counts = joined.groupBy(*by, index.alias("bin")).agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     group = Window.partitionBy(*by)
