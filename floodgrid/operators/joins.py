@@ -79,36 +79,37 @@ def _cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("bigint")
 
 
-def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, point_id: str, place_id: str, x: str = "x", y: str = "y", rings: int = 12) -> DataFrame:
+def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, point_id: str, place_id: str, x: str = "x", y: str = "y") -> DataFrame:
     """The k nearest places of each point with ``distance`` and ``rank``; ties by place_id.
 
-    Both sides are dealt to square buckets of ``size``. A point looks at the buckets around its own
-    and is done when its k-th place is no further than the ring it has searched; the few that are
-    not look further, twice as far each time.
+    Both sides are dealt to square buckets of ``size``, and a point looks at the nine around it. It
+    is done when its k-th place is no further than a bucket's side. The points that are not go on
+    with buckets four times as wide, until one bucket spans everything. Every join is on buckets.
     """
-    near = places.select(F.col(place_id).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"), _cell(x, size).alias("_bx"), _cell(y, size).alias("_by"))
-    left, out, ring = points.select(point_id, x, y).distinct(), None, 1
+    near = places.select(F.col(place_id).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"))
+    left, out = points.select(point_id, x, y).distinct(), None
+    ends = [f(c) for c in (x, y) for f in (F.min, F.max)]
+    both = points.select(x, y).union(places.select(x, y)).agg(*ends).first()
     total = places.count()
+    if not total:
+        return points.select(point_id).limit(0).crossJoin(places.select(place_id, F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0))
+    extent = max(both[1] - both[0], both[3] - both[2])
+    steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     distance = F.sqrt(F.pow(F.col(x) - F.col("_px"), 2) + F.pow(F.col(y) - F.col("_py"), 2))
     while True:
-        last = ring > (1 << rings)
-        if last:
-            found = left.join(near, F.lit(True))  # points far from everything; every place is compared
-        else:
-            steps = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
-            asked = left.withColumn("_dx", steps).withColumn("_dy", steps)
-            asked = asked.withColumns({"_bx": _cell(x, size) + F.col("_dx"), "_by": _cell(y, size) + F.col("_dy")})
-            found = asked.join(near, ["_bx", "_by"])
+        last = size > extent
+        asked = left.withColumn("_dx", steps).withColumn("_dy", steps).withColumns({"_bx": _cell(x, size) + F.col("_dx"), "_by": _cell(y, size) + F.col("_dy")})
+        found = asked.join(near.withColumns({"_bx": _cell("_px", size), "_by": _cell("_py", size)}), ["_bx", "_by"])
         ranked = found.withColumn("distance", distance).withColumn("rank", F.row_number().over(Window.partitionBy(point_id).orderBy("distance", "_id")))
         top = ranked.where(F.col("rank") <= k).select(point_id, F.col("_id").alias(place_id), "distance", "rank")
-        ends = top.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
-        done = ends.where((F.col("_n") >= min(k, total)) & (F.lit(last) | (F.col("_far") <= ring * size))).select(point_id)
+        reach = top.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+        done = reach.where((F.col("_n") >= min(k, total)) & (F.lit(last) | (F.col("_far") <= size))).select(point_id)
         part = top.join(done, point_id)
         out = part if out is None else out.unionByName(part)
         left = left.join(done, point_id, "left_anti")
-        if last or not total or left.isEmpty():
+        if last or left.isEmpty():
             return out
-        ring *= 2 if ring < 4 else 1 << rings
+        size *= 4
 
 
 def nearest_reach(points: DataFrame, reaches: DataFrame, k: int = 20, size: float = 1.0, point_id: str = "point_id", reach_id: str = "reach_id", area: str = "uparea") -> DataFrame:
