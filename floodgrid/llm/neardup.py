@@ -6,11 +6,19 @@ random bin with a value in [i, i + 1); rounds t to 2t - 1 throw all of them into
 that every bin is filled. Each bin keeps its least value; two sets agree in a bin with a
 probability of their Jaccard similarity, with the concentration of independent samples.
 
-Candidates are found in two steps that never list all pairs of a bucket of copies. First every
-class is compared with the least one of each of its buckets. The components of the links found so
-far are then known, and only pairs of *different* components that share a bucket are left: these
-are compared all. So a bucket of m copies costs m comparisons, and no link between components is
-lost that any bucket proposes.
+No step lists all pairs of a bucket of copies, yet no pair that shares a bucket and is similar
+enough is lost, unless its ends are joined by other links already:
+
+* Every member of a bucket is compared with the bucket's pivot p, the member that shares most
+  buckets (the original of a family of copies, as a rule). That gives the differences D(x) of its
+  set from p's, which shows it as linked, near (similarity of 2s - 1 or more) or far.
+* Two linked members are joined by p. A linked and a far one can't be similar, since Jaccard
+  distance obeys the triangle inequality.
+* A near member x and a linked or near one y, with different components: X and Y differ by
+  |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so to be similar they must share a least number c > 0 of
+  *differences*. By the prefix principle one of the first |D| - c + 1 of them, in an order that
+  puts what p lacks first, is common to both; a join on those few finds all such pairs.
+* A far member (a false hit of the bands) is compared with the unlinked members of its bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import Text, mix, ngrams, slices, written
@@ -143,6 +151,19 @@ def _sets(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     return docs.mapInArrow(run, "id long, items binary")
 
 
+def _with_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b")
+
+
+def _sorted_pair(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, np.ndarray, int]:
+    p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+    both = np.concatenate([p, q])
+    both.sort()
+    return p, q, int((both[1:] == both[:-1]).sum())
+
+
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b) of (a, b, items_a, items_b) whose sets are similar enough."""
 
@@ -150,24 +171,52 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                p, q, common = _sorted_pair(x, y)
+                keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets are linked; ``docs``: (id, text)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = written(_sets(texts.select("id", "text"), cfg), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    return _linked(pairs.join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b"), cfg.percent)
+def prefix_length(d: int, n_pivot: int, n: int, against_any: bool, percent: int) -> int:
+    """How many of a member's d differences must be looked at.
+
+    Similar enough means |X delta Y| * (100 + s) <= (|X| + |Y|) * (100 - s). Against an unlinked
+    y, x shares more than (|D(x)| + k (|P| - |X|)) / 2 differences with it, with
+    k = (100 - s) / (100 + s); an unlinked x against any y at least (|D(x)| + (1 - k) - k (|X| + |P|)) / 2.
+    """
+    den, k = 100 + percent, 100 - percent
+    twice = den * d + (den - k - k * (n_pivot + n) if against_any else k * (n_pivot - n))
+    return d - max(1, -(-twice // (2 * den))) + 1
+
+
+def _compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """(p, x, d, linked, near, first, few): members x against pivots p; ``first`` holds the differences
+    to look at, of which ``few`` do against unlinked members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, linked, near, first, few = [], [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q, common = _sorted_pair(x, y)
+                either = len(p) + len(q) - common
+                d.append(either - common)
+                linked.append(100 * common >= percent * either)
+                near.append(100 * common >= (2 * percent - 100) * either)
+                if near[-1]:
+                    new, gone = np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)
+                    few.append(prefix_length(d[-1], len(p), len(q), False, percent))
+                    most = few[-1] if linked[-1] else prefix_length(d[-1], len(p), len(q), True, percent)
+                    first.append(np.concatenate([new, gone])[:most].view(np.int64))
+                else:
+                    few.append(0)
+                    first.append(np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(d, pa.int64()), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), pa.array(first, pa.list_(pa.int64())), pa.array(few, pa.int64())],
+                names=["p", "x", "d", "linked", "near", "first", "few"],
+            )
+
+    return pairs.mapInArrow(run, "p long, x long, d long, linked boolean, near boolean, first array<long>, few long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -197,6 +246,27 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _left_over(shared: DataFrame, star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the links with pivots leave open; see the module's text."""
+    size = shared.groupBy("rep").agg(F.max("n").alias("n"))
+    info = size.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("c"))
+    known = written(star.join(info, "x"), "known")
+
+    def side(df: DataFrame, end: str, *more: str) -> DataFrame:
+        return df.select(*more, *[F.col(k).alias(f"{k}{end}") for k in ("x", "n", "c", "d")])
+
+    open_ = (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    open_ &= F.abs(F.col("d1") - F.col("d2")) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
+    first = known.where("near").select("*", F.posexplode("first").alias("at", "e"))
+    free, few = first.where("not linked"), first.where("not linked and at < few")
+    tied = side(first.where("linked"), "2", "p", "e")
+    near = side(free, "1", "p", "e").join(tied, ["p", "e"]).where(open_).select("x1", "x2")
+    near = near.union(side(few, "1", "p", "e").join(side(few, "2", "p", "e"), ["p", "e"]).where(open_ & (F.col("x1") < F.col("x2"))).select("x1", "x2"))
+    bands = shared.select("band", "p", F.col("rep").alias("x")).join(known.where("not linked").drop("first", "few"), ["p", "x"])
+    far = side(bands.where("not near"), "1", "band").join(side(bands, "2", "band"), "band").where(open_).select("x1", "x2")
+    return near.union(far).select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
     r"""(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -211,26 +281,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = sig.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     classes = written(classes, "classes")
     members = sig.where("n > 0").select(F.col("id").alias("rep"), "d1", "d2", "bands").join(classes, ["d1", "d2", "rep"])
-    members = written(members.select("rep", "n", F.explode("bands").alias("band")).dropDuplicates(["rep", "band"]), "bands")
-    buckets = members.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * cfg.percent
-    shared = written(members.join(buckets, "band").select("band", "rep", "n", "first"), "shared")
-    star = shared.where(F.col("rep") != F.col("first.rep")).where(close(F.col("n"), F.col("first.n")))
-    star = star.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(verify(star, rows, cfg), "links")
+    members = members.select("rep", "n", "bands").dropDuplicates(["rep"]).select("rep", "n", F.explode("bands").alias("band"))
+    shared = members.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where("size > 1")
+    shared = written(shared, "shared")
+    popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"))
+    pivots = shared.join(popular, "rep").groupBy("band").agg(F.max(F.struct("popular", (-F.col("rep")).alias("rep"))).alias("top"))
+    shared = written(shared.join(pivots.select("band", (-F.col("top.rep")).alias("p")), "band").select("band", "rep", "n", "p").where("rep <> p"), "shared")
+    ids = shared.select(F.explode(F.array("rep", "p")).alias("id")).distinct()
+    sets = written(_sets(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"), cfg), "sets")
+    star = shared.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
+    star = written(_compared(_with_items(star, sets), cfg.percent), "star")
+    links = star.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     label = components(links)
-    # what is left: buckets that hold several components
-    labelled = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    labelled = written(labelled, "labelled")
-    sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = labelled.join(main, "band")
-    rest = mixed.where("component <> main").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    pairs = rest.join(mixed.select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy")), "band")
-    pairs = pairs.where("cx <> cy").where(close(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(_left_over(shared, star, label, cfg.percent), "pairs")
     if not pairs.isEmpty():
-        label = components(links.union(written(verify(pairs, rows, cfg), "links")))
+        label = components(links.union(written(_linked(_with_items(pairs, sets), cfg.percent), "links")))
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     own = sig.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
