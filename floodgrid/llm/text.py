@@ -36,7 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
-        if not context.master.startswith("local["):
+        if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = context.getCheckpointDir()
