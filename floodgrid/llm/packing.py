@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 import zlib
@@ -22,6 +21,12 @@ def _class_of(kind: str, last: int = 0x24F) -> str:
     return "".join(re.escape(chr(i)) for i in range(last + 1) if unicodedata.category(chr(i)).startswith(kind))
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level tokenizers use for each byte which isn't a visible Latin-1 character."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
 class WordEncoder:
     """Ids that the tokenizers library gives a text, asked for once per distinct word.
 
@@ -31,32 +36,34 @@ class WordEncoder:
     control character or a special token's ``<|`` goes to the library whole.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
+    def __init__(self, path: str, most_words: int = 800_000):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        # for words that are already cut and in lower case: the same model without those steps
-        self.of_words = Tokenizer(self.tokenizer.model)
-        self.of_words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        # kept here: each access makes a new handle
+        self.model = self.tokenizer.model
         self.most_words = most_words
         self.known: dict[str, bytes] = {}
+        self.signs = _byte_signs()
         letters, digits = _class_of("L"), _class_of("N")
-        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^ \t\n\v\f\r{letters}{digits}]+").findall
-        self.odd = re.compile(r"[^\t-\r -~\xa1-ɏ]|<\|").search
+        self.split = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^ \t\n\v\f\r{letters}{digits}]+").findall
+        self.odd = re.compile(r"[^\t-\r -~\xa1-\u024f]").search
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word in lower case, by the model alone: its bytes as signs, then merges."""
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [None if self.odd(t) else self.split(t.lower()) for t in texts]
+        words = [None if self.odd(t) or "<|" in t else self.split(t.lower()) for t in texts]
         if len(self.known) > self.most_words:
             self.known.clear()
-        new = list(set().union(*filter(None, words)).difference(self.known))
-        for w, e in zip(new, self.of_words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+        for w in set().union(*filter(None, words)).difference(self.known):
+            self.known[w] = self._word(w)
         get = self.known.__getitem__
         return [self._whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
 
