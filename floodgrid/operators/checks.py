@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import rewrite_prefix
+
 
 def rows_in_split(index: DataFrame, split: DataFrame, row_id: str = "row_id") -> DataFrame:
     return index.join(split.select(row_id), row_id, "left_semi")
@@ -38,3 +40,15 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def missing_files(index: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
     return index.join(listing.select(path), path, "left_anti")
+
+
+def rewrite_prefixes(df: DataFrame, rules: list[tuple[str, str]], cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rewritten rows, one row of counters): the first matching rule rewrites a cell.
+
+    Counters: ``rows``, ``rows_changed`` and ``cells_changed``; asking for them alone is a dry run.
+    """
+    new = {c: rewrite_prefix(c, rules) for c in cols}
+    changed = [F.coalesce(new[c] != F.col(c), F.lit(False)) for c in cols]
+    cells = sum((x.cast("long") for x in changed[1:]), changed[0].cast("long"))
+    counters = df.agg(F.count("*").alias("rows"), F.count_if(cells > 0).alias("rows_changed"), F.coalesce(F.sum(cells), F.lit(0)).alias("cells_changed"))
+    return df.withColumns(new), counters

@@ -319,6 +319,12 @@ def u5_missing_files(spark: SparkSession, sf: str) -> DataFrame:
     return U.missing_files(p, p.where("path LIKE 'https:%'")).select("page_id")
 
 
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE starts_with(url, 'https://')) AS rows_changed, count(*) FILTER (WHERE starts_with(url, 'https://')) AS cells_changed FROM pages")
+def f10_rewrite_counters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", F.lit(None).cast("string").alias("other"))
+    return U.rewrite_prefixes(pages, [("https://www.", "s3://"), ("https://", "/mnt/")], ["url", "other"])[1]
+
+
 @query("WITH ln AS (SELECT event_id, 'iter: ' || event_id || ' loss: ' || value AS value, value AS v FROM events WHERE user_id % 3 = 0 UNION ALL SELECT event_id, 'note iter: 1 loss: 2', NULL FROM events WHERE user_id % 3 <> 0) SELECT event_id, event_id + 1 AS step, round(v, 6) AS metric FROM ln WHERE starts_with(value, 'iter')")
 def l1_extract_metrics(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

@@ -412,6 +412,31 @@ def test_npy_and_text_sources(spark, tmp_path):
     assert [tuple(x) for x in io.read_point_series(spark, str(tmp_path / "s.txt"), ["time", "zs", "h"]).collect()] == [(0.0, 1.5, None), (10.0, 2.5, 9.0)]
 
 
+def test_other_sinks_and_sources(spark, tmp_path):
+    one = "struct<n:bigint,min:double,max:double,mean:double,std:double>"
+    doc = spark.sql(f"SELECT 7 AS seed, map('elevation', CAST(named_struct('n', 3, 'min', 0.0, 'max', 2.0, 'mean', 1.0, 'std', 0.5) AS {one})) AS stats")
+    io.write_stats_json(doc, str(tmp_path / "stats"))
+    back = io.read_stats_json(spark, str(tmp_path / "stats"), ("elevation",)).first()
+    assert back["seed"] == 7 and back["stats"]["elevation"]["mean"] == 1.0
+    with pytest.raises(ValueError):
+        io.read_stats_json(spark, str(tmp_path / "stats"), ("twi",))
+    io.write_metric_tables({"scenario": spark.createDataFrame([("s", 0.5)], "scenario string, csi double")}, str(tmp_path / "metrics"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "metrics/scenario")).first()["csi"] == "0.5"
+    (tmp_path / "run.txt").write_text("step 1\nFailed twice\n")
+    lines = io.read_log_lines(spark, str(tmp_path / "run.txt"))
+    assert [r["value"] for r in lines.collect()] == ["step 1", "Failed twice"] and lines.first()["file"].endswith("run.txt")
+    p = spark.sql("SELECT 's' AS scenario, 'h' AS var, 't0' AS t, 0 AS time_index, 1 AS patch_row, 2 AS patch_col, 8 AS downscale, 'fine' AS grid, 1 AS h, 2 AS w, array(1f, 2f) AS values, array(1Y, 0Y) AS mask")
+    io.write_patches(p, str(tmp_path / "patches"))
+    assert io.read_patches(spark, str(tmp_path / "patches")).first()["values"] == [1.0, 2.0]
+
+
+def test_prefix_counters(spark):
+    df = spark.createDataFrame([("/a/x", "/a/y"), ("/b/x", None), ("/a/z", "/c")], "p string, q string")
+    out, n = U.rewrite_prefixes(df, [("/a/", "/z/"), ("/b", "/b")], ["p", "q"])
+    assert n.first().asDict() == {"rows": 3, "rows_changed": 2, "cells_changed": 3}
+    assert [tuple(r) for r in out.collect()] == [("/z/x", "/z/y"), ("/b/x", None), ("/z/z", "/c")]
+
+
 def test_index_round_trip(spark, tmp_path):
     (tmp_path / "index.csv").write_text("scenario,var,t,time_index,patch_row,patch_col,elev_path,aoi_ratio,filtered_out\ns,h,t0000,0,1,2,,0.5,0\ns,h,t0001,1,1,2,/e,0.6,1\n")
     idx = io.read_patch_index(spark, str(tmp_path / "index.csv"))
