@@ -150,6 +150,7 @@ def line_dedup(
     hits = probe_index(light.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")), index, min_docs)
     often = pairs.join(heavy, ["h1", "h2"]).select("t1", "t2", "h1", "h2")
     drops = hits.union(often).groupBy("t1", "t2").agg(F.collect_set(F.xxhash64("h1", "h2")).alias("_drop"))
+    drops = written(drops, "drops")  # so that the join below is dealt anew, and copies of one text can be split
     named = docs.withColumns({f"_{k}": v for k, v in name.items()})
     joined = named.join(drops, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
     lines = F.zip_with(F.split(whole, "\n"), _keys(whole), lambda line, key: F.struct(line.alias("line"), key.alias("key")))
