@@ -16,8 +16,8 @@ enough is lost, unless its ends are joined by other links already:
   distance obeys the triangle inequality.
 * A near member x and a linked or near one y, with different components: X and Y differ by
   |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so to be similar they must share a least number c > 0 of
-  *differences*. By the prefix principle one of the first |D| - c + 1 of them, in an order that
-  puts what p lacks first, is common to both; a join on those few finds all such pairs.
+  *differences*. By the prefix principle one of the first |D| - c + 1 of them, in order of how many
+  members have them, is common to both; a join on those few and rare ones finds all such pairs.
 * A far member (a false hit of the bands) is compared with the unlinked members of its bucket.
 """
 
@@ -191,12 +191,12 @@ def prefix_length(d: int, n_pivot: int, n: int, against_any: bool, percent: int)
 
 
 def _compared(pairs: DataFrame, percent: int) -> DataFrame:
-    """(p, x, d, linked, near, first, few): members x against pivots p; ``first`` holds the differences
-    to look at, of which ``few`` do against unlinked members."""
+    """(p, x, d, linked, near, diff, few, most): members x against pivots p; ``diff`` holds the
+    differences of near ones, of which the first ``few`` do against unlinked members, ``most`` in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked, near, first, few = [], [], [], [], []
+            d, linked, near, diff, few, most = [], [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q, common = _sorted_pair(x, y)
                 either = len(p) + len(q) - common
@@ -204,19 +204,19 @@ def _compared(pairs: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * either)
                 near.append(100 * common >= (2 * percent - 100) * either)
                 if near[-1]:
-                    new, gone = np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)
                     few.append(prefix_length(d[-1], len(p), len(q), False, percent))
-                    most = few[-1] if linked[-1] else prefix_length(d[-1], len(p), len(q), True, percent)
-                    first.append(np.concatenate([new, gone])[:most].view(np.int64))
+                    most.append(few[-1] if linked[-1] else prefix_length(d[-1], len(p), len(q), True, percent))
+                    diff.append(np.setxor1d(p, q, assume_unique=True).view(np.int64))
                 else:
                     few.append(0)
-                    first.append(np.zeros(0, np.int64))
+                    most.append(0)
+                    diff.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(d, pa.int64()), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), pa.array(first, pa.list_(pa.int64())), pa.array(few, pa.int64())],
-                names=["p", "x", "d", "linked", "near", "first", "few"],
+                [batch.column(0), batch.column(1), pa.array(d, pa.int64()), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), pa.array(diff, pa.list_(pa.int64())), pa.array(few, pa.int64()), pa.array(most, pa.int64())],
+                names=["p", "x", "d", "linked", "near", "diff", "few", "most"],
             )
 
-    return pairs.mapInArrow(run, "p long, x long, d long, linked boolean, near boolean, first array<long>, few long")
+    return pairs.mapInArrow(run, "p long, x long, d long, linked boolean, near boolean, diff array<long>, few long, most long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -231,8 +231,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # one row per edge
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -250,19 +249,27 @@ def _left_over(shared: DataFrame, star: DataFrame, label: DataFrame, percent: in
     """Pairs (a, b) that the links with pivots leave open; see the module's text."""
     size = shared.groupBy("rep").agg(F.max("n").alias("n"))
     info = size.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("c"))
-    known = written(star.join(info, "x"), "known")
+    known = written(star.drop("diff").join(info, "x"), "known")
 
-    def side(df: DataFrame, end: str, *more: str) -> DataFrame:
+    def side(df: DataFrame, end: str, *more) -> DataFrame:
         return df.select(*more, *[F.col(k).alias(f"{k}{end}") for k in ("x", "n", "c", "d")])
 
     open_ = (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
     open_ &= F.abs(F.col("d1") - F.col("d2")) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
-    first = known.where("near").select("*", F.posexplode("first").alias("at", "e"))
+    # a pair's first common difference, at1 and at2 in the common order, leaves at most so many to share
+    enough = F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2")) * (2 * (100 + percent)) >= (F.col("d1") + F.col("d2")) * (100 + percent) - (
+        F.col("n1") + F.col("n2")
+    ) * (100 - percent)
+    mixed = known.where("near and not linked").select("p").distinct()
+    diff = star.where("near").join(mixed, "p", "left_semi").select("p", "x", F.explode("diff").alias("e"))
+    diff = diff.withColumn("often", F.count("*").over(Window.partitionBy("p", "e")))
+    diff = diff.withColumn("at", F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "e")) - 1)
+    first = written(diff.join(known, ["p", "x"]).where("at < most"), "first")
     free, few = first.where("not linked"), first.where("not linked and at < few")
-    tied = side(first.where("linked"), "2", "p", "e")
-    near = side(free, "1", "p", "e").join(tied, ["p", "e"]).where(open_).select("x1", "x2")
-    near = near.union(side(few, "1", "p", "e").join(side(few, "2", "p", "e"), ["p", "e"]).where(open_ & (F.col("x1") < F.col("x2"))).select("x1", "x2"))
-    bands = shared.select("band", "p", F.col("rep").alias("x")).join(known.where("not linked").drop("first", "few"), ["p", "x"])
+    placed = lambda df, end: side(df, end, "p", "e", F.col("at").alias(f"at{end}"))
+    near = placed(free, "1").join(placed(first.where("linked"), "2"), ["p", "e"]).where(open_ & enough).select("x1", "x2")
+    near = near.union(placed(few, "1").join(placed(few, "2"), ["p", "e"]).where(open_ & enough & (F.col("x1") < F.col("x2"))).select("x1", "x2"))
+    bands = shared.select("band", "p", F.col("rep").alias("x")).join(known.where("not linked"), ["p", "x"])
     far = side(bands.where("not near"), "1", "band").join(side(bands, "2", "band"), "band").where(open_).select("x1", "x2")
     return near.union(far).select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
 
@@ -293,9 +300,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = written(_compared(_with_items(star, sets), cfg.percent), "star")
     links = star.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     label = components(links)
-    pairs = written(_left_over(shared, star, label, cfg.percent), "pairs")
-    if not pairs.isEmpty():
-        label = components(links.union(written(_linked(_with_items(pairs, sets), cfg.percent), "links")))
+    pairs = _left_over(shared, star, label, cfg.percent)
+    more = written(_linked(_with_items(pairs, sets), cfg.percent), "links")
+    if not more.isEmpty():
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     own = sig.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
