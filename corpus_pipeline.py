@@ -11,7 +11,7 @@ from floodgrid.llm.linededup import line_dedup
 from floodgrid.llm.neardup import near_duplicates
 from floodgrid.llm.packing import pack
 from floodgrid.llm.pii import redact_pii
-from floodgrid.llm.text import written
+from floodgrid.llm.text import small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,11 +41,13 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
+    small_batches(spark)
     return _counted(redact_pii(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of tokens."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

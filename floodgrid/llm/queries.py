@@ -16,13 +16,13 @@ from .packing import pack
 from .pii import span_digests
 from .repetition import repetition
 from .spm import decode, encode
-from .text import scratch
+from .text import scratch, small_batches
 from .tokencount import token_counts
 from .wrapper import extract
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    pages = extract(small_batches(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
