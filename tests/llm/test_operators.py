@@ -104,6 +104,23 @@ def test_wrapper_keeps_copies_and_handles_odd_pages(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_wrapper_quotes_in_tags_swallow_no_text():
+    pages = {
+        "<p title=Bob's>First words here.</p><p>It's second.</p>": "First words here. It's second.",
+        '<p class="x"">One.</p><p id="y">Two "q".</p>': 'One. Two "q".',
+        "<p a='1'b'>It's one</p><p ='c>It's two</p>": "It's one It's two",
+        "<p title='a > b'>In</p><p a= >out</p>": "In out",
+        '<p class="x>One</p><p>Two</p>': "One Two",
+        "<p class = 'ad'>no</p><p title=it's class=ad>no</p><p class=x'>yes</p>": "yes",
+    }
+    assert {p: wrapper.main_text(p) for p in pages} == pages
+    rng = random.Random(4)
+    for _ in range(300):
+        tags = ["".join(rng.choice(["a", " ", "b=c", "d='e'", 'f="g"', "h=i'j", 'k=l"', '"', "'"]) for _ in range(rng.randint(0, 5))) for _ in range(6)]
+        page = "".join(f"<p {t} >it's{i}\"</p>" for i, t in enumerate(tags))
+        assert wrapper.main_text(page) == " ".join(f"it's{i}\"" for i in range(6)), page
+
+
 def test_simple_tree_matching_is_largest():
     def tree(spec):
         root = wrapper.Shape("r")
