@@ -121,6 +121,21 @@ def test_wrapper_quotes_in_tags_swallow_no_text():
         assert wrapper.main_text(page) == " ".join(f"it's{i}\"" for i in range(6)), page
 
 
+def test_wrapper_names_drop_no_article():
+    pages = {
+        '<div class="layout no-sidebar"><article><p>one</p></article></div>': "one",
+        '<div class="page has-sidebar content"><p>one</p></div>': "one",
+        '<div id="sidebar"><div class="menu"><main>one</main></div><p>two</p></div>': "one",
+        "<body><form action=x.aspx><nav>menu</nav><div><p>one</p><p>two</p><input><button>go</button></div></form></body>": "one two",
+        "<body><form action=x.aspx><article>one</article></form></body>": "one",
+        "<header class=top><main>one</main></header>": "one",
+        "<article><h1>t</h1>" + "".join(f"<section class={c}>{c}.</section>" for c in ("legal", "social", "search", "side")) + "</article>": "t legal. social. search. side.",
+        "<article>one<div class='box ad'>no</div><div id=comments><article>no</article></div><form><p>no</p></form></article><p>more than the form</p>": "one",
+        "<p>one, the longer text</p><div class='sidebar content'>no</div><div class=Footer>no</div><div role=navigation>no</div><form>mail <input></form>": "one, the longer text",
+    }
+    assert {p: wrapper.main_text(p) for p in pages} == pages
+
+
 def test_simple_tree_matching_is_largest():
     def tree(spec):
         root = wrapper.Shape("r")
