@@ -136,6 +136,35 @@ def test_wrapper_names_drop_no_article():
     assert {p: wrapper.main_text(p) for p in pages} == pages
 
 
+def test_wrapper_sees_layouts_notices_and_copies(spark):
+    rng = random.Random(8)
+
+    def own(k=3):
+        return "".join(f"<p>{' '.join(str(rng.random()) for _ in range(6))}</p>" for _ in range(k))
+
+    rows = []
+
+    def add(host, pages):
+        rows.extend((f"{host}{i}", f"http://{host}.example/{i}", p) for i, p in enumerate(pages))
+
+    # a notice on 70 % of the pages; pages without any text
+    add("notice", [f"<div>{'<p>We moved</p>' if i % 10 < 7 else ''}{own()}</div>" for i in range(40)] + ["<nav>x</nav>"] * 30)
+    # two layouts, of 60 and 40 %
+    add("layouts", [f"<div><p>Layout one</p>{own()}</div>" if i % 5 < 3 else f"<section><h2>Layout two</h2><div>{own()}</div></section>" for i in range(40)])
+    # near copies of one article beside others, in the same structure and in one of their own
+    article = [f"Part {k} {' '.join(str(rng.random()) for _ in range(6))}" for k in range(5)]
+    copies = ["".join(f"<p>{t if k != i % 5 else 'changed ' + str(i)}</p>" for k, t in enumerate(article)) for i in range(30)]
+    add("copies", [f"<div><p>Hello</p>{c}</div>" for c in copies] + [f"<div><p>Hello</p>{own(5)}</div>" for _ in range(20)])
+    add("apart", [f"<section><p>Hello</p>{c}</section>" for c in copies] + [f"<div><p>Hello</p>{own(5)}</div>" for _ in range(40)])
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(4)).collect()}
+    assert len(got) == len(rows) and not any(re.search("We moved|Layout|Hello", t) for k, t in got.items() if not k.startswith("apart"))
+    for host in ("copies", "apart"):
+        for i in range(30):
+            assert all(t in got[f"{host}{i}"] for k, t in enumerate(article) if k != i % 5), (host, i)
+    whole = {k: wrapper.main_text(p) for k, _, p in rows}
+    assert all(t == re.sub("We moved |Layout (one|two) |Hello ", "", whole[k]) for k, t in got.items() if not k.startswith("apart"))
+
+
 def test_simple_tree_matching_is_largest():
     def tree(spec):
         root = wrapper.Shape("r")
