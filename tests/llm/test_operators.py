@@ -431,6 +431,20 @@ def test_pii_validators_and_context():
     assert pii.redacted("to a@b.co now", pii.find("to a@b.co now")) == "to <email> now"
 
 
+def test_pii_ibans_end_where_they_should():
+    def spans(text, kind="iban"):
+        return [text[a:b] for k, a, b, _ in pii.find(text) if k == kind]
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert spans(f"IBAN {de} BIC COBADEFFXXX") == [de] and spans(f"{gb} A note") == [gb] and spans(f"AB12 {de} 7 {gb}") == [de, gb]
+    assert spans(de.replace(" ", "") + " EUR 100") == [de.replace(" ", "")] and spans(f"{de}1 A") == spans(f"{de}A") == spans(f"X{de}") == []
+    rest = "0" * 14 + "7"
+    zz = next(f"ZZ{n:02} {rest}" for n in range(2, 99) if pii.mod97(f"ZZ{n:02}{rest}"))  # no such country
+    assert spans(zz + " XXXX") == [zz] and pii.redacted(zz + " OK", pii.find(zz + " OK")) == "<iban> OK"
+    for n in (31, 32, 512, 513, 100_000):
+        assert spans(f"token={'a' * (n - 1)}1 end", "secret") == (["a" * (n - 1) + "1"] if n > 31 else [])
+
+
 def test_pii_edges(odd, none):
     assert pii.redact_pii(odd).columns == odd.columns and pii.find_pii(odd).count() == 6
     assert [r["text"] for r in pii.redact_pii(odd).where("doc_id = 4").collect()] == [None]
