@@ -12,7 +12,7 @@ from ..operators import patchwise
 from ..operators import resample as R
 from ..operators import stats as A
 from ..sources.adapters import CELLS_SQL, INDEX_SQL, WIDE_SQL, cells, patch_index, table, vectors, wide_cells
-from .registry import query, rounded
+from .registry import SQL, query, rounded
 
 KEYS = ["scenario", "t", "patch_row", "patch_col"]
 _K = ", ".join(KEYS)
@@ -304,6 +304,12 @@ def a3_histogram_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.histogram_percentile(wide_cells(spark, sf), "pred", [50, 90, 99], ["scenario"], 256))
 
 
+@query(SQL["a3_histogram_percentile"].replace("* 255 /", "* 8191 /").replace("bin / 255", "bin / 8191"))
+def a3_histogram_percentile_full(spark: SparkSession, sf: str) -> DataFrame:
+    """As a3_histogram_percentile, with all 8192 bins."""
+    return rounded(A.histogram_percentile(wide_cells(spark, sf), "pred", [50, 90, 99], ["scenario"]))
+
+
 @query(f"{WIDE_SQL} SELECT scenario, [round(v, 6) FOR v IN quantile_cont(CASE WHEN pred > 0 THEN pred END, [0.25, 0.5, 0.95])] AS percentiles FROM cells GROUP BY scenario")
 def a4_exact_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.exact_percentiles(wide_cells(spark, sf), "pred", [25, 50, 95], ["scenario"], True))
@@ -450,6 +456,13 @@ def j7_nearest_reach(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(J.nearest_reach(points, nodes, 5, 10.0))
 
 
+@query(SQL["j7_nearest_reach"].replace("k <= 5", "k <= 20"))
+def j7_nearest_reach_full(spark: SparkSession, sf: str) -> DataFrame:
+    """As j7_nearest_reach, among all 20 nearest."""
+    points, nodes = _places(spark, sf)
+    return rounded(J.nearest_reach(points, nodes, size=10.0))
+
+
 @query(f"WITH {_NODES}, r AS (SELECT point_id, id, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM p, n), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, id) AS o FROM r) SELECT point_id, id AS node_id, round(d, 6) AS distance FROM k WHERE o = 1")
 def j10_nearest_node(spark: SparkSession, sf: str) -> DataFrame:
     points, nodes = _places(spark, sf)

@@ -10,7 +10,7 @@ from ..operators import patchwise, sampling
 from ..operators import score as S
 from ..operators.resample import block_mean
 from ..sources.adapters import CELLS_SQL, WIDE_SQL, cells, vectors, wide_cells
-from .registry import query, rounded
+from .registry import SQL, query, rounded
 
 KEYS = ["scenario", "t", "patch_row", "patch_col"]
 _D = "(pred - target)"
@@ -243,6 +243,13 @@ def p20_best_shift(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(patchwise.best_shift(v, 0.1, 1).select(*KEYS, "csi", "dy", "dx"))
 
 
+@query(SQL["p20_best_shift"].replace("range(-1, 2)", "range(-3, 4)"))
+def p20_best_shift_full(spark: SparkSession, sf: str) -> DataFrame:
+    """As p20_best_shift, over all 49 shifts."""
+    v = vectors(spark, sf).select(*KEYS, F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("target").alias("fine"), F.col("pred").alias("coarse"))
+    return rounded(patchwise.best_shift(v, 0.1).select(*KEYS, "csi", "dy", "dx"))
+
+
 def _mean_loss(value: str) -> str:
     return f"{CELLS_SQL}, p AS (SELECT {', '.join(KEYS)}, sum(mask * {value}) / sum(mask) AS loss FROM cells GROUP BY ALL HAVING sum(mask) > 0) SELECT scenario, round(avg(loss), 6) AS loss FROM p GROUP BY scenario"
 

@@ -1,6 +1,7 @@
 """Hand-made cases with known answers, properties, and numpy versions of the vectorised helpers."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -473,3 +474,41 @@ def test_registered_queries_have_unique_names_and_run(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 100
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["p20_best_shift", "j7_nearest_reach", "a3_histogram_percentile"])
+def test_queries_of_full_width_match_their_sql(spark, name):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = Path("/root/testdata/sf0.001")
+    con = duckdb.connect()
+    for table in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
+    full = entry.queries()[f"{name}_full"](spark, str(folder))
+    said = con.execute(entry.oracle_sql()[f"{name}_full"])
+    names = [d[0] for d in said.description]
+    # the key columns come first, so that rounded values don't decide the order
+    keys = [c for c in names if c not in ("csi", "dy", "dx", "reach_id", "uparea", "value")]
+    order = keys + [c for c in names if c not in keys]
+    got = sorted(([r[c] for c in order] for r in full.collect()), key=lambda r: str(r[: len(keys)]))
+    wanted = sorted(([r[names.index(c)] for c in order] for r in said.fetchall()), key=lambda r: str(r[: len(keys)]))
+    assert len(got) == len(wanted) > 0
+    for g, w in zip(got, wanted, strict=True):
+        assert g[: len(keys)] == w[: len(keys)] and list(map(float, g[len(keys) :])) == pytest.approx(list(map(float, w[len(keys) :])), abs=2e-6)
+    if name != "p20_best_shift":  # the test table's patches aren't displaced
+        value = {"j7_nearest_reach": "uparea", "a3_histogram_percentile": "value"}[name]
+        assert sorted(map(tuple, entry.queries()[name](spark, str(folder)).select(value).collect())) != sorted(map(tuple, full.select(value).collect()))
+
+
+def test_best_shift_query_finds_a_move_of_three(spark, monkeypatch):
+    from floodgrid.plans import scores
+
+    target, pred = np.zeros((8, 8)), np.zeros((8, 8))
+    target[[4, 5, 5], [2, 2, 3]] = 1.0
+    pred[[1, 2, 2], [4, 4, 5]] = 1.0
+    row = (*["k"] * len(scores.KEYS), target.ravel().tolist(), pred.ravel().tolist())
+    moved = spark.createDataFrame([row], [*scores.KEYS, "target", "pred"])
+    monkeypatch.setattr(scores, "vectors", lambda spark, sf: moved)
+    r = scores.p20_best_shift_full(spark, "").first()
+    assert (r["csi"], r["dy"], r["dx"]) == (1.0, 3, -2)
