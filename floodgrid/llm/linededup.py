@@ -1,24 +1,30 @@
-"""Line dedup: documents probe a sharded minimal perfect hash of all distinct lines.
+"""Line dedup: documents probe a sharded minimal perfect hash of the lines that many documents have.
 
-Each distinct line key is counted by document and belongs to a shard by its hash. A shard is one
-row: the bit levels of a minimal perfect hash (Limasset et al. 2017) that numbers its keys without
-gaps, and two arrays by that number, a 32-bit fingerprint and the count. Keys that a large share
-of all documents have are few by counting; they are told to all tasks and never travel.
+Line keys are counted by document; those of enough documents are indexed, the others never drop
+anything. Each belongs to a shard by its hash. A shard is one row: the bit levels of a minimal
+perfect hash (Limasset et al. 2017) that numbers its keys without gaps, and two arrays by that
+number, a 64-bit fingerprint and the count. The shards go to the documents, as many at a time as a
+bound on their bytes allows, and the documents' lines probe the arrays inside the scan: no line of
+a document is written or shuffled but for counting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .text import mix, written
+from .text import Scratch, Text, mix, quoted, slices, unused, utf8
 
-BLANK = " \t\n\x0b\f\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of a level for each key that is left.
 _GAMMA = 2.0
+_COUNTS = "h1 long, h2 long, n long"
 
 
 def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -43,18 +49,18 @@ def build_mph(keys: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def probe_mph(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+def probe_mph(levels: list[np.ndarray], keys: np.ndarray, ranks: list[np.ndarray] | None = None) -> np.ndarray:
     """Number of each key; -1 for one that no level has (a stranger may also get a member's number)."""
     out = np.full(len(keys), -1, np.int64)
     left, before = np.arange(len(keys)), 0
     for i, bits in enumerate(levels):
-        if not len(left):
-            break
-        at = _place(keys[left], i, len(bits))
-        hit = bits[at]
-        rank = np.cumsum(bits)
-        out[left[hit]] = before + rank[at[hit]] - 1
-        left, before = left[~hit], before + int(rank[-1])
+        rank = ranks[i] if ranks else np.cumsum(bits)
+        if len(left):
+            at = _place(keys[left], i, len(bits))
+            hit = bits[at]
+            out[left[hit]] = before + rank[at[hit]] - 1
+            left = left[~hit]
+        before += int(rank[-1])
     return out
 
 
@@ -63,6 +69,8 @@ def _name(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 SHARD = "shard int, sizes array<int>, bits binary, prints binary, counts binary"
+#: Bytes of the index for each key: fingerprint, count, and bits of the levels.
+KEY_BYTES = 13
 
 
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
@@ -73,8 +81,8 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
         names = _name(h1, h2)
         levels = build_mph(names)
         at = probe_mph(levels, names)
-        prints, ns = np.zeros(len(names), "<u4"), np.zeros(len(names), "<u4")
-        prints[at] = (h2.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        prints, ns = np.zeros(len(names), "<u8"), np.zeros(len(names), "<u4")
+        prints[at] = h2.view(np.uint64)
         ns[at] = np.minimum(table.column("n").to_numpy(), 0xFFFFFFFF).astype(np.uint32)
         return pa.table(
             {
@@ -90,36 +98,109 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
     return sharded.groupBy("shard").applyInArrow(build, SHARD)
 
 
-def probe_index(probes: DataFrame, index: DataFrame, least: int) -> DataFrame:
-    """The rows (shard, t1, t2, h1, h2) of ``probes`` whose key has a count of ``least`` or more."""
-    fields = ["t1", "t2", "h1", "h2"]
+class Shard:
+    """The arrays of one row of ``build_index``."""
 
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return left.select(fields).slice(0, 0)
-        row = right.to_pylist()[0]
-        levels, begin = [], 0
-        raw = np.frombuffer(row["bits"], np.uint8)
-        for size in row["sizes"]:
+    def __init__(self, sizes: list[int], bits: bytes, prints: bytes, counts: bytes):
+        raw, begin = np.frombuffer(bits, np.uint8), 0
+        self.levels: list[np.ndarray] = []
+        for size in sizes:
             n = (size + 7) // 8
-            levels.append(np.unpackbits(raw[begin : begin + n], count=size).astype(bool))
+            self.levels.append(np.unpackbits(raw[begin : begin + n], count=size).astype(bool))
             begin += n
-        prints, ns = np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["counts"], "<u4")
-        h1, h2 = (left.column(c).to_numpy() for c in ("h1", "h2"))
-        at = probe_mph(levels, _name(h1, h2))
-        known = (at >= 0) & (prints[at] == (h2.view(np.uint64) >> np.uint64(32)).astype(np.uint32))
-        return left.select(fields).filter(pa.array(known & (ns[at] >= least)))
+        self.ranks = [np.cumsum(x, dtype=np.int32) for x in self.levels]
+        self.prints, self.counts = np.frombuffer(prints, "<u8"), np.frombuffer(counts, "<u4")
+
+    def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The count of each key, 0 for strangers."""
+        at = probe_mph(self.levels, _name(h1, h2), self.ranks)
+        known = (at >= 0) & (self.prints[at] == h2.view(np.uint64))
+        return np.where(known, self.counts[at], 0)
+
+
+class Index:
+    """Some of the shards; ``rows`` are dicts as ``build_index`` makes them."""
+
+    def __init__(self, rows: list[dict], shards: int):
+        self.rows, self.shards = {r["shard"]: r for r in rows}, shards
+        self._open: dict[int, Shard] = {}
+
+    def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The count of each key, 0 for strangers and keys of other shards."""
+        out = np.zeros(len(h1), np.int64)
+        shard = np.mod(h1, self.shards)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s, row in self.rows.items():
+            own = order[ends[s] : ends[s + 1]]
+            if len(own):
+                if s not in self._open:
+                    self._open[s] = Shard(row["sizes"], row["bits"], row["prints"], row["counts"])
+                out[own] = self._open[s].count(h1[own], h2[own])
+        return out
+
+
+class Lines:
+    """The lines of a batch of texts: start, end and document of each, and the keys of those that have one."""
+
+    def __init__(self, column: pa.Array, min_chars: int):
+        t = Text(column, lower=True)
+        self.starts, self.ends, self.doc = t.lines()
+        first = np.searchsorted(t.starts, self.starts)
+        last = np.searchsorted(t.ends, self.ends, side="right") - 1
+        self.keyed = np.flatnonzero(first <= last)
+        a, b = t.starts[first[self.keyed]], t.ends[last[self.keyed]]
+        if min_chars > 1:
+            chars = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
+            enough = chars[b] - chars[a] >= min_chars
+            self.keyed, a, b = self.keyed[enough], a[enough], b[enough]
+        raw = t.data.tobytes()
+        digests = b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        self.h1, self.h2 = np.frombuffer(digests, "<i8").reshape(-1, 2).T
 
-    return probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "t1 long, t2 long, h1 long, h2 long")
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts rows by the columns, and where in it each distinct row begins."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return order, np.flatnonzero(new)
 
-def _keys(text: Column) -> Column:
-    """The lines' keys, in order."""
-    return F.transform(F.split(text, "\n"), lambda line: F.translate(F.btrim(line, F.lit(BLANK)), _UPPER, _LOWER))
+
+def line_counts(texts: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(h1, h2, n): how many rows of ``texts`` (one string column) have each line key, of all keys."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                found = Lines(batch.column(0).slice(a, b - a), min_chars)
+                order, own = _distinct(found.h1, found.h2, found.doc[found.keyed])
+                h1, h2 = found.h1[order[own]], found.h2[order[own]]
+                order, first = _distinct(h1, h2)
+                n = np.diff(np.append(first, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(h1[order[first]]), pa.array(h2[order[first]]), pa.array(n, pa.int64())], names=["h1", "h2", "n"])
+
+    return texts.mapInArrow(count, _COUNTS).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+
+
+def _without(column: pa.Array, found: Lines, drop: np.ndarray) -> pa.Array:
+    """The texts without the lines that ``drop`` marks, the others joined by line breaks."""
+    data, docs = utf8(column)
+    keep = np.flatnonzero(~drop)
+    first = np.ones(len(keep), bool)
+    first[1:] = found.doc[keep[1:]] != found.doc[keep[:-1]]
+    edge = np.zeros(len(data) + 1, np.int32)
+    # a kept line brings the break before it, unless it is the first that its text keeps
+    np.add.at(edge, found.starts[keep] - ~first, 1)
+    np.add.at(edge, found.ends[keep], -1)
+    stay = np.cumsum(edge[:-1]) > 0
+    at = np.concatenate([[0], np.cumsum(stay)])[docs].astype(np.int32)
+    whole = pa.StringArray.from_buffers(len(column), pa.py_buffer(at), pa.py_buffer(data[stay]))
+    return pc.if_else(column.is_valid(), whole, pa.scalar(None, pa.string()))
 
 
 def line_dedup(
-    docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 20_000, common: int = 2_000
+    docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 20_000, index_bytes: int = 32 << 20
 ) -> DataFrame:
     r"""Rows of ``docs`` without the lines that many documents have.
 
@@ -127,39 +208,61 @@ def line_dedup(
     key of at least ``min_chars`` code points that is in ``min_docs`` rows or more loses all its
     lines in every row; the other lines stay as they are, joined by ``\n``. Adds ``n_lines`` and
     ``n_dropped``; columns of ``docs`` with these names are replaced, all others (nulls too) pass
-    unchanged. A null or empty text is one empty line and stays so; a text that loses all its lines
-    becomes empty. Repeated rows count as several documents.
+    unchanged, whatever their names. A null or empty text is one empty line and stays so; a text
+    that loses all its lines becomes empty. Each row is a document: repeated rows, and rows that
+    share an id, count as several. Very long texts are handled whole, one at a time.
 
-    Keys in over 1/``common`` of all (row, key) pairs, of which there can't be more than
-    ``common``, are broadcast; the other keys of a shard are few, whatever a key's frequency.
+    Shards of ``index_bytes`` together are broadcast at a time. Where the lines that drop need
+    more, the documents are scanned once for each such part, and in between written with marks of
+    what has been found; the result is the same.
     """
     carry = [c for c in docs.columns if c not in ("n_lines", "n_dropped") or c == text]
-    docs = docs.select(*carry)
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keys = F.array_distinct(F.filter(_keys(whole), lambda k: F.char_length(k) >= max(1, min_chars)))
-    name = {"t1": F.xxhash64(whole), "t2": F.xxhash64(F.lit(11), whole)}
-    pairs = docs.select(*(v.alias(k) for k, v in name.items()), F.explode(keys).alias("key"))
-    pairs = pairs.select("t1", "t2", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
-    pairs = written(pairs, "lines")
-    counts = written(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    heavy = F.broadcast(counts.where(F.col("n") > max(total // common, min_docs)))  # fewer than `common` rows
-    shards = max(1, -(-distinct // keys_per_shard))
-    index = written(build_index(counts, shards), "index")
-    light = pairs.join(heavy, ["h1", "h2"], "left_anti").distinct()
-    hits = probe_index(light.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")), index, min_docs)
-    often = pairs.join(heavy, ["h1", "h2"]).select("t1", "t2", "h1", "h2")
-    drops = hits.union(often).groupBy("t1", "t2").agg(F.collect_set(F.xxhash64("h1", "h2")).alias("_drop"))
-    drops = written(drops, "drops")  # so that the join below is dealt anew, and copies of one text can be split
-    named = docs.withColumns({f"_{k}": v for k, v in name.items()})
-    joined = named.join(drops, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
-    lines = F.zip_with(F.split(whole, "\n"), _keys(whole), lambda line, key: F.struct(line.alias("line"), key.alias("key")))
-    of = lambda x: F.xxhash64(F.xxhash64(x["key"]), F.xxhash64(F.lit(7), x["key"]))
-    kept = F.when(F.col("_drop").isNull(), F.split(whole, "\n")).otherwise(
-        F.transform(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), of(x))), lambda x: x["line"])
-    )
-    return joined.select(*carry, F.size(F.split(whole, "\n")).cast("long").alias("n_lines"), kept.alias("_kept")).select(
-        *(F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in carry),
-        "n_lines",
-        (F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
-    )
+    docs = docs.select(*(F.col(quoted(c)) for c in carry))
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
+    counts = line_counts(docs.select(F.col(quoted(text)).cast("string").alias("text")), min_chars)
+    common = tables.write(counts.where(F.col("n") >= min_docs), "lines")
+    keys = common.count()
+    shards = max(1, -(-keys // keys_per_shard))
+    index = tables.write(build_index(common, shards), "index", instead_of=(common,))
+    per = max(1, index_bytes // (KEY_BYTES * keys_per_shard))
+    at, rounds = carry.index(text), -(-shards // per)
+    mark = unused("marks", carry)
+    kept = [StructField(f.name, StringType()) if i == at else f for i, f in enumerate(docs.schema.fields)]
+    rows = docs.withColumn(mark, F.lit(None).cast("binary"))
+    for r in range(rounds):
+        found = index.where((F.col("shard") >= r * per) & (F.col("shard") < (r + 1) * per)).toArrow().to_pylist()  # of index_bytes
+        shared = spark.sparkContext.broadcast((found, shards))
+        last = r == rounds - 1
+        schema = StructType([*kept, *([StructField("n_lines", LongType()), StructField("n_dropped", LongType())] if last else [StructField(mark, BinaryType())])])
+        marked = rows.mapInArrow(_probe(shared, at, min_chars, min_docs, last, schema.names), schema)
+        rows = marked if last else tables.write(marked, "marked", instead_of=() if r == 0 else (rows,))
+    return rows
+
+
+def _probe(shared, at: int, min_chars: int, min_docs: int, last: bool, names: list[str]):
+    """The task that probes the broadcast shards; the marks of earlier ones are in the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*shared.value)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            for a, b in slices(texts):
+                part, column = batch.slice(a, b - a), texts.slice(a, b - a)
+                found = Lines(column, min_chars)
+                drop = np.zeros(len(found.doc), bool)
+                drop[found.keyed] = index.count(found.h1, found.h2) >= min_docs
+                ends = np.searchsorted(found.doc, np.arange(part.num_rows + 1))
+                for i, before in enumerate(part.column(part.num_columns - 1)):
+                    if before.is_valid:
+                        n = ends[i + 1] - ends[i]
+                        drop[ends[i] : ends[i + 1]] |= np.unpackbits(np.frombuffer(before.as_py(), np.uint8), count=n).astype(bool)
+                others = [c if i != at else column for i, c in enumerate(part.columns[:-1])]
+                if last:
+                    others[at] = _without(column, found, drop) if drop.any() else column
+                    lost = np.concatenate([[0], np.cumsum(drop)])
+                    new = [pa.array(np.diff(ends), pa.int64()), pa.array(lost[ends[1:]] - lost[ends[:-1]], pa.int64())]
+                else:
+                    new = [pa.array([np.packbits(drop[x:y]).tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*others, *new], names=names)
+
+    return run

@@ -88,20 +88,20 @@ _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 #: Texts that DuckDB can check whole: line keys, their document counts and what is kept.
 OP8_SQL = f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs
 ),
 keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, pos, line,
          translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ),
-common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
 kept AS (SELECT *, key IN (SELECT key FROM common) AS dropped FROM keyed)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM kept GROUP BY doc_id
+FROM kept GROUP BY r, doc_id
 """
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 #: JVM and in Python at once.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Numbers in a part of a count table while it is shuffled.
+_COUNT_PART = 4096
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -55,10 +57,10 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends there."""
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(_BATCH)
+    path, before = path or scratch(spark, name), spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(BATCH_ROWS))
     try:
         df.write.option("compression", "zstd").parquet(path)
@@ -67,6 +69,80 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Intermediate tables of one job. A table is dropped once all that is made of it has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._tables = spark, []
+
+    def write(self, df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+        """``df`` written and read again; then the tables that it takes the place of are dropped."""
+        path = scratch(self.spark, name)
+        out = written(df, name, path)
+        self._tables.append((out, path))
+        self.drop(*instead_of)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            for i, (own, path) in enumerate(self._tables):
+                if own is t:
+                    remove(self.spark, path)
+                    del self._tables[i]
+                    break
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions want it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bucket_counts(rows: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], size: int, tables: int = 1) -> np.ndarray:
+    """How often each of ``size`` buckets occurs, (tables, size); a power of two each.
+
+    ``buckets`` gives (table, bucket numbers) of a batch. Each task adds up its own rows; parts of
+    the sums are then shuffled and added. The result has ``tables * size`` numbers whatever the input.
+    """
+    per = size // min(_COUNT_PART, size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((tables, size), np.int64)
+        for batch in batches:
+            for k, found in buckets(batch):
+                total[k] += np.bincount(found, minlength=size)
+        parts = total.reshape(tables * per, -1).astype("<i8")
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for batch in batches:
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(c.as_py(), "<i8")
+                part, total = p, x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros((tables * per, size // per), np.int64)
+    counts = rows.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    for row in counts.collect():
+        out[row["part"]] = np.frombuffer(row["counts"], "<i8")
+    return out.reshape(tables, size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise."""
     x = x + _ODD
@@ -140,9 +216,7 @@ class Text:
         self.data, self.docs = utf8(column)
         if lower:
             self.data = _LOWER[self.data]
-        power, self._inverse = _power(len(self.data) + 1)
-        self._roll = np.zeros(len(self.data) + 1, np.uint64)
-        np.add.accumulate(_BYTE[self.data] * power[: len(self.data)], out=self._roll[1:])
+        self._roll: np.ndarray | None = None
         self.inside = ~_SPACE[self.data]
         self.starts, self.ends = self._runs(punct)
         #: words before each document, and in all
@@ -168,6 +242,10 @@ class Text:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each byte range."""
+        if self._roll is None:
+            power, self._inverse = _power(len(self.data) + 1)
+            self._roll = np.zeros(len(self.data) + 1, np.uint64)
+            np.add.accumulate(_BYTE[self.data] * power[: len(self.data)], out=self._roll[1:])
         h = (self._roll[ends] - self._roll[starts]) * self._inverse[starts]
         return mix(h ^ ((ends - starts).astype(np.uint64) * _ODD))
 

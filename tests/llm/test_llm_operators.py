@@ -467,16 +467,23 @@ def brute_lines(rows, min_docs):
     return out
 
 
-@pytest.mark.parametrize("shard,common", [(20_000, 2_000), (16, 10)])
-def test_line_dedup_matches_brute_force(docs, corpus, shard, common):
-    got = by_id(linededup.line_dedup(docs, keys_per_shard=shard, common=common), "text", "n_lines", "n_dropped")
-    assert got == brute_lines(corpus, 10)
+@pytest.mark.parametrize("least,shard,most", [(10, 20_000, 32 << 20), (2, 3, 100)])
+def test_line_dedup_matches_brute_force(docs, corpus, least, shard, most):
+    """Also where the index goes to the documents in several parts."""
+    got = by_id(linededup.line_dedup(docs, min_docs=least, keys_per_shard=shard, index_bytes=most), "text", "n_lines", "n_dropped")
+    assert got == brute_lines(corpus, least)
 
 
-def test_line_dedup_edges(odd, none):
+def test_line_dedup_edges(spark, odd, none):
     rows = linededup.line_dedup(odd, min_docs=3).collect()
     assert sum(r["n_dropped"] for r in rows) == 3 and all(r["text"] == "" for r in rows if r["n_dropped"])
     assert rows[0]["kept"] in ("k", "z", None) and linededup.line_dedup(none).count() == 0
+    # repeated ids are documents of their own; odd column names pass
+    same = spark.createDataFrame([(1, "x\nown", 1, 2, 3), (1, "X ", 1, 2, 3), (2, "é\n\n", 1, 2, 3)], "doc_id long, text string, marks int, `a.b` int, `n lines` int")
+    got = linededup.line_dedup(same, min_docs=2)
+    assert got.columns == [*same.columns, "n_lines", "n_dropped"]
+    assert sorted((r["text"], r["n_lines"], r["n_dropped"], r["marks"], r["a.b"]) for r in got.collect()) == [("", 1, 1, 1, 2), ("own", 2, 1, 1, 2), ("é\n\n", 3, 0, 1, 2)]
+    assert sorted(r["n_dropped"] for r in linededup.line_dedup(same, min_docs=1, min_chars=2).collect()) == [0, 0, 1]
 
 
 def test_perfect_hash_is_minimal():
