@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .text import Scratch, Text, mix, quoted, slices, unused, utf8
+from .text import Scratch, Text, map_batches, mix, quoted, slices, unused, utf8
 
 #: Bits of a level for each key that is left.
 _GAMMA = 2.0
@@ -234,7 +234,7 @@ def line_dedup(
         shared = spark.sparkContext.broadcast((found, shards))
         last = r == rounds - 1
         schema = StructType([*kept, *([StructField("n_lines", LongType()), StructField("n_dropped", LongType())] if last else [StructField(mark, BinaryType())])])
-        marked = rows.mapInArrow(_probe(shared, at, min_chars, min_docs, last, schema.names), schema)
+        marked = map_batches(rows, _probe(shared, at, min_chars, min_docs, last, schema.names), schema)
         rows = marked if last else tables.write(marked, "marked", instead_of=() if r == 0 else (rows,))
     return rows
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -111,6 +112,19 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name (its own handling of names fails on dots): batches hold
+    the columns of ``df`` and of ``schema`` in their order."""
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    numbered = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(renamed, numbered).toDF(*schema.names)
+
+
 def bucket_counts(rows: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], size: int, tables: int = 1) -> np.ndarray:
     """How often each of ``size`` buckets occurs, (tables, size); a power of two each.
 
