@@ -18,7 +18,17 @@ enough is lost, unless its ends are joined by other links already:
   |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so to be similar they must share a least number c > 0 of
   *differences*. By the prefix principle one of the first |D| - c + 1 of them, in order of how many
   members have them, is common to both; a join on those few and rare ones finds all such pairs.
-* A far member (a false hit of the bands) is compared with the unlinked members of its bucket.
+* A far member (a false hit of the bands) may be similar to another unlinked one of its bucket. By
+  the same principle such a pair shares one of the first n - ceil(s n) + 1 shingles of either set;
+  a join on those finds it, without listing a bucket's pairs.
+
+"Order" above is any one order of all shingles. Rare ones come first by a table of 2^20 hashed
+counts, so that no shingle has to be shuffled for being counted. A shingle that only members of
+one component have is left out of the joins, however many they are.
+
+A class of equal shingle sets is named by a number of its own, not by an id, so that ids which
+repeat with other texts lose nothing. Tables that an aggregate makes are written before they are
+joined: Spark can then split a hot key of the join.
 """
 
 from __future__ import annotations
@@ -28,13 +38,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Text, mix, ngrams, slices, written
+from .text import Scratch, Text, bucket_counts, mix, ngrams, quoted, slices, unused
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: Counts of shingles that decide the order of prefixes.
+_COUNT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -111,12 +123,12 @@ def bands_of(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(id, n, d1, d2, bands) of each row of (id, text); d1 and d2 name the shingle set."""
+    """(id, t, n, d1, d2, bands) of each row of (id, t, text); d1 and d2 name the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                t = Text(batch.column(1).slice(a, b - a), lower=True)
+            for a, b in slices(batch.column(2)):
+                t = Text(batch.column(2).slice(a, b - a), lower=True)
                 n = b - a
                 keys, doc = shingles(t, cfg.shingle)
                 count = np.bincount(doc, minlength=n)
@@ -129,11 +141,11 @@ def _signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
                 ends = np.cumsum(np.concatenate([[0], np.where(count > 0, cfg.bands, 0)])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(b_keys[count > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(count, pa.int64()), pa.array(names[0]), pa.array(names[1]), lists],
-                    names=["id", "n", "d1", "d2", "bands"],
+                    [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(count, pa.int64()), pa.array(names[0]), pa.array(names[1]), lists],
+                    names=["id", "t", "n", "d1", "d2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, t long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -219,23 +231,60 @@ def _compared(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "p long, x long, d long, linked boolean, near boolean, diff array<long>, few long, most long")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def _array(x: pa.Scalar) -> np.ndarray:
+    """The shingles of a binary or list value."""
+    return np.frombuffer(x.as_buffer(), "<u8") if isinstance(x, pa.BinaryScalar) else x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _rare_first(rows: DataFrame, values: str, take: str) -> DataFrame:
+    """The other columns of ``rows``, with ``e``: the first ``take`` of ``values``, rarest first, and ``at``, its place."""
+    shift = np.uint64(64 - _COUNT_BITS)
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for x in batch.column(0):
+            yield 0, (_array(x) >> shift).astype(np.int64)
+
+    counts = bucket_counts(rows.select(values), buckets, 1 << _COUNT_BITS)[0]
+    often = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # 4 MB
+    carry = [c for c in rows.columns if c not in (values, take)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, lengths = [], []
+            for x, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                v = _array(x)
+                found.append(v[np.lexsort((v, often.value[v >> shift]))[:n]])
+                lengths.append(len(found[-1]))
+            of = np.repeat(np.arange(batch.num_rows), lengths)
+            e = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) if len(of) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in batch.columns[2:]), pa.array(e.view(np.int64)), pa.array(at, pa.int64())], names=[*carry, "e", "at"])
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.select(values, take, *carry).mapInArrow(run, f"{types}, e long, at long")
+
+
+def components(edges: DataFrame, most_rounds: int = 50, tables: Scratch | None = None) -> DataFrame:
     """(id, component) of the ends of edges (a, b); component is the least id reachable.
 
     Large-star and small-star rounds (Kiveris et al. 2014): each is a minimum per node and a join,
-    and a chain of n nodes takes O(log n) of them.
+    and a chain of n nodes takes O(log n) of them. The minima are written before they are joined,
+    so that Spark can split the neighbours of one node.
     """
-    pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    tables = tables or Scratch(edges.sparkSession)
+    pairs = tables.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     summary = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     seen = pairs.agg(*summary).first()
     for _ in range(most_rounds):
+        if not seen[0]:
+            break
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # one row per edge
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        pairs = written(small.where("u <> v").distinct(), "edges")
+        least = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        # one row per edge
+        large = tables.write(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large", instead_of=(least, pairs))
+        least = tables.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        pairs = tables.write(small.where("u <> v").distinct(), "edges", instead_of=(least, large))
         state = pairs.agg(*summary).first()
         if state == seen:
             break
@@ -245,33 +294,106 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _left_over(shared: DataFrame, star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the links with pivots leave open; see the module's text."""
-    size = shared.groupBy("rep").agg(F.max("n").alias("n"))
-    info = size.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("c"))
-    known = written(star.drop("diff").join(info, "x"), "known")
+def _labels(edges: DataFrame, tables: Scratch) -> DataFrame:
+    own = Scratch(tables.spark)
+    label = tables.write(components(edges, tables=own), "label")
+    own.clear()
+    return label
+
+
+def _similar_sizes(percent: int):
+    return F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+
 
-    def side(df: DataFrame, end: str, *more) -> DataFrame:
-        return df.select(*more, *[F.col(k).alias(f"{k}{end}") for k in ("x", "n", "c", "d")])
+def _side(df: DataFrame, end: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *(F.col(c).alias(f"{c}{end}") for c in df.columns if c not in keys))
 
-    open_ = (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+
+def _near_pairs(star: DataFrame, known: DataFrame, percent: int, tables: Scratch) -> DataFrame:
+    """(x1, x2): pairs of members with one pivot, not both linked to it, that differences leave open."""
+    open_ = (F.col("c1") != F.col("c2")) & _similar_sizes(percent)
     open_ &= F.abs(F.col("d1") - F.col("d2")) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
     # a pair's first common difference, at1 and at2 in the common order, leaves at most so many to share
-    enough = F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2")) * (2 * (100 + percent)) >= (F.col("d1") + F.col("d2")) * (100 + percent) - (
+    open_ &= F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2")) * (2 * (100 + percent)) >= (F.col("d1") + F.col("d2")) * (100 + percent) - (
         F.col("n1") + F.col("n2")
     ) * (100 - percent)
     mixed = known.where("near and not linked").select("p").distinct()
-    diff = star.where("near").join(mixed, "p", "left_semi").select("p", "x", F.explode("diff").alias("e"))
-    diff = diff.withColumn("often", F.count("*").over(Window.partitionBy("p", "e")))
-    diff = diff.withColumn("at", F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "e")) - 1)
-    first = written(diff.join(known, ["p", "x"]).where("at < most"), "first")
-    free, few = first.where("not linked"), first.where("not linked and at < few")
-    placed = lambda df, end: side(df, end, "p", "e", F.col("at").alias(f"at{end}"))
-    near = placed(free, "1").join(placed(first.where("linked"), "2"), ["p", "e"]).where(open_ & enough).select("x1", "x2")
-    near = near.union(placed(few, "1").join(placed(few, "2"), ["p", "e"]).where(open_ & enough & (F.col("x1") < F.col("x2"))).select("x1", "x2"))
-    bands = shared.select("band", "p", F.col("rep").alias("x")).join(known.where("not linked"), ["p", "x"])
-    far = side(bands.where("not near"), "1", "band").join(side(bands, "2", "band"), "band").where(open_).select("x1", "x2")
-    return near.union(far).select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    differ = star.where("near").select("p", "x", "diff", "most").join(mixed, "p", "left_semi")
+    first = _rare_first(differ, "diff", "most").join(known.select("p", "x", "n", "c", "d", "linked", "few"), ["p", "x"])
+    first = tables.write(first, "first")
+    free, linked = first.where("not linked").drop("linked"), first.where("linked").drop("linked", "few")
+    few = free.where("at < few").drop("few")
+    free = free.drop("few")
+    one = _side(free, "1", "p", "e").join(_side(linked, "2", "p", "e"), ["p", "e"]).where(open_)
+    two = _side(few, "1", "p", "e").join(_side(few, "2", "p", "e"), ["p", "e"]).where(open_ & (F.col("x1") < F.col("x2")))
+    return one.select("x1", "x2").union(two.select("x1", "x2"))
+
+
+def _far_pairs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> DataFrame | None:
+    """(x1, x2): pairs of a bucket's unlinked members, one of them far, that a rare common shingle leaves open."""
+    loose = shared.select("band", "p", F.col("rep").alias("x")).join(known.where("not linked").select("p", "x", "n", "c", "near"), ["p", "x"])
+    bands = tables.write(loose.groupBy("band").agg(F.count("*").alias("m"), F.bool_and("near").alias("near")).where("m > 1 and not near").select("band"), "far")
+    ends = tables.write(loose.join(bands, "band").groupBy("x").agg(F.first("n").alias("n"), F.first("c").alias("c"), (~F.bool_and("near")).alias("far")), "ends", instead_of=(bands,))
+    if ends.isEmpty():
+        return None
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
+    rows = ends.join(sets.withColumnRenamed("id", "x"), "x").withColumn("take", take)
+    rare = tables.write(_rare_first(rows, "items", "take"), "rare", instead_of=(ends,))
+    # shingles of one component only, or of no far member, make no pair
+    keys = tables.write(rare.groupBy("e").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("far").alias("far")).where("low < high and far").select("e"), "keys")
+    rare = rare.join(keys, "e")
+    open_ = (F.col("c1") != F.col("c2")) & _similar_sizes(percent)
+    open_ &= F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+    open_ &= ~F.col("far2") | (F.col("x1") < F.col("x2"))
+    return _side(rare.where("far"), "1", "e").join(_side(rare, "2", "e"), "e").where(open_).select("x1", "x2")
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, cfg: NearDupConfig) -> DataFrame:
+    """(id, t, n, component) of each row of ``docs``; ``t`` is the 64-bit hash of the text."""
+    tables = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("id"), F.col(quoted(text)).cast("string").alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("t"), "text")
+    sig = tables.write(_signatures(rows, cfg), "signatures")
+    classes = sig.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min_by("t", "id").alias("t"), F.first("n").alias("n"))
+    classes = tables.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    named = classes.select(F.col("least").alias("id"), "t", "rep")
+    members = tables.write(sig.where("n > 0").select("id", "t", "n", "bands").join(named, ["id", "t"]).select("rep", "n", "bands"), "members")
+    spread = members.select("rep", "n", F.explode("bands").alias("band"))
+    sizes = tables.write(spread.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = tables.write(spread.join(sizes, "band"), "shared", instead_of=(members, sizes))
+    popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"))
+    pivots = tables.write(shared.join(popular, "rep").groupBy("band").agg(F.max_by("rep", "popular").alias("p")), "pivots")
+    shared = tables.write(shared.join(pivots, "band").where("rep <> p").select("band", "rep", "n", "p"), "shared", instead_of=(shared, pivots))
+    ids = shared.select(F.explode(F.array("rep", "p")).alias("rep")).distinct()
+    wanted = tables.write(ids.join(named, "rep").select("id", "t", "rep"), "wanted")
+    texts = rows.join(wanted, ["id", "t"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"])
+    sets = tables.write(_sets(texts.select("id", "text"), cfg), "sets", instead_of=(wanted,))
+    star = shared.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
+    star = tables.write(_compared(_with_items(star, sets), cfg.percent), "star")
+    links = star.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    label = _labels(links, tables)
+    size = classes.select("rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("c"))
+    known = tables.write(star.drop("diff").join(size, "x"), "known")
+    pairs = _near_pairs(star, known, cfg.percent, tables)
+    far = _far_pairs(shared, known, sets, cfg.percent, tables)
+    pairs = pairs if far is None else pairs.union(far)
+    pairs = pairs.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    more = tables.write(_linked(_with_items(pairs, sets), cfg.percent), "links")
+    if not more.isEmpty():
+        label = _labels(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tables)
+    # the least id of each component, then of each class
+    joined = classes.join(label.withColumnRenamed("id", "rep"), "rep")
+    first = tables.write(joined.groupBy("component").agg(F.min("least").alias("first")), "firsts")
+    found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(first, "component", "left").select("d1", "d2", F.coalesce("first", "least").alias("component"))
+    found = tables.write(found, "found")
+    tables.keep(sig, found)
+    own = sig.select("id", "t", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
+    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
+    return own.select("id", "t", "n", component.alias("component"))
+
+
+def _kept():
+    return F.coalesce(F.col("component") == F.col("id"), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -280,33 +402,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are runs of bytes other than ``[\x20\x09-\x0D]``, with A-Z in lower case. Shingles are
     compared by a 64-bit hash. ``component_id`` is the least id that links lead to, ``kept`` is
     whether it is the row's own id. A row without words has no links. Rows with a null id are not
-    linked: their component is null and they are kept. Rows that repeat an id get one result each
-    row; if their texts differ, links of the first of them by shingle set hold for that set only.
+    linked: their component is null and they are kept. Rows that repeat an id get one result each,
+    by their own text; a repeated row has the same result again. Very long texts are sketched and
+    compared whole. Other columns of ``docs`` are not read. The result reads tables that stay in
+    the shared folder.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sig = written(_signatures(rows, cfg), "signatures")
-    classes = sig.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    classes = written(classes, "classes")
-    members = sig.where("n > 0").select(F.col("id").alias("rep"), "d1", "d2", "bands").join(classes, ["d1", "d2", "rep"])
-    members = members.select("rep", "n", "bands").dropDuplicates(["rep"]).select("rep", "n", F.explode("bands").alias("band"))
-    shared = members.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where("size > 1")
-    shared = written(shared, "shared")
-    popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"))
-    pivots = shared.join(popular, "rep").groupBy("band").agg(F.max(F.struct("popular", (-F.col("rep")).alias("rep"))).alias("top"))
-    shared = written(shared.join(pivots.select("band", (-F.col("top.rep")).alias("p")), "band").select("band", "rep", "n", "p").where("rep <> p"), "shared")
-    ids = shared.select(F.explode(F.array("rep", "p")).alias("id")).distinct()
-    sets = written(_sets(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"), cfg), "sets")
-    star = shared.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
-    star = written(_compared(_with_items(star, sets), cfg.percent), "star")
-    links = star.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    label = components(links)
-    pairs = _left_over(shared, star, label, cfg.percent)
-    more = written(_linked(_with_items(pairs, sets), cfg.percent), "links")
-    if not more.isEmpty():
-        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    own = sig.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
-    )
+    out = _components(docs, doc_id, text, cfg)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), _kept().alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    A row goes by its id and text: of rows that share an id, those with other texts stay, and
+    repeated rows stay or go together. Rows with a null id or without words stay.
+    """
+    tables = Scratch(docs.sparkSession)
+    gone = _components(docs, doc_id, text, cfg).where(~_kept()).select("id", "t").distinct()
+    i, t = unused("gone_id", docs.columns), unused("gone_text", docs.columns)
+    gone = tables.write(gone.select(F.col("id").alias(i), F.col("t").alias(t)), "gone")
+    same = (F.col(quoted(doc_id)).cast("long") == F.col(i)) & (F.xxhash64(F.col(quoted(text)).cast("string")) == F.col(t))
+    return docs.join(gone, same, "left_anti")

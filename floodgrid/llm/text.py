@@ -98,6 +98,13 @@ class Scratch:
                     del self._tables[i]
                     break
 
+    def clear(self) -> None:
+        self.keep()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all but these."""
+        self.drop(*[own for own, _ in self._tables if not any(own is t for t in tables)])
+
 
 def quoted(name: str) -> str:
     """A column's name as Spark's expressions want it, whatever characters it has."""

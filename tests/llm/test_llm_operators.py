@@ -373,6 +373,37 @@ def test_near_duplicates_edges(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Each text of a repeated id keeps its own links, and the other columns stay."""
+    rng = random.Random(11)
+    a, b, c = ([rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(200)] for _ in range(3))
+    like = lambda w, i: " ".join([*w[:-1], f"new{i}"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, like(a, 1)), (3, like(b, 2)), (0, " ".join(c)), (1, " ".join(c)), (1, "alone")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, gone_id string, `a.b` int")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    left = neardup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([rows[0], rows[1], rows[4], rows[6]])
+
+
+def test_near_duplicates_of_families_that_meet_by_chance(spark):
+    """With few rows in a band, buckets hold members that are far from the pivot; links between those stay."""
+    rng = random.Random(12)
+    rows = []
+    core = [f"k{i}" for i in range(60)]
+    for f in range(12):
+        own = [f"f{f}x{i}" for i in range(rng.randint(30, 90))]
+        for j in range(rng.randint(1, 12)):
+            w = core + own
+            for k in rng.sample(range(len(w)), rng.randint(0, 9)):
+                w[k] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    cfg = neardup.NearDupConfig(shingle=2, bands=60, rows=2)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cfg=cfg), "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows, 2)
+
+
 def test_sketch_agreement_is_the_similarity():
     rng = np.random.default_rng(0)
     keys = text.mix(rng.integers(0, 2**63, 1500).astype(np.uint64))
