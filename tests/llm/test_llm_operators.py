@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,88 @@ def test_wrapper_sees_layouts_notices_and_copies(spark):
     assert all(t == re.sub("We moved |Layout (one|two) |Hello ", "", whole[k]) for k, t in got.items() if not k.startswith("apart"))
 
 
+def brute_extract(rows, share=0.5, least=5):
+    """The rule of ``extract`` in plain Python: (page_id, url, html) to text by page_id."""
+    shaped = {}
+    for _, url, page in rows:
+        host = re.match(r"https?://([^/?#]*)", url or "")
+        if host and page:
+            structure, sizes = wrapper.placed(wrapper.blocks(wrapper.parse(page)))
+            if sizes:
+                shaped.setdefault(host[1], {})[frozenset(sizes)] = (structure, sizes)
+    templates = {}
+    for host, pages in shaped.items():
+        if len(pages) < least:
+            continue
+        held = Counter(k for keys in pages for k in keys)
+        weights, votes = defaultdict(float), defaultdict(float)
+        for keys, (structure, sizes) in pages.items():
+            told = [held[k] for k in keys for _ in range(sizes[k]) if not 1 < held[k] >= wrapper.NEARLY_ALL * len(pages)]
+            w = 1 / np.percentile(told, 50) if told else 1.0
+            for by in (None, structure):
+                weights[by] += w
+                for k in keys:
+                    votes[by, k] += w if held[k] > 1 else 0
+        templates[host] = frozenset(k for (by, k), v in votes.items() if round(v, 6) >= max(least, share * round(weights[by], 6)) and round(weights[by], 6) >= least)
+    host = lambda url: (re.match(r"https?://([^/?#]*)", url or "") or [None, None])[1]
+    return {i: wrapper.main_text(p or "", templates.get(host(u), frozenset())) for i, u, p in rows}
+
+
+def test_wrapper_matches_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: str(rng.randrange(10**6))
+    rows = []
+    for h in range(6):
+        notices = [f"notice {h} {k}" for k in range(4)]
+        shared = [" ".join(word() for _ in range(8)) for _ in range(6)]
+        for i in range(rng.randint(3, 40)):
+            parts = [f"<p>{n}</p>" for n in notices if rng.random() < 0.6]
+            parts += [f"<div><p>{rng.choice(shared) if rng.random() < 0.3 else ' '.join(word() for _ in range(6))}</p></div>" for _ in range(rng.randint(0, 4))]
+            parts += [f"<section><h2>{notices[0]}</h2></section>"] * (rng.random() < 0.3)
+            rows.append((len(rows), f"http://h{h}.example/{i}", f"<body>{''.join(parts)}</body>"))
+    rows += [(len(rows) + k, *rows[k][1:]) for k in range(0, 60, 7)] + [(900, None, rows[0][2]), (901, "http://h0.example/x", None), (902, "http://h0.example/y", "")]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)).collect()}
+    assert got == brute_extract(rows)
+    plain = {i: wrapper.main_text(p or "") for i, _, p in rows}
+    assert sum(got[i] != plain[i] for i in got) > len(rows) / 2  # the induced template decides on most pages
+
+
+def test_wrapper_template_is_of_a_node(spark):
+    """The text of a template node stays where it stands at another node."""
+    pages = [(i, f"http://n.example/{i}", f"<div><p>Latest</p></div><article><h1>{i} title</h1><p>{'Latest' if i == 3 else f'text {i}'}</p></article><p>Latest</p>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"{i} title " + ("Latest" if i == 3 else f"text {i}") for i in range(12)}
+
+
+def test_wrapper_keeps_what_the_contract_keeps():
+    pages = {
+        "<div id=content><p>the long story</p><p>goes on</p></div><article>teaser</article>": "the long story goes on teaser",
+        "<article>" + "".join(f"<p class={c}>{c}</p>" for c in ("related-work", "search-algorithms", "legal", "notice")) + "</article>": "related-work search-algorithms legal notice",
+        "<p>one<div class=userComments>no</div><ul id=commentlist><li>no</ul><div class='comments-section'>no</div><p class=commentary>two": "one two",
+        "<p hidden>no<p>one<div aria-hidden=true>no</div><div style='DISPLAY : none'>no</div>": "one",
+        '<a href="x>one</a> two': "one two",
+        "<article>one<div id=comments><article>no</article></div></article>": "one",
+    }
+    assert {p: wrapper.main_text(p) for p in pages} == pages
+
+
+def test_wrapper_takes_linear_time():
+    hostile = ['<a "', "<b></x>", "<p><ul><b><div></div>", "<a b='x' c='>' ", "<div>", "<!-- ", '<a b="', "<form>t", "<li><p>", "<script>", "&"]
+    begun = time.process_time()
+    for piece in hostile:
+        wrapper.main_text(piece * 50_000)
+    wrapper.main_text("<b>" * 50_000 + "</x>" * 50_000)
+    assert time.process_time() - begun < 60
+
+
+def test_wrapper_edges(spark):
+    rows = [(1, "http://e.example/a", "<p>x", "t", 1, 2), (1, "http://e.example/a", "<p>x", "t", 1, 2), (None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, template string, host int, `a.b` int")
+    out = wrapper.extract(pages)
+    assert out.columns == ["page_id", "url", "template", "host", "a.b", "text"]
+    assert sorted((r["page_id"] or 0, r["template"], r["host"], r["a.b"], r["text"]) for r in out.collect()) == [(0, None, None, None, ""), (1, "t", 1, 2, "x"), (1, "t", 1, 2, "x")]
+
+
 def test_simple_tree_matching_is_largest():
     def tree(spec):
         root = wrapper.Shape("r")
