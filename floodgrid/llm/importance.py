@@ -16,9 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Text, mix, ngrams, slices, written
-
-_CHUNK = 4096
+from .text import Scratch, Text, bucket_counts, map_batches, mix, ngrams, quoted, slices, unused
 
 
 @dataclass(frozen=True)
@@ -62,39 +60,18 @@ def _labelled(labels: DataFrame, good, cfg: ImportanceConfig) -> tuple[np.ndarra
 
 def fit(docs: DataFrame, target_ids: np.ndarray, cfg: ImportanceConfig) -> tuple[np.ndarray, np.ndarray]:
     """Log-ratios of the word buckets and of the pair buckets, from one pass over ``docs``."""
-    size, per = 1 << cfg.bits, (1 << cfg.bits) // min(_CHUNK, 1 << cfg.bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of `total`: raw words, raw pairs, target words, target pairs
-        total = np.zeros((4, size), np.int64)
-        for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            chosen = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), target_ids) & np.asarray(ids.is_valid())
-            for a, b in slices(column):
-                _, found = _features(column.slice(a, b - a), cfg.bits)
-                for k, (bucket, doc) in enumerate(found):
-                    total[k] += np.bincount(bucket, minlength=size)
-                    total[2 + k] += np.bincount(bucket[chosen[a:b][doc]], minlength=size)
-        parts = total.reshape(4 * per, -1).astype("<i8")
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"]
-        )
 
-    def add(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = None, None
-        for batch in table:
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(c.as_py(), "<i8")
-                part, total = p, x.copy() if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+    def buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        # tables: raw words, raw pairs, target words, target pairs
+        ids, column = batch.column(0), batch.column(1)
+        chosen = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), target_ids) & np.asarray(ids.is_valid())
+        for a, b in slices(column):
+            for k, (bucket, doc) in enumerate(_features(column.slice(a, b - a), cfg.bits)[1]):
+                yield k, bucket
+                yield 2 + k, bucket[chosen[a:b][doc]]
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = ready.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    total = np.zeros((4 * per, size // per), np.int64)
-    for row in counts.collect():  # 4 * 2^bits numbers, whatever the input
-        total[row["part"]] = np.frombuffer(row["counts"], "<i8")
-    total = total.reshape(4, size)
+    total = bucket_counts(ready, buckets, 1 << cfg.bits, tables=4)
     out = []
     for raw, target, prior in ((total[0], total[2], cfg.prior_words), (total[1], total[3], cfg.prior_pairs)):
         expected = raw * (target.sum() / max(1, raw.sum()))

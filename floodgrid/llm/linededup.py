@@ -235,7 +235,8 @@ def line_dedup(
         last = r == rounds - 1
         schema = StructType([*kept, *([StructField("n_lines", LongType()), StructField("n_dropped", LongType())] if last else [StructField(mark, BinaryType())])])
         marked = map_batches(rows, _probe(shared, at, min_chars, min_docs, last, schema.names), schema)
-        rows = marked if last else tables.write(marked, "marked", instead_of=() if r == 0 else (rows,))
+        rows = marked if last else tables.write(marked, "marked", instead_of=(rows,))
+    tables.drop(index)
     return rows
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from .text import map_batches, quoted
 
 #: Kinds in their order where two spans begin at one place; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
@@ -130,28 +134,26 @@ def redacted(text: str, spans: list[tuple[str, int, int, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _map(docs: DataFrame, text: str, added: dict[str, str], of, replace: bool = False) -> DataFrame:
-    """``docs`` with the columns ``added``; ``of`` gives their values for a text."""
-    kept = [c for c in docs.columns if (c == text and not replace) or c not in added]
-    docs = docs.select(*kept) if not replace else docs
+def _map(docs: DataFrame, text: str, added: list[StructField], of: Callable[[str | None], list], replace: bool = False) -> DataFrame:
+    """``docs`` with the columns ``added``, instead of those that have their names; ``of`` gives their values for a text."""
+    names = {f.name for f in added}
     at = docs.columns.index(text)
-    carry = [i for i, c in enumerate(docs.columns) if c not in added]
-    kinds = {"string": pa.string(), "long": pa.int64(), "array<struct<kind:string,start:long,end:long,score:double>>": pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))}
+    carry = [i for i, c in enumerate(docs.columns) if c not in names or (i == at and not replace)]
+    types = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                rows = [of(t) for t in part.column(at).to_pylist()]
-                new = [pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(added.values())]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carry), *new], names=[*(part.schema.names[i] for i in carry), *added])
+                rows = [of(t) for t in part.column(at).cast(pa.string()).to_pylist()]
+                new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                columns = [*(part.column(i) for i in carry), *new]
+                yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
-    fields = docs.schema
-    whole = [f"`{fields[i].name}` {fields[i].dataType.simpleString()}" for i in carry]
-    return docs.mapInArrow(run, ", ".join([*whole, *(f"`{k}` {v}" for k, v in added.items())]))
+    return map_batches(docs, run, StructType([*(docs.schema.fields[i] for i in carry), *added]))
 
 
-SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
+SPANS = ArrayType(StructType().add("kind", "string").add("start", "long").add("end", "long").add("score", "double"))
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,19 +162,28 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     Emails, IP addresses, card numbers (Luhn) and phone numbers are always reported; IBANs must
     pass mod 97; social security numbers and secrets also need a word nearby that speaks for
     them. Null or empty texts have no spans; other columns, nulls and repeated rows pass
-    unchanged, and a column ``pii`` of ``docs`` is replaced.
+    unchanged, and a column ``pii`` of ``docs`` is replaced. Whole texts are searched, in time
+    linear in their length.
     """
-    return _map(docs, text, {"pii": SPANS}, lambda t: [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in find(t or "")]])
+    return _map(docs, text, [StructField("pii", SPANS)], lambda t: [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in find(t or "")]])
 
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``find_pii`` replaced by ``<kind>``; null stays null; same columns."""
-    order = docs.columns
-    return _map(docs, text, {text: "string"}, lambda t: [None if t is None else redacted(t, find(t))], replace=True).select(*order)
+    """``docs`` with every span of ``find_pii`` replaced by ``<kind>``.
+
+    Null stays null and empty stays empty; the columns and their order stay, others pass unchanged
+    whatever their names, and repeated rows are redacted each.
+    """
+    out = _map(docs, text, [StructField(text, StringType())], lambda t: [None if t is None else redacted(t, find(t))], replace=True)
+    return out.select(*map(quoted, docs.columns))
 
 
 def span_digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with counts of the base kinds, ``base_sha256`` and ``spans``."""
+    """Rows of ``docs`` with counts of the base kinds, ``base_sha256`` and ``spans``.
+
+    Null and empty texts have no spans; columns of ``docs`` with the added names are replaced, all
+    others pass unchanged, and repeated rows have a result each.
+    """
 
     def of(t: str | None) -> list:
         spans = find(t or "")
@@ -181,4 +192,5 @@ def span_digests(docs: DataFrame, text: str = "text") -> DataFrame:
         counts = [sum(s[0] == k for s in spans) for k in KINDS[:4]]
         return [*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(said)]
 
-    return _map(docs, text, {**{f"n_{k}": "long" for k in KINDS[:4]}, "base_sha256": "string", "spans": "string"}, of)
+    counts = [StructField(f"n_{k}", LongType()) for k in KINDS[:4]]
+    return _map(docs, text, [*counts, StructField("base_sha256", StringType()), StructField("spans", StringType())], of)

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, MapType, StructField, StructType
 
-from .text import Text, ngrams, repeated, slices
+from .text import Text, map_batches, ngrams, quoted, repeated, slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -31,10 +32,9 @@ class RepetitionRules:
     line_chars: float = 0.30
 
 
-SCHEMA = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "dup_line_chars long, dup_ngram_chars map<int,long>"
-)
+#: The columns that are added, but for the verdict.
+ADDED = [StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars")]
+ADDED.append(StructField("dup_ngram_chars", MapType(IntegerType(), LongType())))
 
 
 def measure(column: pa.Array, lengths: list[int]) -> dict[str, np.ndarray]:
@@ -84,9 +84,8 @@ def repetition(docs: DataFrame, text: str = "text", rules: RepetitionRules = Rep
     Texts are read whole, whatever their length; equal rows get equal results. No shuffle.
     """
     lengths = sorted(rules.ngram_chars)
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", "dup_ngram_chars", "base_failed", "kept"]
-    docs = docs.drop(*[c for c in added if c != text])
-    fields = docs.schema
+    added = [*(f.name for f in ADDED), "base_failed", "kept"]
+    docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c == text or c not in added))
     of_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +104,7 @@ def repetition(docs: DataFrame, text: str = "text", rules: RepetitionRules = Rep
                     names=[*part.schema.names, *added[:7]],
                 )
 
-    whole = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCHEMA])
-    found = docs.mapInArrow(run, whole)
+    found = map_batches(docs, run, StructType([*docs.schema.fields, *ADDED]))
     base = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat_words * F.col("n_words"))
     limits = [F.col("dup_line_chars") <= rules.line_chars * F.col("word_chars")]
     limits += [F.col("dup_ngram_chars")[k] <= share * F.col("word_chars") for k, share in rules.ngram_chars.items()]

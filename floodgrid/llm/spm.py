@@ -3,7 +3,8 @@
 The model file (a protobuf) is parsed here, and its normaliser, space mark, scores or merges and
 byte fallback are rebuilt as a tokenizers pipeline. Texts are encoded part by part: pieces of such
 models hold the space mark at their beginning only, so no piece joins two parts, and each distinct
-part is encoded once per task, in multithreaded batches, and compared with sentencepiece itself.
+part is encoded once per task, in multithreaded batches. The ids are those of the rebuilt
+pipeline; the sentencepiece library only says whether it gives the same.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from .text import map_batches, quoted
 
 MARK = "▁"
 #: Kinds of pieces in the protobuf (fixed values of the file format).
@@ -175,7 +180,8 @@ class Codec:
         self.reference = SentencePieceProcessor(model_file=path)
         self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.by_part = self.model.by_part and any(p == MARK and kind == NORMAL for p, _, kind in self.model.pieces)
+        self.mark = next((i for i, (p, _, kind) in enumerate(self.model.pieces) if p == MARK and kind == NORMAL), None)
+        self.by_part = self.model.by_part and self.mark is not None
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text, each without the one mark before it."""
@@ -189,14 +195,17 @@ class Codec:
 
     def learn(self, new: list[str]) -> None:
         if self.by_part and "" in new:  # a lone mark; the libraries give no ids for an empty text
-            self.known[""] = array("I", [self.reference.piece_to_id(MARK)]).tobytes()
+            self.known[""] = array("I", [self.mark]).tobytes()
+            if self.reference.piece_to_id(MARK) != self.mark:
+                self.differ.add("")
             new = [p for p in new if p]
         own = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         theirs = self.reference.encode(new, num_threads=self.threads)
         for part, mine, truth in zip(new, own, theirs, strict=True):
-            if mine.ids != truth:
+            ids = mine.ids
+            if ids != truth:
                 self.differ.add(part)
-            self.known[part] = array("I", truth).tobytes()
+            self.known[part] = array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids (little-endian, 32 bits), and whether the two libraries agree on the text."""
@@ -225,13 +234,13 @@ def decoder(path: str) -> Decoder:
 def encode(docs: DataFrame, model: str, text: str = "text", threads: int = 2) -> DataFrame:
     """Rows of ``docs`` with ``ids array<int>`` and ``parity boolean``; no shuffle.
 
-    Ids are those of the sentencepiece library without begin and end; special strings inside a
-    text are ordinary text. ``parity`` is false for a text with a part for which the rebuilt
-    tokenizers pipeline gives other ids (then sentencepiece's are returned). Null or empty texts
-    have no ids; other columns, nulls and repeated rows pass unchanged, and columns of ``docs``
-    with the added names are replaced.
+    Ids are those of the rebuilt tokenizers pipeline without begin and end; special strings inside
+    a text are ordinary text. ``parity`` is false for a text with a part for which sentencepiece
+    gives other ids. Null or empty texts have no ids; other columns, nulls and repeated rows pass
+    unchanged, and columns of ``docs`` with the added names are replaced. Very long texts are
+    encoded whole.
     """
-    docs = docs.drop(*[c for c in ("ids", "parity") if c != text])
+    docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c == text or c not in ("ids", "parity")))
     of_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,18 +253,20 @@ def encode(docs: DataFrame, model: str, text: str = "text", threads: int = 2) ->
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], names=[*part.schema.names, "ids", "parity"])
 
-    whole = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>, parity boolean"])
-    return docs.mapInArrow(run, whole)
+    added = [StructField("ids", ArrayType(IntegerType())), StructField("parity", BooleanType())]
+    return map_batches(docs, run, StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded", digest: bool = False) -> DataFrame:
     """Rows with the text of their ``ids`` in column ``into``; null ids give a null text.
 
     With ``digest``, ``n_tokens`` and ``ids_crc32`` (little-endian unsigned 32-bit ids; 0 for null)
-    take the place of the ids.
+    take the place of the ids. Empty lists give an empty text; other columns and repeated rows pass
+    unchanged, whatever their names, and those with the added names are replaced.
     """
-    added = {into: "string"} | ({"n_tokens": "long", "ids_crc32": "long"} if digest else {})
-    rows = rows.drop(*[c for c in added if c != ids])
+    added = [StructField(into, StringType()), *([StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())] if digest else [])]
+    names = [f.name for f in added]
+    rows = rows.select(*(F.col(quoted(c)) for c in rows.columns if c == ids or c not in names))
     of_ids = rows.columns.index(ids)
     carry = [i for i in range(len(rows.columns)) if not (digest and i == of_ids)]
 
@@ -268,8 +279,6 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded",
                 new = [pa.array([None if v is None else d.decode(v) for v in values], pa.string())]
                 if digest:
                     new += [pa.array([0 if v is None else f(v) for v in values], pa.int64()) for f in (len, lambda v: zlib.crc32(v.tobytes()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carry), *new], names=[*(part.schema.names[i] for i in carry), *added])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carry), *new], names=[*(part.schema.names[i] for i in carry), *names])
 
-    fields = rows.schema
-    whole = [f"`{fields[i].name}` {fields[i].dataType.simpleString()}" for i in carry]
-    return rows.mapInArrow(run, ", ".join([*whole, *(f"`{k}` {v}" for k, v in added.items())]))
+    return map_batches(rows, run, StructType([*(rows.schema.fields[i] for i in carry), *added]))

@@ -12,16 +12,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = "▁"
+from .spm import MARK, NORMAL, read_model
+from .text import Scratch, quoted, unused
+
 CACHE = "text_digest binary, tokenizer_digest string, n_tokens long"
 
 
 class PieceCounter:
     """Counts of a sentencepiece model.
 
-    Where no piece has a space mark after another character and nothing is normalised, no piece
-    joins two space-separated parts: a text's count is then the sum over its parts, each counted
-    once per task. Other models count whole texts.
+    Where the model's file says that no piece has a space mark after another character and that
+    nothing is normalised, no piece joins two space-separated parts: a text's count is then the sum
+    over its parts, each counted once per task. Other models count whole texts.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -30,10 +32,8 @@ class PieceCounter:
         self.model = SentencePieceProcessor(model_file=path)
         self.most = most
         self.known: dict[str, int] = {"": 1}  # a lone mark
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        probe = "a  b\n c\td ﬁ Ａ ①   e "
-        plain = self.model.decode(self.model.encode(probe)) == probe  # no trimming, no normalisation
-        self.by_part = plain and MARK in pieces and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        said = read_model(path)
+        self.by_part = said.by_part and any(p == MARK and kind == NORMAL for p, _, kind in said.pieces)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -84,17 +84,19 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     appended; then every row joins its count. ``normalise`` may merge texts only if they have the
     same count (the default merges none but null and empty). Writers may append at the same time:
     a digest that is there twice is read once. Null or empty texts have 0 bytes and tokens; other
-    columns, nulls and repeated rows pass unchanged, and columns of ``docs`` with the added names
-    are replaced.
+    columns, nulls and repeated rows pass unchanged, whatever their names, and columns of ``docs``
+    with the added names are replaced. Very long texts are encoded whole.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
     version = tokenizer_digest(tokenizer)
     added = ("n_bytes", "n_tokens", "over_limit")
-    content: Column = normalise(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumns({"_content": content, "_digest": F.unhex(F.sha2(content, 256))})
+    key = unused("text_digest", [*docs.columns, *added])
+    plain: Column = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    digest = lambda c: F.unhex(F.sha2(c, 256)).alias(key)
 
     def known() -> DataFrame:
-        return read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy(F.col("text_digest").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens"))
+        own = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
+        return own.groupBy(F.col("text_digest").alias(key)).agg(F.max("n_tokens").alias("n_tokens"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(tokenizer)
@@ -107,8 +109,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
                     names=["text_digest", "tokenizer_digest", "n_tokens"],
                 )
 
-    misses = keyed.select("_digest", "_content").join(known().select("_digest"), "_digest", "left_anti").dropDuplicates(["_digest"])
-    misses.mapInArrow(count, CACHE).write.mode("append").parquet(cache)
+    # each task sends a text once, however often it has it
+    distinct = docs.select(normalise(plain).alias("content")).select(digest("content"), "content").dropDuplicates([key])
+    distinct.join(known().select(key), key, "left_anti").mapInArrow(count, CACHE).write.mode("append").parquet(cache)
     carry = [c for c in docs.columns if c != text and c not in added]
-    rows = keyed.select(*carry, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), "_digest")
-    return rows.join(known(), "_digest", "left").drop("_digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(*(F.col(quoted(c)) for c in carry), F.octet_length(plain).cast("long").alias("n_bytes"), digest(normalise(plain)))
+    # written, so that Spark can split a text that many rows have
+    counts = tables.write(known(), "counts")
+    joined = rows.join(counts, key, "left").withColumn("over_limit", F.col("n_tokens") > limit)
+    return joined.select(*(F.col(quoted(c)) for c in carry), *added)
