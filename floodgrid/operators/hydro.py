@@ -72,14 +72,16 @@ def rain_ari_for_flow(peaks: DataFrame, by: list[str], target: str = "target", q
 
 def event_duration(basins: DataFrame, durations: list[int], factor: float = 2.0) -> DataFrame:
     """Shortest duration over ``factor`` * the longest time of concentration, else the longest; the
-    reach with the largest flow. Basins with a numeric name or no positive flow are dropped.
+    reach with the largest flow. Basins without a positive flow or with a bad name are dropped: one
+    that is a whole number or contains "missing".
 
     ``basins``: name, tocs array<double>, flows array<double>, reaches array<long>.
     """
     ds = F.array(*[F.lit(d) for d in sorted(durations)])
     fits = F.filter(ds, lambda d: d > factor * F.array_max("tocs"))
     peak = F.array_max("flows")
-    out = basins.where(~F.col("name").rlike(r"^\d+(\.\d+)?$") & (peak > 0))
+    bad = F.col("name").rlike(r"^\s*[+-]?\d+\s*$") | F.col("name").contains("missing")
+    out = basins.where(~bad & (peak > 0))
     return out.select("name", F.coalesce(F.get(fits, F.lit(0)), F.lit(max(durations))).alias("duration"), F.get("reaches", F.array_position("flows", peak).cast("int") - 1).alias("reach_id"), peak.alias("flow"))
 
 

@@ -75,6 +75,31 @@ def place_on_canvas(static: DataFrame, dx_cells: float, dy_cells: float, h: int,
     return asked.join(static.withColumnsRenamed({"y": "_y", "x": "_x"}), ["_y", "_x"], "left").drop("_y", "_x")
 
 
+def nearest_on_axis(canvas: list[float], static: list[float]) -> list[int | None]:
+    """For each coordinate of a canvas's axis the index of the nearest static one (the lower of two); None outside.
+
+    Both axes may rise or fall, and need not be regular.
+    """
+    order = np.argsort(static)
+    known, asked = np.asarray(static, float)[order], np.asarray(canvas, float)
+    slack = 1e-9 * np.abs(np.diff(known)).mean() if len(known) > 1 else 0.0
+    right = np.clip(np.searchsorted(known, asked), 1, max(len(known) - 1, 1))
+    near = np.where(len(known) > 1, right - (asked - known[right - 1] <= known[np.minimum(right, len(known) - 1)] - asked + slack), 0)
+    inside = (asked >= known[0] - slack) & (asked <= known[-1] + slack)
+    return [int(order[i]) if ok else None for i, ok in zip(near, inside, strict=True)]
+
+
+def place_on_axes(static: DataFrame, x_canvas: list[float], y_canvas: list[float], x_static: list[float], y_static: list[float]) -> DataFrame:
+    """Static cells (y, x by index) on the canvas of two coordinate axes: each canvas cell takes the static
+    one that is nearest along both, which is a shift where the axes are whole cells apart. Cells
+    outside of the static grid are NULL."""
+    spark = static.sparkSession
+    def axis(name: str, canvas: list[float], known: list[float]) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(nearest_on_axis(canvas, known))), f"{name} int, _{name} int")
+    asked = axis("y", y_canvas, y_static).crossJoin(axis("x", x_canvas, x_static))  # the canvas's cells
+    return asked.join(static.withColumnsRenamed({"y": "_y", "x": "_x"}), ["_y", "_x"], "left").drop("_y", "_x")
+
+
 def _cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("bigint")
 
@@ -215,19 +240,19 @@ def pair_velocity_depth(index: DataFrame, threshold: float = 0.05) -> DataFrame:
 def frame_neighbours(sequence: DataFrame, n: int, padding: str, index: str = "frame", last: str = "max_frame") -> DataFrame:
     """The n (odd) frames around each: ``slot`` and ``neighbour``, padded at the ends.
 
-    replicate: the end frame; reflection: mirrored at it; reflection_circle: taken from the other
-    side of the window; circle: from the window's far end.
+    A place that is ``over`` frames beyond an end (negative at the first one) is moved back by as
+    much (replicate), by twice as much (reflection), by the window's length (circle), or to the
+    same distance beyond the window's other end (reflection_circle).
     """
-    if n % 2 == 0 or padding not in ("replicate", "reflection", "reflection_circle", "circle"):
-        raise ValueError("n must be odd and padding a known one")
     half = n // 2
     out = sequence.withColumn("_o", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    f, at, end = F.col(index), F.col(index) + F.col("_o"), F.col(last)
-    below = {"replicate": F.lit(0), "reflection": -at, "reflection_circle": f + half - at, "circle": n + at}[padding]
-    above = {"replicate": end, "reflection": end * 2 - at, "reflection_circle": (f - half) - (at - end), "circle": at - n}[padding]
-    if padding == "reflection_circle":
-        below, above = f + half - at, f - half + (end - at)
-    return out.withColumns({"slot": F.col("_o") + half, "neighbour": F.when(at < 0, below).when(at > end, above).otherwise(at)}).drop("_o")
+    frame, at = F.col(index), F.col(index) + F.col("_o")
+    over = at - F.greatest(F.least(at, F.col(last)), F.lit(0))
+    side = F.signum(over.cast("double")).cast("int")
+    moved = {"replicate": at - over, "reflection": at - over * 2, "circle": at - side * n, "reflection_circle": frame - side * half - over}
+    if n % 2 == 0 or padding not in moved:
+        raise ValueError("n must be odd and padding a known one")
+    return out.withColumns({"slot": F.col("_o") + half, "neighbour": F.when(over == 0, at).otherwise(moved[padding])}).drop("_o")
 
 
 def resample_outline(polygons: DataFrame, step: float, poly_id: str = "poly_id", vertices: str = "vertices") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .resample import block_mean, upsample_bilinear, upsample_nearest
 from .score import confusion_full, score
-from .stats import exact_percentiles, histogram, masked_stats
+from .stats import exact_percentiles, masked_stats
 
 
 @lru_cache(maxsize=64)
@@ -60,8 +60,8 @@ def _ssim(a: np.ndarray, b: np.ndarray, most: float) -> float:
     g /= g.sum()
 
     def blur(x: np.ndarray) -> np.ndarray:
-        x = np.apply_along_axis(np.convolve, 0, x, g, "valid")
-        return np.apply_along_axis(np.convolve, 1, x, g, "valid")
+        x = np.lib.stride_tricks.sliding_window_view(x, len(g), axis=0) @ g
+        return np.lib.stride_tricks.sliding_window_view(x, len(g), axis=1) @ g
 
     c1, c2 = (0.01 * most) ** 2, (0.03 * most) ** 2
     ma, mb = blur(a), blur(b)
@@ -84,31 +84,41 @@ def ssim(pairs: DataFrame, by: list[str], crop: int = 0, most: float = 255.0) ->
     return rows.groupBy(*by).agg(F.avg("ssim").alias("ssim"))
 
 
-def best_shift(patches: DataFrame, threshold: float, max_shift: int = 3, fine: str = "fine", coarse: str = "coarse") -> DataFrame:
-    """CSI of the wet areas of two arrays on one grid for every shift of the coarse one; the first
-    best in (dy, dx) order. Cells without a partner are left out, as are missing values."""
+def best_shift(patches: DataFrame, threshold: float, max_shift: int = 3, fine: str = "fine", coarse: str = "coarse", mask: str | None = "mask") -> DataFrame:
+    """CSI of the wet areas of two arrays on one grid for every shift of the fine one by (dy, dx) cells; the
+    first best in (dy, dx) order.
+
+    Cells count where the mask holds and both values are there; shifts without such cells are left
+    out, and a patch without any has NULL. ``mask`` may be None.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         span = range(-max_shift, max_shift + 1)
         for frame in frames:
             rows = []
-            for f, c, h, w in zip(frame[fine], frame[coarse], frame["h"], frame["w"], strict=True):
+            masks = frame[mask] if mask else [None] * len(frame)
+            for f, c, m, h, w in zip(frame[fine], frame[coarse], masks, frame["h"], frame["w"], strict=True):
                 a, b = (np.asarray(v, float).reshape(h, w) for v in (f, c))
-                best = (-1.0, 0, 0)
+                inside = np.isfinite(b) & (np.asarray(m, float).reshape(h, w) > 0.5 if m is not None else True)
+                best = (None, None, None)
                 for dy in span:
                     for dx in span:
-                        p = a[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)]
-                        q = b[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
-                        ok = ~(np.isnan(p) | np.isnan(q))
+                        # the cells of the coarse array that the shifted one covers, and where they come from
+                        at = (slice(max(dy, 0), h + min(dy, 0)), slice(max(dx, 0), w + min(dx, 0)))
+                        source = (slice(max(-dy, 0), h + min(-dy, 0)), slice(max(-dx, 0), w + min(-dx, 0)))
+                        p, q = a[source], b[at]
+                        ok = inside[at] & np.isfinite(p)
+                        if not ok.any():
+                            continue
                         x, y = (p >= threshold) & ok, (q >= threshold) & ok
-                        either = (x | y).sum()
-                        csi = (x & y).sum() / either if either else 0.0
-                        if csi > best[0] + 1e-12:
+                        csi = (x & y).sum() / max((x | y).sum(), 1)
+                        if best[0] is None or csi > best[0]:
                             best = (float(csi), dy, dx)
                 rows.append(best)
-            keep = [c for c in frame.columns if c not in (fine, coarse)]
-            yield frame[keep].assign(csi=[r[0] for r in rows], dy=[r[1] for r in rows], dx=[r[2] for r in rows])
+            keep = [c for c in frame.columns if c not in (fine, coarse, mask)]
+            found = {k: pd.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("csi", "Float64"), ("dy", "Int32"), ("dx", "Int32")))}
+            yield frame[keep].assign(**found)
 
-    keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema if f.name not in (fine, coarse)]
+    keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema if f.name not in (fine, coarse, mask)]
     return patches.mapInPandas(run, ", ".join([*keep, "csi double, dy int, dx int"]))
 
 
@@ -122,13 +132,20 @@ def coarse_baseline_scores(coarse: DataFrame, fine: DataFrame, keys: list[str],
     return score(pairs, config, by)
 
 
-def distribution_report(cells: DataFrame, by: list[str], values: list[str], bins: int = 20, low: float = -5.0, high: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    """Moments and quantiles, and a histogram, of each named column (as ``layer``)."""
+def distribution_report(cells: DataFrame, by: list[str], values: list[str], bins: int = 50, mask: str | None = "mask") -> tuple[DataFrame, DataFrame]:
+    """Moments and quantiles, and a histogram from least to largest value, of each named column (as ``layer``).
+
+    The last bin holds the largest value; a layer of one value has one bin. Empty bins have no row.
+    """
     pairs = ", ".join(f"'{v}', CAST(`{v}` AS DOUBLE)" for v in values)
-    long = cells.where(F.col("mask") > 0.5).select(*by, F.expr(f"stack({len(values)}, {pairs}) AS (layer, value)"))
+    rows = cells.where(F.col(mask) > 0.5) if mask else cells
+    long = rows.select(*by, F.expr(f"stack({len(values)}, {pairs}) AS (layer, value)"))
     keys = [*by, "layer"]
     moments = masked_stats(long, keys, "value", None).join(exact_percentiles(long, "value", [0, 1, 5, 25, 50, 75, 95, 99, 100], keys), keys)
-    return moments, histogram(long, "value", bins, low, high, keys)
+    ends = long.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
+    binned = long.where("value IS NOT NULL").join(ends, keys).withColumn("bin", F.when(F.col("high") > F.col("low"), F.least(place, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+    return moments, binned.groupBy(*keys, "low", "high", "bin").agg(F.count("*").alias("n"))
 
 
 def alignment_scores(fine: DataFrame, coarse: DataFrame, keys: list[str], s: int, threshold: float, most_per_time: int | None = None, least_wet: float = 0.01) -> DataFrame:

@@ -87,12 +87,13 @@ def gradient(cells: DataFrame, keys: list[str], value: str = "value", dx: float
 
 
 def hillshade(cells: DataFrame, keys: list[str], azimuth: float = 315.0, altitude: float = 45.0, value: str = "value", dx: float = 1.0) -> DataFrame:
-    """Shade in [0, 1] of the surface, lit from ``azimuth`` (degrees) at ``altitude``."""
+    """Shade in [0, 1] of the surface, lit from ``azimuth`` (degrees) at ``altitude``: the cosine of the
+    angle between the light and the surface's normal, from [-1, 1] to [0, 1]. A flat cell's aspect is 0."""
     out = gradient(cells, keys, value, dx)
-    az, alt = math.radians(360.0 - azimuth), math.radians(altitude)
+    az, alt = math.radians(azimuth), math.radians(altitude)
     slope = math.pi / 2 - F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
     aspect = F.atan2(-F.col("gx"), F.col("gy"))
-    shade = math.sin(alt) * F.sin(slope) + math.cos(alt) * F.cos(slope) * F.cos(az - math.pi / 2 - aspect)
+    shade = math.sin(alt) * F.sin(slope) + math.cos(alt) * F.cos(slope) * F.cos(az - aspect)
     return out.withColumn("shade", F.least(F.greatest((shade + 1) / 2, F.lit(0.0)), F.lit(1.0)))
 
 
@@ -105,7 +106,8 @@ def augment(cells: DataFrame, size: int, seed: int, row_id: str = "row_id", hfli
     """Flips and rotations of square patches, the same for all layers of a row.
 
     Columns, where present: value, u, v, aspect_sin, aspect_cos. A horizontal flip negates u and
-    aspect_sin, a vertical one v and aspect_cos; a quarter turn swaps the aspect parts. Patches
+    aspect_sin, a vertical one v and aspect_cos. A quarter turn, which comes last, is against the
+    clock: cell (y, x) goes to (size - 1 - x, y), and aspect (sin, cos) becomes (-cos, sin). Patches
     with velocities (u, v) are not turned.
     """
     cols = set(cells.columns)
@@ -116,9 +118,9 @@ def augment(cells: DataFrame, size: int, seed: int, row_id: str = "row_id", hfli
     y = F.when(fv, size - 1 - F.col("y")).otherwise(F.col("y"))
     sign = {"u": fh, "aspect_sin": fh, "v": fv, "aspect_cos": fv}
     out = cells.withColumns({"y": y, "x": x} | {c: F.when(f, -F.col(c)).otherwise(F.col(c)) for c, f in sign.items() if c in cols})
-    moved = {"y": F.when(turn, F.col("x")).otherwise(F.col("y")), "x": F.when(turn, F.col("y")).otherwise(F.col("x"))}
+    moved = {"y": F.when(turn, size - 1 - F.col("x")).otherwise(F.col("y")), "x": F.when(turn, F.col("y")).otherwise(F.col("x"))}
     if {"aspect_sin", "aspect_cos"} <= cols:
-        moved |= {"aspect_sin": F.when(turn, F.col("aspect_cos")).otherwise(F.col("aspect_sin")), "aspect_cos": F.when(turn, F.col("aspect_sin")).otherwise(F.col("aspect_cos"))}
+        moved |= {"aspect_sin": F.when(turn, -F.col("aspect_cos")).otherwise(F.col("aspect_sin")), "aspect_cos": F.when(turn, F.col("aspect_sin")).otherwise(F.col("aspect_cos"))}
     return out.withColumns(moved)
 
 

@@ -272,68 +272,98 @@ def charbonnier(cells: DataFrame, by: list[str], eps: float = 1e-12) -> DataFram
     return cells.groupBy(*by).agg(F.avg(F.sqrt(d * d + eps)).alias("loss"))
 
 
-def weighted_loss(cells: DataFrame, keys: list[str], tau: float, wet_weight: float = 1.0, excess_weight: float = 0.0, mode: str = "none", power: int = 1, most: float = 10.0, gain: float = 1.0) -> DataFrame:
-    """Masked mean of w * |d|^power, w = 1 + wet_weight * wet + excess_weight * g(target - tau), at most ``most``.
-
-    ``mode``: none, linear, power (square) or exp (exp(gain * excess) - 1) for g.
+def weighted_loss(
+    cells: DataFrame, keys: list[str], tau: float, wet_weight: float = 2.0, excess_weight: float = 1.0, mode: str = "exp", power: int = 1,
+    scale: float = 1.0, gamma: float = 1.0, least: float = 0.0, most: float = 20.0, minmax: bool = False,
+) -> DataFrame:
+    """Masked mean of w * |d|^power of each patch with a mask; w = 1 + wet_weight * wet + excess_weight * g, within [least, most].
+
+    g is a function of the target's excess over ``tau`` (a share of 1 - tau where values are scaled
+    to ``minmax``). ``mode``: none, linear, power ((excess / scale)^gamma), or exp, which saturates:
+    1 - exp(-excess / scale).
     """
     excess = F.greatest(_t() - tau, F.lit(0.0))
-    g = {"none": F.lit(0.0), "linear": excess, "power": excess * excess, "exp": F.exp(excess * gain) - 1}[mode]
-    w = F.least(1 + wet_weight * wet(_t(), tau).cast("double") + excess_weight * g, F.lit(most))
+    excess = excess / max(1 - tau, EPS) if minmax else excess
+    part = excess / max(scale, EPS)
+    g = {"none": F.lit(0.0), "linear": excess, "power": F.pow(part, F.lit(gamma)), "exp": 1 - F.exp(-part)}[mode]
+    w = F.greatest(F.least(1 + wet_weight * wet(_t(), tau).cast("double") + excess_weight * g, F.lit(most)), F.lit(least))
     d = F.abs(_p() - _t())
     return _per_patch(cells, keys, w * (d if power == 1 else d * d), _m())
 
 
-def band_loss(cells: DataFrame, by: list[str], tau: float, delta: float, kernel: str = "hard") -> DataFrame:
-    """|d| near the threshold: |target - tau| <= delta, weighted 1 or by a Gaussian of sigma delta / 2."""
-    far = F.abs(_t() - tau)
-    inside = _in() & (far <= delta)
-    w = F.lit(1.0) if kernel == "hard" else F.exp(-(far * far) / (2 * (delta / 2) ** 2))
-    return cells.groupBy(*by).agg(ratio(_sum(F.when(inside, F.abs(_p() - _t()) * w)), _count(inside)).alias("loss"))
+def _selected(cells: DataFrame, keys: list[str], value: Column, chosen: Column) -> DataFrame:
+    """Masked sum of ``value`` over the masked number of ``chosen`` cells, of each patch that has some."""
+    rows = cells.groupBy(*keys).agg(_sum(value * _m()).alias("_v"), _sum(F.when(chosen, _m())).alias("_w"))
+    return rows.where("_w > 0").select(*keys, (F.col("_v") / F.col("_w")).alias("loss"))
 
 
-def range_loss(cells: DataFrame, by: list[str], low: float | None, high: float | None, kind: str = "l1", beta: float = 1.0, low_in: bool = True, high_in: bool = False) -> DataFrame:
-    """Mean loss over cells whose target lies in a range."""
-    ok = _in()
+def band_loss(
+    cells: DataFrame, keys: list[str], tau: float, delta: float, kernel: str = "hard", sigma_ratio: float = 0.5, truncate: bool = True, edges: tuple[float, float] | None = None
+) -> DataFrame:
+    """|d| near the threshold, of each patch with cells in the band; average ``loss`` for the total.
+
+    The band is [max(0, tau - delta), tau + delta], or ``edges`` where values are not physical ones.
+    Cells weigh 1 (hard) or by a Gaussian around tau whose sigma is ``sigma_ratio`` of half the band;
+    without ``truncate`` cells outside weigh too. The sum is over the number of cells in the band.
+    """
+    low, high = edges or (max(0.0, tau - delta), tau + delta)
+    inside = (_t() >= low) & (_t() <= high)
+    if kernel == "hard":
+        w = F.when(inside, F.lit(1.0)).otherwise(F.lit(0.0))
+    else:
+        z = (_t() - tau) / (max(sigma_ratio, EPS) * max(abs(high - low) / 2, EPS) + EPS)
+        w = F.exp(-0.5 * z * z)
+        w = F.when(inside, w).otherwise(F.lit(0.0)) if truncate else w
+    return _selected(cells, keys, F.abs(_p() - _t()) * w, inside)
+
+
+def range_loss(cells: DataFrame, keys: list[str], low: float | None, high: float | None, kind: str = "l1", beta: float = 1.0, low_in: bool = True, high_in: bool = False) -> DataFrame:
+    """Mean loss over cells whose target lies in a range, of each patch that has such cells; average ``loss`` for the total."""
+    ok = F.lit(True)
     if low is not None:
         ok &= _t() >= low if low_in else _t() > low
     if high is not None:
         ok &= _t() <= high if high_in else _t() < high
     d = F.abs(_p() - _t())
     value = {"l1": d, "l2": d * d, "smooth_l1": F.when(d < beta, 0.5 * d * d / beta).otherwise(d - 0.5 * beta)}[kind]
-    return cells.groupBy(*by).agg(ratio(_sum(F.when(ok, value)), _count(ok)).alias("loss"))
+    return _selected(cells, keys, F.when(ok, value).otherwise(F.lit(0.0)), ok)
 
 
-def _bce(logit: Column, event: Column, pos_weight: float, focal: float) -> Column:
-    """Stable binary cross-entropy of a logit."""
+def _bce(logit: Column, event: Column, pos_weight: float, focal: float, alpha: float) -> Column:
+    """Stable binary cross-entropy of a logit; a focal one weighs events by alpha and others by 1 - alpha."""
     y = event.cast("double")
     soft = F.log1p(F.exp(-F.abs(logit)))
     loss = pos_weight * y * (F.greatest(-logit, F.lit(0.0)) + soft) + (1 - y) * (F.greatest(logit, F.lit(0.0)) + soft)
-    if focal:
+    if focal > 0:
         p = 1 / (1 + F.exp(-logit))
-        loss *= F.pow(1 - (y * p + (1 - y) * (1 - p)), focal)
+        loss = loss * F.pow(1 - (y * p + (1 - y) * (1 - p)), F.lit(focal)) * (alpha * y + (1 - alpha) * (1 - y))
     return loss
 
 
-def bce_loss(cells: DataFrame, by: list[str], channel: str, threshold: float, pos_weight: float = 1.0, focal: float = 0.0) -> DataFrame:
-    ok = F.col("mask") > 0.5
-    value = _bce(F.col(channel), wet(_t(), threshold), pos_weight, focal)
-    return cells.groupBy(*by).agg(ratio(_sum(F.when(ok, value)), _count(ok)).alias("loss"))
+def _logit_mask() -> Column:
+    return F.when(_t().isNotNull(), F.coalesce(F.col("mask").cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def bce_loss(cells: DataFrame, keys: list[str], channel: str, threshold: float, pos_weight: float = 1.0, focal: float = 0.0, alpha: float = 0.75) -> DataFrame:
+    """Cross-entropy of a logit with target >= threshold, of each patch with a mask; average ``loss`` for the total."""
+    return _per_patch(cells, keys, _bce(F.col(channel), wet(_t(), threshold), pos_weight, focal, alpha), _logit_mask())
 
 
-def ordinal_bce_loss(cells: DataFrame, by: list[str], thresholds: tuple[float, ...], channels: tuple[str, ...] = ("l1", "l2", "l3"), weights: tuple[float, ...] | None = None) -> DataFrame:
-    """Mean over the ordered thresholds of their cross-entropies."""
-    ok, weights = F.col("mask") > 0.5, weights or (1.0,) * len(channels)
-    value = sum(w * _bce(F.col(c), wet(_t(), x), 1.0, 0.0) for c, x, w in zip(channels, thresholds, weights, strict=True)) / sum(weights)
-    return cells.groupBy(*by).agg(ratio(_sum(F.when(ok, value)), _count(ok)).alias("loss"))
+def ordinal_bce_loss(
+    cells: DataFrame, keys: list[str], thresholds: tuple[float, ...], channels: tuple[str, ...] = ("l1", "l2", "l3"), weights: tuple[float, ...] | None = None,
+    pos_weights: tuple[float, ...] | None = None, focal: float = 0.0, alpha: float = 0.75,
+) -> DataFrame:
+    """Weighted sum of the ordered thresholds' cross-entropies, of each patch with a mask; average ``loss`` for the total."""
+    ones = (1.0,) * len(channels)
+    parts = zip(channels, thresholds, weights or ones, pos_weights or ones, strict=True)
+    value = sum((w * _bce(F.col(c), wet(_t(), x), pos, focal, alpha) for c, x, w, pos in parts), F.lit(0.0))
+    return _per_patch(cells, keys, value, _logit_mask())
 
 
-def prevalence_loss(cells: DataFrame, by: list[str], channel: str, threshold: float) -> DataFrame:
-    """Square of the mean probability less the share of events."""
-    ok = F.col("mask") > 0.5
-    n = _count(ok)
-    p = ratio(_sum(F.when(ok, 1 / (1 + F.exp(-F.col(channel))))), n)
-    return cells.groupBy(*by).agg(F.pow(p - ratio(_count(ok & wet(_t(), threshold)).cast("double"), n), 2).alias("loss"))
+def prevalence_loss(cells: DataFrame, keys: list[str], channel: str, threshold: float) -> DataFrame:
+    """Square of the mean probability less the share of events, of each patch with a mask; average ``loss`` for the total."""
+    gap = 1 / (1 + F.exp(-F.col(channel))) - wet(_t(), threshold).cast("double")
+    return _per_patch(cells, keys, gap, _logit_mask()).withColumn("loss", F.col("loss") * F.col("loss"))
 
 
 def psnr(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", most: float = 255.0) -> DataFrame:

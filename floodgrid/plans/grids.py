@@ -140,18 +140,30 @@ def _grad(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN lead(target) {w} - target WHEN {b} = 7 THEN target - lag(target) {w} ELSE (lead(target) {w} - lag(target) {w}) / 2 END"
 
 
-@query(f"{CELLS_SQL}, g AS (SELECT vec_id, y, x, {_grad('x', 'y')} AS gy, {_grad('y', 'x')} AS gx FROM cells) SELECT vec_id, y, x, round(least(greatest((sin(radians(45)) * sin(pi() / 2 - atan(sqrt(gx * gx + gy * gy))) + cos(radians(45)) * cos(pi() / 2 - atan(sqrt(gx * gx + gy * gy))) * cos(radians(45) - pi() / 2 - atan2(-gx, gy)) + 1) / 2, 0), 1), 6) AS shade FROM g")
+def _shade(azimuth: int) -> str:
+    slope = "(pi() / 2 - atan(sqrt(gx * gx + gy * gy)))"
+    return f"round(least(greatest((sin(radians(45)) * sin{slope} + cos(radians(45)) * cos{slope} * cos(radians({azimuth}) - atan2(-gx, gy)) + 1) / 2, 0), 1), 6)"
+
+
+@query(f"{CELLS_SQL}, g AS (SELECT vec_id, y, x, {_grad('x', 'y')} AS gy, {_grad('y', 'x')} AS gx FROM cells) SELECT vec_id, y, x, {_shade(315)} AS shade, {_shade(20)} AS shade_20 FROM g")
 def r13_hillshade(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.hillshade(cells(spark, sf), ["vec_id"], value="target").select("vec_id", "y", "x", "shade"))
+    """Lit from the north-west, and from just east of north."""
+    out = R.hillshade(cells(spark, sf), ["vec_id"], value="target").select("vec_id", "y", "x", "target", F.col("shade").alias("first"))
+    out = R.hillshade(out, ["vec_id"], 20.0, value="target")
+    return rounded(out.select("vec_id", "y", "x", F.col("first").alias("shade"), F.col("shade").alias("shade_20")))
 
 
 def _coin(what: str) -> str:
     return f"(md5('7:{what}:' || vec_id)[1] >= '8')"
 
 
-@query(f"{CELLS_SQL}, f AS (SELECT vec_id, target, CASE WHEN {_coin('v')} THEN 7 - y ELSE y END AS y, CASE WHEN {_coin('h')} THEN 7 - x ELSE x END AS x, {_coin('r')} AS r FROM cells) SELECT vec_id, CASE WHEN r THEN x ELSE y END AS y, CASE WHEN r THEN y ELSE x END AS x, round(target, 6) AS target FROM f")
+@query(f"""{CELLS_SQL}, f AS (SELECT vec_id, target, CASE WHEN {_coin('v')} THEN 7 - y ELSE y END AS y, CASE WHEN {_coin('h')} THEN 7 - x ELSE x END AS x, {_coin('r')} AS r,
+CASE WHEN {_coin('h')} THEN -u ELSE u END AS s, CASE WHEN {_coin('v')} THEN -pred ELSE pred END AS c FROM cells)
+SELECT vec_id, CASE WHEN r THEN 7 - x ELSE y END AS y, CASE WHEN r THEN y ELSE x END AS x, round(target, 6) AS target,
+round(CASE WHEN r THEN -c ELSE s END, 6) + 0 AS aspect_sin, round(CASE WHEN r THEN s ELSE c END, 6) + 0 AS aspect_cos FROM f""")
 def r14_augment(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.augment(cells(spark, sf).select("vec_id", "y", "x", "target"), 8, 7, "vec_id"))
+    c = cells(spark, sf).select("vec_id", "y", "x", "target", F.col("u").alias("aspect_sin"), F.col("pred").alias("aspect_cos"))
+    return rounded(R.augment(c, 8, 7, "vec_id"))
 
 
 @query(f"{CELLS_SQL} SELECT vec_id, y - 2 AS y, x - 2 AS x, round(target, 6) AS target FROM cells WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5")

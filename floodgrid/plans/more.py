@@ -58,6 +58,20 @@ def j6_place_on_canvas(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(J.place_on_canvas(static, 2.0, -1.0, 12, 9).select("y", "x", "z"))
 
 
+@query("""WITH s AS (SELECT CAST(s_suppkey // 10 AS INT) AS y, CAST(s_suppkey % 10 AS INT) AS x, s_acctbal AS z FROM supplier),
+ax AS (SELECT unnest(range(12)) AS i), ks AS (SELECT unnest(range(10)) AS j),
+near AS (SELECT i, j, abs(3.1::DOUBLE + 0.6::DOUBLE * i - j) AS d FROM ax, ks),
+xs AS (SELECT i AS x, CASE WHEN 3.1::DOUBLE + 0.6::DOUBLE * i BETWEEN 0 AND 9 THEN (array_agg(j ORDER BY round(d, 9), j))[1] END AS sx FROM near GROUP BY i),
+c AS (SELECT ys.x AS y, xs.x AS x, CASE WHEN ys.x < 10 THEN 9 - ys.x END AS sy, xs.sx AS sx FROM xs ys, xs)
+SELECT CAST(c.y AS INT) AS y, CAST(c.x AS INT) AS x, round(s.z, 6) AS z FROM c LEFT JOIN s ON s.y = c.sy AND s.x = c.sx""")
+def j6_place_on_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """A finer axis beside the static one, and one that runs the other way."""
+    k = F.col("s_suppkey")
+    static = table(spark, sf, "supplier").select(F.floor(k / 10).cast("int").alias("y"), (k % 10).cast("int").alias("x"), F.col("s_acctbal").alias("z"))
+    ten = [float(i) for i in range(10)]
+    return rounded(J.place_on_axes(static, [3.1 + 0.6 * i for i in range(12)], [9.0 - i for i in range(12)], ten, ten).select("y", "x", "z"))
+
+
 @query(f"{CELLS_SQL}, p AS (SELECT c_custkey AS id, CAST(floor((c_custkey % 70) / 10.0::DOUBLE + 0.5::DOUBLE) AS INT) AS x, CAST(floor((c_custkey * 3 % 70) / 10.0::DOUBLE + 0.5::DOUBLE) AS INT) AS y FROM customer), s AS (SELECT x, y, count(*) AS n, avg(target) AS mean FROM cells GROUP BY x, y) SELECT id, n, round(mean, 6) AS mean FROM p JOIN s USING (x, y)")
 def j11_sample_at_points(spark: SparkSession, sf: str) -> DataFrame:
     """Each gauge with the size and mean of its nearest cell's series."""

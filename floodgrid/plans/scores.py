@@ -213,9 +213,32 @@ def p17_coarse_baseline_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(patchwise.coarse_baseline_scores(coarse, fine.drop("pred"), KEYS, 2, {"rmse": {"type": "rmse"}}, ["scenario"], "bilinear", (4, 4)))
 
 
-@query(f"{CELLS_SQL}, long AS (SELECT scenario, unnest(['target', 'pred']) AS layer, unnest([target, pred]) AS v FROM cells WHERE mask = 1) SELECT scenario, layer, count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v) + {_EPS}, 6) AS std, [round(q, 6) FOR q IN quantile_cont(v, [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1])] AS percentiles FROM long GROUP BY scenario, layer")
+_LAYERS = ("coarse", "target", "pred", "error", "square")
+# a block of the coarse grid counts where any of its fine cells does
+_LONG = f"""long AS (
+  SELECT scenario, unnest(['target', 'pred', 'error', 'square']) AS layer, unnest([target, pred, {_D}, {_D} * {_D}]) AS v FROM cells WHERE mask = 1
+  UNION ALL SELECT scenario, 'coarse', v FROM (SELECT scenario, avg(target) AS v, max(mask) AS mask FROM cells GROUP BY {', '.join(KEYS)}, y // 2, x // 2) WHERE mask = 1
+)"""
+
+
+def _reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Distributions of the coarse map, both fine ones, their error and its square."""
+    fine = cells(spark, sf)
+    layers = fine.withColumns({"error": F.col("pred") - F.col("target"), "square": (F.col("pred") - F.col("target")) * (F.col("pred") - F.col("target"))})
+    two = {"y": F.floor(F.col("y") / 2), "x": F.floor(F.col("x") / 2)}
+    coarse = fine.withColumns(two).groupBy(*KEYS, "y", "x").agg(F.avg("target").alias("coarse"), F.max("mask").alias("mask"))
+    both = [patchwise.distribution_report(layers, ["scenario"], list(_LAYERS[1:])), patchwise.distribution_report(coarse, ["scenario"], ["coarse"])]
+    return both[0][0].unionByName(both[1][0]), both[0][1].unionByName(both[1][1])
+
+
+@query(f"{CELLS_SQL}, {_LONG} SELECT scenario, layer, count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v) + {_EPS}, 6) AS std, [round(q, 6) FOR q IN quantile_cont(v, [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1])] AS percentiles FROM long GROUP BY scenario, layer")
 def p18_distribution_report(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(patchwise.distribution_report(cells(spark, sf), ["scenario"], ["target", "pred"])[0])
+    return rounded(_reports(spark, sf)[0])
+
+
+@query(f"{CELLS_SQL}, {_LONG}, e AS (SELECT scenario, layer, min(v) AS low, max(v) AS high FROM long GROUP BY ALL), b AS (SELECT l.scenario, l.layer, low, high, CASE WHEN high > low THEN least(floor((v - low) / (high - low) * 50), 49) ELSE 0 END::INT AS bin FROM long l JOIN e ON l.scenario = e.scenario AND l.layer = e.layer) SELECT scenario, layer, round(low, 6) AS low, round(high, 6) AS high, bin, count(*) AS n FROM b GROUP BY ALL")
+def p18_distribution_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_reports(spark, sf)[1])
 
 
 _AL = f"al AS (SELECT {', '.join(KEYS)}, cy, cx, avg(target) AS target, avg(pred) AS pred FROM (SELECT *, y // 2 AS cy, x // 2 AS cx FROM cells) GROUP BY ALL)"
@@ -234,20 +257,24 @@ _SH = ", ".join(KEYS)
 
 @query(f"""{CELLS_SQL}, sh AS (SELECT unnest(range(-1, 2)) AS dy), sh2 AS (SELECT dy, unnest(range(-1, 2)) AS dx FROM sh),
 pairs AS (SELECT {', '.join(f'a.{k}' for k in KEYS)}, dy, dx, a.target >= 0.1::DOUBLE AS p, b.pred >= 0.1::DOUBLE AS q
-  FROM sh2, cells a JOIN cells b ON {' AND '.join(f'a.{k} = b.{k}' for k in KEYS)} AND a.y = b.y + dy AND a.x = b.x + dx),
+  FROM sh2, cells a JOIN cells b ON {' AND '.join(f'a.{k} = b.{k}' for k in KEYS)} AND b.y = a.y + dy AND b.x = a.x + dx AND b.mask = 1),
 s AS (SELECT {_SH}, dy, dx, coalesce(count(*) FILTER (WHERE p AND q) / nullif(count(*) FILTER (WHERE p OR q), 0), 0) AS csi FROM pairs GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY {_SH} ORDER BY round(csi, 10) DESC, dy, dx) AS n FROM s)
 SELECT {_SH}, round(csi, 6) AS csi, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx FROM best WHERE n = 1""")
 def p20_best_shift(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf).select(*KEYS, F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("target").alias("fine"), F.col("pred").alias("coarse"))
-    return rounded(patchwise.best_shift(v, 0.1, 1).select(*KEYS, "csi", "dy", "dx"))
+    """Over the 9 shifts by one cell."""
+    return _best_shift(spark, sf, 1)
 
 
 @query(SQL["p20_best_shift"].replace("range(-1, 2)", "range(-3, 4)"))
 def p20_best_shift_full(spark: SparkSession, sf: str) -> DataFrame:
-    """As p20_best_shift, over all 49 shifts."""
-    v = vectors(spark, sf).select(*KEYS, F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("target").alias("fine"), F.col("pred").alias("coarse"))
-    return rounded(patchwise.best_shift(v, 0.1).select(*KEYS, "csi", "dy", "dx"))
+    """Over all 49 shifts."""
+    return _best_shift(spark, sf, 3)
+
+
+def _best_shift(spark: SparkSession, sf: str, most: int) -> DataFrame:
+    v = vectors(spark, sf).select(*KEYS, F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("target").alias("fine"), F.col("pred").alias("coarse"), "mask")
+    return rounded(patchwise.best_shift(v, 0.1, most).select(*KEYS, "csi", "dy", "dx"))
 
 
 def _mean_loss(value: str) -> str:
@@ -269,41 +296,89 @@ def p21_charbonnier(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.charbonnier(cells(spark, sf), ["scenario"]))
 
 
-@query(_mean_loss(f"abs({_D}) * least(1 + 2 * (target >= 0.1::DOUBLE)::INT + 0.5::DOUBLE * greatest(target - 0.1::DOUBLE, 0), 10)"))
+_EXCESS = "greatest(target - 0.1::DOUBLE, 0)"
+_WEIGHT = "least(greatest(1 + 2 * (target >= 0.1::DOUBLE)::INT + 0.5::DOUBLE * {g}, 1.2::DOUBLE), 3.4::DOUBLE)"
+
+
+def _weighted(spark: SparkSession, sf: str, mode: str, power: int = 1) -> DataFrame:
+    loss = S.weighted_loss(cells(spark, sf), KEYS, 0.1, wet_weight=2.0, excess_weight=0.5, mode=mode, power=power, scale=0.4, gamma=1.5, least=1.2, most=3.4)
+    return rounded(loss.groupBy("scenario").agg(F.avg("loss").alias("loss")))
+
+
+@query(_mean_loss(f"abs({_D}) * {_WEIGHT.format(g=_EXCESS)}"))
 def p22_weighted_l1(spark: SparkSession, sf: str) -> DataFrame:
-    loss = S.weighted_loss(cells(spark, sf), KEYS, 0.1, wet_weight=2.0, excess_weight=0.5, mode="linear")
+    return _weighted(spark, sf, "linear")
+
+
+@query(_mean_loss(f"abs({_D}) * {_WEIGHT.format(g=f'(1 - exp(-{_EXCESS} / 0.4::DOUBLE))')}"))
+def p22_weighted_l1_exp(spark: SparkSession, sf: str) -> DataFrame:
+    return _weighted(spark, sf, "exp")
+
+
+@query(_mean_loss(f"{_D} * {_D} * {_WEIGHT.format(g=f'pow({_EXCESS} / 0.4::DOUBLE, 1.5::DOUBLE)')}"))
+def p22_weighted_l2_power(spark: SparkSession, sf: str) -> DataFrame:
+    return _weighted(spark, sf, "power", 2)
+
+
+def _selected_loss(value: str, chosen: str) -> str:
+    """The mean over patches of a sum over the masked cells by the number of chosen ones."""
+    return (
+        f"{CELLS_SQL}, p AS (SELECT {', '.join(KEYS)}, sum(mask * ({value})) AS v, {_n(chosen)} AS w FROM cells GROUP BY ALL)"
+        " SELECT scenario, round(avg(v / w), 6) AS loss FROM p WHERE w > 0 GROUP BY scenario"
+    )
+
+
+_BAND = "target >= 0.0::DOUBLE AND target <= 0.3::DOUBLE"
+_GAUSS = f"abs({_D}) * exp(-0.5::DOUBLE * pow((target - 0.1::DOUBLE) / (0.7::DOUBLE * 0.15::DOUBLE + {_EPS}), 2))"
+
+
+def _per_scenario(loss: DataFrame) -> DataFrame:
     return rounded(loss.groupBy("scenario").agg(F.avg("loss").alias("loss")))
 
 
-@query(_by(["scenario"], {"loss": _ratio("sum(abs(pred - target) * exp(-(abs(target - 0.5::DOUBLE) * abs(target - 0.5::DOUBLE)) / (2 * 0.01::DOUBLE))) FILTER (WHERE mask = 1 AND abs(target - 0.5::DOUBLE) <= 0.2::DOUBLE)", _n("abs(target - 0.5::DOUBLE) <= 0.2::DOUBLE"))}))
+@query(_selected_loss(f"CASE WHEN {_BAND} THEN {_GAUSS} ELSE 0 END", _BAND))
 def p23_band_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.band_loss(cells(spark, sf), ["scenario"], 0.5, 0.2, "gaussian"))
+    return _per_scenario(S.band_loss(cells(spark, sf), KEYS, 0.1, 0.2, "gaussian", sigma_ratio=0.7))
+
 
+@query(_selected_loss(_GAUSS, _BAND))
+def p23_band_loss_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The Gaussian is not cut at the band's edges."""
+    return _per_scenario(S.band_loss(cells(spark, sf), KEYS, 0.1, 0.2, "gaussian", sigma_ratio=0.7, truncate=False))
 
-@query(_by(["scenario"], {"loss": _ratio("sum(CASE WHEN abs(pred - target) < 0.1::DOUBLE THEN 0.5::DOUBLE * (pred - target) * (pred - target) / 0.1::DOUBLE ELSE abs(pred - target) - 0.05::DOUBLE END) FILTER (WHERE mask = 1 AND target >= 0.1::DOUBLE AND target < 0.5::DOUBLE)", _n(_BT))}))
+
+@query(_selected_loss(f"CASE WHEN {_BT} THEN CASE WHEN abs(pred - target) < 0.1::DOUBLE THEN 0.5::DOUBLE * (pred - target) * (pred - target) / 0.1::DOUBLE ELSE abs(pred - target) - 0.05::DOUBLE END ELSE 0 END", _BT))
 def p24_range_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.range_loss(cells(spark, sf), ["scenario"], 0.1, 0.5, "smooth_l1", 0.1))
+    return _per_scenario(S.range_loss(cells(spark, sf), KEYS, 0.1, 0.5, "smooth_l1", 0.1))
 
 
-def _bce(c: str, t: str) -> str:
+def _bce(c: str, t: str, pos: str = "1") -> str:
     y = f"(target >= {t}::DOUBLE)::INT"
     soft = f"ln(1 + exp(-abs({c})))"
-    return f"({y} * (greatest(-{c}, 0) + {soft}) + (1 - {y}) * (greatest({c}, 0) + {soft}))"
+    return f"({pos} * {y} * (greatest(-{c}, 0) + {soft}) + (1 - {y}) * (greatest({c}, 0) + {soft}))"
 
 
-@query(_by(["scenario"], {"loss": _ratio(f"sum({_bce('l1', '0.1')}) FILTER (WHERE mask = 1)", _N)}))
+@query(_mean_loss(_bce("l1", "0.1")))
 def p25_bce_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.bce_loss(cells(spark, sf), ["scenario"], "l1", 0.1))
+    return _per_scenario(S.bce_loss(cells(spark, sf), KEYS, "l1", 0.1))
+
+
+_Y, _P = "(target >= 0.1::DOUBLE)::INT", "(1 / (1 + exp(-l1)))"
+
+
+@query(_mean_loss(f"{_bce('l1', '0.1', '3')} * pow(1 - ({_Y} * {_P} + (1 - {_Y}) * (1 - {_P})), 2) * (0.75::DOUBLE * {_Y} + 0.25::DOUBLE * (1 - {_Y}))"))
+def p25_focal_bce_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return _per_scenario(S.bce_loss(cells(spark, sf), KEYS, "l1", 0.1, pos_weight=3.0, focal=2.0))
 
 
-@query(_by(["scenario"], {"loss": _ratio(f"sum(({_bce('l1', '0.1')} + {_bce('l2', '0.5')} + {_bce('l3', '1.0')}) / 3) FILTER (WHERE mask = 1)", _N)}))
+@query(_mean_loss(f"({_bce('l1', '0.1')} + 2 * {_bce('l2', '0.5')} + 0.5::DOUBLE * {_bce('l3', '1.0')})"))
 def p25_ordinal_bce_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.ordinal_bce_loss(cells(spark, sf), ["scenario"], (0.1, 0.5, 1.0)))
+    return _per_scenario(S.ordinal_bce_loss(cells(spark, sf), KEYS, (0.1, 0.5, 1.0), weights=(1.0, 2.0, 0.5)))
 
 
-@query(_by(["scenario"], {"loss": f"pow({_ratio('sum(1 / (1 + exp(-l1))) FILTER (WHERE mask = 1)', _N)} - {_ratio(_n(_TW), _N)}, 2)"}))
+@query(f"{CELLS_SQL}, p AS (SELECT {', '.join(KEYS)}, sum(mask * ({_P} - {_Y})) / sum(mask) AS gap FROM cells GROUP BY ALL HAVING sum(mask) > 0) SELECT scenario, round(avg(gap * gap), 6) AS loss FROM p GROUP BY scenario")
 def p25_prevalence_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.prevalence_loss(cells(spark, sf), ["scenario"], "l1", 0.1))
+    return _per_scenario(S.prevalence_loss(cells(spark, sf), KEYS, "l1", 0.1))
 
 
 @query(f"{CELLS_SQL}, d AS (SELECT {', '.join(KEYS)}, abs(lead(target) OVER (PARTITION BY {', '.join(KEYS)}, x ORDER BY y) - target) AS d, abs(lead(target) OVER (PARTITION BY {', '.join(KEYS)}, y ORDER BY x) - target) AS r FROM cells) SELECT {', '.join(KEYS)}, round(avg(d) + avg(r), 6) AS tv FROM d GROUP BY ALL")

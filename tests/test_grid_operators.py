@@ -231,8 +231,135 @@ def test_best_shift_finds_the_move(spark):
     b = np.zeros_like(a)
     b[:-1, 2:] = a[1:, :-2]  # b is a moved by (-1, 2)
     df = spark.createDataFrame([(1, 12, 12, a.ravel().tolist(), b.ravel().tolist())], "k int, h int, w int, fine array<double>, coarse array<double>")
-    r = V.best_shift(df, 0.5, 3).first()
-    assert (r["dy"], r["dx"], r["csi"]) == (1, -2, 1.0)
+    r = V.best_shift(df, 0.5, 3, mask=None).first()
+    assert (r["dy"], r["dx"], r["csi"]) == (-1, 2, 1.0)
+
+
+def test_best_shift_with_masks_and_gaps(spark):
+    """Against every shift of the fine array, done the plain way."""
+    rng = np.random.default_rng(13)
+    rows, want = [], {}
+    for i in range(12):
+        fine, coarse, mask = rng.random((7, 6)), rng.random((7, 6)), (rng.random((7, 6)) > 0.3).astype(int)
+        fine[rng.random((7, 6)) > 0.8] = np.nan
+        if i == 0:
+            mask[:] = 0
+        best = None
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                moved = np.full((7, 6), np.nan)
+                for y in range(7):
+                    for x in range(6):
+                        if 0 <= y - dy < 7 and 0 <= x - dx < 6:
+                            moved[y, x] = fine[y - dy, x - dx]
+                ok = (mask == 1) & np.isfinite(moved)
+                p, t = (coarse >= 0.5) & ok, (moved >= 0.5) & ok
+                csi = (p & t).sum() / max((p | t).sum(), 1)
+                if ok.any() and (best is None or csi > best[0]):
+                    best = (csi, dy, dx)
+        want[i] = best or (None, None, None)
+        rows.append((i, 7, 6, fine.ravel().tolist(), coarse.ravel().tolist(), mask.ravel().tolist()))
+    df = spark.createDataFrame(rows, "k int, h int, w int, fine array<double>, coarse array<double>, mask array<int>")
+    assert {r["k"]: (r["csi"], r["dy"], r["dx"]) for r in V.best_shift(df, 0.5, 2).collect()} == want
+
+
+def test_hillshade_is_the_light_on_the_surface(spark):
+    z = np.random.default_rng(14).random((6, 9)) * 3
+    gy, gx = np.gradient(z)
+    df = spark.createDataFrame([(1, y, x, float(z[y, x])) for y in range(6) for x in range(9)], "k int, y int, x int, value double")
+    for azimuth, altitude in ((0, 45), (90, 30), (315, 45), (200, 80)):
+        light = np.array([np.sin(np.radians(azimuth)), np.cos(np.radians(azimuth)), 0]) * np.cos(np.radians(altitude)) + np.array([0, 0, np.sin(np.radians(altitude))])
+        normal = np.stack([-gx, gy, np.ones_like(z)], -1) / np.sqrt(1 + gx**2 + gy**2)[..., None]
+        want = np.clip((normal @ light + 1) / 2, 0, 1)
+        got = {(r["y"], r["x"]): r["shade"] for r in R.hillshade(df, ["k"], azimuth, altitude).collect()}
+        assert all(got[y, x] == pytest.approx(want[y, x]) for y in range(6) for x in range(9))
+
+
+def test_augment_turns_as_numpy(spark):
+    rng = np.random.default_rng(15)
+    n, rows, layers = 5, [], {}
+    for i in range(24):
+        layers[i] = rng.random((3, n, n))
+        rows += [(i, y, x, *(float(v) for v in layers[i][:, y, x])) for y in range(n) for x in range(n)]
+    df = spark.createDataFrame(rows, "row_id int, y int, x int, value double, aspect_sin double, aspect_cos double")
+    got = {k: np.zeros((3, n, n)) for k in layers}
+    for r in R.augment(df, n, 3).collect():
+        got[r["row_id"]][:, r["y"], r["x"]] = r["value"], r["aspect_sin"], r["aspect_cos"]
+    seen = set()
+    for i, (value, s, c) in layers.items():
+        for flips in range(8):
+            a, b, d = value, s, c
+            if flips & 1:
+                a, b, d = a[:, ::-1], -b[:, ::-1], d[:, ::-1]
+            if flips & 2:
+                a, b, d = a[::-1], b[::-1], -d[::-1]
+            if flips & 4:
+                a, b, d = np.rot90(a), -np.rot90(d), np.rot90(b)
+            if np.array_equal(got[i][0], a):
+                assert np.array_equal(got[i][1], b) and np.array_equal(got[i][2], d)
+                seen.add(flips)
+                break
+        else:
+            raise AssertionError(i)
+    assert len(seen) > 4
+
+
+def test_canvas_of_two_axes(spark):
+    static = spark.createDataFrame([(y, x, float(10 * y + x)) for y in range(3) for x in range(4)], "y int, x int, z double")
+    # whole cells apart: a shift; y runs the other way
+    got = {(r["y"], r["x"]): r["z"] for r in J.place_on_axes(static, [1.0, 2.0, 3.0, 4.0, 5.0], [30.0, 20.0, 10.0], [2.0, 3.0, 4.0, 5.0], [10.0, 20.0, 30.0]).collect()}
+    assert got == {(i, j): float(10 * (2 - i) + j - 1) if j else None for i in range(3) for j in range(5)}
+    # irregular: the nearest along each axis, the lower of two, nothing outside
+    assert J.nearest_on_axis([-0.1, 0.0, 0.5, 0.51, 2.4, 3.0, 3.1], [0.0, 1.0, 3.0]) == [None, 0, 0, 1, 2, 2, None]
+    assert J.nearest_on_axis([4.0, 5.0], [5.0]) == [None, 0]
+
+
+def test_losses_of_patches(spark):
+    """Each loss is the mean over patches of a patch's own ratio."""
+    rng = np.random.default_rng(16)
+    pred, target, logit, mask = rng.random((4, 30)) * 2, rng.random((4, 30)) * 2, rng.normal(0, 2, (4, 30)), rng.random((4, 30)) > 0.4
+    mask[3] = False
+    rows = [(k, i, float(pred[k, i]), float(target[k, i]), int(mask[k, i]), float(logit[k, i])) for k in range(4) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, x int, pred double, target double, mask int, l1 double").withColumns({"l2": F.col("l1") - 1, "l3": F.col("l1") - 2})
+
+    def total(loss):
+        found = {r["k"]: r["loss"] for r in loss.collect()}
+        assert 3 not in found
+        return np.mean(list(found.values()))
+
+    def mean(value, chosen=True):
+        num, den = (value * mask).sum(1), (np.broadcast_to(chosen, mask.shape) & mask).sum(1)
+        return np.mean(num[den > 0] / den[den > 0])
+
+    d, excess, wet = np.abs(pred - target), np.maximum(target - 0.4, 0), target >= 0.4
+    for mode, g in {"none": 0 * excess, "linear": excess, "power": (excess / 0.3) ** 1.7, "exp": 1 - np.exp(-excess / 0.3)}.items():
+        w = np.clip(1 + 0.5 * wet + 2 * g, 1.1, 4)
+        got = S.weighted_loss(df, ["k"], 0.4, 0.5, 2.0, mode, scale=0.3, gamma=1.7, least=1.1, most=4.0)
+        assert total(got) == pytest.approx(mean(d * w))
+    assert total(S.weighted_loss(df, ["k"], 0.4, mode="linear", power=2, minmax=True)) == pytest.approx(mean(d**2 * np.clip(1 + 2 * wet + excess / 0.6, 0, 20)))
+    inside = (target >= 0) & (target <= 0.9)
+    bell = np.exp(-0.5 * ((target - 0.4) / (0.5 * 0.45)) ** 2)
+    assert total(S.band_loss(df, ["k"], 0.4, 0.5)) == pytest.approx(mean(d * inside, inside))
+    assert total(S.band_loss(df, ["k"], 0.4, 0.5, "gaussian")) == pytest.approx(mean(d * bell * inside, inside))
+    assert total(S.band_loss(df, ["k"], 0.4, 0.5, "gaussian", truncate=False)) == pytest.approx(mean(d * bell, inside))
+    low = (target > 0.5) & (target <= 1.2)
+    assert total(S.range_loss(df, ["k"], 0.5, 1.2, "l2", low_in=False, high_in=True)) == pytest.approx(mean(d**2 * low, low))
+    p = 1 / (1 + np.exp(-logit))
+    plain = -np.where(wet, 3 * np.log(p), np.log(1 - p))
+    assert total(S.bce_loss(df, ["k"], "l1", 0.4, pos_weight=3.0)) == pytest.approx(mean(plain))
+    focal = plain * np.where(wet, 0.7 * (1 - p) ** 2, 0.3 * p**2)
+    assert total(S.bce_loss(df, ["k"], "l1", 0.4, 3.0, focal=2.0, alpha=0.7)) == pytest.approx(mean(focal))
+    parts = [(logit, target >= 0.4, 1.0), (logit - 1, target >= 0.8, 2.0), (logit - 2, target >= 1.0, 0.5)]
+    ordered = sum(w * -np.where(t, -np.log1p(np.exp(-z)), -np.log1p(np.exp(z))) for z, t, w in parts)
+    assert total(S.ordinal_bce_loss(df, ["k"], (0.4, 0.8, 1.0), weights=(1.0, 2.0, 0.5))) == pytest.approx(mean(ordered))
+    gap = [((p[k] - wet[k]) * mask[k]).sum() / mask[k].sum() for k in range(3)]
+    assert total(S.prevalence_loss(df, ["k"], "l1", 0.4)) == pytest.approx(np.mean(np.square(gap)))
+
+
+def test_event_duration_drops_bad_names(spark):
+    rows = [(n, [1.0], [2.0], [7]) for n in ("12", "-3", " 4 ", "1.5", "missing", "Is missing here", "Fine")]
+    b = spark.createDataFrame(rows, "name string, tocs array<double>, flows array<double>, reaches array<long>")
+    assert sorted(r["name"] for r in H.event_duration(b, [6]).collect()) == ["1.5", "Fine"]
 
 
 def test_losses(spark):
@@ -507,8 +634,8 @@ def test_best_shift_query_finds_a_move_of_three(spark, monkeypatch):
     target, pred = np.zeros((8, 8)), np.zeros((8, 8))
     target[[4, 5, 5], [2, 2, 3]] = 1.0
     pred[[1, 2, 2], [4, 4, 5]] = 1.0
-    row = (*["k"] * len(scores.KEYS), target.ravel().tolist(), pred.ravel().tolist())
-    moved = spark.createDataFrame([row], [*scores.KEYS, "target", "pred"])
+    row = (*["k"] * len(scores.KEYS), target.ravel().tolist(), pred.ravel().tolist(), [1] * 64)
+    moved = spark.createDataFrame([row], [*scores.KEYS, "target", "pred", "mask"])
     monkeypatch.setattr(scores, "vectors", lambda spark, sf: moved)
     r = scores.p20_best_shift_full(spark, "").first()
-    assert (r["csi"], r["dy"], r["dx"]) == (1.0, 3, -2)
+    assert (r["csi"], r["dy"], r["dx"]) == (1.0, -3, 2)
