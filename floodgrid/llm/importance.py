@@ -1,9 +1,13 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models (words and word pairs, lower case, split where letters meet other signs)
-are counted: one over all documents (raw), one over labelled good ones (target). The log of their
-ratio, smoothed towards 0 where a bucket is rare, weighs each document; Gumbel noise is added and
-the k largest sums are kept, which samples k documents in proportion to their weights.
+are counted: one over all documents (raw), one over labelled good ones (target). A document's log
+weight is the sum over its n-grams of the log of their ratio, smoothed towards 0 where a bucket is
+rare; words that are surely rare in good documents count ``doubt`` times more, since one such word
+tells more than the model of independent words allows for. Standard Gumbel noise is added and the k
+largest sums are kept, which samples k documents without replacement in proportion to their weights.
+Sums of long texts differ by far more than the noise does: what it decides are short texts and those
+near the k-th place.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .text import Scratch, Text, bucket_counts, map_batches, mix, ngrams, quoted, slices, unused
+from .text import Text, bucket_counts, map_batches, mix, ngrams, quoted, slices, written
 
 
 @dataclass(frozen=True)
@@ -24,17 +29,18 @@ class ImportanceConfig:
     """bits: buckets of each model are 2^bits. labelled: at most about so many labelled rows are
     used (a hash of the id decides). holdout: share of them that calibrates k instead of fitting.
     keep_clean: share of the held-out good documents that k must leave room for. temperature:
-    scale of the Gumbel noise. prior_words, prior_pairs: pseudo-counts. sure: log-ratios below
-    -sure count as evidence against a text on their own."""
+    scale of the Gumbel noise; 1 samples in proportion to the weights. prior_words, prior_pairs:
+    pseudo-counts. doubt: how often what a word's log-ratio has below -sure is added again."""
 
     bits: int = 17
     labelled: int = 50_000
     holdout: float = 0.25
     keep_clean: float = 0.98
-    temperature: float = 0.02
+    temperature: float = 1.0
     prior_words: float = 1.0
     prior_pairs: float = 3.0
     sure: float = 1.0
+    doubt: float = 10.0
     seed: int = 0
 
 
@@ -80,14 +86,12 @@ def fit(docs: DataFrame, target_ids: np.ndarray, cfg: ImportanceConfig) -> tuple
 
 
 def weigh(column: pa.Array, ratios: tuple[np.ndarray, np.ndarray], cfg: ImportanceConfig) -> np.ndarray:
-    """The score of each text: mean log-ratio of its n-grams, and what speaks against it surely."""
-    t, found = _features(column, cfg.bits)
+    """The log weight of each text: the sum of its n-grams' log-ratios, sure doubts of words counted more."""
+    _, found = _features(column, cfg.bits)
     n = len(column)
-    length = np.maximum(1, t.n_words)
-    total = sum(np.bincount(doc, r[bucket], minlength=n) for r, (bucket, doc) in zip(ratios, found, strict=True))
-    bucket, doc = found[0]
-    doubt = np.bincount(doc, np.minimum(ratios[0][bucket] + cfg.sure, 0), minlength=n)
-    return total / length + doubt / np.sqrt(length)
+    words = ratios[0] + cfg.doubt * np.minimum(ratios[0] + cfg.sure, 0)
+    # counts of nothing are whole numbers
+    return sum(np.bincount(doc, r[bucket], minlength=n).astype(float) for r, (bucket, doc) in zip((words, ratios[1]), found, strict=True))
 
 
 def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -137,14 +141,16 @@ def importance_resample(
     much as the lowest ``1 - keep_clean`` of the held-out targets; without any target every
     document stays. Null or empty texts weigh 0, null ids draw the noise of id 0; repeated rows
     draw the same noise and ties at the k-th place all stay. Labels of unknown ids are ignored.
-    Columns of ``docs`` with the added names are replaced. Counting reads all documents; only the
-    labelled sample is bounded.
+    Columns of ``docs`` with the added names are replaced, others pass unchanged whatever their
+    names. Counting reads all documents, very long ones whole; only the labelled sample is bounded.
+    The result reads a table that stays in the shared folder.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0) if good is None else good
     carry = [c for c in (carry or docs.columns) if c not in ("weight", "perturbed", "kept")]
+    columns = [F.col(quoted(c)) for c in carry]
     target, held = _labelled(labels, good, cfg)
     if not len(target):
-        return docs.select(*carry).withColumns({"weight": F.lit(0.0), "perturbed": F.lit(0.0), "kept": F.lit(True)})
+        return docs.select(*columns).withColumns({"weight": F.lit(0.0), "perturbed": F.lit(0.0), "kept": F.lit(True)})
     ratios = fit(docs, target, cfg)
     shared = docs.sparkSession.sparkContext.broadcast((*ratios, held))  # 2^(bits+1) numbers and a bounded sample
 
@@ -155,16 +161,14 @@ def importance_resample(
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
             w = [weigh(column.slice(a, b - a), (words, pairs), cfg) for a, b in slices(column)]
             weight = np.concatenate(w) if w else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(carry)], pa.array(weight), pa.array(weight + cfg.temperature * gumbel(number, cfg.seed)),
-                 pa.array(np.isin(number, checks) & np.asarray(ids.is_valid()))],
-                names=[*carry, "weight", "perturbed", "held"],
-            )
-
-    ready = docs.select(*carry, F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    whole = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
-    scored = written(ready.mapInArrow(score, ", ".join([*whole, "weight double, perturbed double, held boolean"])), "importance")
-    cut = scored.where("held").agg(F.percentile("weight", F.lit(1 - cfg.keep_clean))).first()[0]
+            new = [pa.array(weight), pa.array(weight + cfg.temperature * gumbel(number, cfg.seed)), pa.array(np.isin(number, checks) & np.asarray(ids.is_valid()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *new], names=[*carry, "weight", "perturbed", "kept"])
+
+    ready = docs.select(*columns, F.col("doc_id").cast("long"), F.col("text").cast("string")).toDF(*map(str, range(len(carry) + 2)))
+    added = [StructField("weight", DoubleType()), StructField("perturbed", DoubleType()), StructField("kept", BooleanType())]
+    # until the end, `kept` says whether the row calibrates k
+    scored = written(map_batches(ready, score, StructType([*docs.select(*columns).schema.fields, *added])), "importance")
+    cut = scored.where("kept").agg(F.percentile("weight", F.lit(1 - cfg.keep_clean))).first()[0]
     k = scored.where(F.col("weight") >= F.lit(cut if cut is not None else float("-inf"))).count()
     threshold = kth_largest(scored, "perturbed", k)
-    return scored.drop("held").withColumn("kept", F.col("perturbed") >= F.lit(threshold))
+    return scored.withColumn("kept", F.col("perturbed") >= F.lit(threshold))

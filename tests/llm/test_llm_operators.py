@@ -385,6 +385,52 @@ def test_importance_separates_held_out_documents(judged):
     assert share[0] > 0.9 and share[3] > 0.9 and share[1] < 0.05 and share[2] < 0.2
 
 
+def test_importance_matches_brute_force(spark, judged):
+    """Counts by a dictionary, weights and noise by plain sums, the k largest by sorting."""
+    docs, labels = judged
+    cfg = importance.ImportanceConfig(bits=16)
+    texts = dict(map(tuple, docs.collect()))
+    target, held = importance._labelled(labels, (F.col("quality") == 1) & (F.col("toxic") == 0), cfg)
+
+    def grams(t):
+        words = re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+|[^\s0-9A-Za-z_\x80-\U0010ffff]+", t.lower())
+        return [("w", w) for w in words], [("p", *p) for p in zip(words, words[1:], strict=False)]
+
+    buckets = {}
+    def bucket(g):
+        if g not in buckets:
+            _, ((w, _), (p, _)) = importance._features(pa.array([" ".join(g[1:])]), cfg.bits)
+            buckets[g] = int(w[0] if g[0] == "w" else p[0])
+        return g[0], buckets[g]
+
+    cut = {i: [[bucket(g) for g in part] for part in grams(t)] for i, t in texts.items()}
+    raw, good = [Counter() for _ in range(2)], [Counter() for _ in range(2)]
+    for i, parts in cut.items():
+        for k, part in enumerate(parts):
+            raw[k].update(part)
+            good[k].update(part if i in target else ())
+    def ratio(k, b, prior):
+        return np.log((good[k][b] + prior) / (raw[k][b] * sum(good[k].values()) / sum(raw[k].values()) + prior))
+    weight = {}
+    for i, (words, pairs) in cut.items():
+        rs = [ratio(0, b, cfg.prior_words) for b in words]
+        weight[i] = sum(rs) + cfg.doubt * sum(min(r + cfg.sure, 0) for r in rs) + sum(ratio(1, b, cfg.prior_pairs) for b in pairs)
+    k = sum(w >= np.quantile([weight[i] for i in held], 1 - cfg.keep_clean) for w in weight.values())
+    noise = dict(zip(texts, importance.gumbel(np.array(list(texts)), cfg.seed), strict=True))
+    best = sorted(texts, key=lambda i: -(weight[i] + noise[i]))[:k]
+    rows = importance.importance_resample(docs, labels, carry=["doc_id"], cfg=cfg).collect()
+    assert all(r["weight"] == pytest.approx(weight[r["doc_id"]], abs=1e-6) and r["perturbed"] == pytest.approx(r["weight"] + noise[r["doc_id"]]) for r in rows)
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(best)
+
+
+def test_gumbel_top_k_samples_in_proportion():
+    """Over many seeds, one of four documents is drawn as often as its weight says."""
+    weights = np.array([1.0, 2.0, 3.0, 4.0])
+    ids = np.arange(4)
+    drawn = Counter(int(np.argmax(np.log(weights) + importance.gumbel(ids, seed))) for seed in range(20_000))
+    assert all(abs(drawn[i] / 20_000 - weights[i] / 10) < 0.015 for i in range(4))
+
+
 def test_importance_edges(spark, judged, odd, none):
     docs, labels = judged
     assert all(r["kept"] for r in importance.importance_resample(odd, labels.where("false")).collect())
@@ -392,6 +438,9 @@ def test_importance_edges(spark, judged, odd, none):
     mixed = odd.select("doc_id", "text", "kept").unionByName(docs.withColumn("kept", F.lit("x")))
     out = importance.importance_resample(mixed, labels)
     assert out.count() == 1206 and dict(out.dtypes)["kept"] == "boolean"
+    clash = docs.limit(50).withColumns({"held": F.lit(1), "_text": F.lit("x"), "a.b": F.lit(2)})
+    out = importance.importance_resample(clash, labels)
+    assert out.columns == ["doc_id", "text", "held", "_text", "a.b", "weight", "perturbed", "kept"] and out.where("`a.b` = 2 and held = 1").count() == 50
 
 
 def test_kth_largest(spark):
