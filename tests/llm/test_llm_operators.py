@@ -700,6 +700,29 @@ def test_sentencepiece_round_trip(docs, corpus, reference):
     assert out["n_tokens"] == len(reference.encode(corpus[0][1])) and out["ids_crc32"] == zlib.crc32(np.array(reference.encode(corpus[0][1]), "<u4").tobytes())
 
 
+def test_sentencepiece_backend_alone(corpus, reference):
+    """The rebuilt pipeline by itself, on whole texts, gives the library's ids and the table's text."""
+    model = spm.read_model(P.path("piece_bpe_32k.model"))
+    backend, table = spm.build(model), spm.Decoder(model)
+    texts = [t for _, t in corpus if t and len(t) < 10_000]
+    for t, found in zip(texts, backend.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert found.ids == reference.encode(t)
+        assert backend.decode(found.ids, skip_special_tokens=False) == table.decode(np.array(found.ids, np.uint32)) == reference.decode(found.ids)
+
+
+def test_sentencepiece_decodes_odd_ids(spark, reference):
+    """Control pieces, bytes that are no text, unknown pieces, and ids that begin within a part, as the library decodes them."""
+    path = P.path("piece_bpe_32k.model")
+    model = spm.read_model(path)
+    byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == spm.BYTE}
+    control = [i for i, (*_, kind) in enumerate(model.pieces) if kind == spm.CONTROL]
+    plain = reference.encode("some plain text, twice  over")
+    rows = [[], plain[1:], [*control[:1], *plain], [byte[0xE6], byte[0x97], byte[0xA5], *plain], [*plain, byte[0xFF], byte[0x41]], reference.encode("  two ▁ marks "), None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, ids array<int>")
+    got = {r["k"]: r["decoded"] for r in spm.decode(df, path).collect()}
+    assert got == {i: None if r is None else reference.decode(r) for i, r in enumerate(rows)}
+
+
 def test_sentencepiece_unigram_is_rebuilt():
     def field(n, kind, data):
         return bytes([n << 3 | kind]) + data
