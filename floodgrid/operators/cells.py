@@ -129,9 +129,13 @@ def parse_limits(names: list[str]) -> list[tuple[str, int | None]]:
 def limit_scenarios(index: DataFrame, names: list[str]) -> DataFrame:
     """Rows of the named scenarios, each with its first n time steps."""
     limits = index.sparkSession.createDataFrame(parse_limits(names), "scenario string, _most int")
-    steps = index.join(F.broadcast(limits), "scenario")  # as many rows as names were given
-    rank = F.dense_rank().over(Window.partitionBy("scenario").orderBy("time_index"))
-    return steps.withColumn("_step", rank).where(F.col("_most").isNull() | (F.col("_step") <= F.col("_most"))).drop("_most", "_step")
+    # as many rows as names were given; only their distinct time steps are ranked
+    named = index.join(F.broadcast(limits), "scenario")
+    rank = F.row_number().over(Window.partitionBy("scenario").orderBy("time_index"))
+    first = named.where("_most IS NOT NULL").select("scenario", "time_index", "_most").distinct().withColumn("_step", rank).where("_step <= _most")
+    last = first.groupBy("scenario").agg(F.max(F.struct("_step", "time_index")).alias("_end")).select("scenario", "_end.time_index")
+    ends = F.broadcast(last.withColumnRenamed("time_index", "_end"))
+    return named.join(ends, "scenario", "left").where("_most IS NULL OR time_index <= _end").drop("_most", "_end")
 
 
 def tile_grid(cells: DataFrame, patch: int, y: str = "y", x: str = "x") -> DataFrame:

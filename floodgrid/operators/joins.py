@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,6 +105,14 @@ def _cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("bigint")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    from ..streaming.streams import checkpoint_path
+
+    path = checkpoint_path(df.sparkSession, f"left-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, point_id: str, place_id: str, x: str = "x", y: str = "y") -> DataFrame:
     """The k nearest places of each point with ``distance`` and ``rank``; ties by place_id.
 
@@ -131,8 +140,11 @@ def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, point_i
         done = reach.where((F.col("_n") >= min(k, total)) & (F.lit(last) | (F.col("_far") <= size))).select(point_id)
         part = top.join(done, point_id)
         out = part if out is None else out.unionByName(part)
-        left = left.join(done, point_id, "left_anti")
-        if last or left.isEmpty():
+        if last:
+            return out
+        # written, so that the next turn doesn't join all that came before again
+        left = _kept(left.join(done, point_id, "left_anti"))
+        if left.isEmpty():
             return out
         size *= 4
 

@@ -22,11 +22,19 @@ def uniform(seed: int | str, *keys: Column) -> Column:
 
 
 def train_val_split(index: DataFrame, by: str = "scenario", ratio: float = 0.1, seed: int = 0, row_id: str = "row_id") -> DataFrame:
-    """``split``: per group, max(1, half-even(n * ratio)) rows are val, by hash order; the rest train."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(seed, row_id), row_id))
-    n = F.count("*").over(Window.partitionBy(by))
-    val = F.greatest(F.lit(1), F.bround(n * F.lit(float(ratio)), 0))
-    return index.withColumn("split", F.when(rank <= val, "val").otherwise("train"))
+    """``split``: per group, max(1, half-even(n * ratio)) rows are val, by hash order; the rest train.
+
+    Rows are counted by the first 16 bits of their hashes, and ranked within those only, so no task
+    sees a whole group.
+    """
+    rows = index.withColumn("_key", hash_order(seed, row_id)).withColumn("_part", F.substring("_key", 1, 4))
+    parts = rows.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy("_by")  # at most 65,536 rows
+    parts = parts.withColumns({"_before": F.sum("_n").over(group.orderBy("_p")) - F.col("_n"), "_total": F.sum("_n").over(group)})
+    val = F.greatest(F.lit(1), F.bround(F.col("_total") * F.lit(float(ratio)), 0))
+    placed = rows.join(parts.select("_by", "_p", "_before", val.alias("_val")), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_part").orderBy("_key", row_id))
+    return placed.withColumn("split", F.when(rank <= F.col("_val"), "val").otherwise("train")).select(*index.columns, "split")
 
 
 def best_worst(df: DataFrame, better: dict[str, str], ids: list[str], by: list[str] | None = None) -> DataFrame:
@@ -101,6 +109,7 @@ def weighted_sample(df: DataFrame, weight: str, ratio: float = 1.0, replicas: in
     rows = df.withColumns({"_b": F.pmod(F.xxhash64(row_id), F.lit(buckets)), "_w": F.col(weight).cast("double")}).where(F.col("_w") > 0)
     own = Window.partitionBy("_b").orderBy(row_id)
     run = rows.withColumn("_hi", F.sum("_w").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    run = run.withColumn("_last", F.lead("_w").over(own).isNull())
     totals = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
     n = df.count()
     draws_n = -(-max(1, round(n * ratio)) // replicas) * replicas if n else 0
@@ -115,8 +124,11 @@ def weighted_sample(df: DataFrame, weight: str, ratio: float = 1.0, replicas: in
     size = totals.select("_b", (F.col("_t") / slots).alias("_s"))
     cut = run.join(F.broadcast(size), "_b")
     slot = lambda c: F.least(F.floor(F.col(c) / F.col("_s")), F.lit(slots - 1)).cast("int")
-    cut = cut.withColumn("_slot", F.explode(F.sequence(slot("_lo"), slot("_hi"))))
+    top = F.when(F.col("_last"), F.lit(slots - 1)).otherwise(slot("_hi"))
+    cut = cut.withColumn("_slot", F.explode(F.sequence(slot("_lo"), F.greatest(slot("_lo"), top))))
     asked = placed.join(F.broadcast(size), "_b").withColumn("_slot", slot("_at")).drop("_s")
+    # the running sum may end a little under the total: what lies beyond is the last row's
+    cut = cut.withColumn("_hi", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("_hi")))
     hit = asked.join(cut, ["_b", "_slot"]).where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
     return hit.select("draw_id", (F.col("draw_id") % replicas).alias("replica"), *[F.col(c) for c in df.columns])
 
@@ -132,9 +144,11 @@ def enlarged_shuffle(df: DataFrame, ratio: int = 1, replicas: int = 1, epoch: in
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))))
     # fewer than `replicas` more, the first ones of another copy
     copies = copies.unionByName(df.withColumn("copy", F.lit(ratio)).orderBy(key, row_id).limit(total - n * ratio))
-    ranked = copies.withColumn("_k", key).withColumn("_p", F.conv(F.substring("_k", 1, 2), 16, 10).cast("int"))
+    # about a million rows in a part, of 256 to 1,048,576 parts
+    digits = next((d for d in (2, 3, 4) if total <= 16**d * 1_000_000), 5)
+    ranked = copies.withColumn("_k", key).withColumn("_p", F.conv(F.substring("_k", 1, digits), 16, 10).cast("int"))
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_off")  # at most 256 rows
+    offsets = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_off")  # a row per part
     out = ranked.join(F.broadcast(offsets), "_p")
     out = out.withColumn("position", F.row_number().over(Window.partitionBy("_p").orderBy("_k", "copy", row_id)) - 1 + F.col("_off"))
     return out.withColumn("replica", F.col("position") % replicas).drop("_k", "_p", "_off")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ..operators import sampling as W
 from ..operators import series as T
 from ..operators.stats import masked_stats, merge_stats
 from ..sources.adapters import CELLS_SQL, FLOWS_SQL, INDEX_SQL, PEAKS_SQL, cells, flows, patch_index, peaks, scenario_of, table
-from ..streaming.streams import checkpoint_path, stream_masked_stats
+from ..streaming.streams import drain, stream_masked_stats
 from .registry import query, rounded
 
 _HOURS = "epoch_us(ts) / 3600000000.0::DOUBLE"
@@ -358,15 +356,11 @@ def l4_runtime_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.runtime_summary(e.select("user_id", text.alias("value")), ["user_id"], {"memory": "memory", "runtime": "Runtime"}))
 
 
-@query(f"{CELLS_SQL}, m AS (SELECT scenario, CASE WHEN mask = 1 THEN target END AS v FROM cells) SELECT scenario, count(v) AS n, round(avg(v), 6) AS mean FROM m GROUP BY scenario")
+@query(f"{CELLS_SQL}, m AS (SELECT scenario, CASE WHEN mask = 1 THEN target END AS v FROM cells) SELECT scenario, count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-12::DOUBLE, 6) AS std FROM m GROUP BY scenario")
 def x1_stream_masked_stats(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming form over the table's files as a stream, run until all are read."""
     stream = spark.readStream.schema(table(spark, sf, "embeddings").schema).parquet(f"{sf}/embeddings.parquet*")
     v = F.col("vec_id")
     e = stream.select(scenario_of(F.col("label")).alias("scenario"), v, F.posexplode("embedding").alias("pos", "e"))
     c = e.select("scenario", (F.greatest(F.col("e").cast("double"), F.lit(0.0)) * 5.0).alias("value"), ((F.col("pos") + v) % 5 != 0).cast("int").alias("mask"))
-    name = f"stats_{uuid.uuid4().hex}"
-    writer = stream_masked_stats(c, ["scenario"]).writeStream.format("memory").queryName(name).outputMode("complete")
-    running = writer.option("checkpointLocation", checkpoint_path(spark, name)).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return rounded(spark.table(name).select("scenario", "n", "mean"))
+    return rounded(drain(stream_masked_stats(c, ["scenario"]), "complete").select("scenario", "n", "min", "max", "mean", "std"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import score as S
 from ..operators import series as T
 from ..operators import stats as A
 from ..sources.adapters import CELLS_SQL, FLOWS_SQL, INDEX_SQL, cells, flows, patch_index, scenario_of, table, vectors
-from ..streaming.streams import checkpoint_path, stream_best_metric, stream_daily_rain
+from ..streaming.streams import checkpoint_path, drain, stream_best_metric, stream_daily_rain, stream_scores
 from .registry import query, rounded
 
 KEYS = ["scenario", "t", "patch_row", "patch_col"]
@@ -103,7 +104,11 @@ def j14_pair_velocity_depth(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", F.aggregate("wet_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("wet"))
 
 
-@query()
+@query("""WITH p AS (SELECT c_custkey AS poly_id, (c_custkey % 6)::DOUBLE AS x, (c_custkey % 5)::DOUBLE AS y FROM customer), i AS (SELECT unnest(range(12)) AS point),
+o AS (SELECT poly_id, point, x + CASE WHEN point < 3 THEN point WHEN point < 6 THEN 3 WHEN point < 9 THEN 9 - point ELSE 0 END AS px, y + CASE WHEN point < 3 THEN 0 WHEN point < 6 THEN point - 3 WHEN point < 9 THEN 3 ELSE 12 - point END AS py FROM p, i),
+d AS (SELECT s_suppkey // 10 AS y, s_suppkey % 10 AS x, s_acctbal / 1000 AS z FROM supplier),
+s AS (SELECT o.*, z, bool_or(z IS NULL) OVER (PARTITION BY poly_id ORDER BY point) AS gone FROM o LEFT JOIN d ON d.x = o.px AND d.y = o.py)
+SELECT poly_id, CAST(point AS INT) AS point, px, py, round(z, 6) AS z FROM s WHERE NOT gone AND z < 5""")
 def j16_open_boundary_points(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     x, y = (k % 6).cast("double"), (k % 5).cast("double")
@@ -146,9 +151,15 @@ def w4_ordered_levels(spark: SparkSession, sf: str) -> DataFrame:
     return W.ordered_levels(levels).select("scenario", "time_index", place.alias("place"))
 
 
-@query()
+@query(f"""{CELLS_SQL}, s AS (SELECT scenario, y, x, (1700000000 + time_index::BIGINT * 3600) * 1000000 + vec_id AS ts, u AS z, target AS h FROM cells),
+f AS (SELECT scenario, min(ts) AS ts FROM s GROUP BY scenario), d AS (SELECT s.scenario, y, x, row_number() OVER (PARTITION BY s.scenario ORDER BY h DESC, y, x) AS k FROM s JOIN f ON s.scenario = f.scenario AND s.ts = f.ts),
+c AS (SELECT s.scenario, s.ts, z - avg(z) OVER (PARTITION BY s.scenario) AS v FROM s JOIN d ON s.scenario = d.scenario AND s.y = d.y AND s.x = d.x AND k = 1),
+w AS (SELECT scenario, v, CASE WHEN v > 0 AND lead(v) OVER (PARTITION BY scenario ORDER BY ts) <= 0 THEN ts / 3.6e9::DOUBLE END AS hour FROM c),
+o AS (SELECT scenario, count(hour) AS crossings, (max(hour) - min(hour)) / nullif(count(hour) - 1, 0) AS period, sqrt(avg(v * v)) AS rms FROM w GROUP BY scenario)
+SELECT scenario, crossings, round(period, 6) AS mean_period_h, round(rms, 6) AS rms, coalesce(period > 10 AND period < 16 AND rms > 0.2::DOUBLE AND rms < 1.5::DOUBLE, false) AS passed FROM o""")
 def w10_tide_check(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("time_index") * 3600))
+    # rows of one hour are a microsecond apart, so that the series has an order
+    c = cells(spark, sf).withColumn("ts", F.timestamp_micros((F.lit(1_700_000_000) + F.col("time_index").cast("bigint") * 3600) * 1_000_000 + F.col("vec_id")))
     out = T.tide_check(c.select("scenario", "y", "x", "ts", F.col("u").alias("zs"), F.col("target").alias("h")), ["scenario"])
     return rounded(out)
 
@@ -159,7 +170,11 @@ def t2_high_low_tides(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.where("kind = 'high'").select("reach_id", "flow"))
 
 
-@query()
+@query(f"""{FLOWS_SQL[:-1]}, x AS (SELECT *, lag(flow) OVER w AS a, lead(flow) OVER w AS b FROM flows WINDOW w AS (PARTITION BY reach_id ORDER BY ts)),
+h AS (SELECT reach_id, ts, flow FROM x WHERE (a IS NOT NULL OR b IS NOT NULL) AND coalesce(flow > a, true) AND coalesce(flow > b, true)),
+q AS (SELECT reach_id, quantile_cont(flow, 0.99) AS q FROM h GROUP BY reach_id), n AS (SELECT h.reach_id, ts, row_number() OVER (PARTITION BY h.reach_id ORDER BY abs(flow - q), ts) AS k FROM h JOIN q ON h.reach_id = q.reach_id),
+m AS (SELECT reach_id, flow, epoch_us(ts) // 1800000000 * 1800000000 AS slot FROM flows)
+SELECT m.reach_id, count(*) AS n, round(avg(flow), 6) AS mean FROM m JOIN n ON n.reach_id = m.reach_id AND k = 1 AND abs(slot - epoch_us(n.ts)) <= 345600000000 GROUP BY m.reach_id""")
 def t4_similar_tide(spark: SparkSession, sf: str) -> DataFrame:
     f = flows(spark, sf)
     highs = T.local_extrema(f, ["reach_id"], value="flow")
@@ -188,14 +203,6 @@ def f6_threshold_to_label_space(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.select("scenario", tau.alias("tau")))
 
 
-def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream gives out until its input is read; small results only."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint_path(spark, name)).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
-
-
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
 
@@ -204,14 +211,14 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def x2_stream_daily_rain(spark: SparkSession, sf: str) -> DataFrame:
     """Days that the watermark has passed when the input ends."""
     e = _event_stream(spark, sf).select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("depth"))
-    out = _drained(spark, stream_daily_rain(e, ["event_type"], "1 day"), "append")
+    out = drain(stream_daily_rain(e, ["event_type"], "1 day"), "append")
     return rounded(out.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "total", "n"))
 
 
 @query("SELECT user_id, round(max(value), 6) AS best_value, arg_max(event_id, (value, event_id)) AS best_step FROM events GROUP BY user_id")
 def x3_stream_best_metric(spark: SparkSession, sf: str) -> DataFrame:
     e = _event_stream(spark, sf).select("user_id", "event_id", "value")
-    return rounded(_drained(spark, stream_best_metric(e, by=("user_id",), step="event_id"), "complete"))
+    return rounded(drain(stream_best_metric(e, by=("user_id",), step="event_id"), "complete"))
 
 
 @query(f"{CELLS_SQL} SELECT scenario, CAST(sum(mask) AS BIGINT) AS n, round(sqrt(sum(CASE WHEN mask = 1 THEN (pred - target) * (pred - target) ELSE 0 END) / (sum(mask) + 1e-12::DOUBLE)), 6) AS rmse FROM cells GROUP BY scenario")
@@ -221,5 +228,19 @@ def x4_stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.select(v, scenario_of(F.col("label")).alias("scenario"), F.posexplode("embedding").alias("pos", "e"))
     target = F.greatest(F.col("e").cast("double"), F.lit(0.0)) * 5.0
     c = rows.select("scenario", target.alias("target"), (target * (F.lit(0.8) + F.lit(0.02) * (v % 21))).alias("pred"), ((F.col("pos") + v) % 5 != 0).cast("int").alias("mask"))
-    sums = _drained(spark, S.patch_global_stats(c, ["scenario"]), "complete")
-    return rounded(S.metrics_of_sums(sums, ["scenario"]).select("scenario", "n", "rmse"))
+    path = checkpoint_path(spark, f"scores-{uuid.uuid4().hex}")
+    # the sums of the files, as a batch job leaves them, then the stream that adds them up
+    drain(S.patch_global_stats(c, ["scenario"]), "complete").write.parquet(f"{path}/sums")
+    sums = spark.read.parquet(f"{path}/sums")
+    batches = []
+
+    def sink(metrics: DataFrame, number: int) -> None:
+        metrics.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        batches.append(number)
+
+    stream_scores(spark.readStream.schema(sums.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/sums"), sink, f"{path}/state", ("scenario",), once=True).awaitTermination()
+    # each batch has the keys that changed: the latest of each counts
+    rows = [spark.read.parquet(f"{path}/rows/{n}").withColumn("batch", F.lit(n)) for n in batches]
+    every = reduce(DataFrame.unionByName, rows)
+    latest = every.groupBy("scenario").agg(F.max("batch").alias("batch"))
+    return rounded(every.join(latest, ["scenario", "batch"]).select("scenario", "n", "rmse"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,8 @@ PATCHES = "scenario string, var string, t string, time_index int, patch_row int,
 def read_patch_index(spark: SparkSession, path: str) -> DataFrame:
     """The manifest, typed, blanks as NULL, with ``row_id``: its own column, or else the row's place.
 
-    A file without ``row_id`` is numbered once, by file and line; write the result to keep it.
+    Without ``row_id`` rows are numbered from 0 in the order of the scan's partitions, which is that of
+    the files where their sizes allow. Write the result to keep the numbers.
     """
     head = spark.read.option("header", True).csv(path).columns
     fields = {f.name: f for f in PATCH_INDEX}
@@ -39,8 +40,13 @@ def read_patch_index(spark: SparkSession, path: str) -> DataFrame:
     out = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path).withColumnsRenamed({o: n for o, n in old.items() if o in head})
     if "row_id" in head:
         return out
-    numbered = out.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return spark.createDataFrame(numbered, T.StructType([*out.schema, T.StructField("row_id", T.LongType())]))
+    # partition number and place in it, then the places before each partition: one row for each
+    numbered = out.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = numbered.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn("row_id", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).select(*out.columns, "row_id")
 
 
 def write_patch_index(index: DataFrame, path: str, form: str = "parquet", mode: str = "append") -> None:

@@ -1,3 +1,4 @@
+import hashlib
 """Hand-made cases with known answers, properties, and numpy versions of the vectorised helpers."""
 
 import math
@@ -639,3 +640,41 @@ def test_best_shift_query_finds_a_move_of_three(spark, monkeypatch):
     monkeypatch.setattr(scores, "vectors", lambda spark, sf: moved)
     r = scores.p20_best_shift_full(spark, "").first()
     assert (r["csi"], r["dy"], r["dx"]) == (1.0, -3, 2)
+
+
+def test_split_counts_by_hash_prefix(spark):
+    """The same rows as a rank over the whole group gives, also for a null group."""
+    rows = [(i, "a" if i % 3 else None) for i in range(400)] + [(1000, "one")]
+    df = spark.createDataFrame(rows, "row_id int, scenario string")
+    got = {r["row_id"]: r["split"] for r in W.train_val_split(df, ratio=0.13, seed=5).collect()}
+    for group in {s for _, s in rows}:
+        own = sorted((i for i, s in rows if s == group), key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))
+        n = max(1, round(len(own) * 0.13))
+        assert [got[i] for i in own] == ["val"] * n + ["train"] * (len(own) - n)
+
+
+def test_index_rows_are_numbered_without_gaps(spark, tmp_path):
+    spark.range(250).selectExpr("CAST(id AS STRING) scenario", "'h' AS var", "'' AS coarse_path").repartition(4).write.option("header", True).csv(str(tmp_path / "m"))
+    back = io.read_patch_index(spark, str(tmp_path / "m"))
+    assert sorted(r["row_id"] for r in back.collect()) == list(range(250)) and back.where("coarse_path IS NULL").count() == 250
+
+
+def test_limits_keep_the_first_steps(spark):
+    df = spark.createDataFrame([("a", t) for t in (5, 3, 3, 9)] + [("b", t) for t in (1, 2)] + [("c", 1)], "scenario string, time_index int")
+    got = sorted(map(tuple, M.limit_scenarios(df, ["a:2", "b"]).collect()))
+    assert got == [("a", 3), ("a", 3), ("a", 5), ("b", 1), ("b", 2)]
+
+
+def test_streams_drain_to_files(spark, tmp_path):
+    spark.createDataFrame([("k", float(i), 1) for i in range(6)], "k string, value double, mask int").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, value double, mask int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    r = X.drain(X.stream_masked_stats(stream, ["k"]), "complete").first()
+    assert (r["n"], r["max"]) == (6, 5.0)
+    assert X.drain(stream.where("value > 2"), "append").count() == 3
+
+
+def test_weighted_sample_draws_every_time(spark):
+    df = spark.createDataFrame([(i, 0.1 + (i % 7) / 3) for i in range(300)], "row_id long, weight double")
+    for epoch in range(3):
+        out = W.weighted_sample(df, "weight", 5.0, 1, epoch)
+        assert out.select("draw_id").distinct().count() == out.count() == 1500
