@@ -241,8 +241,8 @@ def _rare_first(rows: DataFrame, values: str, take: str) -> DataFrame:
     shift = np.uint64(64 - _COUNT_BITS)
 
     def buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for x in batch.column(0):
-            yield 0, (_array(x) >> shift).astype(np.int64)
+        if batch.num_rows:
+            yield 0, (np.concatenate([_array(x) for x in batch.column(0)]) >> shift).astype(np.int64)
 
     counts = bucket_counts(rows.select(values), buckets, 1 << _COUNT_BITS)[0]
     often = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # 4 MB
@@ -362,7 +362,8 @@ def _components(docs: DataFrame, doc_id: str, text: str, cfg: NearDupConfig) ->
     shared = tables.write(shared.join(pivots, "band").where("rep <> p").select("band", "rep", "n", "p"), "shared", instead_of=(shared, pivots))
     ids = shared.select(F.explode(F.array("rep", "p")).alias("rep")).distinct()
     wanted = tables.write(ids.join(named, "rep").select("id", "t", "rep"), "wanted")
-    texts = rows.join(wanted, ["id", "t"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"])
+    # as many as there are classes that share a band, so never broadcast
+    texts = rows.join(wanted.hint("merge"), ["id", "t"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"])
     sets = tables.write(_sets(texts.select("id", "text"), cfg), "sets", instead_of=(wanted,))
     star = shared.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
     star = tables.write(_compared(_with_items(star, sets), cfg.percent), "star")
