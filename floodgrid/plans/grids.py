@@ -181,10 +181,10 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
     return fine.unionByName(by.select("vec_id", F.lit(0).alias("level"), (F.col("y") + 1).alias("i"), (F.col("x") + 1).alias("j"), F.col("pred").alias("value")))
 
 
-@query(f"{_LEVELS} SELECT f.vec_id, CAST(f.i AS INT) AS i, CAST(f.j AS INT) AS j, round(coalesce(f.value, p.value), 6) AS value FROM lv f LEFT JOIN lv p ON p.vec_id = f.vec_id AND p.level = 0 AND p.i = (f.i + 1) // 2 AND p.j = (f.j + 1) // 2 WHERE f.level = 1")
+@query(f"{_LEVELS} SELECT f.level::INT AS level, f.vec_id, CAST(f.i AS INT) AS i, CAST(f.j AS INT) AS j, round(CASE WHEN f.level = 0 THEN f.value ELSE coalesce(f.value, p.value) END, 6) AS value FROM lv f LEFT JOIN lv p ON p.vec_id = f.vec_id AND p.level = 0 AND p.i = (f.i + 1) // 2 AND p.j = (f.j + 1) // 2")
 def r16_collapse_inject(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.collapse_inject(_levels(spark, sf), ["vec_id"], 1).where("level = 1")
-    return rounded(out.select("vec_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value"))
+    out = R.collapse_inject(_levels(spark, sf), ["vec_id"], 1)
+    return rounded(out.select(F.col("level").cast("int").alias("level"), "vec_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value"))
 
 
 @query(f"{_LEVELS}, m AS (SELECT vec_id, (i + 1) // 2 AS i, (j + 1) // 2 AS j, CASE WHEN count(value) = 4 THEN avg(value) END AS value FROM lv WHERE level = 1 GROUP BY ALL) SELECT m.vec_id, CAST(m.i AS INT) AS i, CAST(m.j AS INT) AS j, round(coalesce(c.value, m.value), 6) AS value FROM m LEFT JOIN lv c ON c.level = 0 AND c.vec_id = m.vec_id AND c.i = m.i AND c.j = m.j")

@@ -127,15 +127,20 @@ def t1_predict_tide(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("node_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "level"), 4)
 
 
-@query(f"{FLOWS_SQL[:-1]}, {_EX}, k AS (SELECT reach_id, flow, CASE WHEN coalesce(flow > a, true) AND coalesce(flow > b, true) THEN 'high' WHEN coalesce(flow < a, true) AND coalesce(flow < b, true) THEN 'low' END AS kind FROM x WHERE a IS NOT NULL OR b IS NOT NULL) SELECT kind, round(quantile_cont(flow, 0.5), 6) AS median, round(quantile_cont(flow, 0.99), 6) AS p99, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind")
+@query(f"{FLOWS_SQL[:-1]}, {_EX}, k AS (SELECT reach_id, flow, CASE WHEN coalesce(flow > a, true) AND coalesce(flow > b, true) THEN 'high' WHEN coalesce(flow < a, true) AND coalesce(flow < b, true) THEN 'low' END AS kind FROM x WHERE a IS NOT NULL OR b IS NOT NULL) SELECT kind, [round(q, 6) FOR q IN quantile_cont(flow, [i / 100 FOR i IN range(101)])] AS levels, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind")
 def t3_exceedance_curve(spark: SparkSession, sf: str) -> DataFrame:
     out = T.exceedance_curve(T.local_extrema(flows(spark, sf), ["reach_id"], value="flow"), [], "flow")
-    return rounded(out.select("kind", F.col("levels")[50].alias("median"), F.col("levels")[99].alias("p99"), "n"))
+    return rounded(out.select("kind", "levels", "n"))
 
 
 # hydrology ----------------------------------------------------------------------------------------
 
 
+@query(f"{CELLS_SQL}, v AS (SELECT CASE WHEN mask = 1 THEN target END AS v FROM cells) SELECT round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, count(*) FILTER (WHERE v IS NULL) AS missing, count(*) AS n, coalesce(bool_and(v = 0), false) AS all_zero FROM v")
+def a18_rain_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(H.rain_summary(cells(spark, sf).select(F.when(F.col("mask") == 1, F.col("target")).alias("depth"))))
+
+
 @query(f"{CELLS_SQL} SELECT time_index, round(avg(target), 6) AS mean, round(max(target), 6) AS max FROM cells GROUP BY time_index")
 def a18_rain_mean_by_time(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(H.rain_mean_by_time(cells(spark, sf), "time_index", "target"))

@@ -125,20 +125,34 @@ def r5_crop_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.crop_overlap(c.where("x < 5"), c.where("y < 6"), ["vec_id"])[0].select("vec_id", "y", "x", "target"))
 
 
-@query(f"{CELLS_SQL}, p AS (SELECT vec_id, y, x, mask, asinh(target / 0.5::DOUBLE) AS f FROM cells WHERE vec_id % 10 <> 0) SELECT vec_id, round(sum((f - 0.2::DOUBLE) / (0.4::DOUBLE + 1e-12::DOUBLE)), 4) AS fine, CAST(sum(mask) AS BIGINT) AS cells FROM p GROUP BY vec_id")
+_LIST = "list({v} ORDER BY y, x)"
+
+
+@query(f"""{CELLS_SQL}, p AS (
+  SELECT vec_id, {_LIST.format(v="round((asinh(pred / 0.5::DOUBLE) - 0.2::DOUBLE) / (0.4::DOUBLE + 1e-12::DOUBLE), 4)")} AS coarse,
+         {_LIST.format(v="round((asinh(target / 0.5::DOUBLE) - 0.2::DOUBLE) / (0.4::DOUBLE + 1e-12::DOUBLE), 4)")} AS fine, {_LIST.format(v="mask")} AS mask,
+         {_LIST.format(v="round((patch_row + 0.1::DOUBLE * (y * 8 + x) - 1) / (2 + 1e-12::DOUBLE), 4)")} AS elevation,
+         {_LIST.format(v="round((y * 8 + x) / 90.0::DOUBLE, 4)")} AS slope, {_LIST.format(v="round(0.01::DOUBLE * (patch_col + y * 8 + x), 4)")} AS aspect_cos
+  FROM cells WHERE vec_id % 10 <> 0 GROUP BY vec_id)
+SELECT * FROM p""")
 def r22_assemble_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The coarse channel, three of the static ones, and the fine target of every training patch, whole."""
     v = vectors(spark, sf)
     keys = ["scenario", "var", "t", "patch_row", "patch_col"]
     v = v.withColumn("t", F.concat("t", F.lit("_"), F.col("vec_id").cast("string")))
     index = v.select("vec_id", *keys, F.when(F.col("vec_id") % 10 == 0, "val").otherwise("train").alias("split"))
     patches = v.select(*keys, F.col("pred").alias("coarse_values"), F.col("target").alias("fine_values"), "mask")
-    zero = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(0.0))
-    static = v.select("patch_row", "patch_col").distinct().select("patch_row", "patch_col", *[zero.alias(c) for c in ("elevation", "roughness", "slope", "twi", "aspect_sin", "aspect_cos", "static_mask")])
+    of = lambda f: F.transform(F.sequence(F.lit(0), F.lit(63)), f)
+    layers = {
+        "elevation": lambda i: F.col("patch_row") + 0.1 * i, "slope": lambda i: i.cast("double"), "aspect_cos": lambda i: 0.01 * (F.col("patch_col") + i),
+        "roughness": lambda i: F.lit(0.0), "twi": lambda i: F.lit(0.0), "aspect_sin": lambda i: F.lit(0.0), "static_mask": lambda i: F.lit(1),
+    }
+    static = v.select("patch_row", "patch_col").distinct().select("patch_row", "patch_col", *[of(f).alias(c) for c, f in layers.items()])
     one = {"mean": 0.0, "std": 1.0}
-    stats = {"target": {"mean": 0.2, "std": 0.4, "s": 0.5}, "elevation": one, "roughness": one, "twi": one}
+    stats = {"target": {"mean": 0.2, "std": 0.4, "s": 0.5}, "elevation": {"mean": 1.0, "std": 2.0}, "roughness": one, "twi": one}
     out = V.assemble_samples(index, patches, static, stats, phase="train")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return out.select(F.element_at(F.split("t", "_"), -1).cast("bigint").alias("vec_id"), F.round(total("fine"), 4).alias("fine"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("cells"))
+    chosen = {"coarse": F.col("coarse")[0], "fine": F.col("fine"), "elevation": F.col("static")[0], "slope": F.col("static")[2], "aspect_cos": F.col("static")[5]}
+    return rounded(out.select(F.element_at(F.split("t", "_"), -1).cast("bigint").alias("vec_id"), "mask", *(c.alias(k) for k, c in chosen.items())), 4)
 
 
 @query(f"{INDEX_SQL} SELECT scenario, time_index, row_number() OVER (ORDER BY scenario, time_index) AS place FROM (SELECT DISTINCT scenario, time_index FROM idx)")
@@ -164,10 +178,13 @@ def w10_tide_check(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out)
 
 
-@query(f"{FLOWS_SQL[:-1]}, x AS (SELECT *, lag(flow) OVER w AS a, lead(flow) OVER w AS b FROM flows WINDOW w AS (PARTITION BY reach_id ORDER BY ts)) SELECT reach_id, round(flow, 6) AS flow FROM x WHERE (a IS NOT NULL OR b IS NOT NULL) AND coalesce(flow > a, true) AND coalesce(flow > b, true) AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
+_HIGH, _LOW = (f"(coalesce(flow {c} a, true) AND coalesce(flow {c} b, true))" for c in "><")
+
+
+@query(f"{FLOWS_SQL[:-1]}, x AS (SELECT *, lag(flow) OVER w AS a, lead(flow) OVER w AS b FROM flows WINDOW w AS (PARTITION BY reach_id ORDER BY ts)) SELECT reach_id, CASE WHEN {_HIGH} THEN 'high' ELSE 'low' END AS kind, round(flow, 6) AS flow FROM x WHERE (a IS NOT NULL OR b IS NOT NULL) AND ({_HIGH} OR {_LOW}) AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
 def t2_high_low_tides(spark: SparkSession, sf: str) -> DataFrame:
     out = T.high_low_tides(flows(spark, sf), ["reach_id"], "2024-01-05", "2024-01-12", value="flow")
-    return rounded(out.where("kind = 'high'").select("reach_id", "flow"))
+    return rounded(out.select("reach_id", "kind", "flow"))
 
 
 @query(f"""{FLOWS_SQL[:-1]}, x AS (SELECT *, lag(flow) OVER w AS a, lead(flow) OVER w AS b FROM flows WINDOW w AS (PARTITION BY reach_id ORDER BY ts)),
