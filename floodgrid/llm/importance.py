@@ -101,7 +101,11 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def kth_largest(scores: DataFrame, column: str, k: int, exact_below: int = 20_000) -> float:
-    """The k-th largest value, by histograms of 4096 bins, each inside a bin of the one before."""
+    """The k-th largest value, by histograms of 4096 bins, each inside a bin of the one before.
+
+    Equal values count each; nulls don't count. With fewer than k values it is the smallest one, without
+    any -inf; for k = 0 it is inf.
+    """
     low, high, n = scores.agg(F.min(column), F.max(column), F.count(column)).first()
     if k >= n:
         return float("-inf") if low is None else low

@@ -17,7 +17,9 @@ import tarfile
 import time
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,14 +98,20 @@ class ArchiveReader(DataSourceReader):
         found = files.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=False))
         out = []
         sidecars = {f.path for f in found if f.path.endswith(".segments")}
-        for f in sorted((f for f in found if f.path.endswith(".tar") and "/_" not in f.path[len(base) :]), key=lambda f: f.path):
-            starts = [0]
-            if f"{f.path}.segments" in sidecars:
-                with files.open_input_stream(f"{f.path}.segments") as s:
-                    starts = json.loads(s.read()) or [0]
+        archives = sorted((f for f in found if f.path.endswith(".tar") and "/_" not in f.path[len(base) :]), key=lambda f: f.path)
+
+        def offsets(f: fs.FileInfo) -> list[int]:
+            if f"{f.path}.segments" not in sidecars:
+                return [0]
+            with files.open_input_stream(f"{f.path}.segments") as s:
+                return json.loads(s.read()) or [0]
+
+        with ThreadPoolExecutor(32) as pool:
+            known = list(pool.map(offsets, archives))
+        for f, starts in zip(archives, known, strict=True):
             for begin in range(0, f.size, self.range):
                 end = min(begin + self.range, f.size)
-                sync = max((s for s in starts if s <= begin), default=0)
+                sync = starts[bisect_right(starts, begin) - 1] if starts[0] <= begin else 0
                 out.append(Segment(f.path, sync, begin, end))
         return out or [Segment("", 0, 0, 0)]
 
@@ -272,7 +280,12 @@ def feature(samples: bytes) -> str:
 
 
 def store_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Writes each text as an image; the member's name is the key (empty for a null key)."""
+    """Writes each text as an image; the member's name is the key (empty for a null key).
+
+    Null and empty texts are an image of one row of 255s; very long ones are one tall image. Repeated
+    rows and ids are members of their own; other columns are not read. An empty table writes no
+    archive. A task that is lost leaves nothing that is read.
+    """
     register(docs.sparkSession)
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +312,8 @@ def media_features(spark: SparkSession, path: str, **options) -> DataFrame:
     """Digests and a feature of each image of an archive folder, from its stored bytes.
 
     ``n_bytes`` leaves out the 255s at the end, which no UTF-8 text has. Members with equal bytes
-    get equal values. A damaged member raises an error that names it.
+    get equal values; repeated names are rows of their own, a name that was null is empty. A folder
+    without archives gives no rows. A damaged member raises an error that names it.
     """
     register(spark)
 
