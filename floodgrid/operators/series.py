@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import nearest_node
+from .stats import exact_percentiles
 
 
 def local_extrema(series: DataFrame, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
@@ -117,13 +118,14 @@ def high_low_tides(series: DataFrame, by: list[str], begin: str, end: str, ts: s
 
 def exceedance_curve(tides: DataFrame, by: list[str], value: str = "level", kind: str = "kind") -> DataFrame:
     """Minimum, percentiles 1 to 99 and maximum of the highs and of the lows: ``levels`` has 101 values."""
-    return tides.groupBy(*by, kind).agg(F.percentile(value, [i / 100 for i in range(101)]).alias("levels"), F.count("*").alias("n"))
+    levels = exact_percentiles(tides, value, list(range(101)), [*by, kind]).withColumnRenamed("percentiles", "levels")
+    return tides.groupBy(*by, kind).agg(F.count("*").alias("n")).join(levels, [*by, kind])
 
 
 def similar_tide(highs: DataFrame, series: DataFrame, by: list[str], q: float = 99.0, days: int = 4, ts: str = "ts", value: str = "level", minutes: int = 30) -> DataFrame:
     """The series within ``days`` of the high tide nearest to the q-th percentile of highs, every ``minutes``."""
     highs = highs.where(F.col("kind") == "high")
-    target = highs.groupBy(*by).agg(F.percentile(value, q / 100).alias("_q"))
+    target = exact_percentiles(highs, value, [q], by).select(*by, F.col("percentiles")[0].alias("_q"))
     near = highs.join(target, by).groupBy(*by).agg(F.min_by(ts, F.struct(F.abs(F.col(value) - F.col("_q")), F.col(ts))).alias("peak"))
     out = series.join(near, by)
     inside = F.abs(F.unix_micros(ts) - F.unix_micros("peak")) <= days * 86_400_000_000

@@ -93,34 +93,68 @@ def histogram_percentile(df: DataFrame, col: str, qs: list[float], by: list[str]
     return first.select(*by, "q", (F.col("m.lo") + (F.col("m.hi") - F.col("m.lo")) * F.col("m.bin") / (bins - 1)).alias("value"))
 
 
-def exact_percentiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None, positive_only: bool = False) -> DataFrame:
-    """Linearly interpolated percentiles, q in 0..100; an array in the order of ``qs``."""
-    v = finite(col)
-    v = F.when(v > 0, v) if positive_only else v
-    return df.groupBy(*(by or [])).agg(F.percentile(v, [q / 100 for q in qs]).alias("percentiles"))
+def exact_percentiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None, positive_only: bool = False, bins: int = 4096) -> DataFrame:
+    """Linearly interpolated percentiles, q in 0..100; an array in the order of ``qs``, NULL for a group without values.
+
+    Extremes, then counts by bin, tell in which bins the wanted ranks lie; only values of those bins are
+    counted one by one and ranked, so no task holds a group's values in memory. The extremes of up to
+    MOST_GROUPS groups are broadcast, those of more groups are joined.
+    """
+    by = by or []
+    own = [f"_by{i}" for i in range(len(by))]
+    v = finite(col).cast("double")
+    rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, own, strict=True)], (F.when(v > 0, v) if positive_only else v).alias("_v"))
+    groups = rows.groupBy(*own).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    few = groups.take(MOST_GROUPS + 1)
+    small = len(few) <= MOST_GROUPS
+    groups = df.sparkSession.createDataFrame(few, groups.schema) if small else groups
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        """A join for which NULL keys are equal."""
+        right = right.withColumnsRenamed({k: f"{k}_there" for k in keys})
+        right = F.broadcast(right) if small else right
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_there")) for k in keys], F.lit(True))
+        return left.join(right, same, how).drop(*[f"{k}_there" for k in keys])
+
+    place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    binned = joined(rows.where("_v IS NOT NULL"), groups, own).withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0)).cast("int"))
+    counts = binned.groupBy(*own, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    spots = [F.lit(q / 100) * (F.col("_n") - 1) for q in qs]
+    ranks = [r for s in spots for r in (F.floor(s).cast("bigint"), F.least(F.floor(s).cast("bigint") + 1, F.col("_n") - 1))]
+    wanted = F.array(*[F.struct(F.lit(i).alias("k"), r.alias("rank")) for i, r in enumerate(ranks)])
+    within = lambda hits, at: F.filter(hits, lambda h: (h["rank"] >= at) & (h["rank"] < at + F.col("_c")))
+    counts = counts.withColumn("_at", F.sum("_c").over(Window.partitionBy(*own).orderBy("_bin")) - F.col("_c"))  # at most `bins` rows a group
+    chosen = counts.select(*own, "_bin", "_at", within(wanted, F.col("_at")).alias("_hits")).where(F.size("_hits") > 0)
+    inside = joined(binned.select(*own, "_bin", "_v"), chosen, [*own, "_bin"])
+    single = inside.groupBy(*own, "_bin", "_v").agg(F.count("*").alias("_c"), F.first("_at").alias("_at"), F.first("_hits").alias("_hits"))
+    at = F.col("_at") + F.sum("_c").over(Window.partitionBy(*own, "_bin").orderBy("_v")) - F.col("_c")
+    picked = single.withColumn("_at", at).select(*own, "_v", F.explode(within(F.col("_hits"), F.col("_at"))).alias("_h"))
+    found = picked.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_h.k", "_v"))).alias("_m"))
+    value = lambda i: F.col("_m")[F.lit(i)]
+    parts = [value(2 * i) + (value(2 * i + 1) - value(2 * i)) * (s - F.floor(s)) for i, s in enumerate(spots)]
+    out = joined(groups, found, own, "left")
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, own, strict=True)], F.when(F.col("_n") > 0, F.array(*parts)).alias("percentiles"))
 
 
 def percentile_positive(df: DataFrame, col: str, q: float, fallback: float = 1.0) -> DataFrame:
     """Percentile of the positive values, ``fallback`` if there is none."""
-    v = finite(col)
-    return df.agg(F.coalesce(F.percentile(F.when(v > 0, v), q / 100), F.lit(fallback)).alias("value"))
+    return exact_percentiles(df, col, [q], positive_only=True).select(F.coalesce(F.col("percentiles")[0], F.lit(fallback)).alias("value"))
 
 
 def percentile_abs_nonzero(df: DataFrame, col: str, q: float, fallback: float = 1.0) -> DataFrame:
-    v = F.abs(finite(col))
-    return df.agg(F.coalesce(F.percentile(F.when(v > 0, v), q / 100), F.lit(fallback)).alias("value"))
+    return percentile_positive(df.select(F.abs(F.col(col)).alias(col)), col, q, fallback)
 
 
 def percentile_range(df: DataFrame, col: str, low: float, high: float, min_width: float = 1e-6) -> DataFrame:
     """(low, high) percentiles, at least ``min_width`` apart."""
-    out = df.agg(F.percentile(finite(col), [low / 100, high / 100]).alias("p"))
-    return out.select(F.col("p")[0].alias("low"), F.greatest(F.col("p")[1], F.col("p")[0] + min_width).alias("high"))
+    p = F.col("percentiles")
+    return exact_percentiles(df, col, [low, high]).select(p[0].alias("low"), F.greatest(p[1], p[0] + min_width).alias("high"))
 
 
 def auto_limits(df: DataFrame, col: str, q: float = 99.0, floor: float = 1e-3) -> DataFrame:
     """Display limit: the percentile of positive values, else the maximum, at least ``floor``."""
-    v = finite(col)
-    return df.agg(F.greatest(F.coalesce(F.percentile(F.when(v > 0, v), q / 100), F.max(v), F.lit(floor)), F.lit(floor)).alias("limit"))
+    both = exact_percentiles(df, col, [q], positive_only=True).crossJoin(df.agg(F.max(finite(col)).alias("_max")))  # one row each
+    return both.select(F.greatest(F.coalesce(F.col("percentiles")[0], F.col("_max"), F.lit(floor)), F.lit(floor)).alias("limit"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, low: float, high: float, by: list[str] | None = None) -> DataFrame:
@@ -229,12 +263,12 @@ def interval_summary(patches: DataFrame, split: DataFrame | None = None, qs: tup
     names = [*BANDS, "wet"]
     pairs = ", ".join(f"'{b}', {b}_count, {b}_ratio" for b in names)
     long = rows.where("valid_count IS NOT NULL").select("valid_count", F.expr(f"stack({len(names)}, {pairs}) AS (band, n, r)"))
-    quantiles = [q / 100 for q in qs]
-    return long.groupBy("band").agg(
+    out = long.groupBy("band").agg(
         F.sum("n").alias("count"), ratio(F.sum("n"), F.sum("valid_count")).alias("ratio"),
         F.count_if(F.col("r") > 0).alias("patches_positive"), *[F.count_if(F.col("r") >= x).alias(f"patches_{n}") for x, n in ((0.001, "0001"), (0.005, "0005"), (0.01, "001"))],
-        F.percentile("r", quantiles).alias("percentiles"), F.percentile(F.when(F.col("r") > 0, F.col("r")), quantiles).alias("percentiles_positive"),
     )
+    positive = exact_percentiles(long, "r", list(qs), ["band"], True).withColumnRenamed("percentiles", "percentiles_positive")
+    return out.join(exact_percentiles(long, "r", list(qs), ["band"]), "band").join(positive, "band")
 
 
 def finite_mean(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:

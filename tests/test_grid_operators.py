@@ -678,3 +678,18 @@ def test_weighted_sample_draws_every_time(spark):
     for epoch in range(3):
         out = W.weighted_sample(df, "weight", 5.0, 1, epoch)
         assert out.select("draw_id").distinct().count() == out.count() == 1500
+
+
+def test_exact_percentiles_in_bins(spark):
+    """Ties, a NULL group, heavy tails, single values and empty groups, with few bins and many."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for g, n in (("a", 400), (None, 300), ("c", 1)):
+        rows += [(g, float(x)) for x in np.where(rng.random(n) < 0.4, 0.0, rng.lognormal(0, 4, n))]
+    df = spark.createDataFrame([*rows, ("d", None), ("a", float("nan"))], "g string, v double")
+    qs = [0, 1, 33.3, 50, 99.9, 100]
+    for bins in (3, 4096):
+        got = {r["g"]: r["percentiles"] for r in A.exact_percentiles(df, "v", qs, ["g"], bins=bins).collect()}
+        assert got.pop("d") is None and len(got) == 3
+        assert all(np.allclose(p, np.percentile([x for k, x in rows if k == g], qs), rtol=1e-12) for g, p in got.items())
+    assert A.exact_percentiles(df.where("g = 'd'"), "v", [50]).first()["percentiles"] is None
