@@ -106,7 +106,8 @@ def weighted_sample(df: DataFrame, weight: str, ratio: float = 1.0, replicas: in
     bucket by a range test against the totals and its row by a join inside it. ``replica`` is
     draw_id modulo replicas.
     """
-    rows = df.withColumns({"_b": F.pmod(F.xxhash64(row_id), F.lit(buckets)), "_w": F.col(weight).cast("double")}).where(F.col("_w") > 0)
+    bucket = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("bigint") % buckets
+    rows = df.withColumns({"_b": bucket, "_w": F.col(weight).cast("double")}).where(F.col("_w") > 0)
     own = Window.partitionBy("_b").orderBy(row_id)
     run = rows.withColumn("_hi", F.sum("_w").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_w"))
     run = run.withColumn("_last", F.lead("_w").over(own).isNull())

@@ -215,7 +215,12 @@ def r21_rgb_ycbcr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.rgb_ycbcr(d).drop("r", "g", "b"))
 
 
-@query()
+@query(f"""{CELLS_SQL}, tap AS (SELECT o, a, abs(2 * o + 0.5::DOUBLE - a) * 0.5::DOUBLE AS d FROM range(4) t(o), range(-8, 17) s(a)),
+k AS (SELECT o, a, CASE WHEN d <= 1 THEN 1.5::DOUBLE * d * d * d - 2.5::DOUBLE * d * d + 1 WHEN d <= 2 THEN -0.5::DOUBLE * d * d * d + 2.5::DOUBLE * d * d - 4 * d + 2 ELSE 0 END AS k FROM tap),
+n AS (SELECT o, sum(k) AS total FROM k GROUP BY o),
+m AS (SELECT k.o, CASE WHEN (a + 16) % 16 < 8 THEN (a + 16) % 16 ELSE 15 - (a + 16) % 16 END AS i, sum(k / total) AS wt FROM k JOIN n ON n.o = k.o GROUP BY ALL),
+z AS (SELECT vec_id, p.o AS oy, q.o AS ox, sum(p.wt * q.wt * target) AS v FROM cells JOIN m p ON p.i = y JOIN m q ON q.i = x GROUP BY ALL)
+SELECT vec_id, 4 AS h, 4 AS w, list(round(v, 6) + 0 ORDER BY oy, ox) AS values FROM z GROUP BY vec_id""")
 def r10_resize_bicubic(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("target").alias("values"))
     return rounded(patchwise.resize_bicubic(v, 0.5))

@@ -54,7 +54,10 @@ def w5_sample_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.sample_weights(_patch_shares(spark, sf), scores, 0.5, 4.0).select("vec_id", "weight"))
 
 
-@query()
+@query(f"""{INDEX_SQL}, r AS (SELECT row_id, price AS w, CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) % 64 AS b FROM idx WHERE price > 0),
+c AS (SELECT row_id, sum(w) OVER (ORDER BY b, row_id) AS hi FROM r), n AS (SELECT unnest(range((SELECT (count(*) + 3) // 4 * 4 FROM idx))) AS draw_id),
+d AS (SELECT draw_id, CAST('0x' || substr(md5('draw:1:' || draw_id), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE * (SELECT sum(w) FROM r) AS spot FROM n)
+SELECT draw_id, draw_id % 4 AS replica, row_id FROM d ASOF JOIN c ON d.spot < c.hi""")
 def w6_weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = patch_index(spark, sf).select("row_id", "price")
     return W.weighted_sample(rows, "price", 1.0, 4, 1).select("draw_id", "replica", "row_id")

@@ -391,7 +391,16 @@ def p27_psnr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.psnr(cells(spark, sf), KEYS, "pred", "target", 5.0))
 
 
-@query()
+_TAPS = "exp(-(k - 5) * (k - 5) / 4.5::DOUBLE)"
+_K = ", ".join(KEYS)
+_FIVE = "sum(w * ma) AS ma, sum(w * mb) AS mb, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab"
+
+
+@query(f"""{CELLS_SQL}, g AS (SELECT k, {_TAPS} / (SELECT sum({_TAPS}) FROM range(11) r(k)) AS w FROM range(11) r(k)),
+big AS (SELECT {_K}, y * 2 + dy AS y, x * 2 + dx AS x, target AS ma, pred AS mb, target * target AS aa, pred * pred AS bb, target * pred AS ab FROM cells, range(2) a(dy), range(2) b(dx)),
+h AS (SELECT {_K}, y, x - k AS c, {_FIVE} FROM big JOIN g ON x - k BETWEEN 0 AND 5 GROUP BY ALL),
+v AS (SELECT {_K}, y - k AS r, c, {_FIVE} FROM h JOIN g ON y - k BETWEEN 0 AND 5 GROUP BY ALL)
+SELECT {_K}, round(avg(((2 * ma * mb + 0.0025::DOUBLE) * (2 * (ab - ma * mb) + 0.0225::DOUBLE)) / ((ma * ma + mb * mb + 0.0025::DOUBLE) * (aa - ma * ma + bb - mb * mb + 0.0225::DOUBLE))), 6) AS ssim FROM v GROUP BY ALL""")
 def p28_ssim(spark: SparkSession, sf: str) -> DataFrame:
     """Patches doubled to 16 x 16, since the window needs 11 cells."""
     double = lambda c: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.get(c, (F.floor(i / 32) * 8 + F.floor((i % 16) / 2)).cast("int")))
