@@ -173,7 +173,7 @@ class Decoder:
 class Codec:
     """Encodes batches; remembers the parts it has seen, up to ``most``."""
 
-    def __init__(self, path: str, threads: int = 2, most: int = 250_000):
+    def __init__(self, path: str, threads: int = 2, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from sentencepiece import SentencePieceProcessor
