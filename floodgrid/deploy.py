@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -18,6 +19,8 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as folder:
         copy = Path(folder, "copy")
         shutil.copytree(root, copy / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-        file = shutil.make_archive(str(Path(tempfile.mkdtemp(), root.name)), "zip", copy)
+        served = tempfile.mkdtemp()  # executors fetch it from the driver as long as that runs
+        atexit.register(shutil.rmtree, served, ignore_errors=True)
+        file = shutil.make_archive(str(Path(served, root.name)), "zip", copy)
     context.addPyFile(file)
     context._floodgrid_shipped = True
