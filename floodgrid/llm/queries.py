@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitplanes import plane_kmeans
 from .importance import importance_resample
+from .licences import licence_scan
 from .linededup import line_dedup
 from .media import media_features, store_texts
 from .neardup import NearDupConfig, near_duplicates
@@ -18,6 +20,7 @@ from .repetition import repetition
 from .spm import decode, encode
 from .text import scratch, small_batches
 from .tokencount import token_counts
+from .vectorcodes import vector_codes
 from .wrapper import extract
 
 
@@ -79,8 +82,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("text", "decoded")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+
+
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_kmeans(_embeddings(spark, sf_dir))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_documents(spark, sf_dir)).drop("expressions")
+
+
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_html_extraction, op3_media_columns, op4_quality_rules, op5_quality_classifier, op6_minhash_near_dedup, op7_pii, op8_line_dedup, op9_token_counts, op10_sentencepiece]
+    found = [op1_packing, op2_html_extraction, op3_media_columns, op4_quality_rules, op5_quality_classifier, op6_minhash_near_dedup, op7_pii, op8_line_dedup, op9_token_counts, op10_sentencepiece,
+             op11_centroid_clustering, op12_license_scans, op13_vector_code_compression]
     return {f.__name__: f for f in found}
 
 
@@ -164,5 +184,64 @@ FROM b
 """
 
 
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round as a CTE of centroids: distances to all, the nearest, floors of means."""
+    nearest = """
+a{n} AS MATERIALIZED (
+  SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.vec_id, v.q, m.c, list_sum([(v.q[i] - m.m[i]) * (v.q[i] - m.m[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v CROSS JOIN m{n} m) GROUP BY vec_id, q
+)"""
+    means = """
+m{next} AS MATERIALIZED (
+  SELECT m.c, coalesce(x.m, m.m) AS m
+  FROM m{n} m LEFT JOIN (
+    SELECT c, list(floor(s::DOUBLE / k)::BIGINT ORDER BY i) AS m
+    FROM (SELECT c, i, sum(q[i]) AS s, count(*) AS k FROM a{n}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c
+  ) x USING (c)
+)"""
+    steps = [(nearest.format(n=n) + "," + means.format(n=n, next=n + 1)) for n in range(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64
+),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q AS m FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k}),
+{",".join(steps)},{nearest.format(n=rounds)}
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN m{rounds} USING (c)
+"""
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    nearest = """
+a{n} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(q) AS q, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT v.vec_id, v.p, v.q, m.e, list_sum([(v.q[i] - m.m[i]) * (v.q[i] - m.m[i]) FOR i IN range(1, 17)])::BIGINT AS d FROM v JOIN m{n} m USING (p)) GROUP BY vec_id, p
+)"""
+    means = """
+m{next} AS MATERIALIZED (
+  SELECT m.p, m.e, coalesce(x.m, m.m) AS m
+  FROM m{n} m LEFT JOIN (
+    SELECT p, e, list(floor(s::DOUBLE / k)::BIGINT ORDER BY i) AS m
+    FROM (SELECT p, e, i, sum(q[i]) AS s, count(*) AS k FROM a{n}, range(1, 17) r(i) GROUP BY p, e, i) GROUP BY p, e
+  ) x USING (p, e)
+)"""
+    steps = [(nearest.format(n=n) + "," + means.format(n=n, next=n + 1)) for n in range(rounds)]
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64
+),
+v AS MATERIALIZED (SELECT vec_id, p, q[16 * p + 1 : 16 * p + 16] AS q FROM w, range(4) r(p)),
+m0 AS MATERIALIZED (SELECT p, e, q AS m FROM (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM v) WHERE e < 256),
+{",".join(steps)},{nearest.format(n=rounds)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) FROM m{rounds}) AS codebooks_sha256
+FROM c JOIN w USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op11_centroid_clustering": _op11_sql(), "op13_vector_code_compression": _op13_sql(), "op4_quality_rules": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}

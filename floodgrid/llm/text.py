@@ -58,11 +58,11 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends there."""
     spark = df.sparkSession
     path, before = path or scratch(spark, name), spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(_BATCH, str(batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
@@ -82,10 +82,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self._tables = spark, []
 
-    def write(self, df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    def write(self, df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = (), batch_rows: int = BATCH_ROWS) -> DataFrame:
         """``df`` written and read again; then the tables that it takes the place of are dropped."""
         path = scratch(self.spark, name)
-        out = written(df, name, path)
+        out = written(df, name, path, batch_rows)
         self._tables.append((out, path))
         self.drop(*instead_of)
         return out
