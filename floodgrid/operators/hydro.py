@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from .blocks import ROWS, Blocks
 from .stats import exact_percentiles, histogram, masked_stats
 
 
@@ -126,10 +127,9 @@ def cell_max_over_time(cells: DataFrame, keys: list[str], values: list[str]) ->
     return cells.groupBy(*keys).agg(*[F.max(v).alias(f"{v}max") for v in values])
 
 
-def running_max(cells: DataFrame, keys: list[str], values: list[str], ts: str = "ts") -> DataFrame:
-    """The maxima since the start, at every step."""
-    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    return cells.withColumns({f"{v}max": F.max(v).over(w) for v in values})
+def running_max(cells: DataFrame, keys: list[str], values: list[str], ts: str = "ts", rows: int = ROWS) -> DataFrame:
+    """The maxima since the start, at every step; nulls are passed over."""
+    return Blocks(cells, keys, ts, rows).running({f"{v}max": v for v in values})
 
 
 def extent_report(layers: DataFrame, layer: str = "layer", ts: str = "ts", value: str = "value") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key
+from .blocks import ROWS, Blocks
 
 
 def join_predictions(predictions: DataFrame, index: DataFrame, keys: list[str], row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -33,19 +34,22 @@ def align_timesteps(files: DataFrame, times: DataFrame, keys: list[str], path: s
     return f.join(t, [*keys, "_n"]).drop("_n")
 
 
-def nearest_time(series: DataFrame, targets: DataFrame, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Each target with the value of the nearest time of its series; of two, the earlier one."""
-    micros = F.unix_micros(ts)
-    rows = series.select(*by, micros.alias("_u"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_s"), F.lit(None).cast("timestamp").alias("_q"))
-    asks = targets.select(*by, micros.alias("_u"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.col(ts).cast("timestamp").alias("_q"))
-    both = rows.unionByName(asks)
-    w = Window.partitionBy(*by).orderBy("_u")
-    before = F.last("_s", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_s", True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    out = both.withColumns({"_b": before, "_a": after}).where("_q IS NOT NULL")
+def nearest_time(series: DataFrame, targets: DataFrame, by: list[str], ts: str = "ts", value: str = "value", rows: int = ROWS) -> DataFrame:
+    """Each target with the value of the nearest time of its series; of two, the earlier one.
+
+    Of several values of one time the least counts. Targets stay as often as they come, without a
+    value where their series has none; those without a time are left out. The samples before and
+    after a target are running last values, so that the work is that of sorting, and series of more
+    than ``rows`` rows (samples and targets) are cut into blocks.
+    """
+    sample = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
+    samples = series.where(F.col(ts).isNotNull()).groupBy(*by, ts).agg(F.min(value).alias(value)).select(*by, F.unix_micros(ts).alias("_u"), F.lit(0).alias("_ask"), sample.alias("_s"), F.lit(None).cast("timestamp").alias("_q"))
+    asks = targets.where(F.col(ts).isNotNull()).select(*by, F.unix_micros(ts).alias("_u"), F.lit(1).alias("_ask"), F.lit(None).cast(samples.schema["_s"].dataType).alias("_s"), F.col(ts).cast("timestamp").alias("_q"))
+    blocks = Blocks(samples.unionByName(asks), by, "_u", rows)
+    both = blocks.running({"_b": ("_s", False), "_a": ("_s", True)}, "last", ties=(F.col("_ask"),)).where("_ask = 1")
     back, ahead = F.col("_u") - F.unix_micros("_b.t"), F.unix_micros("_a.t") - F.col("_u")
     pick = F.when(F.col("_a").isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_a"))
-    return out.withColumn("_p", pick).select(*by, F.col("_q").alias(ts), F.col("_p.t").alias("nearest_ts"), F.col("_p.v").alias(value))
+    return both.withColumn("_p", pick).select(*by, F.col("_q").alias(ts), F.col("_p.t").alias("nearest_ts"), F.col("_p.v").alias(value))
 
 
 def snap_coarse_window(tiles: DataFrame, x0: float, y0: float, dx: float, nx: int, ny: int, pc: int, mode: str = "center") -> DataFrame:

@@ -4,63 +4,55 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, Blocks, join_same
 from .joins import nearest_node
 from .stats import exact_percentiles
+from .tides import predict_tide
 
 
-def local_extrema(series: DataFrame, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
+def local_extrema(series: DataFrame, by: list[str], ts: str = "ts", value: str = "value", rows: int = ROWS) -> DataFrame:
     """Rows that are strict maxima or minima (``kind`` high or low); an end counts if it beats its neighbour."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    v, a, b = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
+    out = Blocks(series, by, ts, rows).neighbours(F.col(value), "_before", "_after")
+    v, a, b = F.col(value), F.col("_before"), F.col("_after")
     beats = lambda up: (F.coalesce(v > a if up else v < a, F.lit(True)) & F.coalesce(v > b if up else v < b, F.lit(True)) & (a.isNotNull() | b.isNotNull()))
-    out = series.withColumns({"_hi": beats(True), "_lo": beats(False)})
-    return out.withColumn("kind", F.when(F.col("_hi"), "high").when(F.col("_lo"), "low")).drop("_hi", "_lo").where("kind IS NOT NULL")
+    return out.withColumn("kind", F.when(beats(True), "high").when(beats(False), "low")).drop("_before", "_after").where("kind IS NOT NULL")
 
 
-def zero_downcrossing(series: DataFrame, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
+def zero_downcrossing(series: DataFrame, by: list[str], ts: str = "ts", value: str = "value", rows: int = ROWS) -> DataFrame:
     """Per series: number of falls through 0 (v > 0, next <= 0), mean period in hours, and RMS."""
-    w = Window.partitionBy(*by).orderBy(ts)
     at = F.unix_micros(ts) / F.lit(3.6e9)
-    down = (F.col(value) > 0) & (F.lead(value).over(w) <= 0)
-    out = series.withColumns({"_at": F.when(down, at)})
+    out = Blocks(series, by, ts, rows).neighbours(F.col(value), after="_after").withColumn("_at", F.when((F.col(value) > 0) & (F.col("_after") <= 0), at))
     period = F.try_divide(F.max("_at") - F.min("_at"), F.count("_at") - 1)
     return out.groupBy(*by).agg(F.count("_at").alias("crossings"), period.alias("mean_period_h"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
 
 
-def tide_check(cells: DataFrame, by: list[str], ts: str = "ts", z: str = "zs", h: str = "h") -> DataFrame:
+def tide_check(cells: DataFrame, by: list[str], ts: str = "ts", z: str = "zs", h: str = "h", rows: int = ROWS) -> DataFrame:
     """The deepest cell's water level, less its mean, must swing like a tide: 10 < Tz < 16 h, 0.2 < Hrms < 1.5."""
     first = cells.groupBy(*by).agg(F.min(ts).alias("_first"))
     start = cells.join(first, by).where(F.col(ts) == F.col("_first"))
     deepest = start.groupBy(*by).agg(F.max_by(F.struct("y", "x"), F.struct(F.col(h), -F.col("y"), -F.col("x"))).alias("c")).select(*by, "c.y", "c.x")
     series = cells.join(deepest, [*by, "y", "x"], "left_semi").select(*by, ts, z)
-    level = F.col(z) - F.avg(z).over(Window.partitionBy(*by))
-    out = zero_downcrossing(series.withColumn("_v", level), by, ts, "_v")
+    level = series.join(series.groupBy(*by).agg(F.avg(z).alias("_mean")), by).withColumn("_v", F.col(z) - F.col("_mean"))
+    out = zero_downcrossing(level, by, ts, "_v", rows)
     ok = (F.col("mean_period_h") > 10) & (F.col("mean_period_h") < 16) & (F.col("rms") > 0.2) & (F.col("rms") < 1.5)
     return out.withColumn("passed", F.coalesce(ok, F.lit(False)))
 
 
-def smooth(series: DataFrame, by: list[str], weight: float, order: str = "step", value: str = "value") -> DataFrame:
-    """``smoothed``: weight * previous + (1 - weight) * value, from the first value on; one series at a time in a task."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema)
+def smooth(series: DataFrame, by: list[str], weight: float, order: str = "step", value: str = "value", rows: int = ROWS) -> DataFrame:
+    """``smoothed``: weight * previous + (1 - weight) * value, from the first value on; a null repeats what was before."""
+    return Blocks(series, by, order, rows).smoothed(value, weight, "smoothed")
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        return frame.assign(smoothed=frame[value].astype(float).ewm(alpha=1 - weight, adjust=False).mean())
 
-    return series.groupBy(*by).applyInPandas(one, f"{fields}, smoothed double")
-
-
-def best_metric_history(df: DataFrame, better: str = "higher", by: tuple[str, ...] = ("dataset", "metric"), step: str = "iter", value: str = "value") -> DataFrame:
+def best_metric_history(df: DataFrame, better: str = "higher", by: tuple[str, ...] = ("dataset", "metric"), step: str = "iter", value: str = "value", rows: int = ROWS) -> DataFrame:
     """Best value so far and its step, for each step; the latest of equals; non-finite values are left out."""
     sign = 1 if better == "higher" else -1
-    rows = df.where(F.col(value).isNotNull() & (F.abs(value) < float("inf")) & ~F.isnan(value))
-    w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(F.struct((F.col(value) * sign).alias("v"), F.col(step).alias("i"))).over(w)
-    return rows.withColumn("_b", best).withColumns({"best_value": F.col("_b.v") * sign, "best_step": F.col("_b.i")}).drop("_b")
+    known = df.where(F.col(value).isNotNull() & (F.abs(value) < float("inf")) & ~F.isnan(value))
+    best = F.struct((F.col(value) * sign).alias("v"), F.col(step).alias("i"))
+    out = Blocks(known, list(by), step, rows).running({"_b": best})
+    return out.withColumns({"best_value": F.col("_b.v") * sign, "best_step": F.col("_b.i")}).drop("_b")
 
 
 def daily_totals(rain: DataFrame, by: list[str], ts: str = "ts", value: str = "depth", overlapping: bool = False) -> DataFrame:
@@ -71,8 +63,8 @@ def daily_totals(rain: DataFrame, by: list[str], ts: str = "ts", value: str = "d
 
 def rising_series(flows: DataFrame, by: list[str], ts: str = "ts", value: str = "flow") -> DataFrame:
     """``seconds`` since the series' first time, and flow not under 0."""
-    first = F.min(F.unix_micros(ts)).over(Window.partitionBy(*by))
-    return flows.withColumns({"seconds": (F.unix_micros(ts) - first) / F.lit(1e6), value: F.greatest(F.col(value), F.lit(0.0))})
+    out = join_same(flows, flows.groupBy(*by).agg(F.min(F.unix_micros(ts)).alias("_first")), by)
+    return out.withColumns({"seconds": (F.unix_micros(ts) - F.col("_first")) / F.lit(1e6), value: F.greatest(F.col(value), F.lit(0.0))}).drop("_first")
 
 
 def hydrograph_matrix(flows: DataFrame, by: list[str], ts: str = "ts", value: str = "flow") -> DataFrame:
@@ -81,39 +73,9 @@ def hydrograph_matrix(flows: DataFrame, by: list[str], ts: str = "ts", value: st
     return flows.groupBy(*by).agg(F.transform(pairs, lambda p: p["v"]).alias("values"), F.count("*").alias("n"))
 
 
-def predict_tide(constituents: DataFrame, times: DataFrame, node: str = "node_id", ts: str = "ts", reference: str = "2000-01-01 00:00:00", nodal: DataFrame | None = None, min_snr: float | None = None, min_energy: float | None = None, trend: str | None = None) -> DataFrame:
-    """Level of each node and time: mean + trend + sum of A F cos(2 pi (U + V) - g).
-
-    ``constituents``: node, name, freq (cycles per hour), amp, phase (degrees) and where used mean,
-    slope (per day), snr. Only those with snr >= ``min_snr`` and at least ``min_energy`` percent of
-    the node's squared amplitudes count. ``nodal``: name, f, u (cycles) and v (cycles) for each ts;
-    without it F = 1, U = 0 and V = freq * hours since the reference. A node's constituents become
-    one array, so that each (node, time) is one row and nothing is shuffled by time.
-    """
-    c = constituents
-    if min_snr is not None:
-        c = c.where(F.col("snr") >= min_snr)
-    if min_energy is not None:
-        share = 100 * F.col("amp") * F.col("amp") / F.sum(F.col("amp") * F.col("amp")).over(Window.partitionBy(node))
-        c = c.withColumn("_e", share).where(F.col("_e") >= min_energy)
-    mean = F.max("mean") if "mean" in c.columns else F.lit(0.0)
-    slope = F.max(trend) if trend else F.lit(0.0)
-    hours = (F.unix_micros(ts) - F.unix_micros(F.lit(reference).cast("timestamp"))) / F.lit(3.6e9)
-    if nodal is None:
-        packed = c.groupBy(node).agg(F.array_sort(F.collect_list(F.struct("name", "freq", "amp", "phase"))).alias("_c"), mean.alias("_m"), slope.alias("_s"))
-        rows = times.select(ts).distinct().withColumn("_h", hours).crossJoin(packed)
-        turn = lambda x: x["amp"] * F.cos(2 * math.pi * x["freq"] * F.col("_h") - F.radians(x["phase"]))
-        level = F.aggregate("_c", F.lit(0.0), lambda a, x: a + turn(x))
-        return rows.select(node, ts, (F.col("_m") + F.col("_s") * F.col("_h") / 24 + level).alias("level"))
-    wave = F.col("amp") * F.col("f") * F.cos(2 * math.pi * (F.col("u") + F.col("v")) - F.radians("phase"))
-    base = c.groupBy(node).agg(mean.alias("_m"), slope.alias("_s"))
-    total = c.join(nodal, "name").groupBy(node, ts).agg(F.sum(wave).alias("_w")).join(base, node).withColumn("_h", hours)
-    return total.select(node, ts, (F.col("_m") + F.col("_s") * F.col("_h") / 24 + F.col("_w")).alias("level"))
-
-
-def high_low_tides(series: DataFrame, by: list[str], begin: str, end: str, ts: str = "ts", value: str = "level") -> DataFrame:
+def high_low_tides(series: DataFrame, by: list[str], begin: str, end: str, ts: str = "ts", value: str = "level", rows: int = ROWS) -> DataFrame:
     """Extrema of the series whose time lies in [begin, end]."""
-    return local_extrema(series, by, ts, value).where(F.col(ts).between(F.lit(begin).cast("timestamp"), F.lit(end).cast("timestamp")))
+    return local_extrema(series, by, ts, value, rows).where(F.col(ts).between(F.lit(begin).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
 def exceedance_curve(tides: DataFrame, by: list[str], value: str = "level", kind: str = "kind") -> DataFrame:

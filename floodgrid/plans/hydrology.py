@@ -12,6 +12,7 @@ from ..operators import logs as L
 from ..operators import sampling as W
 from ..operators import series as T
 from ..operators.stats import masked_stats, merge_stats
+from ..operators.tides import LONGITUDES, predict_tide, select_constituents
 from ..sources.adapters import CELLS_SQL, FLOWS_SQL, INDEX_SQL, PEAKS_SQL, cells, flows, patch_index, peaks, scenario_of, table
 from ..streaming.streams import drain, stream_masked_stats
 from .registry import query, rounded
@@ -130,6 +131,62 @@ def t1_predict_tide(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("node_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "level"), 4)
 
 
+#: 37 constituents, the last 7 products of two others; satellites of the nations; nodes of 37 suppliers each.
+_NODAL = """WITH co AS (SELECT k // 37 AS node_id, k % 37 AS i, (k % 7 + 1) / 10.0::DOUBLE AS amp, (k % 7 + 1) / 10.0::DOUBLE * (0.05::DOUBLE + (k % 9) * 0.3::DOUBLE) AS amp_ci, (k * 31 % 360)::DOUBLE AS phase,
+  (k // 37 * 13 % 140) - 69.5::DOUBLE AS lat, (k // 37) * 0.1::DOUBLE AS mean, (k // 37 % 3) * 0.0001::DOUBLE AS slope FROM (SELECT s_suppkey - 1 AS k FROM supplier)),
+se AS (SELECT *, 100 * amp * amp / sum(amp * amp) OVER (PARTITION BY node_id) AS energy, amp * amp / pow(amp_ci / 1.96::DOUBLE, 2) AS snr FROM co)"""
+
+_NODAL_ROWS = f"""{_NODAL}, pr AS (SELECT i, i % 3 AS d0, i % 5 - 2 AS d1, i % 4 - 1 AS d2, i % 2 AS d3, 0 AS d4, i % 3 - 1 AS d5, (i % 4) * 0.25::DOUBLE AS se FROM range(30) r(i)),
+te AS (SELECT i, i AS p, 1 AS k FROM range(30) r(i) UNION ALL SELECT i, i % 30 AS p, 1 AS k FROM range(30, 37) r(i) UNION ALL SELECT i, i * 2 % 30 AS p, CASE i % 2 WHEN 0 THEN 2 ELSE -1 END AS k FROM range(30, 37) r(i)),
+sa AS (SELECT unnest([n_nationkey % 30, (n_nationkey * 3 + 1) % 30]) AS p, n_nationkey % 3 - 1 AS e0, n_nationkey % 2 AS e1, n_nationkey % 5 - 2 AS e2, (n_nationkey % 4) * 0.25::DOUBLE AS c, 0.01::DOUBLE * (n_nationkey % 7 + 1) AS r, n_nationkey % 3 AS f FROM nation),
+tm AS (SELECT DISTINCT o_orderdate AS ts FROM orders), dy AS (SELECT ts, epoch_us(ts) / 86400000000.0::DOUBLE AS u, epoch_us(ts) / 86400000000.0::DOUBLE + 25567.5::DOUBLE AS d FROM tm),
+a0 AS (SELECT ts, u, {", ".join(f"fmod(({c0}::DOUBLE + {c1}::DOUBLE * d + {c2}::DOUBLE * pow(d / 10000, 2) + {c3:.9f}::DOUBLE * pow(d / 10000, 3)) / 360, 1) AS {n}_" for n, (c0, c1, c2, c3) in LONGITUDES.items())} FROM dy),
+a1 AS (SELECT *, fmod(u, 1) + h_ - s_ AS tau_ FROM a0),
+la AS (SELECT node_id, sin(radians(CASE WHEN abs(max(lat)) < 5 THEN CASE WHEN max(lat) < 0 THEN -5 ELSE 5 END ELSE max(lat) END)) AS sl FROM co GROUP BY node_id),
+st AS (SELECT ts, p, f, sum(r * cos(2 * pi() * a)) AS re, sum(r * sin(2 * pi() * a)) AS im FROM (SELECT ts, p, f, r, fmod(e0 * p_ + e1 * np_ + e2 * pp_ + c, 1) AS a FROM sa, a1) GROUP BY ts, p, f),
+vv AS (SELECT ts, i AS p, fmod(d0 * tau_ + d1 * s_ + d2 * h_ + d3 * p_ + d4 * np_ + d5 * pp_ + pr.se, 1) AS v FROM pr, a1),
+zz AS (SELECT vv.ts, vv.p, node_id, any_value(v) AS v, 1 + coalesce(sum(w * re), 0) AS re, coalesce(sum(w * im), 0) AS im FROM vv CROSS JOIN la LEFT JOIN
+  (SELECT st.*, node_id AS nd, CASE f WHEN 0 THEN 1 WHEN 1 THEN 0.36309::DOUBLE * (1 - 5 * sl * sl) / sl ELSE 2.59808::DOUBLE * sl END AS w FROM st, la) x ON x.ts = vv.ts AND x.p = vv.p AND x.nd = node_id GROUP BY vv.ts, vv.p, node_id),
+fu AS (SELECT ts, node_id, te.i, exp(sum(abs(k) * ln(sqrt(re * re + im * im)))) AS f, sum(k * (atan2(im, re) / (2 * pi()) + v)) AS a FROM te JOIN zz USING (p) GROUP BY ts, node_id, te.i)"""
+
+
+def _nodal(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Coefficients, constituents and satellites; names have two digits, so that they sort as numbers do."""
+    k = F.col("s_suppkey") - 1
+    nd, amp = F.floor(k / 37), (k % 7 + 1) / 10.0
+    name = lambda i: F.lpad(i.cast("string"), 2, "0")
+    coefficients = table(spark, sf, "supplier").select(
+        nd.alias("node_id"), name(k % 37).alias("name"), amp.alias("amp"), (amp * (0.05 + (k % 9) * 0.3)).alias("amp_ci"), (k * 31 % 360).cast("double").alias("phase"),
+        (nd * 13 % 140 - 69.5).alias("lat"), (nd * 0.1).alias("mean"), ((nd % 3) * 0.0001).alias("slope"),
+    )
+    i = F.col("id")
+    numbers = F.array(*(x.cast("double") for x in (i % 3, i % 5 - 2, i % 4 - 1, i % 2, i * 0, i % 3 - 1)))
+    of = lambda j, c: F.struct(name(j).alias("name"), c.cast("double").alias("coef"))
+    shallow = F.when(i >= 30, F.array(of(i % 30, F.lit(1)), of(i * 2 % 30, F.when(i % 2 == 0, 2).otherwise(-1))))
+    constituents = spark.range(37).select(name(i).alias("name"), numbers.alias("doodson"), ((i % 4) * 0.25).alias("semi"), shallow.alias("shallow"))
+    n = F.col("n_nationkey")
+    satellites = table(spark, sf, "nation").select(
+        F.explode(F.array(name(n % 30), name((n * 3 + 1) % 30))).alias("name"), F.array(*(x.cast("double") for x in (n % 3 - 1, n % 2, n % 5 - 2))).alias("deldood"),
+        ((n % 4) * 0.25).alias("phcorr"), (0.01 * (n % 7 + 1)).alias("amprat"), (n % 3).cast("int").alias("ilatfac"),
+    )
+    return coefficients, constituents, satellites
+
+
+@query(f"{_NODAL} SELECT node_id, lpad(CAST(i AS VARCHAR), 2, '0') AS name, round(snr, 6) AS snr, round(energy, 6) AS energy FROM se WHERE snr >= 2 AND energy >= 0.5::DOUBLE")
+def t1_constituent_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(select_constituents(_nodal(spark, sf)[0], 2.0, 0.5).select("node_id", "name", "snr", "energy"))
+
+
+@query(f"""{_NODAL_ROWS} SELECT node_id, strftime(ts, '%Y-%m-%d') AS day, round(any_value(mean) + any_value(slope) * date_diff('microsecond', TIMESTAMP '2000-01-01', ts) / 86400000000.0::DOUBLE
++ sum(amp * f * cos(2 * pi() * a - radians(phase))), 4) AS level FROM se JOIN fu USING (node_id, i) WHERE snr >= 2 AND energy >= 0.5::DOUBLE GROUP BY node_id, ts""")
+def t1_predict_tide_nodal(spark: SparkSession, sf: str) -> DataFrame:
+    """With astronomical arguments, nodal corrections, products, selection and trend."""
+    coefficients, constituents, satellites = _nodal(spark, sf)
+    times = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"))
+    out = predict_tide(coefficients, times, constituents=constituents, satellites=satellites, min_snr=2.0, min_energy=0.5, trend="slope")
+    return rounded(out.select("node_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "level"), 4)
+
+
 @query(f"{FLOWS_SQL[:-1]}, {_EX}, k AS (SELECT reach_id, flow, CASE WHEN coalesce(flow > a, true) AND coalesce(flow > b, true) THEN 'high' WHEN coalesce(flow < a, true) AND coalesce(flow < b, true) THEN 'low' END AS kind FROM x WHERE a IS NOT NULL OR b IS NOT NULL) SELECT kind, [round(q, 6) FOR q IN quantile_cont(flow, [i / 100 FOR i IN range(101)])] AS levels, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind")
 def t3_exceedance_curve(spark: SparkSession, sf: str) -> DataFrame:
     out = T.exceedance_curve(T.local_extrema(flows(spark, sf), ["reach_id"], value="flow"), [], "flow")
@@ -246,6 +303,12 @@ def a31_cell_max_over_time(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(H.cell_max_over_time(cells(spark, sf), ["patch_row", "patch_col", "y", "x"], ["target", "u"]))
 
 
+@query(f"{CELLS_SQL} SELECT scenario, y, x, vec_id, round(max(target) OVER w, 6) AS targetmax, round(max(u) OVER w, 6) AS umax FROM cells WINDOW w AS (PARTITION BY scenario, y, x ORDER BY vec_id)")
+def a31_running_max(spark: SparkSession, sf: str) -> DataFrame:
+    out = H.running_max(cells(spark, sf).select("scenario", "y", "x", "vec_id", "target", "u"), ["scenario", "y", "x"], ["target", "u"], "vec_id")
+    return rounded(out.select("scenario", "y", "x", "vec_id", "targetmax", "umax"))
+
+
 @query(f"{CELLS_SQL} SELECT scenario, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(time_index) AS time_index_min, max(time_index) AS time_index_max, count(*) FILTER (WHERE target = 0) AS missing, count(*) AS n FROM cells GROUP BY scenario")
 def a32_extent_report(spark: SparkSession, sf: str) -> DataFrame:
     return H.extent_report(cells(spark, sf).withColumn("target", F.nullif("target", F.lit(0.0))), "scenario", "time_index", "target")
