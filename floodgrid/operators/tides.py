@@ -57,6 +57,13 @@ def _dot(numbers: Column, astro: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [numbers[i] * F.col(c) for i, c in enumerate(astro)])
 
 
+def _spread(times: DataFrame, ts: str) -> DataFrame:
+    """The distinct times over all cores: few bytes of them make many rows."""
+    spark = times.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return times.select(ts).distinct().repartition(tasks, ts)
+
+
 def tide_waves(times: DataFrame, primaries: DataFrame, satellites: DataFrame, ts: str = "ts") -> DataFrame:
     """``ts``, ``waves``: for each primary constituent, by name, its argument ``v`` and its satellites' sums.
 
@@ -68,7 +75,7 @@ def tide_waves(times: DataFrame, primaries: DataFrame, satellites: DataFrame, ts
     packed = primaries.select("name", "doodson", "semi").join(own, "name", "left")
     packed = packed.agg(F.array_sort(F.collect_list(F.struct("name", "doodson", "semi", F.coalesce("satellites", F.array()).alias("satellites")))).alias("_p"))
     astro = ["tau", *LONGITUDES]
-    rows = times.select(ts).distinct().withColumns(astronomy(ts)).crossJoin(packed)  # one row
+    rows = _spread(times, ts).withColumns(astronomy(ts)).crossJoin(packed)  # one row
 
     def turned(c: Column) -> Column:
         angle = F.transform(c["satellites"], lambda s: F.struct(s["amprat"].alias("r"), s["ilatfac"].alias("k"), (2 * math.pi * ((_dot(s["deldood"], astro[3:]) + s["phcorr"]) % 1)).alias("a")))
@@ -111,7 +118,7 @@ def predict_tide(
     hours = (F.unix_micros(ts) - F.unix_micros(F.lit(reference).cast("timestamp"))) / F.lit(3.6e9)
     if constituents is None:
         packed = c.groupBy(node).agg(F.array_sort(F.collect_list(F.struct("name", "freq", "amp", "phase"))).alias("_c"), mean.alias("_m"), slope.alias("_s"))
-        rows = times.select(ts).distinct().withColumn("_h", hours).crossJoin(packed)  # the result's rows
+        rows = _spread(times, ts).withColumn("_h", hours).crossJoin(packed)  # the result's rows
         turn = lambda x: x["amp"] * F.cos(2 * math.pi * x["freq"] * F.col("_h") - F.radians(x["phase"]))
     else:
         known = c.join(_terms(constituents), "name")
