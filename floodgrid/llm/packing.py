@@ -32,8 +32,8 @@ class WordEncoder:
 
     The file's pre-tokenizer cuts a text into words that are encoded on their own, so a text's ids
     are its words' ids in a row. That holds for characters up to U+024F (one code point each, no
-    composition, the same classes in every Unicode version); a text with any other character, a
-    control character or a special token's ``<|`` goes to the library whole.
+    composition, the same classes in every Unicode version); a text that has any other character as
+    it is or in lower case, a control character or a special token's ``<|`` goes to the library whole.
     """
 
     def __init__(self, path: str, most_words: int = 800_000):
@@ -57,9 +57,16 @@ class WordEncoder:
         signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
         return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
+    def _words(self, text: str) -> list[str] | None:
+        """None for a text that the library gets whole."""
+        if self.odd(text) or "<|" in text:
+            return None
+        low = text.lower()
+        return None if self.odd(low) else self.split(low)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [None if self.odd(t) or "<|" in t else self.split(t.lower()) for t in texts]
+        words = [self._words(t) for t in texts]
         if len(self.known) > self.most_words:
             self.known.clear()
         for w in set().union(*filter(None, words)).difference(self.known):

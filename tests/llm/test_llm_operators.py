@@ -56,6 +56,19 @@ def test_pack_edges(odd, none):
         packing.pack(odd, path, size=100)
 
 
+def test_ids_of_every_character_and_script():
+    """Each code point up to U+024F in, before and after a word and alone, then random strings of all scripts."""
+    encoder, rng = packing.WordEncoder(P.path("word_bpe_49k.json")), random.Random(6)
+    texts = [t for i in range(0x250) for c in [chr(i)] for t in (c, f"ab{c}cd", f"{c}word", f"Word{c}", f"a {c} 1{c}2", c * 3)]
+    blocks = [(0x20, 0x7F), (0xA0, 0x250), (0x180, 0x250), (0x250, 0x600), (0x600, 0x1200), (0x1E00, 0x2100), (0x2C60, 0x2C80), (0x3040, 0x3100), (0x4E00, 0x5000), (0xFB00, 0xFE00), (0x1D400, 0x1D500), (0x1F300, 0x1F600)]
+    for _ in range(6000):
+        some = rng.sample(blocks, rng.randint(1, 2))
+        texts.append("".join(chr(rng.randrange(*rng.choice(some))) if rng.random() < 0.8 else rng.choice(" \n\t'.A") for _ in range(rng.randint(1, 30))))
+    got = encoder.encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_sum_of_squares_picks_the_least_sum():
     rng = random.Random(1)
     state = packing.SumOfSquares(50, most=10_000)
