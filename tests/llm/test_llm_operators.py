@@ -232,6 +232,29 @@ def test_wrapper_template_is_of_a_node(spark):
     assert got == {i: f"{i} title " + ("Latest" if i == 3 else f"text {i}") for i in range(12)}
 
 
+def test_wrapper_loses_no_text_and_no_story():
+    story = "<p>" + "the story goes on and on " * 8 + "</p>"
+    said = ("the story goes on and on " * 8).strip()
+    pages = {
+        "<p>a<!-->b</p><p>c</p>": "ab c",
+        "<p>a<!--->b</p><p>c</p>": "ab c",
+        "<p>a<!-- x --!>b</p><p>c</p>": "ab c",
+        "<p>a<!-- x -- > y -->b</p>": "ab",
+        "<p>a<!-- x": "a",
+        "<p>one</p><svg/><p>two</p>": "one two",
+        "<p>one</p><math /><p>two</p>": "one two",
+        "<p>one</p><svg><path d='M0'/></svg><p>two</p>": "one two",
+        f"<article>{story}</article><div id=comments><article>c1</article><article>c2</article></div>": said,
+        f"<div>{story}</div><div class=comment-list><article>c1</article></div>": said,
+        f"<div class=comments>{story}</div>": said,
+        f"<article>{story}<div class=share>a</div><div class=newsletter-box>b</div><ul class=related-posts><li>c</ul><div class=notice>d</div></article>": said,
+        f"<article>{story}<div id=disqus_thread>a</div><div class=ad-unit>b</div><div class=advertisement-block>c</div></article>": said,
+        f"<div>{story}</div><div class=cookie-bar>a</div><div class=site-nav-wrap>b</div>": said,
+        f"<div class=post-header-wrap>{story}</div><div class=sidebar-content>{story}</div>": f"{said} {said}",
+    }
+    assert {p: wrapper.main_text(p) for p in pages} == pages
+
+
 def test_wrapper_keeps_what_the_contract_keeps():
     pages = {
         "<div id=content><p>the long story</p><p>goes on</p></div><article>teaser</article>": "the long story goes on teaser",
