@@ -105,65 +105,104 @@ def place_on_axes(static: DataFrame, x_canvas: list[float], y_canvas: list[float
     return asked.join(static.withColumnsRenamed({"y": "_y", "x": "_x"}), ["_y", "_x"], "left").drop("_y", "_x")
 
 
-def _cell(c: str | Column, size: float) -> Column:
-    return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("bigint")
+#: Bits of a place's coordinate in the tree of cells, and of one level: a cell has up to 16 children.
+_BITS, _STEP = 24, 2
 
 
 def _kept(df: DataFrame) -> DataFrame:
     from ..streaming.streams import checkpoint_path
 
-    path = checkpoint_path(df.sparkSession, f"left-{uuid.uuid4().hex}")
+    path = checkpoint_path(df.sparkSession, f"kept-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, point_id: str, place_id: str, x: str = "x", y: str = "y") -> DataFrame:
+def cell_tree(places: DataFrame, side: float, left: float, low: float, most: int) -> tuple[DataFrame, int]:
+    """(cells, depth) of the places (_px, _py): ``_l``, ``_cx``, ``_cy``, their number ``_n``, and whether ``_inner``.
+
+    A cell of more than ``most`` places has children, down to cells of side / 2^24; so cells are small
+    where places are dense, and all others hold ``most`` at most. There are about 16 cells for each
+    ``most`` places.
+    """
+    levels = F.explode(F.sequence(F.lit(0), F.lit(_BITS // _STEP)))
+    at = lambda v, start: F.least(F.floor((F.col(v) - start) / side * (1 << _BITS)), F.lit((1 << _BITS) - 1)).cast("int")
+    spread = places.select(at("_px", left).alias("_x"), at("_py", low).alias("_y")).groupBy("_x", "_y").agg(F.count("*").alias("_n"))
+    every = spread.withColumn("_l", levels).withColumn("_s", _BITS - _STEP * F.col("_l"))
+    counts = every.groupBy("_l", F.expr("shiftright(_x, _s)").alias("_cx"), F.expr("shiftright(_y, _s)").alias("_cy")).agg(F.sum("_n").alias("_n"))
+    inner = (F.col("_n") > most) & (F.col("_l") < _BITS // _STEP)
+    counts = counts.withColumn("_inner", inner)
+    above = counts.where("_inner").select((F.col("_l") + 1).alias("_l"), F.col("_cx").alias("_ux"), F.col("_cy").alias("_uy"))
+    below = counts.where("_l > 0").withColumns({"_ux": F.shiftright("_cx", _STEP), "_uy": F.shiftright("_cy", _STEP)})
+    cells = _kept(counts.where("_l = 0").unionByName(below.join(above, ["_l", "_ux", "_uy"], "left_semi").drop("_ux", "_uy")))
+    return cells, cells.agg(F.max("_l")).first()[0]
+
+
+def nearest_k(points: DataFrame, places: DataFrame, k: int, point_id: str, place_id: str, x: str = "x", y: str = "y", most: int | None = None) -> DataFrame:
     """The k nearest places of each point with ``distance`` and ``rank``; ties by place_id.
 
-    Both sides are dealt to square buckets of ``size``, and a point looks at the nine around it. It
-    is done when its k-th place is no further than a bucket's side. The points that are not go on
-    with buckets four times as wide, until one bucket spans everything. Every join is on buckets.
+    A tree of cells follows the places' density (:func:`cell_tree`). From its root down each point keeps
+    the cells that may hold one of its k nearest places: those that begin no further away than where
+    the nearest cells that hold k places together end. Only at the end does it meet places, those of
+    the leaves left, at most ``most`` a leaf; the k best of each task go on. Of places at one spot only
+    the k least ids can count. Points and places without coordinates are left out.
     """
-    near = places.select(F.col(place_id).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"))
-    left, out = points.select(point_id, x, y).distinct(), None
-    ends = [f(c) for c in (x, y) for f in (F.min, F.max)]
-    both = points.select(x, y).union(places.select(x, y)).agg(*ends).first()
-    total = places.count()
-    if not total:
+    most = most or max(64, 2 * k)
+    near = places.select(F.col(place_id).alias("_id"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).where("_px IS NOT NULL AND _py IS NOT NULL")
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("_px", "_py").orderBy("_id"))).where(F.col("_r") <= k).drop("_r")
+    ends = near.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).first()
+    asked = points.select(point_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
+    if ends[0] is None:
         return points.select(point_id).limit(0).crossJoin(places.select(place_id, F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0))
-    extent = max(both[1] - both[0], both[3] - both[2])
-    steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    distance = F.sqrt(F.pow(F.col(x) - F.col("_px"), 2) + F.pow(F.col(y) - F.col("_py"), 2))
-    while True:
-        last = size > extent
-        asked = left.withColumn("_dx", steps).withColumn("_dy", steps).withColumns({"_bx": _cell(x, size) + F.col("_dx"), "_by": _cell(y, size) + F.col("_dy")})
-        found = asked.join(near.withColumns({"_bx": _cell("_px", size), "_by": _cell("_py", size)}), ["_bx", "_by"])
-        ranked = found.withColumn("distance", distance).withColumn("rank", F.row_number().over(Window.partitionBy(point_id).orderBy("distance", "_id")))
-        top = ranked.where(F.col("rank") <= k).select(point_id, F.col("_id").alias(place_id), "distance", "rank")
-        reach = top.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
-        done = reach.where((F.col("_n") >= min(k, total)) & (F.lit(last) | (F.col("_far") <= size))).select(point_id)
-        part = top.join(done, point_id)
-        out = part if out is None else out.unionByName(part)
-        if last:
-            return out
-        # written, so that the next turn doesn't join all that came before again
-        left = _kept(left.join(done, point_id, "left_anti"))
-        if left.isEmpty():
-            return out
-        size *= 4
-
-
-def nearest_reach(points: DataFrame, reaches: DataFrame, k: int = 20, size: float = 1.0, point_id: str = "point_id", reach_id: str = "reach_id", area: str = "uparea") -> DataFrame:
+    left, low = ends[0], ends[2]
+    side = max(ends[1] - left, ends[3] - low) * (1 + 1e-9) or 1.0
+    cells, depth = cell_tree(near, side, left, low, most)
+    size = F.lit(side) / F.expr(f"shiftleft(1L, {_STEP} * _l)")
+    slack = 1e-12 * (abs(left) + abs(low) + side)  # of places at a cell's edge
+    box = {"_x0": left + F.col("_cx") * size - slack, "_y0": low + F.col("_cy") * size - slack, "_w": size + 2 * slack}
+    cells = cells.withColumns(box)
+
+    def reach(least: bool) -> Column:
+        def axis(p: str, c: str) -> Column:
+            before, behind = F.col(c) - F.col(p), F.col(p) - F.col(c) - F.col("_w")
+            return F.greatest(before, behind, F.lit(0.0)) if least else F.greatest(before + F.col("_w"), F.col(p) - F.col(c))
+        return F.hypot(axis("_x", "_x0"), axis("_y", "_y0"))
+
+    own = [point_id, "_x", "_y"]
+    front = asked.crossJoin(cells.where("_l = 0"))  # the root
+    for level in range(depth):
+        here = (F.col("_l") == level) & F.col("_inner")
+        children = cells.where(F.col("_l") == level + 1).withColumns({"_ux": F.shiftright("_cx", _STEP), "_uy": F.shiftright("_cy", _STEP)})
+        opened = front.where(here).select(*own, F.col("_cx").alias("_ux"), F.col("_cy").alias("_uy")).join(children, ["_ux", "_uy"]).drop("_ux", "_uy")
+        front = front.where(~here).select(*own, *cells.columns).unionByName(opened).withColumns({"_near": reach(True), "_far": reach(False)})
+        held = F.sum("_n").over(Window.partitionBy(point_id, "_x", "_y").orderBy("_far"))
+        front = front.withColumn("_held", held).withColumn("_end", F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(point_id, "_x", "_y")))
+        front = front.where(F.col("_end").isNull() | (F.col("_near") <= F.col("_end"))).select(*own, *cells.columns)
+        if level % 4 == 3:  # so that the plan stays short
+            front = _kept(front)
+    at = lambda v, start: F.least(F.floor((F.col(v) - start) / side * (1 << _BITS)), F.lit((1 << _BITS) - 1)).cast("int")
+    leaves = cells.where("NOT _inner").select("_l", "_cx", "_cy")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    dealt = near.withColumns({"_ix": at("_px", left), "_iy": at("_py", low)}).withColumn("_l", levels)
+    shift = f"{_BITS} - {_STEP} * _l"
+    dealt = dealt.select("_id", "_px", "_py", "_l", F.expr(f"shiftright(_ix, {shift})").alias("_cx"), F.expr(f"shiftright(_iy, {shift})").alias("_cy")).join(leaves, ["_l", "_cx", "_cy"], "left_semi")
+    met = front.select(*own, "_l", "_cx", "_cy").join(dealt, ["_l", "_cx", "_cy"])
+    met = met.select(point_id, F.col("_id").alias(place_id), F.sqrt(F.pow(F.col("_x") - F.col("_px"), 2) + F.pow(F.col("_y") - F.col("_py"), 2)).alias("distance"))
+    # Spark keeps the k best of each task before it shuffles
+    rank = F.row_number().over(Window.partitionBy(point_id).orderBy("distance", place_id))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest_reach(points: DataFrame, reaches: DataFrame, k: int = 20, point_id: str = "point_id", reach_id: str = "reach_id", area: str = "uparea") -> DataFrame:
     """Of the k nearest reaches of a point, that with the largest upstream area (then the nearest)."""
-    near = nearest_k(points, reaches, k, size, point_id, reach_id).join(reaches.select(reach_id, area), reach_id)
+    near = nearest_k(points, reaches, k, point_id, reach_id).join(reaches.select(reach_id, area), reach_id)
     return near.groupBy(point_id).agg(F.max_by(reach_id, F.struct(F.col(area), -F.col("rank"))).alias(reach_id), F.max(area).alias(area))
 
 
-def nearest_node(grid: DataFrame, nodes: DataFrame, point_id: str, node_id: str, size: float = 1.0, bbox: tuple | None = None) -> DataFrame:
+def nearest_node(grid: DataFrame, nodes: DataFrame, point_id: str, node_id: str, bbox: tuple | None = None) -> DataFrame:
     """Nearest node of each grid point, among those in ``bbox`` (xmin, xmax, ymin, ymax)."""
     if bbox:
         nodes = nodes.where(F.col("x").between(*bbox[:2]) & F.col("y").between(*bbox[2:]))
-    return nearest_k(grid, nodes, 1, size, point_id, node_id).drop("rank")
+    return nearest_k(grid, nodes, 1, point_id, node_id).drop("rank")
 
 
 def inside_polygon(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:

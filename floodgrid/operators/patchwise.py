@@ -84,6 +84,10 @@ def ssim(pairs: DataFrame, by: list[str], crop: int = 0, most: float = 255.0) ->
     return rows.groupBy(*by).agg(F.avg("ssim").alias("ssim"))
 
 
+#: Cells of the patches that are shifted together.
+_STACK = 1 << 18
+
+
 def best_shift(patches: DataFrame, threshold: float, max_shift: int = 3, fine: str = "fine", coarse: str = "coarse", mask: str | None = "mask") -> DataFrame:
     """CSI of the wet areas of two arrays on one grid for every shift of the fine one by (dy, dx) cells; the
     first best in (dy, dx) order.
@@ -91,31 +95,43 @@ def best_shift(patches: DataFrame, threshold: float, max_shift: int = 3, fine: s
     Cells count where the mask holds and both values are there; shifts without such cells are left
     out, and a patch without any has NULL. ``mask`` may be None.
     """
+    span = range(-max_shift, max_shift + 1)
+
+    def best_of(a: np.ndarray, b: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """CSI (NaN for none), dy and dx of a stack of patches of one shape."""
+        h, w = a.shape[1:]
+        known, wet_a, wet_b = np.isfinite(a), a >= threshold, b >= threshold
+        inside = inside & np.isfinite(b)
+        best, place = np.full(len(a), np.nan), np.zeros((2, len(a)), int)
+        for dy in span:
+            for dx in span:
+                # the cells of the coarse array that the shifted one covers, and where they come from
+                at = (slice(None), slice(max(dy, 0), h + min(dy, 0)), slice(max(dx, 0), w + min(dx, 0)))
+                source = (slice(None), slice(max(-dy, 0), h + min(-dy, 0)), slice(max(-dx, 0), w + min(-dx, 0)))
+                ok = inside[at] & known[source]
+                x, y = wet_a[source] & ok, wet_b[at] & ok
+                some = ok.any(axis=(1, 2))
+                csi = (x & y).sum(axis=(1, 2)) / np.maximum((x | y).sum(axis=(1, 2)), 1)
+                better = some & ~(csi <= best)
+                best[better] = csi[better]
+                place[:, better] = [[dy], [dx]]
+        return best, place[0], place[1]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        span = range(-max_shift, max_shift + 1)
         for frame in frames:
-            rows = []
-            masks = frame[mask] if mask else [None] * len(frame)
-            for f, c, m, h, w in zip(frame[fine], frame[coarse], masks, frame["h"], frame["w"], strict=True):
-                a, b = (np.asarray(v, float).reshape(h, w) for v in (f, c))
-                inside = np.isfinite(b) & (np.asarray(m, float).reshape(h, w) > 0.5 if m is not None else True)
-                best = (None, None, None)
-                for dy in span:
-                    for dx in span:
-                        # the cells of the coarse array that the shifted one covers, and where they come from
-                        at = (slice(max(dy, 0), h + min(dy, 0)), slice(max(dx, 0), w + min(dx, 0)))
-                        source = (slice(max(-dy, 0), h + min(-dy, 0)), slice(max(-dx, 0), w + min(-dx, 0)))
-                        p, q = a[source], b[at]
-                        ok = inside[at] & np.isfinite(p)
-                        if not ok.any():
-                            continue
-                        x, y = (p >= threshold) & ok, (q >= threshold) & ok
-                        csi = (x & y).sum() / max((x | y).sum(), 1)
-                        if best[0] is None or csi > best[0]:
-                            best = (float(csi), dy, dx)
-                rows.append(best)
+            frame = frame.reset_index(drop=True)
+            csi, dy, dx = np.full(len(frame), np.nan), np.zeros(len(frame), int), np.zeros(len(frame), int)
+            for (h, w), own in frame.groupby(["h", "w"]).groups.items():
+                each = max(1, _STACK // (h * w))
+                for i in range(0, len(own), each):
+                    rows = own[i : i + each]
+                    def stack(c: str) -> np.ndarray:
+                        return np.stack([np.asarray(v, float) for v in frame.loc[rows, c]]).reshape(-1, h, w)
+                    inside = stack(mask) > 0.5 if mask else np.ones((len(rows), h, w), bool)
+                    csi[rows], dy[rows], dx[rows] = best_of(stack(fine), stack(coarse), inside)
             keep = [c for c in frame.columns if c not in (fine, coarse, mask)]
-            found = {k: pd.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("csi", "Float64"), ("dy", "Int32"), ("dx", "Int32")))}
+            none = np.isnan(csi)
+            found = {"csi": pd.array(np.where(none, None, csi), "Float64"), "dy": pd.array(np.where(none, None, dy), "Int32"), "dx": pd.array(np.where(none, None, dx), "Int32")}
             yield frame[keep].assign(**found)
 
     keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema if f.name not in (fine, coarse, mask)]

@@ -99,7 +99,7 @@ def map_tide(spark, region: tuple[float, float, float, float], resolution: float
     xmin, xmax, ymin, ymax = region
     nx, ny = (int(math.floor((b - a) / resolution + 1e-9)) + 1 for a, b in ((xmin, xmax), (ymin, ymax)))
     ids = spark.range(nx * ny).select(F.col("id").alias("point_id"), (xmin + (F.col("id") % nx) * resolution).alias("x"), (ymin + F.floor(F.col("id") / nx) * resolution).alias("y"))
-    near = nearest_node(ids, nodes, "point_id", "node_id", size=max(resolution, 1e-6) * 4)
+    near = nearest_node(ids, nodes, "point_id", "node_id")
     used = constituents.join(near.select("node_id").distinct(), "node_id", "left_semi")
     levels = predict_tide(used, times)
     return ids.join(near.select("point_id", "node_id"), "point_id").join(levels, "node_id").withColumn("level", F.col("level") + datum)

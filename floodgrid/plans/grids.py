@@ -313,17 +313,11 @@ def a2_dataset_stats_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{WIDE_SQL}, e AS (SELECT scenario, min(pred) AS lo, max(pred) AS hi, count(*) AS n FROM cells GROUP BY scenario),
-b AS (SELECT c.scenario, CAST(floor((pred - lo) * 255 / (hi - lo + {_EPS})) AS INT) AS bin, lo, hi, n FROM cells c JOIN e ON c.scenario = e.scenario),
+b AS (SELECT c.scenario, CAST(floor((pred - lo) * 8191 / (hi - lo + {_EPS})) AS INT) AS bin, lo, hi, n FROM cells c JOIN e ON c.scenario = e.scenario),
 r AS (SELECT scenario, bin, lo, hi, n, sum(count(*)) OVER (PARTITION BY scenario ORDER BY bin) AS cdf FROM b GROUP BY scenario, bin, lo, hi, n),
 q AS (SELECT unnest([50.0::DOUBLE, 90.0::DOUBLE, 99.0::DOUBLE]) AS q)
-SELECT scenario, q, round(min(lo + (hi - lo) * bin / 255), 6) AS value FROM r, q WHERE cdf >= q / 100 * (n - 1) GROUP BY scenario, q""")
+SELECT scenario, q, round(min(lo + (hi - lo) * bin / 8191), 6) AS value FROM r, q WHERE cdf >= q / 100 * (n - 1) GROUP BY scenario, q""")
 def a3_histogram_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(A.histogram_percentile(wide_cells(spark, sf), "pred", [50, 90, 99], ["scenario"], 256))
-
-
-@query(SQL["a3_histogram_percentile"].replace("* 255 /", "* 8191 /").replace("bin / 255", "bin / 8191"))
-def a3_histogram_percentile_full(spark: SparkSession, sf: str) -> DataFrame:
-    """As a3_histogram_percentile, with all 8192 bins."""
     return rounded(A.histogram_percentile(wide_cells(spark, sf), "pred", [50, 90, 99], ["scenario"]))
 
 
@@ -467,23 +461,16 @@ def _places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return points, nodes
 
 
-@query(f"WITH {_NODES}, r AS (SELECT point_id, id, area, row_number() OVER (PARTITION BY point_id ORDER BY sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)), id) AS k FROM p, n), b AS (SELECT point_id, id, area, row_number() OVER (PARTITION BY point_id ORDER BY area DESC, k) AS o FROM r WHERE k <= 5) SELECT point_id, id AS reach_id, round(area, 6) AS uparea FROM b WHERE o = 1")
+@query(f"WITH {_NODES}, r AS (SELECT point_id, id, area, row_number() OVER (PARTITION BY point_id ORDER BY sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)), id) AS k FROM p, n), b AS (SELECT point_id, id, area, row_number() OVER (PARTITION BY point_id ORDER BY area DESC, k) AS o FROM r WHERE k <= 20) SELECT point_id, id AS reach_id, round(area, 6) AS uparea FROM b WHERE o = 1")
 def j7_nearest_reach(spark: SparkSession, sf: str) -> DataFrame:
     points, nodes = _places(spark, sf)
-    return rounded(J.nearest_reach(points, nodes, 5, 10.0))
-
-
-@query(SQL["j7_nearest_reach"].replace("k <= 5", "k <= 20"))
-def j7_nearest_reach_full(spark: SparkSession, sf: str) -> DataFrame:
-    """As j7_nearest_reach, among all 20 nearest."""
-    points, nodes = _places(spark, sf)
-    return rounded(J.nearest_reach(points, nodes, size=10.0))
+    return rounded(J.nearest_reach(points, nodes))
 
 
 @query(f"WITH {_NODES}, r AS (SELECT point_id, id, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS d FROM p, n), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, id) AS o FROM r) SELECT point_id, id AS node_id, round(d, 6) AS distance FROM k WHERE o = 1")
 def j10_nearest_node(spark: SparkSession, sf: str) -> DataFrame:
     points, nodes = _places(spark, sf)
-    return rounded(J.nearest_node(points, nodes.withColumnRenamed("reach_id", "node_id"), "point_id", "node_id", 10.0))
+    return rounded(J.nearest_node(points, nodes.withColumnRenamed("reach_id", "node_id"), "point_id", "node_id"))
 
 
 @query("WITH p AS (SELECT c_custkey AS id, (c_custkey * 17 % 103)::DOUBLE AS x, (c_custkey * 29 % 89)::DOUBLE AS y FROM customer) SELECT id, x > 10.5 AND x < 60.5 AND y > 20.5 AND y < 70.5 AND NOT (x - 10.5 < y - 20.5 AND x < 10.5) AS inside FROM p")

@@ -255,26 +255,16 @@ def p19_alignment_scores(spark: SparkSession, sf: str) -> DataFrame:
 _SH = ", ".join(KEYS)
 
 
-@query(f"""{CELLS_SQL}, sh AS (SELECT unnest(range(-1, 2)) AS dy), sh2 AS (SELECT dy, unnest(range(-1, 2)) AS dx FROM sh),
+@query(f"""{CELLS_SQL}, sh AS (SELECT unnest(range(-3, 4)) AS dy), sh2 AS (SELECT dy, unnest(range(-3, 4)) AS dx FROM sh),
 pairs AS (SELECT {', '.join(f'a.{k}' for k in KEYS)}, dy, dx, a.target >= 0.1::DOUBLE AS p, b.pred >= 0.1::DOUBLE AS q
   FROM sh2, cells a JOIN cells b ON {' AND '.join(f'a.{k} = b.{k}' for k in KEYS)} AND b.y = a.y + dy AND b.x = a.x + dx AND b.mask = 1),
 s AS (SELECT {_SH}, dy, dx, coalesce(count(*) FILTER (WHERE p AND q) / nullif(count(*) FILTER (WHERE p OR q), 0), 0) AS csi FROM pairs GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY {_SH} ORDER BY round(csi, 10) DESC, dy, dx) AS n FROM s)
 SELECT {_SH}, round(csi, 6) AS csi, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx FROM best WHERE n = 1""")
 def p20_best_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the 9 shifts by one cell."""
-    return _best_shift(spark, sf, 1)
-
-
-@query(SQL["p20_best_shift"].replace("range(-1, 2)", "range(-3, 4)"))
-def p20_best_shift_full(spark: SparkSession, sf: str) -> DataFrame:
     """Over all 49 shifts."""
-    return _best_shift(spark, sf, 3)
-
-
-def _best_shift(spark: SparkSession, sf: str, most: int) -> DataFrame:
     v = vectors(spark, sf).select(*KEYS, F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("target").alias("fine"), F.col("pred").alias("coarse"), "mask")
-    return rounded(patchwise.best_shift(v, 0.1, most).select(*KEYS, "csi", "dy", "dx"))
+    return rounded(patchwise.best_shift(v, 0.1, 3).select(*KEYS, "csi", "dy", "dx"))
 
 
 def _mean_loss(value: str) -> str:
