@@ -8,6 +8,7 @@ few summaries of a series are scanned in order, and what each block takes over i
 from __future__ import annotations
 
 import math
+import uuid
 
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
@@ -30,6 +31,15 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, on, how).drop(*(f"_same_{k}" for k in keys))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: the lineage ends there."""
+    from ..streaming.streams import checkpoint_path
+
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def place_of(df: DataFrame, order: str) -> Column:
     """The order column as a double: numbers, dates or timestamps (in microseconds, exact)."""
     kind = df.schema[order].dataType
@@ -69,12 +79,12 @@ class Blocks:
         return join_same(out, carry, [*self.by, "_block"], "left")
 
     def running(self, values: dict[str, Column | str | tuple[Column | str, bool]], kind: str = "max", ties: tuple[Column, ...] = ()) -> DataFrame:
-        """Adds, for each name, the greatest (``max``) or the last non-null value (``last``) up to each row.
+        """Adds, for each name, the greatest (``max``), the sum or the last non-null value (``last``) up to each row.
 
         A value given with True runs backwards, from the end. ``ties`` orders rows of one place either
         way; non-null values of one place must be one alone for ``last``.
         """
-        op = F.max if kind == "max" else lambda c: F.last(c, True)
+        op = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, True)}[kind]
         wanted = {n: v if isinstance(v, tuple) else (v, False) for n, v in values.items()}
         wanted = {n: (F.col(v) if isinstance(v, str) else v, back) for n, (v, back) in wanted.items()}
 
@@ -86,11 +96,11 @@ class Blocks:
             return out.drop("_block")
 
         def end(v: Column, back: bool) -> Column:
-            return F.max(v) if kind == "max" else (F.min_by if back else F.max_by)(v, F.when(v.isNotNull(), F.col(self.order)))
+            return op(v) if kind != "last" else (F.min_by if back else F.max_by)(v, F.when(v.isNotNull(), F.col(self.order)))
 
         edges = self.df.groupBy(*self.by, "_block").agg(*(end(*v).alias(f"_c_{n}") for n, v in wanted.items()))
         carry = {f"_c_{n}": op(F.col(f"_c_{n}")).over(before(-1, self.by, "_block", back)) for n, (_, back) in wanted.items()}
-        join = F.greatest if kind == "max" else F.coalesce
+        join = {"max": F.greatest, "sum": lambda a, b: F.coalesce(a + b, a, b), "last": F.coalesce}[kind]
         out = self._carried(out, edges.withColumns(carry)).withColumns({n: join(F.col(n), F.col(f"_c_{n}")) for n in wanted})
         return out.drop("_block", *carry)
 

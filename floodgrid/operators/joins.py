@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key
-from .blocks import ROWS, Blocks
+from .blocks import ROWS, Blocks, written
 
 
 def join_predictions(predictions: DataFrame, index: DataFrame, keys: list[str], row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -109,14 +108,6 @@ def place_on_axes(static: DataFrame, x_canvas: list[float], y_canvas: list[float
 _BITS, _STEP = 24, 2
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from ..streaming.streams import checkpoint_path
-
-    path = checkpoint_path(df.sparkSession, f"kept-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cell_tree(places: DataFrame, side: float, left: float, low: float, most: int) -> tuple[DataFrame, int]:
     """(cells, depth) of the places (_px, _py): ``_l``, ``_cx``, ``_cy``, their number ``_n``, and whether ``_inner``.
 
@@ -133,7 +124,7 @@ def cell_tree(places: DataFrame, side: float, left: float, low: float, most: int
     counts = counts.withColumn("_inner", inner)
     above = counts.where("_inner").select((F.col("_l") + 1).alias("_l"), F.col("_cx").alias("_ux"), F.col("_cy").alias("_uy"))
     below = counts.where("_l > 0").withColumns({"_ux": F.shiftright("_cx", _STEP), "_uy": F.shiftright("_cy", _STEP)})
-    cells = _kept(counts.where("_l = 0").unionByName(below.join(above, ["_l", "_ux", "_uy"], "left_semi").drop("_ux", "_uy")))
+    cells = written(counts.where("_l = 0").unionByName(below.join(above, ["_l", "_ux", "_uy"], "left_semi").drop("_ux", "_uy")), "cells")
     return cells, cells.agg(F.max("_l")).first()[0]
 
 
@@ -178,7 +169,7 @@ def nearest_k(points: DataFrame, places: DataFrame, k: int, point_id: str, place
         front = front.withColumn("_held", held).withColumn("_end", F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(point_id, "_x", "_y")))
         front = front.where(F.col("_end").isNull() | (F.col("_near") <= F.col("_end"))).select(*own, *cells.columns)
         if level % 4 == 3:  # so that the plan stays short
-            front = _kept(front)
+            front = written(front, "front")
     at = lambda v, start: F.least(F.floor((F.col(v) - start) / side * (1 << _BITS)), F.lit((1 << _BITS) - 1)).cast("int")
     leaves = cells.where("NOT _inner").select("_l", "_cx", "_cy")
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))

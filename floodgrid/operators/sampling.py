@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, Blocks
+
 
 def hash_order(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -24,17 +26,20 @@ def uniform(seed: int | str, *keys: Column) -> Column:
 def train_val_split(index: DataFrame, by: str = "scenario", ratio: float = 0.1, seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """``split``: per group, max(1, half-even(n * ratio)) rows are val, by hash order; the rest train.
 
-    Rows are counted by the first 16 bits of their hashes, and ranked within those only, so no task
-    sees a whole group.
+    Rows are counted by the first 16 bits of their hashes. In each group the border between val and
+    train falls into one such part, whose rows alone are ranked; all rows then compare their hashes with
+    the border's, one row a group, and are not shuffled. Rows of one id go together.
     """
     rows = index.withColumn("_key", hash_order(seed, row_id)).withColumn("_part", F.substring("_key", 1, 4))
     parts = rows.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
     group = Window.partitionBy("_by")  # at most 65,536 rows
     parts = parts.withColumns({"_before": F.sum("_n").over(group.orderBy("_p")) - F.col("_n"), "_total": F.sum("_n").over(group)})
     val = F.greatest(F.lit(1), F.bround(F.col("_total") * F.lit(float(ratio)), 0))
-    placed = rows.join(parts.select("_by", "_p", "_before", val.alias("_val")), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_part").orderBy("_key", row_id))
-    return placed.withColumn("split", F.when(rank <= F.col("_val"), "val").otherwise("train")).select(*index.columns, "split")
+    border = parts.where((F.col("_before") < val) & (val <= F.col("_before") + F.col("_n"))).select("_by", "_p", (val - F.col("_before")).alias("_rank"))
+    inside = rows.join(border, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p"))).select("_by", "_rank", F.struct("_key", row_id).alias("_last"))
+    ends = inside.withColumn("_k", F.row_number().over(Window.partitionBy("_by").orderBy("_last"))).where(F.col("_k") == F.col("_rank")).select("_by", "_last")
+    placed = rows.join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    return placed.withColumn("split", F.when(F.struct("_key", row_id) <= F.col("_last"), "val").otherwise("train")).select(*index.columns, "split")
 
 
 def best_worst(df: DataFrame, better: dict[str, str], ids: list[str], by: list[str] | None = None) -> DataFrame:
@@ -98,40 +103,31 @@ def sample_weights(patches: DataFrame, scores: list[dict], base: float = 1.0, ca
     return out if summary is None else out.drop(*summary.columns)
 
 
-def weighted_sample(df: DataFrame, weight: str, ratio: float = 1.0, replicas: int = 1, epoch: int = 0, row_id: str = "row_id", buckets: int = 64) -> DataFrame:
+def weighted_sample(df: DataFrame, weight: str, ratio: float = 1.0, replicas: int = 1, epoch: int = 0, row_id: str = "row_id", buckets: int = 64, rows: int = ROWS) -> DataFrame:
     """ceil(n * ratio / replicas) * replicas draws with replacement, in proportion to the weights.
 
-    Rows are dealt to buckets by hash. A bucket's share of [0, 1) comes from the few bucket totals,
-    a row's from a running sum inside its bucket, and a draw (a hashed uniform number) finds its
-    bucket by a range test against the totals and its row by a join inside it. ``replica`` is
-    draw_id modulo replicas.
+    Rows lie along a line in the order of (hash bucket, id), each as long as its weight; a draw (a hashed
+    uniform number) is a spot on it. Weights are summed up in blocks, the blocks' sums within buckets,
+    the buckets' at last, so that each row knows where it ends; then draws and row ends are ordered
+    together, and a draw's row is the next end behind it. Both steps cut long stretches into blocks
+    of about ``rows``, also where one row draws most. ``replica`` is draw_id modulo replicas. Rows without
+    a positive weight are never drawn; ids must be numbers.
     """
     bucket = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("bigint") % buckets
-    rows = df.withColumns({"_b": bucket, "_w": F.col(weight).cast("double")}).where(F.col("_w") > 0)
-    own = Window.partitionBy("_b").orderBy(row_id)
-    run = rows.withColumn("_hi", F.sum("_w").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    run = run.withColumn("_last", F.lead("_w").over(own).isNull())
-    totals = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
+    own = df.withColumns({"_b": bucket, "_w": F.col(weight).cast("double")}).where(F.col("_w") > 0)
+    ends = Blocks(own, ["_b"], row_id, rows).running({"_end": "_w"}, "sum")
+    totals = own.groupBy("_b").agg(F.sum("_w").alias("_t"))
+    before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_start"))  # one row per bucket
+    ends = ends.join(F.broadcast(before), "_b").select(F.struct(*df.columns).alias("_row"), (F.col("_start") + F.col("_end")).alias("_at"))
     n = df.count()
     draws_n = -(-max(1, round(n * ratio)) // replicas) * replicas if n else 0
-    few = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # one row per bucket
-    ends = totals.withColumn("_end", F.sum("_t").over(few)).withColumn("_start", F.col("_end") - F.col("_t"))
-    whole = totals.agg(F.sum("_t").alias("_all"))
-    draws = df.sparkSession.range(draws_n).select(F.col("id").alias("draw_id"), uniform(f"draw:{epoch}", F.col("id")).alias("_u")).crossJoin(F.broadcast(whole))
-    at = F.col("_u") * F.col("_all")
-    placed = draws.join(F.broadcast(ends), (at >= F.col("_start")) & (at < F.col("_end"))).select("draw_id", "_b", (at - F.col("_start")).alias("_at"))
-    # a bucket's rows are cut into slots of equal weight, so that a draw meets few of them
-    slots = 256
-    size = totals.select("_b", (F.col("_t") / slots).alias("_s"))
-    cut = run.join(F.broadcast(size), "_b")
-    slot = lambda c: F.least(F.floor(F.col(c) / F.col("_s")), F.lit(slots - 1)).cast("int")
-    top = F.when(F.col("_last"), F.lit(slots - 1)).otherwise(slot("_hi"))
-    cut = cut.withColumn("_slot", F.explode(F.sequence(slot("_lo"), F.greatest(slot("_lo"), top))))
-    asked = placed.join(F.broadcast(size), "_b").withColumn("_slot", slot("_at")).drop("_s")
-    # the running sum may end a little under the total: what lies beyond is the last row's
-    cut = cut.withColumn("_hi", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("_hi")))
-    hit = asked.join(cut, ["_b", "_slot"]).where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
-    return hit.select("draw_id", (F.col("draw_id") % replicas).alias("replica"), *[F.col(c) for c in df.columns])
+    whole = ends.agg(F.max("_at").alias("_all"))
+    draws = df.sparkSession.range(draws_n).crossJoin(F.broadcast(whole)).where("_all IS NOT NULL")
+    draws = draws.select(F.col("id").alias("draw_id"), (uniform(f"draw:{epoch}", F.col("id")) * F.col("_all")).alias("_at"))
+    line = ends.unionByName(draws, allowMissingColumns=True)
+    # from the far end: at one spot draws come before the row that ends there
+    met = Blocks(line, [], "_at", rows).running({"_found": ("_row", True)}, "last", ties=(F.col("draw_id").isNull(), F.col("draw_id")))
+    return met.where("draw_id IS NOT NULL").select("draw_id", (F.col("draw_id") % replicas).alias("replica"), "_found.*")
 
 
 def enlarged_shuffle(df: DataFrame, ratio: int = 1, replicas: int = 1, epoch: int = 0, row_id: str = "row_id") -> DataFrame:

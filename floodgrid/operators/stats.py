@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import BANDS, EPS, asinh_scale, depth_band, finite, log1p_nonneg, ratio
-
+from .blocks import join_same, written
 
 #: Groups whose extremes are broadcast.
 MOST_GROUPS = 10_000
@@ -93,47 +93,69 @@ def histogram_percentile(df: DataFrame, col: str, qs: list[float], by: list[str]
     return first.select(*by, "q", (F.col("m.lo") + (F.col("m.hi") - F.col("m.lo")) * F.col("m.bin") / (bins - 1)).alias("value"))
 
 
-def exact_percentiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None, positive_only: bool = False, bins: int = 4096) -> DataFrame:
+#: Rows that one window ranks at most, unless they are equal.
+RANKED = 1_000_000
+
+
+def exact_percentiles(
+    df: DataFrame, col: str, qs: list[float], by: list[str] | None = None, positive_only: bool = False, bins: int = 4096, ranked: int = RANKED
+) -> DataFrame:
     """Linearly interpolated percentiles, q in 0..100; an array in the order of ``qs``, NULL for a group without values.
 
-    Extremes, then counts by bin, tell in which bins the wanted ranks lie; only values of those bins are
-    counted one by one and ranked, so no task holds a group's values in memory. The extremes of up to
-    MOST_GROUPS groups are broadcast, those of more groups are joined.
+    Counts by bin between a group's extremes tell in which bins the wanted ranks lie. A wanted bin of more
+    than ``ranked`` values that aren't all equal is cut into bins again, between its own extremes, all
+    groups at once, until none is left: so outliers only cost another pass over the values of such bins,
+    which are written between. Then only the values of wanted bins are counted one by one and ranked, and
+    no task holds a group's. Up to MOST_GROUPS rows of extremes are broadcast, more are joined.
     """
     by = by or []
     own = [f"_by{i}" for i in range(len(by))]
+    seg = [*own, "_seg"]
     v = finite(col).cast("double")
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, own, strict=True)], (F.when(v > 0, v) if positive_only else v).alias("_v"))
-    groups = rows.groupBy(*own).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    few = groups.take(MOST_GROUPS + 1)
-    small = len(few) <= MOST_GROUPS
-    groups = df.sparkSession.createDataFrame(few, groups.schema) if small else groups
-
-    def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-        """A join for which NULL keys are equal."""
-        right = right.withColumnsRenamed({k: f"{k}_there" for k in keys})
-        right = F.broadcast(right) if small else right
-        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_there")) for k in keys], F.lit(True))
-        return left.join(right, same, how).drop(*[f"{k}_there" for k in keys])
-
-    place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    binned = joined(rows.where("_v IS NOT NULL"), groups, own).withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0)).cast("int"))
-    counts = binned.groupBy(*own, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    spots = [F.lit(q / 100) * (F.col("_n") - 1) for q in qs]
-    ranks = [r for s in spots for r in (F.floor(s).cast("bigint"), F.least(F.floor(s).cast("bigint") + 1, F.col("_n") - 1))]
-    wanted = F.array(*[F.struct(F.lit(i).alias("k"), r.alias("rank")) for i, r in enumerate(ranks)])
-    within = lambda hits, at: F.filter(hits, lambda h: (h["rank"] >= at) & (h["rank"] < at + F.col("_c")))
-    counts = counts.withColumn("_at", F.sum("_c").over(Window.partitionBy(*own).orderBy("_bin")) - F.col("_c"))  # at most `bins` rows a group
-    chosen = counts.select(*own, "_bin", "_at", within(wanted, F.col("_at")).alias("_hits")).where(F.size("_hits") > 0)
-    inside = joined(binned.select(*own, "_bin", "_v"), chosen, [*own, "_bin"])
-    single = inside.groupBy(*own, "_bin", "_v").agg(F.count("*").alias("_c"), F.first("_at").alias("_at"), F.first("_hits").alias("_hits"))
-    at = F.col("_at") + F.sum("_c").over(Window.partitionBy(*own, "_bin").orderBy("_v")) - F.col("_c")
-    picked = single.withColumn("_at", at).select(*own, "_v", F.explode(within(F.col("_hits"), F.col("_at"))).alias("_h"))
-    found = picked.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_h.k", "_v"))).alias("_m"))
-    value = lambda i: F.col("_m")[F.lit(i)]
-    parts = [value(2 * i) + (value(2 * i + 1) - value(2 * i)) * (s - F.floor(s)) for i, s in enumerate(spots)]
-    out = joined(groups, found, own, "left")
-    return out.select(*[F.col(k).alias(b) for b, k in zip(by, own, strict=True)], F.when(F.col("_n") > 0, F.array(*parts)).alias("percentiles"))
+
+    def settled(small: DataFrame) -> DataFrame:
+        """A table of a few rows a group: through the driver if it is little, else written."""
+        few = small.take(MOST_GROUPS + 1)
+        return F.broadcast(df.sparkSession.createDataFrame(few, small.schema)) if len(few) <= MOST_GROUPS else written(small, "percentiles")
+
+    groups = settled(rows.groupBy(*own).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    shares = F.array(*[F.lit(q / 100) for q in qs])
+    spot = lambda q: q * (F.col("_n") - 1)
+    low = lambda q: F.floor(spot(q)).cast("bigint")
+    ends = lambda q, i: F.array(F.struct((2 * i).alias("k"), low(q).alias("rank")), F.struct((2 * i + 1).alias("k"), F.least(low(q) + 1, F.col("_n") - 1).alias("rank")))
+    wanted = F.flatten(F.transform(shares, ends))
+    segments = groups.where("_n > 0").select(*own, F.lit("").alias("_seg"), "_lo", "_hi", wanted.alias("_hits"))
+    within = lambda at: F.filter("_hits", lambda h: (h["rank"] >= at) & (h["rank"] < at + F.col("_c")))
+    rows, done = rows.where("_v IS NOT NULL").withColumn("_seg", F.lit("")), None
+    while True:
+        span = F.col("_hi") / 2 - F.col("_lo") / 2  # halves, so that no difference is too large
+        place = F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / span * bins), F.lit(bins - 1))
+        binned = join_same(rows, segments, seg).withColumn("_bin", F.when(span > 0, place).otherwise(F.lit(0)).cast("int"))
+        counts = binned.groupBy(*seg, "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_hits").alias("_hits"))
+        at = F.sum("_c").over(Window.partitionBy(*seg).orderBy("_bin")) - F.col("_c")  # at most `bins` rows a segment
+        found = counts.withColumn("_at", at).withColumn("_hits", within(F.col("_at"))).where(F.size("_hits") > 0)
+        inner = F.transform("_hits", lambda h: F.struct(h["k"].alias("k"), (h["rank"] - F.col("_at")).alias("rank")))
+        name = F.concat_ws(".", "_seg", F.col("_bin").cast("string")).alias("_seg")
+        found = settled(found.select(*own, name, "_lo", "_hi", inner.alias("_hits"), "_c"))
+        again = (F.col("_c") > ranked) & (F.col("_lo") < F.col("_hi"))
+        inside = join_same(binned.select(*own, name, "_v"), found.select(*seg, "_hits", again.alias("_again")), seg)
+        more = found.where(again).select(*own, "_seg", "_lo", "_hi", "_hits")
+        last = more.isEmpty()
+        if not last:
+            inside = written(inside, "wanted")
+        part = inside.where("NOT _again").drop("_again")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            break
+        rows, segments = inside.where("_again").select(*seg, "_v"), more
+    single = done.groupBy(*seg, "_v").agg(F.count("*").alias("_c"), F.first("_hits").alias("_hits"))
+    before = F.sum("_c").over(Window.partitionBy(*seg).orderBy("_v")) - F.col("_c")
+    picked = single.withColumn("_at", before).select(*own, "_v", F.explode(within(F.col("_at"))).alias("_h"))
+    values = picked.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_h.k", "_v"))).alias("_m"))
+    part = lambda q, i: F.col("_m")[2 * i] + (F.col("_m")[2 * i + 1] - F.col("_m")[2 * i]) * (spot(q) - F.floor(spot(q)))
+    out = join_same(groups, values, own, "left")
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, own, strict=True)], F.when(F.col("_n") > 0, F.transform(shares, part)).alias("percentiles"))
 
 
 def percentile_positive(df: DataFrame, col: str, q: float, fallback: float = 1.0) -> DataFrame:

@@ -6,12 +6,15 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from floodgrid.operators import hydro as H
 from floodgrid.operators import joins as J
+from floodgrid.operators import sampling as W
 from floodgrid.operators import series as T
+from floodgrid.operators import stats as A
 from floodgrid.operators import tides
 from floodgrid.operators.blocks import Blocks
 
@@ -170,3 +173,46 @@ def test_constituent_selection_is_over_all_of_a_node(spark):
     assert [(r["node_id"], r["name"]) for r in got] == [(1, "a")]  # b is noise but counts as energy, c is too weak
     assert got[0]["energy"] == pytest.approx(900 / 25.01) and got[0]["snr"] == pytest.approx(9 / (0.5 / 1.96) ** 2)
     assert tides.select_constituents(c).count() == 4
+
+
+# draws and percentiles
+
+
+@pytest.mark.parametrize("rows", [3, 50, 10**6])
+def test_draws_are_the_same_in_blocks(spark, rows):
+    """One row has half of all weight; blocks change nothing but the work."""
+    table = [(i, 500.0 if i == 77 else float(i % 9), "x") for i in range(200)] + [(1000, None, "y"), (1001, -2.0, "z")]
+    df = spark.createDataFrame(table, "row_id long, price double, name string").repartition(3)
+    got = {r["draw_id"]: (r["row_id"], r["replica"], r["name"]) for r in W.weighted_sample(df, "price", 2.0, 4, 5, rows=rows).collect()}
+    assert set(got) == set(range(404)) and all(v[1] == d % 4 and v[2] == "x" for d, v in got.items())
+    import hashlib
+
+    line = sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 64, i, w) for i, w, _ in table if w and w > 0)
+    ends, total = [], 0.0
+    for b in range(64):
+        own = 0.0
+        for _, i, w in (x for x in line if x[0] == b):
+            own += w
+            ends.append((total + own, i))
+        total += own
+    for d, (row, _, _) in got.items():
+        u = int(hashlib.md5(f"draw:5:{d}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert row == ends[bisect.bisect_right([e for e, _ in ends], u * ends[-1][0])][1]
+    assert W.weighted_sample(df.limit(0), "price").count() == 0 and W.weighted_sample(df.where("price < 0"), "price").count() == 0
+
+
+@pytest.mark.parametrize("ranked", [1, 10, 10**6])
+def test_percentiles_beside_outliers(spark, ranked, monkeypatch):
+    """Values of 1e12 and 1e300 beside [0, 1], equal values, null groups and groups without values."""
+    rng = np.random.default_rng(11)
+    groups = {"a": [*rng.random(900), 1e12, -1e12], "b": [*rng.random(300) * 1e-9, 1e300, -1e300, 5.0], None: [3.0] * 400 + [4.0], "c": [2.5], "d": [None, float("nan")]}
+    df = spark.createDataFrame([(k, float(v) if v is not None else None) for k, vs in groups.items() for v in vs], "k string, v double").repartition(3)
+    qs, seen = [0, 1, 25, 50, 99.9, 100], []
+    keep = A.join_same
+    monkeypatch.setattr(A, "join_same", lambda left, right, keys, how="inner": seen.append(right) or keep(left, right, keys, how))
+    got = {r["k"]: r["percentiles"] for r in A.exact_percentiles(df, "v", qs, ["k"], ranked=ranked).collect()}
+    for k, vs in groups.items():
+        known = [v for v in vs if v is not None and v == v]
+        assert got[k] == (pytest.approx(np.percentile(known, qs).tolist(), rel=1e-12) if known else None)
+    rounds = [found for found in seen if "_again" in found.columns]
+    assert len(rounds) >= (3 if ranked < 100 else 1) and rounds[-1].where("_again").isEmpty()
