@@ -86,15 +86,20 @@ def gradient(cells: DataFrame, keys: list[str], value: str = "value", dx: float
     return cells.withColumns({"gy": along("x", "y"), "gx": along("y", "x")})
 
 
+def light(azimuth: float, altitude: float) -> tuple[float, float, float]:
+    """The direction to a light, along x, y (which grows southwards) and upwards; angles in degrees."""
+    az, alt = math.radians(azimuth), math.radians(altitude)
+    return math.cos(alt) * math.sin(az), -math.cos(alt) * math.cos(az), math.sin(alt)
+
+
 def hillshade(cells: DataFrame, keys: list[str], azimuth: float = 315.0, altitude: float = 45.0, value: str = "value", dx: float = 1.0) -> DataFrame:
     """Shade in [0, 1] of the surface, lit from ``azimuth`` (degrees) at ``altitude``: the cosine of the
-    angle between the light and the surface's normal, from [-1, 1] to [0, 1]. A flat cell's aspect is 0."""
+    angle between the light and the surface's normal (-gx, -gy, 1), from [-1, 1] to [0, 1]."""
     out = gradient(cells, keys, value, dx)
-    az, alt = math.radians(azimuth), math.radians(altitude)
-    slope = math.pi / 2 - F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
-    aspect = F.atan2(-F.col("gx"), F.col("gy"))
-    shade = math.sin(alt) * F.sin(slope) + math.cos(alt) * F.cos(slope) * F.cos(az - aspect)
-    return out.withColumn("shade", F.least(F.greatest((shade + 1) / 2, F.lit(0.0)), F.lit(1.0)))
+    east, south, up = light(azimuth, altitude)
+    gx, gy = F.col("gx"), F.col("gy")
+    cosine = (F.lit(up) - gx * east - gy * south) / F.sqrt(gx * gx + gy * gy + 1)
+    return out.withColumn("shade", F.least(F.greatest((cosine + 1) / 2, F.lit(0.0)), F.lit(1.0)))
 
 
 def decision(seed: int, what: str, row_id: Column) -> Column:

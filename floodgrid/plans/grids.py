@@ -11,6 +11,8 @@ from ..operators import joins as J
 from ..operators import patchwise
 from ..operators import resample as R
 from ..operators import stats as A
+from ..operators.maps import map_hillshade, whole_map
+from ..operators.polygons import fill_lakes_in, in_polygons, mask_by_polygons
 from ..sources.adapters import CELLS_SQL, INDEX_SQL, WIDE_SQL, cells, patch_index, table, vectors, wide_cells
 from .registry import SQL, query, rounded
 
@@ -130,6 +132,30 @@ def r11_mosaic(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(placed.select("scenario", "t", "map_y", "map_x", "target"))
 
 
+_MAP = "gr AS (SELECT t, a AS map_y, b AS map_x FROM (SELECT DISTINCT t FROM cells), range(64) y(a), range(8 * (SELECT max(patch_col) + 1 FROM cells)) x(b)), mp AS (SELECT g.t, map_y, map_x, c.target, c.vec_id FROM gr g LEFT JOIN cells c ON c.t = g.t AND c.patch_row * 8 + c.y = map_y AND c.patch_col * 8 + c.x = map_x)"
+
+
+def _map_of_patches(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The patches of each time step's map, of 8 rows of tiles, and the number of columns."""
+    v = vectors(spark, sf).select("t", "patch_row", "patch_col", F.col("target").alias("values"))
+    return v, (v.agg(F.max("patch_col")).first()[0] or 0) + 1
+
+
+@query(f"{CELLS_SQL}, {_MAP} SELECT t, CAST(map_y AS INT) AS map_y, CAST(map_x AS INT) AS map_x, round(target, 6) AS target, (vec_id IS NOT NULL)::INT AS mask FROM mp")
+def r11_mosaic_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole map of each time step; missing tiles are NULL with mask 0."""
+    cols = _map_of_patches(spark, sf)[1]
+    return rounded(R.mosaic_full(cells(spark, sf).select("t", "patch_row", "patch_col", "y", "x", "target"), ["t"], 8, 8, cols, "target"))
+
+
+@query(f"{CELLS_SQL}, {_MAP} SELECT t, CAST(map_y // 8 AS INT) AS patch_row, CAST(map_x // 8 AS INT) AS patch_col, max((vec_id IS NOT NULL)::INT) AS mask, round(sum(target), 6) AS total FROM mp GROUP BY ALL")
+def r11_whole_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in patch form."""
+    v, cols = _map_of_patches(spark, sf)
+    out = whole_map(v, ["t"], 8, cols, ["values"])
+    return rounded(out.select("t", "patch_row", "patch_col", "mask", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
 @query(f"{CELLS_SQL} SELECT vec_id, y + 1 AS y, x - 2 AS x, round(target, 6) AS target FROM cells WHERE y + 1 < 8 AND x - 2 >= 0")
 def r12_shift_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.shift_grid(cells(spark, sf).select("vec_id", "y", "x", "target"), 1, -2, 8, 8))
@@ -153,6 +179,21 @@ def r13_hillshade(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("vec_id", "y", "x", F.col("first").alias("shade"), F.col("shade").alias("shade_20")))
 
 
+def _along(a: str, b: str, last: str) -> str:
+    w = f"OVER (PARTITION BY t, {a} ORDER BY {b})"
+    return f"CASE WHEN {b} = 0 THEN lead(target) {w} - target WHEN {b} = {last} THEN target - lag(target) {w} ELSE (lead(target) {w} - lag(target) {w}) / 2 END"
+
+
+@query(f"""{CELLS_SQL}, {_MAP}, g AS (SELECT t, map_y, map_x, vec_id, {_along('map_x', 'map_y', '63')} AS gy, {_along('map_y', 'map_x', '(SELECT max(map_x) FROM gr)')} AS gx FROM mp)
+SELECT t, CAST(map_y AS INT) AS map_y, CAST(map_x AS INT) AS map_x, CASE WHEN gx IS NOT NULL AND gy IS NOT NULL THEN {_shade(315)} END AS shade FROM g WHERE vec_id IS NOT NULL""")
+def r13_map_hillshade(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each time step's whole map: patches get their neighbours' edges; beside missing tiles there is none."""
+    v, cols = _map_of_patches(spark, sf)
+    out = map_hillshade(v, ["t"], 8, cols, 8, 8).withColumn("w", F.lit(8)).drop("values")
+    placed = R.mosaic(M.patches_to_cells(out, {"shade": "shade"}), 8)
+    return rounded(placed.select("t", "map_y", "map_x", "shade"))
+
+
 def _coin(what: str) -> str:
     return f"(md5('7:{what}:' || vec_id)[1] >= '8')"
 
@@ -479,6 +520,44 @@ def j8_cells_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return J.cells_in_polygon(d, [(10.5, 20.5), (60.5, 20.5), (60.5, 70.5), (10.5, 70.5)]).select("id", "inside")
 
 
+#: A polygon of six corners for each nation, some of them over others.
+_CORNERS = ((0, 0), (20, 5), (12, 12), (25, 25), (5, 18), (-6, 9))
+_POLYGONS = f"""po AS (SELECT n_nationkey AS poly_id, (n_nationkey * 7 % 83) + 0.5::DOUBLE AS cx, (n_nationkey * 11 % 71) + 0.5::DOUBLE AS cy FROM nation),
+eg AS (SELECT poly_id, cx + e[1] AS ax, cy + e[2] AS ay, cx + e[3] AS qx, cy + e[4] AS qy FROM po, (SELECT unnest({[[*a, *b] for a, b in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True)]}) AS e)),
+pt AS (SELECT c_custkey AS id, (c_custkey * 17 % 1030) / 10.0::DOUBLE AS x, (c_custkey * 29 % 890) / 10.0::DOUBLE AS y, c_acctbal / 1000 AS z FROM customer),
+ins AS (SELECT id, poly_id FROM pt JOIN eg ON (ay > y) <> (qy > y) AND x < (qx - ax) * (y - ay) / (qy - ay) + ax GROUP BY id, poly_id HAVING count(*) % 2 = 1)"""
+
+
+def _polygons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    corners = F.array(*(F.struct((n * 7 % 83 + 0.5 + x).alias("x"), (n * 11 % 71 + 0.5 + y).alias("y")) for x, y in _CORNERS))
+    points = table(spark, sf, "customer").select(c.alias("id"), (c * 17 % 1030 / 10).alias("x"), (c * 29 % 890 / 10).alias("y"), (F.col("c_acctbal").cast("double") / 1000).alias("z"))
+    return points, table(spark, sf, "nation").select(n.alias("poly_id"), corners.alias("vertices"))
+
+
+@query(f"WITH {_POLYGONS} SELECT id, poly_id FROM ins")
+def j8_many_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    points, polygons = _polygons(spark, sf)
+    return in_polygons(points, polygons, 2.0).select("id", "poly_id")
+
+
+@query(f"WITH {_POLYGONS} SELECT id, (id IN (SELECT id FROM ins))::INT AS mask FROM pt")
+def m14_polygon_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """A mask rasterised from all polygons."""
+    points, polygons = _polygons(spark, sf)
+    return mask_by_polygons(points, polygons, 2.0, ["id"]).select("id", "mask")
+
+
+@query(f"""WITH {_POLYGONS}, lk AS (SELECT id, min(poly_id) AS lake FROM ins GROUP BY id), f AS (SELECT pt.id, z, lake, lake * 0.5::DOUBLE AS l FROM pt LEFT JOIN lk USING (id))
+SELECT id, lake, round(CASE WHEN lake IS NULL THEN -1 ELSE l END, 6) AS level, round(CASE WHEN lake IS NULL THEN 0 ELSE least(greatest(l - z, 0), 2) END, 6) AS depth, round(CASE WHEN lake IS NOT NULL AND l - z > 2 THEN l - 2 ELSE z END, 6) AS z FROM f""")
+def r20_fill_lakes(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells in lakes get their level; no deeper than 2."""
+    points, polygons = _polygons(spark, sf)
+    levels = polygons.select(F.col("poly_id").alias("lake"), (F.col("poly_id") * 0.5).alias("level"))
+    out = fill_lakes_in(points, polygons.withColumnRenamed("poly_id", "lake"), levels, 2.0, ["id"], deepest=2.0)
+    return rounded(out.select("id", "lake", "level", "depth", "z"))
+
+
 @query("SELECT conv_id, CAST(s AS INT) AS slot, CASE WHEN turn + s - 1 < 0 THEN 0 WHEN turn + s - 1 > m THEN m ELSE turn + s - 1 END AS neighbour, turn FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS m, unnest(range(3)) AS s FROM conversations)")
 def j15_frame_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window

@@ -9,6 +9,8 @@ from ..functions.columns import BANDS
 from ..operators import patchwise, sampling
 from ..operators import score as S
 from ..operators.resample import block_mean
+from ..operators.cells import patches_to_cells
+from ..operators.maps import resize_patches, tv_of_patches
 from ..sources.adapters import CELLS_SQL, WIDE_SQL, cells, vectors, wide_cells
 from .registry import SQL, query, rounded
 
@@ -208,9 +210,11 @@ _AXIS = "aw AS (SELECT f, c, sum(w) AS w FROM (SELECT f, low AS c, 1 - part AS w
 
 @query(f"{CELLS_SQL}, {_COARSE}, {_AX}, {_AXIS}, up AS (SELECT {', '.join(KEYS)}, a.f AS y, b.f AS x, sum(value * a.w * b.w) AS pred FROM coarse JOIN aw a ON a.c = cy JOIN aw b ON b.c = cx GROUP BY ALL) SELECT c.scenario, round(sqrt(sum(CASE WHEN mask = 1 THEN (u.pred - target) * (u.pred - target) ELSE 0 END) / (sum(mask) + {_EPS})), 6) AS rmse FROM cells c JOIN up u ON {' AND '.join(f'c.{k} = u.{k}' for k in [*KEYS, 'y', 'x'])} GROUP BY c.scenario")
 def p17_coarse_baseline_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    fine = cells(spark, sf)
-    coarse = block_mean(fine, KEYS, 2, "target").withColumnRenamed("target", "value")
-    return rounded(patchwise.coarse_baseline_scores(coarse, fine.drop("pred"), KEYS, 2, {"rmse": {"type": "rmse"}}, ["scenario"], "bilinear", (4, 4)))
+    """Patches stay rows: made coarse, then fine again, without a shuffle."""
+    v = vectors(spark, sf).select(*KEYS, "target", "mask", F.lit(8).alias("h"), F.lit(8).alias("w"))
+    coarse = resize_patches(v, 8, 8, 2, "mean", "target", "coarse")
+    fine = resize_patches(coarse, 4, 4, 2, "bilinear", "coarse", "pred").drop("coarse")
+    return rounded(S.score(patches_to_cells(fine, {"pred": "pred", "target": "target", "mask": "mask"}), {"rmse": {"type": "rmse"}}, ["scenario"]))
 
 
 _LAYERS = ("coarse", "target", "pred", "error", "square")
@@ -373,7 +377,7 @@ def p25_prevalence_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{CELLS_SQL}, d AS (SELECT {', '.join(KEYS)}, abs(lead(target) OVER (PARTITION BY {', '.join(KEYS)}, x ORDER BY y) - target) AS d, abs(lead(target) OVER (PARTITION BY {', '.join(KEYS)}, y ORDER BY x) - target) AS r FROM cells) SELECT {', '.join(KEYS)}, round(avg(d) + avg(r), 6) AS tv FROM d GROUP BY ALL")
 def p26_tv_score(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(patchwise.tv_score(cells(spark, sf), KEYS, "target"))
+    return rounded(tv_of_patches(vectors(spark, sf).select(*KEYS, "target"), 8, 8, "target").select(*KEYS, "tv"))
 
 
 @query(f"{CELLS_SQL}, m AS (SELECT {', '.join(KEYS)}, avg({_D} * {_D}) AS mse FROM cells GROUP BY ALL) SELECT {', '.join(KEYS)}, round(mse, 6) AS mse, mse = 0 AS equal, round(CASE WHEN mse > 0 THEN 10 * log10(25 / mse) END, 6) AS psnr FROM m")
