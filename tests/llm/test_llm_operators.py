@@ -305,6 +305,53 @@ def test_simple_tree_matching_is_largest():
     assert sorted(x.tag for x, _ in wrapper.simple_tree_matching(a, b)) == ["b", "d", "e", "r"]
 
 
+def test_alignment_is_simple_tree_matching():
+    """On small random folded trees: as large as the general algorithm's match, keeping order and ancestors."""
+    rng = random.Random(12)
+
+    def made(depth=3):
+        """A folded tree as places, and as the general algorithm's nodes."""
+        places, shape, number = {}, wrapper.Shape("r"), iter(range(1, 1000))
+        shape.index = 0
+
+        def add(place, node, left):
+            for tag in rng.sample("abcdef", rng.randint(0, 4)) if left else ():
+                own = wrapper.crc32(tag.encode(), place)
+                places[own] = place
+                child = wrapper.Shape(tag)
+                child.index = next(number)
+                node.children.append(child)
+                add(own, child, left - 1)
+
+        add(0, shape, depth)
+        return places, shape
+
+    for _ in range(300):
+        (a, x), (b, y) = made(), made()
+        matched = wrapper.align(a, b)
+        assert len(matched) == len(wrapper.simple_tree_matching(x, y))
+        assert all(p == 0 or (a[p] == b[p] and a[p] in matched) for p in matched)
+        for p in matched:
+            orders = [[c for c, above in t.items() if above == p and c in matched] for t in (a, b)]
+            assert orders[0] == orders[1]
+        whole = wrapper.merge([(a, 2), (b, 1)])
+        assert set(whole) == set(a) | set(b) and wrapper._unpacked(wrapper._packed(whole)) == whole
+        assert wrapper.align(wrapper.merge([(a, 1)]), a) == {0, *a}
+    deep = {i + 1: i for i in range(50_000)}
+    assert len(wrapper.align(deep, deep)) == 50_001
+
+
+def test_a_notice_in_another_order_is_another_node(spark):
+    """Ten pages have a notice before the story; four have it behind, where it is aligned to nothing and stays; a host of few pages has no template."""
+    pages = [(i, f"http://a.example/{i}", f"<body><section>Notice of the house</section><p>story {i} one</p></body>") for i in range(10)]
+    pages += [(10 + i, f"http://a.example/{i}", f"<body><p>tale {i} two</p><section>Notice of the house</section></body>") for i in range(4)]
+    pages += [(20, "http://b.example/", pages[0][2])]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == [f"story {i} one" for i in range(10)]
+    assert [got[10 + i] for i in range(4)] == [f"tale {i} two Notice of the house" for i in range(4)] and got[20].startswith("Notice")
+    assert wrapper.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []
+
+
 # media
 
 
