@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grids, hydrology, more, scores, sources
+from . import grids, hydrology, more, rest, scores, sources
 from .registry import QUERIES, SQL, Query
 
-_MODULES = (scores, grids, hydrology, more, sources)
+_MODULES = (scores, grids, hydrology, more, rest, sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
