@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -53,6 +54,52 @@ def test_op2_gives_the_article(spark):
         assert r["text"] == " ".join(b.text for b in found if b.within)
 
 
+class Article(HTMLParser):
+    """The texts of a page's articles by Python's own parser: a block tag ends a text, a break is a space."""
+
+    BLOCKS = frozenset("article aside blockquote div dd dl dt figure footer form h1 h2 h3 h4 h5 h6 header li nav ol p pre section table td th tr ul".split())
+    SKIPPED = frozenset("aside nav form footer script style noscript template button".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.texts = 0, [], [""]
+        self.feed(page)
+        self.close()
+
+    def said(self):
+        return " ".join(filter(None, (" ".join(t.split()) for t in self.texts)))
+
+    def handle_starttag(self, tag, attrs):
+        named = set((dict(attrs).get("class") or "").split()) | {dict(attrs).get("id")}
+        if tag in self.SKIPPED or named & {"ad", "comments", "comment", "share", "related"}:
+            if tag not in ("br", "img", "input"):
+                self.skip.append(tag)
+        elif self.skip and tag == self.skip[-1]:
+            self.skip.append(tag)
+        self.inside += tag == "article"
+        if tag in self.BLOCKS:
+            self.texts.append("")
+        elif tag == "br":
+            self.texts[-1] += " "
+
+    def handle_endtag(self, tag):
+        if self.skip and tag == self.skip[-1]:
+            self.skip.pop()
+        self.inside -= tag == "article"
+        if tag in self.BLOCKS:
+            self.texts.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.texts[-1] += data
+
+
+def test_op2_equals_another_parser(spark):
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op2_html_extraction(spark, SF).collect():
+        assert r["text"] == Article(pages[r["page_id"]]).said(), r["page_id"]
+
+
 def test_op3_reads_back_what_it_stored(spark, texts):
     rows = {r["doc_id"]: r for r in queries.op3_media_columns(spark, SF).collect()}
     assert set(rows) == set(texts)
