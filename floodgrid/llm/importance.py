@@ -147,7 +147,7 @@ def importance_resample(
     draw the same noise and ties at the k-th place all stay. Labels of unknown ids are ignored.
     Columns of ``docs`` with the added names are replaced, others pass unchanged whatever their
     names. Counting reads all documents, very long ones whole; only the labelled sample is bounded.
-    The result reads a table that stays in the shared folder.
+    The result reads a table that stays in the shared folder. An empty table gives no rows.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0) if good is None else good
     carry = [c for c in (carry or docs.columns) if c not in ("weight", "perturbed", "kept")]

@@ -214,7 +214,7 @@ def line_dedup(
 
     Shards of ``index_bytes`` together are broadcast at a time. Where the lines that drop need
     more, the documents are scanned once for each such part, and in between written with marks of
-    what has been found; the result is the same.
+    what has been found; the result is the same. An empty table gives no rows.
     """
     carry = [c for c in docs.columns if c not in ("n_lines", "n_dropped") or c == text]
     docs = docs.select(*(F.col(quoted(c)) for c in carry))

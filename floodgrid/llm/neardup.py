@@ -402,7 +402,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked: their component is null and they are kept. Rows that repeat an id get one result each,
     by their own text; a repeated row has the same result again. Very long texts are sketched and
     compared whole. Other columns of ``docs`` are not read. The result reads tables that stay in
-    the shared folder.
+    the shared folder. An empty table gives no rows.
     """
     out = _components(docs, doc_id, text, cfg)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), _kept().alias("kept"))
@@ -412,7 +412,7 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
 
     A row goes by its id and text: of rows that share an id, those with other texts stay, and
-    repeated rows stay or go together. Rows with a null id or without words stay.
+    repeated rows stay or go together. Rows with a null id or without words stay. An empty table stays empty.
     """
     tables = Scratch(docs.sparkSession)
     gone = _components(docs, doc_id, text, cfg).where(~_kept()).select("id", "t").distinct()

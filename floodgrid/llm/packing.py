@@ -191,7 +191,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 2, keep_i
     ``most_open`` open windows in memory, and its window numbers begin at its partition number
     times 2^32. A document longer than a window fills whole ones first. Nothing is padded but what
     a task's last window leaves, and that is split into windows filled to powers of two. Null or
-    empty texts are the ``end`` id alone; null ids stay null; repeated rows are packed each.
+    empty texts are the ``end`` id alone; null ids stay null; repeated rows are packed each;
+    other columns are left out; an empty table gives no rows.
     ``size`` must be a power of two.
     """
     if size < 1 or size & (size - 1):

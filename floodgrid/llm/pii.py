@@ -163,7 +163,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     pass mod 97; social security numbers and secrets also need a word nearby that speaks for
     them. Null or empty texts have no spans; other columns, nulls and repeated rows pass
     unchanged, and a column ``pii`` of ``docs`` is replaced. Whole texts are searched, in time
-    linear in their length.
+    linear in their length. An empty table gives no rows.
     """
     return _map(docs, text, [StructField("pii", SPANS)], lambda t: [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in find(t or "")]])
 
@@ -172,7 +172,7 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``find_pii`` replaced by ``<kind>``.
 
     Null stays null and empty stays empty; the columns and their order stay, others pass unchanged
-    whatever their names, and repeated rows are redacted each.
+    whatever their names, and repeated rows are redacted each. An empty table gives no rows.
     """
     out = _map(docs, text, [StructField(text, StringType())], lambda t: [None if t is None else redacted(t, find(t))], replace=True)
     return out.select(*map(quoted, docs.columns))
@@ -182,7 +182,7 @@ def span_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` with counts of the base kinds, ``base_sha256`` and ``spans``.
 
     Null and empty texts have no spans; columns of ``docs`` with the added names are replaced, all
-    others pass unchanged, and repeated rows have a result each.
+    others pass unchanged, and repeated rows have a result each. An empty table gives no rows.
     """
 
     def of(t: str | None) -> list:

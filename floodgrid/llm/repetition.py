@@ -81,7 +81,8 @@ def repetition(docs: DataFrame, text: str = "text", rules: RepetitionRules = Rep
     ``base_failed`` and ``kept``. Words are runs of bytes other than ``[\x20\x09-\x0D]``; lines
     are split at ``\n``. A column of ``docs`` with one of these names is replaced; all others,
     nulls included, pass unchanged. A null or empty text has no words, so it fails the base rule.
-    Texts are read whole, whatever their length; equal rows get equal results. No shuffle.
+    Texts are read whole, whatever their length; equal rows get equal results. No
+    shuffle. An empty table gives no rows.
     """
     lengths = sorted(rules.ngram_chars)
     added = [*(f.name for f in ADDED), "base_failed", "kept"]

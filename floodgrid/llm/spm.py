@@ -242,7 +242,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", threads: int = 2) ->
     a text are ordinary text. ``parity`` is false for a text with a part for which sentencepiece
     gives other ids. Null or empty texts have no ids; other columns, nulls and repeated rows pass
     unchanged, and columns of ``docs`` with the added names are replaced. Very long texts are
-    encoded whole.
+    encoded whole. An empty table gives no rows.
     """
     docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c == text or c not in ("ids", "parity")))
     of_text = docs.columns.index(text)
@@ -267,6 +267,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded",
     With ``digest``, ``n_tokens`` and ``ids_crc32`` (little-endian unsigned 32-bit ids; 0 for null)
     take the place of the ids. Empty lists give an empty text; other columns and repeated rows pass
     unchanged, whatever their names, and those with the added names are replaced.
+    An empty table gives no rows.
     """
     added = [StructField(into, StringType()), *([StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())] if digest else [])]
     names = [f.name for f in added]

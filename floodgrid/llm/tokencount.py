@@ -85,7 +85,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     same count (the default merges none but null and empty). Writers may append at the same time:
     a digest that is there twice is read once. Null or empty texts have 0 bytes and tokens; other
     columns, nulls and repeated rows pass unchanged, whatever their names, and columns of ``docs``
-    with the added names are replaced. Very long texts are encoded whole.
+    with the added names are replaced. Very long texts are encoded whole. An empty table gives no rows.
     """
     spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
     version = tokenizer_digest(tokenizer)

@@ -229,3 +229,19 @@ def test_op12_on_the_whole_table(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_base(texts[r["doc_id"]])
+
+
+def test_empty_tables_give_no_rows(spark, none):
+    from floodgrid.llm import importance, linededup, media, neardup, packing, pii, repetition, spm, text, tokencount, wrapper
+
+    model, labels = P.path("piece_bpe_32k.model"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    ids = spark.createDataFrame([], "doc_id long, ids array<int>")
+    results = [
+        packing.pack(none, P.path("word_bpe_49k.json")), repetition.repetition(none), importance.importance_resample(none, labels), neardup.near_duplicates(none), neardup.without_near_duplicates(none),
+        pii.find_pii(none), pii.redact_pii(none), pii.span_digests(none), linededup.line_dedup(none), tokencount.token_counts(none, model, text.scratch(spark, "none")), spm.encode(none, model), spm.decode(ids, model),
+        wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")),
+    ]
+    assert [df.count() for df in results] == [0] * len(results)
+    path = text.scratch(spark, "no-media")
+    media.store_texts(none, path)
+    assert media.media_features(spark, path).count() == 0
