@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -48,6 +49,26 @@ def place_of(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
+def smoothed_values(x: np.ndarray, weight: float, start: float | None = None) -> np.ndarray:
+    """``weight`` * previous + (1 - weight) * x, from the first value or from ``start``; no nulls in ``x``.
+
+    Sums over 1, 2, 4, .. values, in extended precision: results are rounded to doubles once, not at each step.
+    """
+    y = (np.longdouble(1) - weight) * x.astype(np.longdouble)
+    if len(y):
+        y[0] = x[0] if start is None else weight * np.longdouble(start) + y[0]
+    step, power = 1, np.longdouble(weight)
+    while step < len(y) and abs(power) > 1e-30:
+        with np.errstate(invalid="ignore"):
+            y[step:] = y[step:] + power * y[:-step]
+        step, power = 2 * step, power * power
+    if len(y) and not np.isfinite(x).all():  # what is infinite or not a number stays so to the end
+        first = int(np.argmax(~np.isfinite(x)))
+        with np.errstate(invalid="ignore"):
+            y[first:] = np.cumsum(x[first:])
+    return y.astype(float)
+
+
 class Blocks:
     """``df`` with ``_block``: consecutive numbers along each series, 0 throughout for a short one.
 
@@ -129,8 +150,7 @@ class Blocks:
             frame = frame.sort_values(order, kind="stable", na_position="first")
             x = frame[value].astype(float)
             known = x.dropna()
-            start = pd.Series([0.0] if split else [], dtype=float)
-            offset = pd.concat([start, known]).ewm(alpha=1 - weight, adjust=False).mean()[len(start) :].to_numpy()
+            offset = smoothed_values(known.to_numpy(), weight, 0.0 if split else None)
             n = x.notna().cumsum()
             return frame.assign(_factor=(weight if split else 0.0) ** n.to_numpy(), _offset=pd.Series(offset, known.index).reindex(x.index).ffill().fillna(0.0), _begun=n > 0, _known=float(known.iloc[0]) if len(known) else float("nan"), _at=range(len(x)))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ROWS, Blocks, join_same
+from .blocks import ROWS, Blocks, join_same, written
 from .joins import nearest_node
 from .stats import exact_percentiles
 from .tides import predict_tide
@@ -67,10 +67,21 @@ def rising_series(flows: DataFrame, by: list[str], ts: str = "ts", value: str =
     return out.withColumns({"seconds": (F.unix_micros(ts) - F.col("_first")) / F.lit(1e6), value: F.greatest(F.col(value), F.lit(0.0))}).drop("_first")
 
 
-def hydrograph_matrix(flows: DataFrame, by: list[str], ts: str = "ts", value: str = "flow") -> DataFrame:
-    """One row per series: its values in order of time; a series is a bounded event."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))))
-    return flows.groupBy(*by).agg(F.transform(pairs, lambda p: p["v"]).alias("values"), F.count("*").alias("n"))
+def hydrograph_blocks(flows: DataFrame, by: list[str], ts: str = "ts", value: str = "flow", size: int = 10_000, rows: int = ROWS) -> DataFrame:
+    """``block`` (from 0), ``values``, ``n``: each series' values in order of time, ``size`` in a row (the last has what is left).
+
+    Values of one time go by size, nulls first. Neither a series nor its row has to fit a task.
+    """
+    numbered = Blocks(flows, by, ts, rows).running({"_n": F.lit(1)}, "sum", ties=(F.col(value),))
+    pairs = F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v"))))
+    block = F.floor((F.col("_n") - 1) / size).cast("int").alias("block")
+    return numbered.groupBy(*by, block).agg(F.transform(pairs, lambda p: p["v"]).alias("values"), F.count(F.lit(1)).alias("n"))
+
+
+def hydrograph_matrix(flows: DataFrame, by: list[str], ts: str = "ts", value: str = "flow", rows: int = ROWS) -> DataFrame:
+    """One row per series: its values in order of time, for events that fit a row; others stay :func:`hydrograph_blocks`."""
+    blocks = F.array_sort(F.collect_list(F.struct("block", "values")))
+    return hydrograph_blocks(flows, by, ts, value, rows=rows).groupBy(*by).agg(F.flatten(F.transform(blocks, lambda b: b["values"])).alias("values"), F.sum("n").alias("n"))
 
 
 def high_low_tides(series: DataFrame, by: list[str], begin: str, end: str, ts: str = "ts", value: str = "level", rows: int = ROWS) -> DataFrame:
@@ -94,12 +105,30 @@ def similar_tide(highs: DataFrame, series: DataFrame, by: list[str], q: float =
     return out.where(inside & (F.unix_micros(ts) % (minutes * 60_000_000) == 0))
 
 
-def map_tide(spark, region: tuple[float, float, float, float], resolution: float, nodes: DataFrame, constituents: DataFrame, times: DataFrame, datum: float = 0.0) -> DataFrame:
-    """Levels on a regular grid: each point takes its nearest node's constituents."""
+def map_tide(
+    spark, region: tuple[float, float, float, float], resolution: float, nodes: DataFrame, constituents: DataFrame, times: DataFrame, datum: float = 0.0,
+    at_once: int = 1000, crowd: int = 100_000,
+) -> DataFrame:
+    """Levels on a regular grid: each point takes its nearest node's constituents.
+
+    A node's levels are made once and packed, about ``at_once`` times a row; points meet the packed rows, and
+    the result's rows are made behind the join. The points of a node that has over ``crowd`` of them (or
+    over a ten-thousandth of all, so that such nodes are few) are dealt over several copies of its rows.
+    """
     xmin, xmax, ymin, ymax = region
     nx, ny = (int(math.floor((b - a) / resolution + 1e-9)) + 1 for a, b in ((xmin, xmax), (ymin, ymax)))
     ids = spark.range(nx * ny).select(F.col("id").alias("point_id"), (xmin + (F.col("id") % nx) * resolution).alias("x"), (ymin + F.floor(F.col("id") / nx) * resolution).alias("y"))
-    near = nearest_node(ids, nodes, "point_id", "node_id")
-    used = constituents.join(near.select("node_id").distinct(), "node_id", "left_semi")
-    levels = predict_tide(used, times)
-    return ids.join(near.select("point_id", "node_id"), "point_id").join(levels, "node_id").withColumn("level", F.col("level") + datum)
+    near = written(nearest_node(ids, nodes, "point_id", "node_id").select("point_id", "node_id"), "nearest-node")
+    most = max(crowd, nx * ny // 10_000)
+    counts = near.groupBy("node_id").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = F.broadcast(counts.where(F.col("_n") > most).select("node_id", F.ceil(F.col("_n") / most).alias("_copies")))  # at most 10,000 rows
+    copies = F.coalesce("_copies", F.lit(1))
+    chunks = max(1, math.ceil(times.select("ts").distinct().count() / at_once))
+    levels = predict_tide(constituents.join(counts.select("node_id"), "node_id", "left_semi"), times)
+    packed = levels.groupBy("node_id", F.pmod(F.xxhash64("ts"), F.lit(chunks)).alias("_chunk")).agg(F.collect_list(F.struct("ts", "level")).alias("_levels"))
+    dealt = packed.join(crowded, "node_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).drop("_copies", "_chunk")
+    # x and y are the rule's, so that they need not be carried along
+    points = near.join(crowded, "node_id", "left").select("point_id", "node_id", F.pmod(F.xxhash64("point_id"), copies).alias("_copy"))
+    points = points.withColumns({"x": xmin + (F.col("point_id") % nx) * resolution, "y": ymin + F.floor(F.col("point_id") / nx) * resolution})
+    rows = points.join(dealt, ["node_id", "_copy"]).select("node_id", "point_id", "x", "y", F.inline("_levels"))
+    return rows.withColumn("level", F.col("level") + datum)

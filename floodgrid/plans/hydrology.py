@@ -113,6 +113,11 @@ def w15_hydrograph_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.hydrograph_matrix(flows(spark, sf), ["reach_id", "kind"]))
 
 
+@query(f"{FLOWS_SQL}, k AS (SELECT reach_id, kind, flow, row_number() OVER (PARTITION BY reach_id, kind ORDER BY ts, flow) - 1 AS k FROM flows) SELECT reach_id, kind, CAST(k // 16 AS INT) AS block, [round(v, 6) FOR v IN list(flow ORDER BY k)] AS values, count(*) AS n FROM k GROUP BY ALL")
+def w15_hydrograph_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(T.hydrograph_blocks(flows(spark, sf), ["reach_id", "kind"], size=16))
+
+
 # tides --------------------------------------------------------------------------------------------
 
 _TIDE = """WITH cs AS (SELECT s_suppkey % 5 AS node_id, 'c' || s_suppkey AS name, 0.03::DOUBLE + (s_suppkey % 11) * 0.005::DOUBLE AS freq, (s_suppkey % 7 + 1) / 10.0::DOUBLE AS amp, (s_suppkey * 31 % 360)::DOUBLE AS phase FROM supplier),

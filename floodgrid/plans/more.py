@@ -17,7 +17,7 @@ from ..operators import score as S
 from ..operators import series as T
 from ..operators import stats as A
 from ..sources.adapters import CELLS_SQL, FLOWS_SQL, INDEX_SQL, cells, flows, patch_index, scenario_of, table, vectors
-from ..streaming.streams import checkpoint_path, drain, stream_best_metric, stream_daily_rain, stream_scores
+from ..streaming.streams import checkpoint_path, drain, stream_best_metric, stream_cell_scores, stream_daily_rain
 from .registry import query, rounded
 
 KEYS = ["scenario", "t", "patch_row", "patch_col"]
@@ -240,22 +240,19 @@ def x3_stream_best_metric(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{CELLS_SQL} SELECT scenario, CAST(sum(mask) AS BIGINT) AS n, round(sqrt(sum(CASE WHEN mask = 1 THEN (pred - target) * (pred - target) ELSE 0 END) / (sum(mask) + 1e-12::DOUBLE)), 6) AS rmse FROM cells GROUP BY scenario")
 def x4_stream_scores(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.readStream.schema(table(spark, sf, "embeddings").schema).parquet(f"{sf}/embeddings.parquet*")
+    e = spark.readStream.schema(table(spark, sf, "embeddings").schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf}/embeddings.parquet*")
     v = F.col("vec_id")
     rows = e.select(v, scenario_of(F.col("label")).alias("scenario"), F.posexplode("embedding").alias("pos", "e"))
     target = F.greatest(F.col("e").cast("double"), F.lit(0.0)) * 5.0
     c = rows.select("scenario", target.alias("target"), (target * (F.lit(0.8) + F.lit(0.02) * (v % 21))).alias("pred"), ((F.col("pos") + v) % 5 != 0).cast("int").alias("mask"))
     path = checkpoint_path(spark, f"scores-{uuid.uuid4().hex}")
-    # the sums of the files, as a batch job leaves them, then the stream that adds them up
-    drain(S.patch_global_stats(c, ["scenario"]), "complete").write.parquet(f"{path}/sums")
-    sums = spark.read.parquet(f"{path}/sums")
     batches = []
 
     def sink(metrics: DataFrame, number: int) -> None:
         metrics.write.mode("overwrite").parquet(f"{path}/rows/{number}")
         batches.append(number)
 
-    stream_scores(spark.readStream.schema(sums.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/sums"), sink, f"{path}/state", ("scenario",), once=True).awaitTermination()
+    stream_cell_scores(c, sink, f"{path}/state", ("scenario",), once=True).awaitTermination()
     # each batch has the keys that changed: the latest of each counts
     rows = [spark.read.parquet(f"{path}/rows/{n}").withColumn("batch", F.lit(n)) for n in batches]
     every = reduce(DataFrame.unionByName, rows)

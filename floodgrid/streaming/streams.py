@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.score import metrics_of_sums
+from ..operators.score import metrics_of_sums, patch_global_stats
 from ..operators.stats import masked_stats
 
 
@@ -69,8 +69,15 @@ def stream_scores(patch_stats: DataFrame, sink: Callable[[DataFrame, int], None]
     With ``once`` the stream ends when its present input is read.
     """
     numbers = [c for c in patch_stats.columns if c not in ("scenario", "var", "t", "patch_row", "patch_col")]
-    summed = patch_stats.groupBy(*by).agg(*[F.sum(c).alias(c) for c in numbers])
+    return _scored(patch_stats.groupBy(*by).agg(*[F.sum(c).alias(c) for c in numbers]), sink, checkpoint, by, once)
 
+
+def stream_cell_scores(cells: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, by: tuple[str, ...] = ("scenario", "t"), once: bool = False) -> StreamingQuery:
+    """As :func:`stream_scores`, of cells (pred, target, mask) as they come in. State: one vector of sums per key."""
+    return _scored(patch_global_stats(cells, list(by)), sink, checkpoint, by, once)
+
+
+def _scored(summed: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, by: tuple[str, ...], once: bool) -> StreamingQuery:
     def each(batch: DataFrame, number: int) -> None:
         sink(metrics_of_sums(batch, list(by)), number)
 

@@ -16,7 +16,7 @@ from floodgrid.operators import sampling as W
 from floodgrid.operators import series as T
 from floodgrid.operators import stats as A
 from floodgrid.operators import tides
-from floodgrid.operators.blocks import Blocks
+from floodgrid.operators.blocks import Blocks, smoothed_values
 
 START = dt.datetime(2024, 1, 1)
 
@@ -78,6 +78,51 @@ def test_smooth_is_the_recurrence(uneven):
             assert (got is None and state is None) or got == pytest.approx(state, abs=1e-9)
 
 
+@pytest.mark.parametrize("start", [None, 0.0, -3.5])
+def test_smoothed_values_are_rounded_once(start):
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 64, 301):
+        x = [rng.randint(-10_000, 10_000) / 100 for _ in range(n)]
+        for weight in (0.0, 0.5, 0.9, 0.999, 1.0):
+            w, state = Fraction(weight), None if start is None else Fraction(start)
+            for v, got in zip(x, smoothed_values(np.array(x), weight, start), strict=True):
+                state = Fraction(v) if state is None else w * state + (1 - w) * Fraction(v)
+                assert abs(Fraction(float(got)) - state) <= Fraction(1, 2**51) * max(1, abs(state))
+    inf = float("inf")
+    assert smoothed_values(np.array([1.0, inf, 2.0, -inf, 1.0]), 0.5).tolist()[:3] == [1.0, inf, inf]
+    assert np.isnan(smoothed_values(np.array([1.0, inf, 2.0, -inf, 1.0]), 0.5)[3:]).all()
+
+
+@pytest.mark.parametrize("rows", [40, 10**6])
+def test_hydrograph_blocks_are_bounded_and_join_to_whole_series(uneven, rows):
+    blocks = T.hydrograph_blocks(uneven, ["k"], value="value", size=37, rows=rows).collect()
+    whole = {r["k"]: r for r in T.hydrograph_matrix(uneven, ["k"], value="value", rows=rows).collect()}
+    want = {}
+    for r in uneven.orderBy("ts", F.asc_nulls_first("value")).collect():
+        want.setdefault(r["k"], []).append(r["value"])
+    assert {k: (r["values"], r["n"]) for k, r in whole.items()} == {k: (v, len(v)) for k, v in want.items()}
+    for k, v in want.items():
+        own = sorted((r["block"], r["values"], r["n"]) for r in blocks if r["k"] == k)
+        assert own == [(i, v[37 * i : 37 * i + 37], len(v[37 * i : 37 * i + 37])) for i in range(-(-len(v) // 37))]
+    assert not T.hydrograph_blocks(uneven.where("false"), ["k"], value="value").collect()
+
+
+def test_map_tide_deals_the_points_of_a_crowded_node(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0)], "node_id long, x double, y double")
+    waves = spark.createDataFrame([(n, c, 0.02 * c, 0.5 * n, 30.0 * c) for n in (1, 2) for c in (1, 2)], "node_id long, name int, freq double, amp double, phase double")
+    times = spark.createDataFrame([(START + dt.timedelta(hours=h),) for h in range(7)], "ts timestamp")
+    args = (spark, (0.0, 12.0, 0.0, 9.0), 1.0, nodes, waves, times, 0.25)
+    plain = T.map_tide(*args)
+    assert plain.count() == 13 * 10 * 7 and plain.columns == ["node_id", "point_id", "x", "y", "ts", "level"]
+    same(T.map_tide(*args, at_once=2, crowd=10), plain)
+    level = {(r["node_id"], r["ts"]): r["level"] for r in T.predict_tide(waves, times).collect()}
+    for r in plain.collect():
+        assert (r["x"], r["y"], r["node_id"]) == (r["point_id"] % 13, r["point_id"] // 13, 1)
+        assert r["level"] == pytest.approx(level[1, r["ts"]] + 0.25)
+
+
 def test_running_values_pass_over_nulls_and_null_times(spark):
     df = spark.createDataFrame([("a", None, 9.0), ("a", 1, None), ("a", 2, 3.0), ("a", 3, None), ("a", 4, 1.0)], "k string, t int, v double")
     for rows in (1, 100):

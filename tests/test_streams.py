@@ -100,3 +100,31 @@ def test_scores_of_several_batches_equal_those_of_all(spark, tmp_path):
     for t in ("t0", "t1"):
         own = [(c[6] - c[7]) ** 2 for c in cells if c[1] == t]
         assert abs(got["s", t] - (sum(own) / len(own)) ** 0.5) < 1e-9
+
+
+def test_cell_scores_of_several_batches_and_a_restart(spark, tmp_path):
+    schema = "scenario string, t string, pred double, target double, mask int"
+    cells = [("s", f"t{i % 2}", i / 10, (i * 7 % 10) / 10, int(i % 5 > 0)) for i in range(60)]
+    got, numbers = {}, []
+
+    def go():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+        def sink(batch, number):
+            numbers.append(number)
+            got.update({(r["scenario"], r["t"]): (r["n"], r["rmse"]) for r in batch.collect()})
+
+        X.stream_cell_scores(source, sink, str(tmp_path / "state"), once=True).awaitTermination()
+
+    def want(rows, t):
+        own = [(c[2] - c[3]) ** 2 for c in rows if c[1] == t and c[4]]
+        return len(own), (sum(own) / len(own)) ** 0.5
+
+    for upto in (40, 60):
+        for i in range(len(numbers) * 10, upto, 10):
+            add(spark, tmp_path / "in", cells[i : i + 10], schema)
+        go()
+        assert len(numbers) == upto // 10
+        for t in ("t0", "t1"):
+            n, rmse = want(cells[:upto], t)
+            assert got["s", t][0] == n and abs(got["s", t][1] - rmse) < 1e-9
