@@ -2,12 +2,14 @@
 
 Two hashed n-gram models (words and word pairs, lower case, split where letters meet other signs)
 are counted: one over all documents (raw), one over labelled good ones (target). A document's log
-weight is the sum over its n-grams of the log of their ratio, smoothed towards 0 where a bucket is
-rare; words that are surely rare in good documents count ``doubt`` times more, since one such word
-tells more than the model of independent words allows for. Standard Gumbel noise is added and the k
-largest sums are kept, which samples k documents without replacement in proportion to their weights.
-Sums of long texts differ by far more than the noise does: what it decides are short texts and those
-near the k-th place.
+weight is the log of the two models' ratio: the sum over its n-grams, smoothed towards 0 where a
+bucket is rare. Standard Gumbel noise is added and the k largest sums are kept, which samples k
+documents without replacement in proportion to their weights. Sums of long texts differ by far more
+than the noise does: what it decides are short texts and those near the k-th place.
+
+A filter of its own follows, since a few words that good documents surely don't have weigh little in
+the sum of a long text: ``doubt`` is what its words' log-ratios have below ``-sure``, a word, and
+documents over the limit of good ones go whatever they weigh.
 """
 
 from __future__ import annotations
@@ -21,26 +23,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .text import Text, bucket_counts, map_batches, mix, ngrams, quoted, slices, written
+from .text import Scratch, Text, bucket_counts, map_batches, mix, ngrams, quoted, slices
 
 
 @dataclass(frozen=True)
 class ImportanceConfig:
     """bits: buckets of each model are 2^bits. labelled: at most about so many labelled rows are
-    used (a hash of the id decides). holdout: share of them that calibrates k instead of fitting.
-    keep_clean: share of the held-out good documents that k must leave room for. temperature:
-    scale of the Gumbel noise; 1 samples in proportion to the weights. prior_words, prior_pairs:
-    pseudo-counts. doubt: how often what a word's log-ratio has below -sure is added again."""
+    used (a hash of the id decides). holdout: share of them that calibrates k and the limit of doubt
+    instead of fitting. keep_clean: share of the held-out good documents that k must leave room for.
+    temperature: scale of the Gumbel noise; 1 samples in proportion to the weights. prior_words,
+    prior_pairs: pseudo-counts. keep_plain: share of the held-out good documents that the filter of
+    doubt must leave. sure: log-ratios of words above -sure raise no doubt. calm: so many words
+    without doubt are added to a text's own, as a short one's mean is uncertain."""
 
     bits: int = 17
     labelled: int = 50_000
     holdout: float = 0.25
-    keep_clean: float = 0.98
+    keep_clean: float = 0.998
     temperature: float = 1.0
     prior_words: float = 1.0
     prior_pairs: float = 3.0
     sure: float = 1.0
-    doubt: float = 10.0
+    keep_plain: float = 0.982
+    calm: float = 20.0
     seed: int = 0
 
 
@@ -85,13 +90,15 @@ def fit(docs: DataFrame, target_ids: np.ndarray, cfg: ImportanceConfig) -> tuple
     return out[0], out[1]
 
 
-def weigh(column: pa.Array, ratios: tuple[np.ndarray, np.ndarray], cfg: ImportanceConfig) -> np.ndarray:
-    """The log weight of each text: the sum of its n-grams' log-ratios, sure doubts of words counted more."""
+def weigh(column: pa.Array, ratios: tuple[np.ndarray, np.ndarray], cfg: ImportanceConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The log weight of each text, the sum of its n-grams' log-ratios, and the doubt about its words."""
     _, found = _features(column, cfg.bits)
     n = len(column)
-    words = ratios[0] + cfg.doubt * np.minimum(ratios[0] + cfg.sure, 0)
     # counts of nothing are whole numbers
-    return sum(np.bincount(doc, r[bucket], minlength=n).astype(float) for r, (bucket, doc) in zip((words, ratios[1]), found, strict=True))
+    weight = sum(np.bincount(doc, r[bucket], minlength=n).astype(float) for r, (bucket, doc) in zip(ratios, found, strict=True))
+    words, doc = found[0]
+    below = np.bincount(doc, np.maximum(-ratios[0] - cfg.sure, 0)[words], minlength=n)
+    return weight, below / (np.bincount(doc, minlength=n) + cfg.calm)
 
 
 def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -138,41 +145,51 @@ def importance_resample(
     carry: list[str] | None = None,
     cfg: ImportanceConfig = ImportanceConfig(),
 ) -> DataFrame:
-    """``carry`` columns of ``docs`` (default: all), with ``weight`` (log), ``perturbed``, ``kept``.
+    """``carry`` columns of ``docs`` (default: all), with ``weight`` (log), ``perturbed``, ``doubt``, ``kept``.
 
     ``good``: a condition on ``labels`` (doc_id, quality, toxic) that makes a row a target; by
     default ``quality = 1 and toxic = 0``. k is the number of documents that weigh at least as
-    much as the lowest ``1 - keep_clean`` of the held-out targets; without any target every
-    document stays. Null or empty texts weigh 0, null ids draw the noise of id 0; repeated rows
-    draw the same noise and ties at the k-th place all stay. Labels of unknown ids are ignored.
-    Columns of ``docs`` with the added names are replaced, others pass unchanged whatever their
-    names. Counting reads all documents, very long ones whole; only the labelled sample is bounded.
-    The result reads a table that stays in the shared folder. An empty table gives no rows.
+    much as the lowest ``1 - keep_clean`` of the held-out targets; a document is kept if it is among
+    the k largest and no more doubtful than ``keep_plain`` of those targets. Without any target every
+    document stays. Null or empty texts weigh 0 without doubt, null ids draw the noise of id 0;
+    repeated rows draw the same noise and ties at the k-th place all stay. Labels of unknown ids are
+    ignored. Columns of ``docs`` with the added names are replaced, others pass unchanged whatever
+    their names. Counting reads all documents, very long ones whole; only the labelled sample is
+    bounded. Weights are made twice, for the k-th place and for the result, so that no copy of the
+    texts is written. An empty table gives no rows.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0) if good is None else good
-    carry = [c for c in (carry or docs.columns) if c not in ("weight", "perturbed", "kept")]
+    carry = [c for c in (carry or docs.columns) if c not in ("weight", "perturbed", "doubt", "kept")]
     columns = [F.col(quoted(c)) for c in carry]
     target, held = _labelled(labels, good, cfg)
     if not len(target):
-        return docs.select(*columns).withColumns({"weight": F.lit(0.0), "perturbed": F.lit(0.0), "kept": F.lit(True)})
-    ratios = fit(docs, target, cfg)
-    shared = docs.sparkSession.sparkContext.broadcast((*ratios, held))  # 2^(bits+1) numbers and a bounded sample
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, checks = shared.value
-        for batch in batches:
-            ids, column = batch.column(len(carry)), batch.column(len(carry) + 1)
-            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            w = [weigh(column.slice(a, b - a), (words, pairs), cfg) for a, b in slices(column)]
-            weight = np.concatenate(w) if w else np.zeros(0)
-            new = [pa.array(weight), pa.array(weight + cfg.temperature * gumbel(number, cfg.seed)), pa.array(np.isin(number, checks) & np.asarray(ids.is_valid()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *new], names=[*carry, "weight", "perturbed", "kept"])
-
-    ready = docs.select(*columns, F.col("doc_id").cast("long"), F.col("text").cast("string")).toDF(*map(str, range(len(carry) + 2)))
-    added = [StructField("weight", DoubleType()), StructField("perturbed", DoubleType()), StructField("kept", BooleanType())]
-    # until the end, `kept` says whether the row calibrates k
-    scored = written(map_batches(ready, score, StructType([*docs.select(*columns).schema.fields, *added])), "importance")
-    cut = scored.where("kept").agg(F.percentile("weight", F.lit(1 - cfg.keep_clean))).first()[0]
-    k = scored.where(F.col("weight") >= F.lit(cut if cut is not None else float("-inf"))).count()
-    threshold = kth_largest(scored, "perturbed", k)
-    return scored.withColumn("kept", F.col("perturbed") >= F.lit(threshold))
+        return docs.select(*columns).withColumns({"weight": F.lit(0.0), "perturbed": F.lit(0.0), "doubt": F.lit(0.0), "kept": F.lit(True)})
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
+    shared = spark.sparkContext.broadcast((fit(docs, target, cfg), held))  # 2^(bits+1) numbers and a bounded sample
+
+    def score(fields: list[StructField], verdict) -> DataFrame:
+        names = [f.name for f in fields]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratios, checks = shared.value
+            for batch in batches:
+                *others, ids, column = batch.columns
+                number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                found = [weigh(column.slice(a, b - a), ratios, cfg) for a, b in slices(column)]
+                weight, doubt = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0))
+                perturbed = weight + cfg.temperature * gumbel(number, cfg.seed)
+                last = verdict(perturbed, doubt, np.isin(number, checks) & np.asarray(ids.is_valid()))
+                new = [pa.array(x) for x in (weight, perturbed, doubt, last)]
+                yield pa.RecordBatch.from_arrays([*others[: len(fields) - 4], *new], names=names)
+
+        width = len(fields) - 4
+        ready = docs.select(*columns[:width], F.col("doc_id").cast("long"), F.col("text").cast("string")).toDF(*map(str, range(width + 2)))
+        return map_batches(ready, run, StructType(fields))
+
+    doubles = [StructField(n, DoubleType()) for n in ("weight", "perturbed", "doubt")]
+    scored = tables.write(score([*doubles, StructField("checks", BooleanType())], lambda perturbed, doubt, checks: checks), "importance")
+    of_good = scored.where("checks").agg(F.percentile("weight", F.lit(1 - cfg.keep_clean)), F.percentile("doubt", F.lit(cfg.keep_plain))).first()
+    cut, limit = (float(x) if x is not None else e for x, e in zip(of_good, (float("-inf"), float("inf")), strict=True))
+    threshold = kth_largest(scored, "perturbed", scored.where(F.col("weight") >= F.lit(cut)).count())
+    tables.clear()
+    return score([*docs.select(*columns).schema.fields, *doubles, StructField("kept", BooleanType())], lambda perturbed, doubt, checks: (perturbed >= threshold) & (doubt <= limit))
