@@ -17,7 +17,7 @@ from .neardup import NearDupConfig, near_duplicates
 from .packing import pack
 from .pii import span_digests
 from .repetition import repetition
-from .spm import decode, encode
+from .spm import there_and_back
 from .text import scratch, small_batches
 from .tokencount import token_counts
 from .vectorcodes import vector_codes
@@ -77,7 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids again, and tells whether both libraries and texts agree."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _documents(spark, sf_dir)
-    rows = decode(encode(docs, model), model, digest=True)
+    rows = there_and_back(docs, model)
     rows = rows.withColumn("round_trip", F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" ")))
     return rows.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("text", "decoded")
 

@@ -287,3 +287,28 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded",
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in carry), *new], names=[*(part.schema.names[i] for i in carry), *names])
 
     return map_batches(rows, run, StructType([*(rows.schema.fields[i] for i in carry), *added]))
+
+
+def there_and_back(docs: DataFrame, model: str, text: str = "text", into: str = "decoded", threads: int = 2) -> DataFrame:
+    """As ``decode(encode(docs), digest=True)``, in one task a batch: ids don't leave it.
+
+    Adds ``parity``, ``into``, ``n_tokens`` and ``ids_crc32``; columns with these names are replaced,
+    except the text's. Null or empty texts have no ids and come back empty; other columns and
+    repeated rows pass unchanged, very long texts are handled whole. An empty table gives no rows.
+    """
+    added = [StructField("parity", BooleanType()), StructField(into, StringType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())]
+    names = [f.name for f in added]
+    docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c == text or c not in names))
+    of_text = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, d = codec(model, threads), decoder(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, same = c.encode([t or "" for t in part.column(of_text).to_pylist()])
+                back = pa.array([d.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())
+                new = [pa.array(same, pa.bool_()), back, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
+
+    return map_batches(docs, run, StructType([*docs.schema.fields, *added]))

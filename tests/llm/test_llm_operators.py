@@ -800,6 +800,14 @@ def test_sentencepiece_round_trip(docs, corpus, reference):
     assert out["n_tokens"] == len(reference.encode(corpus[0][1])) and out["ids_crc32"] == zlib.crc32(np.array(reference.encode(corpus[0][1]), "<u4").tobytes())
 
 
+def test_sentencepiece_there_and_back_is_encoding_and_decoding(docs, odd, none):
+    model = P.path("piece_bpe_32k.model")
+    for df in (docs, odd, none, odd.withColumn("n_tokens", F.lit("x"))):
+        two, one = spm.decode(spm.encode(df, model), model, digest=True), spm.there_and_back(df, model)
+        assert sorted(one.columns) == sorted(two.columns)
+        assert sorted(map(str, one.select(two.columns).collect())) == sorted(map(str, two.collect()))
+
+
 def test_sentencepiece_backend_alone(corpus, reference):
     """The rebuilt pipeline by itself, on whole texts, gives the library's ids and the table's text."""
     model = spm.read_model(P.path("piece_bpe_32k.model"))
