@@ -1,16 +1,20 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host come from one template or a few. Each page's tree is folded so that like siblings
-are one repeated node; the children of a folded node then differ by tag. The folded trees that most
-pages of a host have are merged into the host's tree, and the tree of every page is aligned to it by
+are one repeated node; the children of a folded node then differ by tag. All folded trees of a host
+are merged into the host's tree, and the tree of every page is aligned to it by
 simple tree matching (Yang 1991: the largest match that keeps order and ancestors). Every page votes for each text at its node: at a node of the host's
 tree where it is aligned, else at a node that only pages of its own tree have. A node that holds the
 same text on enough pages of the host, or of the pages with one tag structure, is *constant*: it is
 the template; what varies is content. Regions that HTML itself marks as no content (menus, footers,
 forms, adverts and so on) are left out before.
 
+The host's tree holds every place of its pages, so a page can only differ from it in the order of
+children. It is therefore never put together: the orders of one place's children are added up over a host's
+trees, of places where trees contradict the host's order that order is kept, and only the pages that contradict it meet it.
+
 Copies weigh once: pages of the same texts are one page, and a page weighs 1/m if at least half of
-its characters stand in texts that m pages or more of the host hold, leaving out texts that nearly
+its characters stand in texts that m pages or more of the host hold at their places, aligned or not, leaving out texts that nearly
 every page holds. Where pages are mostly template and not nearly all share it, this keeps the template
 rather than lose content.
 """
@@ -19,12 +23,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -262,8 +267,6 @@ def _no_content(node: Node, in_article: bool, layout: Callable[[], set[int]] = s
 
 #: A folded tree: each place's place above it, in page order; the root is 0.
 Tree = dict[int, int]
-#: The most frequent folded trees of a host that make its tree; all pages' trees are aligned to it.
-MERGED = 64
 
 
 class Block:
@@ -372,7 +375,8 @@ def align(a: Tree, b: Tree) -> set[int]:
 
     As children differ by tag, a node can only be matched to that of its own place, and a node's
     matched children are the heaviest part of those it has in both trees that keeps their order; the
-    number of block tags bounds them. Takes time in the number of common places, at any depth.
+    number of block tags bounds them (ties: those that come first in ``a``). Takes time in the number of
+    common places, at any depth.
     """
     in_a, in_b = _children(a), _children(b)
     order = [0]
@@ -389,13 +393,28 @@ def align(a: Tree, b: Tree) -> set[int]:
     return set(matched)
 
 
-def merge(trees: list[tuple[Tree, int]]) -> Tree:
-    """One tree of all places of several weighed ones; children stand as most trees have them.
+def _ordered(children: Iterable[int], ahead: dict[tuple[int, int], int]) -> list[int]:
+    """The children of one place in the host's order, by the weight of the trees where one precedes another.
 
     Of two children the one that comes first in trees of more weight precedes. The next child is the one
-    with the fewest that should precede it left (ties: the first seen), so orders that don't contradict
-    each other all hold, and every tree is then aligned as a whole.
+    with the fewest that should precede it left (ties: the smaller place), so orders that don't contradict
+    each other all hold.
     """
+    left = sorted(children)
+    waits = {c: sum(ahead.get((d, c), 0) > ahead.get((c, d), 0) for d in left) for c in left}
+    out = []
+    while left:
+        c = min(left, key=waits.__getitem__)
+        left.remove(c)
+        out.append(c)
+        for d in left:
+            waits[d] -= ahead.get((c, d), 0) > ahead.get((d, c), 0)
+    return out
+
+
+def merge(trees: list[tuple[Tree, int]]) -> Tree:
+    """One tree of all places of several weighed ones; children stand as most trees have them (see
+    :func:`_ordered`). :func:`extract` makes the same orders by Spark, for hosts of any number of trees."""
     above: Tree = {}
     ahead: dict[tuple[int, int], int] = {}
     for tree, weight in trees:
@@ -404,14 +423,7 @@ def merge(trees: list[tuple[Tree, int]]) -> Tree:
                 above.setdefault(c, p)
                 for d in children[i + 1 :]:
                     ahead[c, d] = ahead.get((c, d), 0) + weight
-    below: dict[int, list[int]] = {}
-    for p, children in _children(above).items():
-        left, order = children, []
-        while left:
-            waits = [sum(ahead.get((d, c), 0) > ahead.get((c, d), 0) for d in left) for c in left]
-            order.append(left[waits.index(min(waits))])
-            left = [c for c in left if c != order[-1]]
-        below[p] = order
+    below = {p: _ordered(children, ahead) for p, children in _children(above).items()}
     out: Tree = {}
     todo = [0]
     while todo:
@@ -430,20 +442,15 @@ def _unpacked(numbers: list[int] | None) -> Tree:
     return {(x + (1 << 63)) >> 32: (x + (1 << 63)) & 0xFFFFFFFF for x in numbers or ()}
 
 
-def node_keys(keys: list[int], tree: Tree, host: Tree | None) -> list[int]:
+def node_keys(keys: list[int], tree: Tree, moved: dict[int, list[int]], form: int) -> list[int]:
     """Keys of texts with the node in place of the page's place: the host tree's where the page's tree is
-    aligned to it, else one that pages of the same tree share."""
-    if host is None:
-        return keys
-    matched = align(host, tree)
-    if len(matched) == len(tree) + 1:
+    aligned to it, else one that pages of the same tree (``form``) share. ``moved`` has the places whose
+    children the host's tree orders otherwise, with that order."""
+    if not moved:
         return keys
-    own = crc32(repr(list(tree.items())).encode())
-    out = []
-    for k in keys:
-        place = (k + (1 << 63)) >> 32
-        out.append(k if place in matched else (crc32(b"own", own ^ place) << 32 | k & 0xFFFFFFFF) - (1 << 63))
-    return out
+    matched = align(tree, {c: p for p, children in (_children(tree) | moved).items() for c in children})
+    own = lambda k: int.from_bytes(blake2b(b"%d:%d" % (form, k), digest_size=8).digest(), "little", signed=True)
+    return [k if (k + (1 << 63)) >> 32 in matched else own(k) for k in keys]
 
 
 class Shape:
@@ -519,12 +526,11 @@ def placed(found: list[Block]) -> tuple[int, dict[int, int]]:
     return _digest(" ".join(map(str, sorted({b.path for b in found})))), {_key(b.path, b.text): len(b.text) for b in found}
 
 
-def main_text(page: str, template: frozenset[int] = frozenset(), host: Tree | None = None) -> str:
-    """The page's content, without the texts that ``template`` names at their nodes of the tree ``host``."""
-    found, tree = folded(parse(page))
+def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
+    """The page's content, without the texts that ``template`` names at their places."""
+    found = blocks(parse(page))
     if template:
-        keys = node_keys([_key(b.path, b.text) for b in found], tree, host)
-        found = [b for b, k in zip(found, keys, strict=True) if k not in template]
+        found = [b for b in found if _key(b.path, b.text) not in template]
     return " ".join(b.text for b in content(found))
 
 
@@ -538,73 +544,103 @@ def extract(
     the module's text). Null or empty html, and pages of a null url or of a host with fewer pages,
     are extracted without a template; other columns, nulls and repeated rows pass unchanged,
     whatever their names, and a column named ``text`` is replaced; an empty table gives no rows. Whole
-    pages are read, in time linear in their length. Only digests and lengths of texts are shuffled. A
-    host's tree is merged from its MERGED most frequent ones, in one task; all others are aligned to it.
+    pages are read, in time linear in their length. All trees of a host make its tree. Digests and lengths of
+    texts are shuffled, and the pages themselves only if those that lose a text are too many to be broadcast
+    with the digests of what they lose.
     """
     tables = Scratch(pages.sparkSession)
     carry = [c for c in pages.columns if c not in (html_column, "text")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(quoted(url)), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     whole = F.coalesce(F.col(quoted(html_column)).cast("string"), F.lit(""))
-    rows = pages.select(F.struct(*(F.col(quoted(c)) for c in carry)).alias("row"), host.alias("host"), whole.alias("html"))
+    rows = pages.select(F.struct(*(F.col(quoted(c)) for c in carry)).alias("row"), host.alias("host"), F.unhex(F.md5(whole)).alias("digest"), whole.alias("html"))
 
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [folded(parse(p)) for p in batch.column(1).to_pylist()]
+            trees = [folded(parse(p)) for p in batch.column(2).to_pylist()]
             found = [placed(b) for b, _ in trees]
             keys = [sorted(size) for _, size in found]
-            columns = [batch.column(0), pa.array([g for g, _ in found], pa.int64()), pa.array(keys, longs)]
+            columns = [*batch.columns[:2], pa.array([g for g, _ in found], pa.int64()), pa.array(keys, longs)]
             columns += [pa.array([[size[k] for k in ks] for (_, size), ks in zip(found, keys, strict=True)], ints), pa.array([_packed(t) for _, t in trees], longs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "shape", "keys", "sizes", "tree"])
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "digest", "shape", "keys", "sizes", "tree"])
+
+    def siblings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host, form, n, trees = (c.to_pylist() for c in batch.columns)
+            out = [(h, f, k, p, cs) for h, f, k, t in zip(host, form, n, trees, strict=True) for p, cs in _children(_unpacked(t)).items() if len(cs) > 1]
+            columns = zip((pa.string(), pa.int64(), pa.int64(), pa.int64(), longs), zip(*out, strict=True) if out else [()] * 5, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in columns], names=["host", "form", "n", "above", "children"])
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def disputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [_packed(merge([(_unpacked(t["tree"]), t["n"]) for t in ts])) for ts in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, longs)], names=["host", "merged"])
+            orders = []
+            for pairs in batch.column(2).to_pylist():
+                ahead = {(x["first"], x["second"]): x["n"] for x in pairs}
+                order = _ordered({c for pair in ahead for c in pair}, ahead)
+                at = {c: i for i, c in enumerate(order)}
+                orders.append(order if any(at[c] > at[d] for c, d in ahead) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(orders, longs)], names=["host", "above", "order"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, shape, keys, sizes, tree, whole = (c.to_pylist() for c in batch.columns)
-            keys = [node_keys(k, _unpacked(t), _unpacked(w)) for k, t, w in zip(keys, tree, whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, longs), batch.column(3)], names=["host", "shape", "keys", "sizes"])
+            keys, form, tree, moved = (c.to_pylist() for c in batch.columns[3:5] + batch.columns[6:])
+            moved = [{x["above"]: x["ordered"] for x in m or ()} for m in moved]
+            nodes = [node_keys(k, _unpacked(t) if m else {}, m, f) for k, f, t, m in zip(keys, form, tree, moved, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(nodes, longs)], names=["host", "page", "shape", "keys", "sizes", "nodes"])
 
-    shapes = rows.where((F.col("host") != "") & (F.col("html") != "")).select("host", "html").mapInArrow(shape, "host string, shape long, keys array<long>, sizes array<int>, tree array<long>")
+    filled = rows.where((F.col("host") != "") & (F.col("html") != "")).select("host", "digest", "html")
+    read = filled.mapInArrow(shape, "host string, digest binary, shape long, keys array<long>, sizes array<int>, tree array<long>")
     # pages of the same texts at the same places are one page; empty ones say nothing
-    shapes = shapes.where(F.size("keys") > 0).withColumn("page", F.xxhash64("keys", "tree")).dropDuplicates(["host", "page"]).drop("page")
-    placed_at = tables.write(shapes, "places")
-    counted = placed_at.groupBy("host", "tree").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "tree"))
-    common = counted.withColumn("rank", rank).where(F.col("rank") <= MERGED).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "tree"))).alias("trees"))
-    hosts = tables.write(common.mapInArrow(merged, "host string, merged array<long>"), "trees")
-    shapes = placed_at.join(hosts, "host").select("host", "shape", "keys", "sizes", "tree", "merged").mapInArrow(aligned, "host string, shape long, keys array<long>, sizes array<int>")
-    shapes = tables.write(shapes.withColumn("page", F.xxhash64("keys")).dropDuplicates(["host", "page"]), "shapes", instead_of=(placed_at,))
+    read = tables.write(read.where(F.size("keys") > 0).withColumn("page", F.xxhash64("keys", "tree")), "read")
+    places = tables.write(read.drop("digest").dropDuplicates(["host", "page"]).withColumn("form", F.xxhash64("tree")), "places")
+    # a host's order of children, at places where trees differ; kept if one of them contradicts it
+    counted = places.groupBy("host", "form", "tree").agg(F.count("*").alias("n")).select("host", "form", "n", "tree")
+    lists = tables.write(counted.mapInArrow(siblings, "host string, form long, n long, above long, children array<long>"), "siblings")
+    child = F.xxhash64("children")
+    varied = lists.groupBy("host", "above").agg(F.min(child).alias("least"), F.max(child).alias("most")).where("least != most")
+    orders = lists.join(varied, ["host", "above"], "left_semi").groupBy("host", "above", "children").agg(F.sum("n").alias("n"))
+    pairs = F.expr("inline(flatten(transform(children, (c, i) -> transform(slice(children, i + 2, size(children)), d -> struct(c AS first, d AS second)))))")
+    orders = orders.select("host", "above", "n", pairs).groupBy("host", "above", "first", "second").agg(F.sum("n").alias("n"))
+    orders = orders.groupBy("host", "above").agg(F.collect_list(F.struct("first", "second", "n")).alias("pairs"))
+    orders = orders.mapInArrow(disputed, "host string, above long, order array<long>").where(F.col("order").isNotNull())
+    moved = lists.join(orders, ["host", "above"]).withColumn("ordered", F.array_intersect("order", "children")).where("ordered != children")
+    moved = moved.groupBy("host", "form").agg(F.collect_list(F.struct("above", "ordered")).alias("moved"))
+    # written, so that the pages aren't shuffled by tree if few or no trees contradict their host's
+    moved = tables.write(moved, "moved", instead_of=(lists,))
+    shapes = places.join(moved, ["host", "form"], "left").select("host", "page", "shape", "keys", "form", "sizes", "tree", "moved")
+    shapes = shapes.mapInArrow(aligned, "host string, page long, shape long, keys array<long>, sizes array<int>, nodes array<long>")
+    placed_at = tables.write(shapes, "nodes", instead_of=(places, moved))
+    shapes = tables.write(placed_at.withColumn("page", F.xxhash64("nodes")).dropDuplicates(["host", "page"]), "shapes")
     enough = shapes.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
-    texts = shapes.select("host", "shape", "page", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("sizes").alias("size"))))
+    texts = shapes.select("host", "shape", "page", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("nodes").alias("node"), F.col("sizes").alias("size"))))
     held = texts.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").join(enough, "host")
     held = tables.write(held.select("host", "key", F.when(F.col("n") < NEARLY_ALL * F.col("pages"), F.col("n")).otherwise(0).alias("n")), "held")
     # 0 pages: nearly all of them, which says nothing of copies
     texts = texts.join(held, ["host", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     copies = F.percentile(F.when(F.col("n") > 0, F.col("n")), F.lit(0.5), F.col("size"))
-    weighed = texts.groupBy("host", "shape", "page").agg(F.coalesce(copies, F.lit(1.0)).alias("copies"), F.collect_list(F.when(F.col("n") != 1, F.col("key"))).alias("keys"))
-    weighed = tables.write(weighed.select("host", "shape", (1 / F.col("copies")).alias("w"), "keys"), "weights", instead_of=(shapes, held))
+    weighed = texts.groupBy("host", "shape", "page").agg(F.coalesce(copies, F.lit(1.0)).alias("copies"), F.collect_list(F.when(F.col("n") != 1, F.col("node"))).alias("nodes"))
+    weighed = tables.write(weighed.select("host", "shape", (1 / F.col("copies")).alias("w"), "nodes"), "weights", instead_of=(shapes, held))
 
     def constant(votes: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
         total = totals.groupBy(*by).agg(F.round(F.sum("w"), 6).alias("total")).where(F.col("total") >= least)
-        voted = votes.groupBy(*by, "key").agg(F.round(F.sum("w"), 6).alias("n")).where(F.col("n") >= least).join(total, by)
-        return voted.where(F.col("n") >= share * F.col("total")).select("host", "key")
+        voted = votes.groupBy(*by, "node").agg(F.round(F.sum("w"), 6).alias("n")).where(F.col("n") >= least).join(total, by)
+        return voted.where(F.col("n") >= share * F.col("total")).select("host", "node")
 
     totals = weighed.groupBy("host", "shape").agg(F.sum("w").alias("w"))
-    votes = tables.write(weighed.select("host", "shape", "w", F.explode("keys").alias("key")).groupBy("host", "shape", "key").agg(F.sum("w").alias("w")), "votes")
-    nodes = constant(votes, totals, ["host"]).union(constant(votes, totals, ["host", "shape"]))
-    templates = tables.write(nodes.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template")).join(hosts, "host"), "templates", instead_of=(weighed, votes, hosts))
+    votes = tables.write(weighed.select("host", "shape", "w", F.explode("nodes").alias("node")).groupBy("host", "shape", "node").agg(F.sum("w").alias("w")), "votes")
+    template = constant(votes, totals, ["host"]).union(constant(votes, totals, ["host", "shape"])).distinct()
+    lost = placed_at.select("host", "page", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("nodes").alias("node")))).join(template, ["host", "node"])
+    lost = lost.groupBy("host", "page").agg(F.collect_list("key").alias("lost"))
+    lost = read.select("host", "digest", "page").distinct().join(lost, ["host", "page"]).drop("page")
+    lost = tables.write(lost, "lost", instead_of=(read, placed_at, weighed, votes))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, template, whole = (batch.column(len(carry) + i).to_pylist() for i in range(3))
-            out = [main_text(p, frozenset(t or ()), _unpacked(w)) for p, t, w in zip(page, template, whole, strict=True)]
+            page, lost = (batch.column(len(carry) + i).to_pylist() for i in range(2))
+            out = [main_text(p, frozenset(t or ())) for p, t in zip(page, lost, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(out, pa.string())], names=[*carry, "text"])
 
     # by position, as columns of any name may be carried
-    joined = rows.join(templates, "host", "left").select(*(F.col("row").getField(c).alias(str(i)) for i, c in enumerate(carry)), "html", "template", "merged")
+    joined = rows.join(lost, ["host", "digest"], "left").select(*(F.col("row").getField(c).alias(str(i)) for i, c in enumerate(carry)), "html", "lost")
     return map_batches(joined, text, StructType([*pages.select(*(F.col(quoted(c)) for c in carry)).schema.fields, StructField("text", StringType())]))

@@ -352,6 +352,52 @@ def test_a_notice_in_another_order_is_another_node(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []
 
 
+def test_rare_trees_are_part_of_the_hosts_tree(spark):
+    """64 trees of two pages each and 160 of one page: the notice stands in these alone, at one place, on over half of the pages."""
+    tags = ["h1", "ul", "blockquote", "table", "pre", "dl", "center", "figure"]
+    some = lambda i: "".join(f"<{t}>word {i} {t}</{t}>" for k, t in enumerate(tags) if i >> k & 1)
+    pages = [(i, f"http://a.example/{i}", f"<body><div>{some(i % 64)}<p>story {i}</p></div></body>") for i in range(128)]
+    pages += [(1000 + i, f"http://a.example/{i}", f"<body><div>{some(i)}<p>tale {i}</p></div><section>Notice</section></body>") for i in range(64, 224)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(pages, "page_id int, url string, html string").repartition(4)).collect()}
+    assert got == {i: wrapper.main_text(p).removesuffix(" Notice") for i, _, p in pages}
+
+
+def brute_aligned(pages, share=0.5, least=5):
+    """``extract`` for one host without near copies, from the whole host's tree and the general alignment: html to text."""
+    parsed = {p: wrapper.folded(wrapper.parse(p)) for p in pages}
+    trees = Counter(tuple(tree.items()) for _, tree in parsed.values())
+    whole = wrapper.merge([(dict(t), n) for t, n in trees.items()])
+    votes, shapes, nodes = Counter(), Counter(), {}
+    for p, (found, tree) in parsed.items():
+        matched, form = wrapper.align(tree, whole), tuple(tree.items())
+        nodes[p] = [(b.path if b.path in matched else (form, b.path), b.text) for b in found]
+        shape = frozenset(b.path for b in found)
+        shapes.update((None, shape))
+        votes.update((by, n) for by in (None, shape) for n in set(nodes[p]))
+    template = {n for (by, n), v in votes.items() if v >= max(least, share * shapes[by])}
+    return {p: " ".join(b.text for b, n in zip(found, nodes[p], strict=True) if n not in template) for p, (found, _) in parsed.items()}
+
+
+def test_alignment_of_many_trees_matches_brute_force(spark):
+    rng = random.Random(8)
+    tags = ["h1", "ul", "blockquote", "table", "pre", "dl", "center", "div"]
+
+    def made(i, left=2):
+        held = sorted(rng.sample(tags, rng.randint(1, 4)), key=lambda t: tags.index(t) + rng.choice((0, 0, 0, 5)))
+        below = "".join(f"<{t}>{f'{t} house' if rng.random() < 0.7 else f'{i} {rng.random()}'}{made(i, left - 1) if left and t in ('div', 'table') else ''}</{t}>" for t in held)
+        return below + f"<p>a story of its own, much longer than what pages of the house share, however many of them there are in all: {i} {rng.random()}</p>" * (left == 2)
+
+    pages = [f"<body>{made(i)}</body>" for i in range(400)]
+    wanted = brute_aligned(pages)
+    trees = [wrapper.folded(wrapper.parse(p))[1] for p in pages]
+    whole = wrapper.merge([(t, 1) for t in trees])
+    assert len({tuple(t.items()) for t in trees}) > 128 and sum(len(wrapper.align(t, whole)) <= len(t) for t in trees) > 50
+    assert sum(wrapper.main_text(p) != wanted[p] for p in pages) > 200
+    rows = [(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)).collect()}
+    assert got == {i: wanted[p] for i, _, p in rows}
+
+
 # media
 
 
