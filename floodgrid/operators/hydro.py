@@ -108,6 +108,12 @@ def river_footprint(flows: DataFrame, points: DataFrame, reach: str = "reach_id"
     return out.withColumns({"xmin": F.col("x") - F.col("half"), "xmax": F.col("x") + F.col("half"), "ymin": F.col("y") - F.col("half"), "ymax": F.col("y") + F.col("half")})
 
 
+def peak_time(flows: DataFrame, by: list[str], ts: str = "ts", value: str = "flow") -> DataFrame:
+    """The first time of the largest flow; rows without a time or a flow are passed over, NULL where none is left."""
+    order = F.when(F.col(ts).isNotNull() & F.col(value).isNotNull(), F.struct(F.col(value), -F.unix_micros(ts)))
+    return flows.groupBy(*by).agg(F.max_by(ts, order).alias(ts))
+
+
 def simulation_end(peak: DataFrame, forcings: list[DataFrame], by: list[str], ts: str = "ts", hours: int = 24) -> DataFrame:
     """The least of the peak time + 24 h and the last time of each forcing."""
     ends = peak.select(*by, (F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")).alias("end"))

@@ -293,8 +293,7 @@ def a28_river_footprint(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{FLOWS_SQL[:-1]}, pk AS (SELECT reach_id, arg_max(ts, flow) + INTERVAL 24 HOUR AS e FROM flows GROUP BY reach_id UNION ALL SELECT reach_id, max(ts) FROM flows GROUP BY reach_id) SELECT reach_id, strftime(min(e), '%Y-%m-%d %H:%M') AS until FROM pk GROUP BY reach_id")
 def a29_simulation_end(spark: SparkSession, sf: str) -> DataFrame:
     f = flows(spark, sf)
-    peak = f.groupBy("reach_id").agg(F.max_by("ts", "flow").alias("ts"))
-    return H.simulation_end(peak, [f], ["reach_id"]).select("reach_id", F.date_format("end", "yyyy-MM-dd HH:mm").alias("until"))
+    return H.simulation_end(H.peak_time(f, ["reach_id"]), [f], ["reach_id"]).select("reach_id", F.date_format("end", "yyyy-MM-dd HH:mm").alias("until"))
 
 
 @query(f"{FLOWS_SQL[:-1]}, r AS (SELECT kind, reach_id, ts, row_number() OVER (PARTITION BY kind ORDER BY flow DESC, ts, reach_id) AS k, min(ts) OVER (PARTITION BY kind) AS first FROM flows) SELECT kind, reach_id, strftime(ts, '%Y-%m-%d %H:%M') AS peak, strftime(first - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS start FROM r WHERE k = 1")
