@@ -24,12 +24,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles (and arrays of them) rounded, since sums depend on their order."""
+def rounded(df: DataFrame, digits: int = 6, signed: bool = False) -> DataFrame:
+    """Doubles (and arrays of them) rounded, since sums depend on their order; ``signed``: what rounds to 0 keeps its sign, as by SQL's round."""
+    def one(x: Column) -> Column:
+        return F.round(F.abs(x), digits) * F.signum(x) if signed else F.round(x, digits) + F.lit(0.0)
     def of(name: str, kind: str) -> Column:
         if kind == "double":
-            return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name)
+            return one(F.col(name)).alias(name)
         if kind == "array<double>":
-            return F.transform(name, lambda x: F.round(x, digits) + F.lit(0.0)).alias(name)
+            return F.transform(name, one).alias(name)
         return F.col(name)
     return df.select(*[of(n, k) for n, k in df.dtypes])

@@ -28,7 +28,7 @@ def m8_blank_filtered_paths(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT vec_id, [CASE WHEN i // 10 < 8 AND i % 10 < 8 THEN round(embedding[CAST(i // 10 * 8 + i % 10 + 1 AS INT)]::DOUBLE, 6) END FOR i IN range(100)] AS values FROM embeddings")
 def r3_pad_patches(spark: SparkSession, sf: str) -> DataFrame:
     patches = vectors(spark, sf).select("vec_id", "h", "w", F.col("u").alias("values"))
-    return rounded(M.pad_patches(patches, 10).select("vec_id", "values"))
+    return rounded(M.pad_patches(patches, 10).select("vec_id", "values"), signed=True)
 
 
 _OFFSET = "CAST('0x' || substr(md5('9:{c}:' || vec_id), 1, 8) AS BIGINT) % 3"

@@ -52,3 +52,11 @@ def test_peak_time_depends_on_no_order_of_rows(spark, seed):
     flows = spark.createDataFrame(rows, "k int, h int, flow double").repartition(seed + 1).selectExpr("k", "timestamp_seconds(h * 3600) AS ts", "flow")
     got = {r["k"]: r["h"] for r in H.peak_time(flows, ["k"]).selectExpr("k", "unix_seconds(ts) DIV 3600 AS h").collect()}
     assert got == {1: 5, 2: 3, 3: None, 4: 10, 5: 11, 6: None, None: 1}
+
+
+def test_padded_patches_keep_the_sign_of_what_rounds_to_zero(both):
+    values = ["'-1e-7'", "'1e-7'", "'-0.0'", "'0'", "NULL", "'nan'", "'-inf'", "'-0.0078125'", "'0.0078125'", "'-5e-7'", "'-4e-7'", "'123456.789'"]
+    rows = [values[i:] + ["'-0.3'"] * 52 + values[:i] for i in range(12)]
+    got, wanted = both("r3_pad_patches", "embeddings", " UNION ALL ".join(f"SELECT {i}::BIGINT AS vec_id, [{', '.join(r)}]::FLOAT[] AS embedding, 1 AS label" for i, r in enumerate(rows)))
+    assert got == wanted
+    assert len(got) == 12 and any("[-0.0, 0.0, -0.0, 0.0, None, nan, -inf, -0.007813, None, None, 0.007813, -0.0, -0.0" in r for r in got)
