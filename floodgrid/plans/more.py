@@ -152,7 +152,7 @@ def r22_assemble_samples(spark: SparkSession, sf: str) -> DataFrame:
     stats = {"target": {"mean": 0.2, "std": 0.4, "s": 0.5}, "elevation": {"mean": 1.0, "std": 2.0}, "roughness": one, "twi": one}
     out = V.assemble_samples(index, patches, static, stats, phase="train")
     chosen = {"coarse": F.col("coarse")[0], "fine": F.col("fine"), "elevation": F.col("static")[0], "slope": F.col("static")[2], "aspect_cos": F.col("static")[5]}
-    return rounded(out.select(F.element_at(F.split("t", "_"), -1).cast("bigint").alias("vec_id"), "mask", *(c.alias(k) for k, c in chosen.items())), 4)
+    return rounded(out.select(F.element_at(F.split("t", "_"), -1).cast("bigint").alias("vec_id"), "mask", *(c.alias(k) for k, c in chosen.items())), 4, signed=True)
 
 
 @query(f"{INDEX_SQL} SELECT scenario, time_index, row_number() OVER (ORDER BY scenario, time_index) AS place FROM (SELECT DISTINCT scenario, time_index FROM idx)")

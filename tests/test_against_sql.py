@@ -60,3 +60,12 @@ def test_padded_patches_keep_the_sign_of_what_rounds_to_zero(both):
     got, wanted = both("r3_pad_patches", "embeddings", " UNION ALL ".join(f"SELECT {i}::BIGINT AS vec_id, [{', '.join(r)}]::FLOAT[] AS embedding, 1 AS label" for i, r in enumerate(rows)))
     assert got == wanted
     assert len(got) == 12 and any("[-0.0, 0.0, -0.0, 0.0, None, nan, -inf, -0.007813, None, None, 0.007813, -0.0, -0.0" in r for r in got)
+
+
+def test_assembled_samples_keep_the_sign_of_what_rounds_to_zero(both):
+    """A depth just below the mean gives -0.0, one just above it 0.0; patch 31's prediction is its target."""
+    near = ["'0.0201335'", "'0.0201337'", "'-0.1'", "'-0.0'", "'nan'", "'0.5'"]
+    rows = ", ".join(f"({i}::BIGINT, [{', '.join((near * 12)[i % 6 : i % 6 + 64])}]::FLOAT[], {i % 3})" for i in (0, 1, 10, 31, 52, 399))
+    got, wanted = both("r22_assemble_samples", "embeddings", f"SELECT * FROM (VALUES {rows}) t(vec_id, embedding, label)")
+    assert got == wanted
+    assert len(got) == 4 and any(r.startswith("[31, [0.0, -0.5, -0.5, nan,") and "-0.0" in r for r in got)
